@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from paperloom.plans.scratch import scratch_path
+
 BASE_TABLES = ["documents", "labels", "events", "embeddings", "pages", "conversations"]
 
 
@@ -202,6 +204,7 @@ VIEWS = {
     "page_list": lambda d: "select distinct contract_id, cast(i * 4 as int) + q as page from doc, (select 0 as q union all select 1 union all select 2 union all select 3) p"
     if d.name == "duck"
     else "select distinct contract_id, cast(i * 4 as int) + q as page from doc lateral view explode(array(0, 1, 2, 3)) t as q",
+    "num_lines": lambda d: d.explode_lines("contract_id, section_index, doc_id", "content", "numbered_sections"),
     "page_lines": _page_lines,
     "clause_zone": lambda d: """select *, case when i = 0 then 0 when i = 1 then 1 when i < 15 then 2 when i < 21 then 3 else 4 end as zone_index,
         case when i = 0 then 'contract_agreement' when i = 1 then 'toc' when i < 15 then 'general_conditions'
@@ -258,8 +261,21 @@ def spark_sql(sf_dir: str, name: str, body: str | None = None) -> str:
     return f"with {', '.join(parts)} {body or f'select * from {name}'}"
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.sql(spark_sql(sf_dir, name))
+    """The derived table, written once per application to the shared scratch folder.
+
+    Downstream queries then read parquet, so their filters and column lists
+    reach the scan instead of being folded into the derivation.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        path = scratch_path(spark, f"view-{name}")
+        spark.sql(spark_sql(sf_dir, name)).write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
 
 
 def duck(body: str, **extra: str) -> str:

@@ -22,7 +22,7 @@ def next_reset(ts: Column) -> Column:
 
 def reset_label(ts: Column) -> Column:
     local = F.from_utc_timestamp(next_reset(ts), "Asia/Seoul")
-    return F.concat(F.date_format(local, "yyyy. MM. dd."), F.lit(" 17:00 KST"))
+    return F.concat(F.date_format(local, "yyyy-MM-dd"), F.lit(" 17:00 KST"))
 
 
 def display_date(ts: Column) -> Column:

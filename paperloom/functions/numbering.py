@@ -96,13 +96,18 @@ def annotate_numbering(df: DataFrame, col: str, out: str = "hint") -> DataFrame:
         )
         .withColumn("__rest", numbering_remainder(t, kind))
         .withColumn("__num", drop_leading_zeros(raw))
-        .withColumn("__short", (F.length("__rest") <= 80) & (F.length(raw) <= 8))
+        .withColumns(
+            {
+                "__short": (F.length("__rest") <= 80) & (F.length(raw) <= 8),
+                "__roman": F.when(kind.isin("named_article", "roman_paren"), roman_to_int(raw).cast("string")),
+            }
+        )
     )
     num, short = F.col("__num"), F.col("__short")
     in_range = F.when(raw.rlike(r"^\d{1,8}$"), raw.cast("int").between(1, 300)).otherwise(False)
     promoted = (kind == "number") & short & in_range
-    roman = roman_to_int(raw)
-    named = F.when(raw.rlike(r"^\d+$"), num).otherwise(F.coalesce(roman.cast("string"), F.upper(raw)))
+    roman = F.col("__roman")
+    named = F.when(raw.rlike(r"^\d+$"), num).otherwise(F.coalesce(roman, F.upper(raw)))
     depth = F.size(F.split(num, r"\."))
     struct = F.struct(
         raw.alias("raw"),
@@ -128,7 +133,7 @@ def annotate_numbering(df: DataFrame, col: str, out: str = "hint") -> DataFrame:
         .alias("level"),
         F.when(kind == "schedule", F.array(raw))
         .when(kind == "named_article", F.array(named))
-        .when(kind == "roman_paren", F.array(F.coalesce(roman.cast("string"), F.lower(raw))))
+        .when(kind == "roman_paren", F.array(F.coalesce(roman, F.lower(raw))))
         .when(kind == "alpha_paren", F.array(F.lower(raw)))
         .otherwise(F.split(num, r"\."))
         .alias("components"),
@@ -136,7 +141,7 @@ def annotate_numbering(df: DataFrame, col: str, out: str = "hint") -> DataFrame:
         F.col("__rest").alias("remainder"),
     )
     return staged.withColumn(out, F.when(kind.isNotNull(), struct)).drop(
-        "__t", "__kind", "__raw", "__rest", "__num", "__short"
+        "__t", "__kind", "__raw", "__rest", "__num", "__short", "__roman"
     )
 
 
