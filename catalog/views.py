@@ -205,6 +205,9 @@ VIEWS = {
     if d.name == "duck"
     else "select distinct contract_id, cast(i * 4 as int) + q as page from doc lateral view explode(array(0, 1, 2, 3)) t as q",
     "num_lines": lambda d: d.explode_lines("contract_id, section_index, doc_id", "content", "numbered_sections"),
+    "mixed_sections": lambda d: """select s.contract_id, s.section_index, s.doc_id, s.heading, s.level,
+        case when s.section_index in (9, 16, 18, 20) then n.content else s.content end as content, s.page_start, s.page_end, s.is_toc, s.zone_hint
+      from sections s join numbered_sections n on n.doc_id = s.doc_id""",
     "page_lines": _page_lines,
     "clause_zone": lambda d: """select *, case when i = 0 then 0 when i = 1 then 1 when i < 15 then 2 when i < 21 then 3 else 4 end as zone_index,
         case when i = 0 then 'contract_agreement' when i = 1 then 'toc' when i < 15 then 'general_conditions'

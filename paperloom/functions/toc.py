@@ -50,16 +50,18 @@ def parse_toc_line(df: DataFrame, col: str, total_pages: Column, out: str = "toc
         "__clean", strip(F.regexp_replace(line, LEADER, " "))
     )
     clean = F.col("__clean")
-    first_title = strip(F.regexp_extract(clean, TRAILING_NUMBER, 1))
-    first_digits = F.regexp_extract(clean, TRAILING_NUMBER, 2)
-    candidates = [F.when(first_title != "", F.struct(first_title.alias("t"), _page(first_digits, total_pages).alias("p")))]
+    # (title, digits) per form: the leader-free line first, then the forms on the raw line
+    tried = [F.struct(strip(F.regexp_extract(clean, TRAILING_NUMBER, 1)).alias("t"), F.regexp_extract(clean, TRAILING_NUMBER, 2).alias("d"))]
     for form in PAGE_FORMS:
         rx = f"^(.*?){form}"
-        title = strip(F.regexp_replace(strip(F.regexp_extract(line, rx, 1)), LEADER, ""))
-        page = _page(F.regexp_extract(line, rx, 2), total_pages)
-        candidates.append(F.when(title != "", F.struct(title.alias("t"), page.alias("p"))))
-    found = F.coalesce(*[F.when(c["p"].isNotNull(), c) for c in candidates])
-    staged = staged.withColumn("__found", found)
+        lead = strip(F.regexp_replace(strip(F.regexp_extract(line, rx, 1)), LEADER, ""))
+        tried.append(F.struct(lead.alias("t"), F.regexp_extract(line, rx, 2).alias("d")))
+    checked = F.transform(
+        F.filter(F.array(*tried), lambda c: (c["t"] != "") & (c["d"] != "")),
+        lambda c: F.struct(c["t"].alias("t"), _page(c["d"], total_pages).alias("p")),
+    )
+    found = F.try_element_at(F.filter(checked, lambda c: c["p"].isNotNull()), F.lit(1))
+    staged = staged.withColumn("__found", F.when(line.rlike(r"\d\s*$"), found))
     staged = staged.withColumn("__title", F.coalesce(F.col("__found.t"), clean))
     title = F.col("__title")
     number = rstrip(F.regexp_extract(title, NUMBERING_PREFIX, 1))

@@ -263,10 +263,7 @@ def dominant_language(clauses: DataFrame, profiles: DataFrame, sample: int = 500
     head = upto.where(start < sample).withColumn(
         "__piece", F.lower(F.substring(F.col("text"), F.lit(1), (F.lit(sample) - start).cast("int")))
     )
-    n = F.length("__piece")
-    grams = head.where(n >= 3).select(
-        "contract_id", F.explode(F.sequence(F.lit(1), n - 2)).alias("__i"), "__piece"
-    ).select("contract_id", F.substring(F.col("__piece"), F.col("__i"), F.lit(3)).alias("gram"))
+    grams = head.select("contract_id", F.explode(trigrams(F.col("__piece"))).alias("gram"))
     counts = grams.groupBy("contract_id", "gram").agg(F.count(F.lit(1)).alias("__n"))
     scored = (
         counts.join(profiles, "gram")
@@ -276,14 +273,16 @@ def dominant_language(clauses: DataFrame, profiles: DataFrame, sample: int = 500
     return scored.groupBy("contract_id").agg(F.max_by("lang", F.struct("__score", "lang")).alias("lang"))
 
 
+def trigrams(text):
+    """All overlapping character trigrams in one pass over the text."""
+    return F.regexp_extract_all(text, F.lit("(?s)(?=(...))"), F.lit(1))
+
+
 def language_profiles(texts: DataFrame, top: int = 300) -> DataFrame:
     """Weights of the most frequent character trigrams of labelled texts."""
     from pyspark.sql import Window as W
 
-    t = F.lower("text")
-    grams = texts.where(F.length("text") >= 3).select(
-        "lang", t.alias("__t"), F.explode(F.sequence(F.lit(1), F.length("text") - 2)).alias("__i")
-    ).select("lang", F.substring(F.col("__t"), F.col("__i"), F.lit(3)).alias("gram"))
+    grams = texts.select("lang", F.explode(trigrams(F.lower("text"))).alias("gram"))
     counts = grams.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     w = W.partitionBy("lang").orderBy(F.desc("n"), "gram")
