@@ -7,7 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .views import VIEWS, duck, spark_view
+from .views import VIEWS, duck, spark_view, stored_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,11 @@ class Tables:
             return spark_view(self.spark, self.folder, name)
         raise AttributeError(name)
 
+    def stream(self, name: str) -> DataFrame:
+        """The stored derived table as a file stream."""
+        stored = getattr(self, name)
+        return self.spark.readStream.schema(stored.schema).parquet(stored_path(self.spark, self.folder, name))
+
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 

@@ -249,6 +249,15 @@ VIEWS = {
     "files": lambda d: f"""select page_id, {d.concat("'f'", f"cast(page_id as {d.string})", "case page_id % 4 when 0 then '.pdf' when 1 then '.docx' when 2 then '.PDF' else '.html' end")} as name,
         case page_id % 3 when 0 then '%PDF' when 1 then 'PKzz' else substr(html, 1, 4) end as head,
         case when page_id % 10 = 9 then cast(0 as bigint) when page_id % 10 = 8 then cast(60000000 as bigint) else cast(length(html) as bigint) end as length from pages""",
+    "answers": lambda d: f"""select clause_id, case clause_id % 6
+        when 0 then '{{"riskSummary":"s","recommendations":"r","fidicComparison":"c","riskLevel":"high"}}'
+        when 1 then '{{"riskSummary":12,"riskLevel":"low","fidicComparison":"with text"}}'
+        when 2 then 'not json' when 3 then '{{"riskSummary":"This is high","riskLevel":"HIGH","recommendations":"look"}}'
+        when 4 then '{{"riskSummary":"","fidicComparison":null,"riskLevel":"medium"}}'
+        else '{{"fidicComparison":{{"a":1}},"riskLevel":"info","riskSummary":"fine"}}' end as answer,
+        {d.concat("'model-'", f"cast(clause_id % 3 as {d.string})")} as model,
+        {d.concat("'{\"riskLevel\":\"'", "case when clause_id % 4 = 0 then 'high' else 'medium' end", "'\",\"confidence\":0.'", f"cast(clause_id % 10 as {d.string})", "'}'")} as recheck
+      from (select doc_id as clause_id from doc) c""",
     "vectors": lambda d: "select vec_id, embedding, label from embeddings",
     "table_boxes": lambda d: """select distinct contract_id, page, cast(45 as double) as x0, cast(180 as double) as y0,
         cast(500 as double) as x1, cast(260 as double) as y1 from page_list where page % 3 = 0""",
@@ -281,6 +290,10 @@ def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(_STORED[key])
 
 
+def stored_path(spark: SparkSession, sf_dir: str, name: str) -> str:
+    return _STORED[(spark.sparkContext.applicationId, sf_dir, name)]
+
+
 def duck(body: str, **extra: str) -> str:
     """``body`` with the views and extra CTEs it mentions in front."""
     d = Duck()

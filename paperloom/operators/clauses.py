@@ -10,7 +10,8 @@ from ..functions.lines import clean_ghost_tables, reflow_paragraphs
 from ..functions.numbering import annotate_numbering, strip_numbering
 from ..functions.text import content_hash, strip
 from ..functions.zoning import analysis_target
-from ..plans.scan import int_chunk, last_before, ordered_scan, running_sum
+from ..plans.scan import Step, int_chunk, last_before, ordered_scan, running_sum
+from ..plans.scratch import cut
 from .sections import cut_at_lines, resplit_pieces
 
 CONTRACT = ["contract_id"]
@@ -96,12 +97,14 @@ def merge_zone_intros(sections: DataFrame) -> tuple[DataFrame, DataFrame]:
     return clauses, flagged.where(~F.col("is_intro"))
 
 
-def with_parent_number(clauses: DataFrame, order: list[str] | None = None, chunk=None) -> DataFrame:
+def with_parent_number(
+    clauses: DataFrame, order: list[str] | None = None, chunk=None, more: dict[str, Step] | None = None
+) -> DataFrame:
     """Add ``parent_clause_number`` from the numbering hint.
 
     Dotted numbers lose their last part; list items hang below the latest
     other number; the rest below the nearest earlier number of a lower level,
-    unless that one is a schedule.
+    unless that one is a schedule.  ``more`` adds running values to the pass.
     """
     order = order or READING
     chunk = page_chunk() if chunk is None else chunk
@@ -111,7 +114,7 @@ def with_parent_number(clauses: DataFrame, order: list[str] | None = None, chunk
     level = F.least(h["level"], F.lit(LEVELS - 1))
     steps = {"__num": last_before(F.when(h.isNotNull() & ~item, h["normalized"]))}
     steps |= {f"__l{k}": last_before(F.when(level == k, here)) for k in range(LEVELS)}
-    scanned = ordered_scan(clauses, CONTRACT, order, steps, chunk)
+    scanned = ordered_scan(clauses, CONTRACT, order, {**steps, **(more or {})}, chunk)
     below = F.greatest(*[F.when(level > k, F.col(f"__l{k}")) for k in range(LEVELS)])
     nearest = F.when((h["level"] > 1) & (below["lv"] >= 1), below["num"])
     dotted = h["normalized"].rlike(r"^\d+(?:\.\d+)+$")
@@ -134,19 +137,25 @@ def shape_clauses(sections: DataFrame) -> DataFrame:
     intros, rest = merge_zone_intros(sections)
     body = strip(F.coalesce("content", F.lit("")))
     rest = rest.withColumn("__body", body).where((F.col("__body") != "") | (F.coalesce("heading", F.lit("")) != ""))
-    rest = with_parent_number(rest).withColumn("__subs", resplit_pieces(F.col("__body")))
-    size = F.coalesce(F.size("__subs"), F.lit(1))
-    counted = ordered_scan(
-        rest.withColumn("__n", F.when(F.col("__subs").isNull(), 1).otherwise(size)),
-        CONTRACT,
-        READING,
-        {"__upto": running_sum(F.col("__n"))},
-        page_chunk(),
+    rest = rest.withColumn("__subs", resplit_pieces(F.col("__body")))
+    # numbers and piece counts are all the ordered passes need; they are cut off once
+    narrow = cut(
+        rest.select(
+            "contract_id",
+            *READING,
+            F.struct("hint.kind", "hint.level", "hint.normalized").alias("hint"),
+            F.coalesce(F.size("__subs"), F.lit(1)).alias("__n"),
+        ).withColumn("hint", F.when(F.col("hint.kind").isNotNull(), F.col("hint")))
     )
+    counted = with_parent_number(narrow, more={"__upto": running_sum(F.col("__n"))})
     n_intro = intros.groupBy("contract_id").agg(F.count(F.lit(1)).alias("__intros"))
-    placed = counted.join(n_intro, "contract_id", "left").withColumn(
-        "__start", F.coalesce("__intros", F.lit(0)) + F.col("__upto") - F.col("__n")
+    starts = counted.join(n_intro, "contract_id", "left").select(
+        "contract_id",
+        *READING,
+        "parent_clause_number",
+        (F.coalesce("__intros", F.lit(0)) + F.col("__upto") - F.col("__n")).alias("__start"),
     )
+    placed = rest.join(starts, ["contract_id", *READING])
     shaped = _single_clauses(placed).unionByName(_piece_clauses(placed)).unionByName(_intro_clauses(intros))
     cleaned = shaped.withColumn("content", clean_ghost_tables(F.col("content")))
     return reflow_paragraphs(cleaned, "content").withColumn("content_hash", content_hash(F.col("content")))

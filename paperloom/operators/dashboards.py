@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbering import clause_depth
 from ..functions.zoning import ZONE_ORDER
-from ..plans.scan import int_chunk, last_value, ordered_scan, previous, running_max, running_sum
+from ..plans.scan import int_chunk, island, last_value, ordered_scan, running_max, running_sum, time_chunk
 from .filters import IN_PROGRESS, RISK_LEVELS, normalize_risk
 
 # Risk categories of the dashboard and the words that name them.
@@ -245,8 +245,6 @@ def with_position(df: DataFrame, key: list[str], order: list[str], chunk=None, o
 
 def backfill_sort_order(clauses: DataFrame) -> DataFrame:
     """Position by creation time; chunks are creation hours."""
-    from ..plans.scan import time_chunk
-
     return with_position(clauses, ["contract_id"], ["created_at", "clause_id"], time_chunk("created_at"), "sort_order")
 
 
@@ -282,21 +280,14 @@ def descendant_counts(closure: DataFrame) -> DataFrame:
 
 def subdoc_runs(clauses: DataFrame) -> DataFrame:
     """Number the runs of consecutive clauses with the same sub-document."""
-    keys, order, chunk = ["contract_id"], ["sort_order", "clause_id"], int_chunk("sort_order")
-    seen = ordered_scan(
-        clauses, keys, order, {"__p": previous(F.struct(F.col("subdoc_title").alias("t")))}, chunk
-    )
-    change = F.col("__p").isNull() | ~F.col("subdoc_title").eqNullSafe(F.col("__p.t"))
     runs = ordered_scan(
-        seen.withColumn("__new", change.cast("int")), keys, order, {"__run": running_sum(F.col("__new"))}, chunk
+        clauses, ["contract_id"], ["sort_order", "clause_id"], {"__run": island(F.col("subdoc_title"))}, int_chunk("sort_order")
     )
-    return runs.withColumn("run_id", F.col("__run") - 1).drop("__p", "__new", "__run")
+    return runs.withColumn("run_id", F.col("__run") - 1).drop("__run")
 
 
 def monotone_stage(status_events: DataFrame) -> DataFrame:
     """Stage of a contract over time; it never goes back."""
-    from ..plans.scan import time_chunk
-
     return ordered_scan(
         status_events, ["contract_id"], ["ts", "seq"], {"max_stage": running_max(F.col("stage"))}, time_chunk("ts")
     )

@@ -272,15 +272,14 @@ def build_clauses(blocks: DataFrame) -> DataFrame:
     t = strip(F.col("text"))
     opens = (F.col("block_type") == "heading") | (F.coalesce(F.col("hint.kind"), F.lit("")) == "schedule")
     src = blocks.withColumn("__t", t).where(F.col("__t") != "").withColumn("__open", opens)
-    keys, order, chunk = ["contract_id"], ["zone_index", "block_no"], int_chunk("block_no")
-    seen = ordered_scan(src, keys + ["zone_index"], ["block_no"], {"__pb": previous(F.col("block_no"))}, chunk)
-    first = F.col("__pb").isNull()
+    keys, order = ["contract_id"], ["zone_index", "block_no"]
+    # headings so far in the contract; text ahead of the first heading of a zone differs by its zone
     groups = ordered_scan(
-        seen.withColumn("__new", (F.col("__open") | first).cast("int")),
-        keys + ["zone_index"],
-        ["block_no"],
-        {"__grp": running_sum(F.col("__new"))},
-        chunk,
+        src,
+        keys,
+        order,
+        {"__grp": running_sum(F.col("__open").cast("int"))},
+        F.col("zone_index") * 1_000_000 + int_chunk("block_no"),
     )
     head = F.when(F.col("__open"), F.struct(F.col("__t").alias("t"), F.col("hint.normalized").alias("n")))
     rows = groups.groupBy("contract_id", "zone_index", "__grp").agg(

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.calendar import quota_day_start
-from ..plans.scan import last_before, last_value, ordered_scan, previous, running_max, running_sum, time_chunk
+from ..plans.scan import island, last_value, ordered_scan, previous, running_sum, time_chunk
+from ..plans.scratch import cut
 
 # Calls per day, calls per minute and least interval in ms per model.
 MODEL_LIMITS = [
@@ -137,28 +138,23 @@ def throttle_progress(progress: DataFrame, seconds: int = 3) -> DataFrame:
     order = ["ts", "event_id"]
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
     timed = progress.withColumn("__ms", ms)
-    gaps = ordered_scan(timed, ["contract_id"], order, {"__p": previous(F.col("__ms"))}, time_chunk("ts"))
-    fresh = F.col("__p").isNull() | (F.col("__ms") - F.col("__p") >= seconds * 1000)
-    bursts = ordered_scan(
-        gaps.withColumn("__new", fresh.cast("int")),
-        ["contract_id"],
-        order,
-        {"__b": running_sum(F.col("__new"))},
-        time_chunk("ts"),
-    ).drop("__p", "__new")
+    pause = lambda p, c: c - p >= seconds * 1000
+    bursts = ordered_scan(timed, ["contract_id"], order, {"__b": island(F.col("__ms"), pause)}, time_chunk("ts"))
     schema = bursts.schema.add("__ka", "boolean").add("__kb", "boolean")
-    streamed = (
+    streamed = cut(
         bursts.repartition("contract_id", "__b")
         .sortWithinPartitions("contract_id", "__b", *order)
         .mapInPandas(_burst_courses(seconds * 1000), schema)
     )
     key = F.struct(*order)
     first = F.min_by("percent", key)
-    summary = streamed.groupBy("contract_id", "__b").agg(
-        first.alias("__first"),
-        F.max_by("percent", F.when(F.col("__ka"), key)).alias("__ea"),
-        F.coalesce(F.max_by("percent", F.when(F.col("__kb"), key)), first).alias("__eb"),
-        F.min("ts").alias("ts"),
+    summary = cut(
+        streamed.groupBy("contract_id", "__b").agg(
+            first.alias("__first"),
+            F.max_by("percent", F.when(F.col("__ka"), key)).alias("__ea"),
+            F.coalesce(F.max_by("percent", F.when(F.col("__kb"), key)), first).alias("__eb"),
+            F.min("ts").alias("ts"),
+        )
     )
     # course a (first row kept) unless the burst before ended on the same value
     chunk = time_chunk("ts")
@@ -235,13 +231,11 @@ def eta(progress: DataFrame, stage_ms: dict[int, int] | None = None, alpha: floa
     usable = (F.col("stage") != 5) & (F.col("elapsed_ms") >= ETA_MIN_ELAPSED_MS) & (F.col("overall") > 0)
     raw = progress.withColumn("__raw", F.when(usable, remaining + future)).where(F.col("__raw").isNotNull())
     order = ["ts", "event_id"]
-    seen = ordered_scan(raw, ["contract_id"], order, {"__p": previous(F.col("stage"))}, time_chunk("ts"))
-    marked = seen.withColumn("__new", (~F.col("stage").eqNullSafe(F.col("__p"))).cast("int"))
     runs = ordered_scan(
-        marked,
+        raw,
         ["contract_id"],
         order,
-        {"__run": running_sum(F.col("__new")), "__k": running_sum(F.lit(1))},
+        {"__run": island(F.col("stage")), "__k": running_sum(F.lit(1))},
         time_chunk("ts"),
     )
     size, halo = 4096, 64

@@ -10,8 +10,19 @@ from ..functions.lines import NUMBERED_LINE, is_cross_reference, shifted
 from ..functions.numbering import heading_number, is_sibling_or_child
 from ..functions.text import strip
 from ..functions.zoning import analysis_target, detect_part, zone_confidence
-from ..plans.scan import int_chunk, last_before, last_value, ordered_scan, previous, running_max, running_sum
-from .joins import ordered_text, section_text
+from ..plans.scan import (
+    first_value,
+    int_chunk,
+    island,
+    last_before,
+    last_value,
+    ordered_scan,
+    previous,
+    running_max,
+    running_sum,
+)
+from ..plans.scratch import cut
+from .joins import section_text
 
 CONTRACT = ["contract_id"]
 
@@ -34,17 +45,27 @@ def suppress_reference_headings(lines: DataFrame, order: str = "line_no") -> Dat
     not.
     """
     chunk = int_chunk(order)
-    seen = ordered_scan(lines, CONTRACT, [order], {"__p": previous(F.col("text"))}, chunk)
-    p = strip(F.col("__p"))
-    hyphen = p.rlike(HYPHEN_TAIL) & ~p.endswith("--") & F.col("text").rlike(KEYWORD_START)
-    tailed = F.coalesce((hyphen | p.rlike(DANGLING_REF)) & (p != ""), F.lit(False))
-    run = F.col("is_candidate") & ~F.col("is_trigger") & tailed
-    marked = seen.withColumn("__run", run).drop("__p")
+    t = strip(F.coalesce("text", F.lit("")))
+    # only the flags travel through the scans, not the text
+    flags = lines.select(
+        "contract_id",
+        order,
+        "is_candidate",
+        "is_trigger",
+        (t.rlike(HYPHEN_TAIL) & ~t.endswith("--")).alias("__hyphen"),
+        t.rlike(DANGLING_REF).alias("__dangling"),
+        F.col("text").rlike(KEYWORD_START).alias("__keyword"),
+    )
+    tail = F.struct("__hyphen", "__dangling")
+    seen = ordered_scan(flags, CONTRACT, [order], {"__p": previous(tail)}, chunk)
+    tailed = F.coalesce((F.col("__p.__hyphen") & F.col("__keyword")) | F.col("__p.__dangling"), F.lit(False))
+    marked = seen.withColumn("__run", F.col("is_candidate") & ~F.col("is_trigger") & tailed)
     scanned = ordered_scan(
         marked, CONTRACT, [order], {"__front": last_before(F.when(~F.col("__run"), F.col("is_candidate")))}, chunk
     )
     suppressed = F.col("__run") & F.coalesce(~F.col("__front"), F.lit(False))
-    return scanned.withColumn("is_heading", F.col("is_candidate") & ~suppressed).drop("__run", "__front")
+    verdict = scanned.select("contract_id", order, (F.col("is_candidate") & ~suppressed).alias("is_heading"))
+    return lines.join(verdict, ["contract_id", order])
 
 
 def build_sections(lines: DataFrame, order: str = "line_no") -> DataFrame:
@@ -180,10 +201,7 @@ def merge_adjacent_zones(sections: DataFrame) -> DataFrame:
             "__text": section_text(),
         }
     )
-    chunk = int_chunk("section_index")
-    seen = ordered_scan(top, CONTRACT, ["section_index"], {"__p": previous(F.col("__zone"))}, chunk)
-    marked = seen.withColumn("__new", (~F.col("__zone").eqNullSafe(F.col("__p"))).cast("int"))
-    runs = ordered_scan(marked, CONTRACT, ["section_index"], {"__run": running_sum(F.col("__new"))}, chunk)
+    runs = ordered_scan(top, CONTRACT, ["section_index"], {"__run": island(F.col("__zone"))}, int_chunk("section_index"))
     first = F.min(F.struct("section_index", "heading", "level", "zone_hint", "page_start"))
     zones = runs.groupBy("contract_id", "__run", F.col("__zone").alias("zone_type")).agg(
         first.alias("__f"),
@@ -233,44 +251,41 @@ def merge_short_sections(sections: DataFrame, threshold: int = 50) -> DataFrame:
     content = strip(F.coalesce("content", F.lit("")))
     boundary = detect_part(heading, "sections").isNotNull()
     deep = heading.rlike(DEEP_HEADING)
-    base = sections.withColumns(
-        {
-            "__body": content,
-            "__deep": deep,
-            "__frag": (F.col("level") >= 3) & (F.length(content) < threshold) & ~boundary & ~deep,
-            "__item": heading.rlike(ALPHA_HEADING) & ~boundary & (zone != "definitions"),
-            "__guard": deep | (zone == "definitions"),
-        }
+    # a narrow table of flags goes through the scans; the texts are joined back once
+    flags = cut(
+        sections.select(
+            "contract_id",
+            "section_index",
+            ((F.col("level") >= 3) & (F.length(content) < threshold) & ~boundary & ~deep).alias("frag"),
+            (heading.rlike(ALPHA_HEADING) & ~boundary & (zone != "definitions")).alias("item"),
+            (deep | (zone == "definitions")).alias("guard"),
+        )
     )
     chunk = int_chunk("section_index")
-    # the first section of a contract is always kept
-    ahead = ordered_scan(base, CONTRACT, ["section_index"], {"__p": previous(F.col("section_index"))}, chunk)
-    first = F.col("__p").isNull()
-    kinds = ahead.withColumns(
-        {
-            "__base": first | (~F.col("__frag") & ~F.col("__item")),
-            "__cand": ~first & ~F.col("__frag") & F.col("__item"),
-        }
-    )
+    here = F.struct("section_index", "guard")
+    loose = F.col("frag") | F.col("item")
     scanned = ordered_scan(
-        kinds,
+        flags,
         CONTRACT,
         ["section_index"],
         {
-            "__last": last_value(F.when(F.col("__base"), F.struct("section_index", "__guard"))),
-            "__item_at": last_before(F.when(F.col("__cand"), F.col("section_index"))),
+            "start": first_value(here),
+            "base": last_value(F.when(~loose, here)),
+            "item_at": last_before(F.when(F.col("item") & ~F.col("frag"), F.col("section_index"))),
         },
         chunk,
-    )
-    no_item_yet = F.col("__item_at").isNull() | (F.col("__item_at") < F.col("__last.section_index"))
-    kept = F.col("__base") | (F.col("__cand") & F.col("__last.__guard") & no_item_yet)
-    owner = ordered_scan(
-        scanned.withColumn("__kept", kept),
+    ).withColumn("base", F.coalesce("base", "start"))
+    is_start = F.col("section_index") == F.col("start.section_index")
+    no_item_yet = F.coalesce(F.col("item_at") <= F.col("base.section_index"), F.lit(True))
+    kept = is_start | ~loose | (F.col("item") & ~F.col("frag") & F.col("base.guard") & no_item_yet)
+    owners = ordered_scan(
+        scanned.select("contract_id", "section_index", kept.alias("__kept")),
         CONTRACT,
         ["section_index"],
         {"__owner": last_value(F.when(F.col("__kept"), F.col("section_index")))},
         chunk,
     )
+    owner = sections.withColumn("__body", content).join(owners, ["contract_id", "section_index"])
     added = F.concat(
         F.when(F.coalesce("heading", F.lit("")) != "", F.concat("heading", F.lit("\n"))).otherwise(""),
         F.when(F.col("__body") != "", F.concat("__body", F.lit("\n"))).otherwise(""),
@@ -311,10 +326,15 @@ def merge_heading_fragments(sections: DataFrame) -> DataFrame:
     chunk = int_chunk("section_index")
     fields = ["section_index", "heading", "level", "zone_hint", "page_start", "page_end", "content"]
     base = sections.select("contract_id", *fields).withColumn("__loose", loose)
-    seen = ordered_scan(base, CONTRACT, ["section_index"], {"__p": previous(F.col("__loose"))}, chunk)
-    after = F.coalesce("__p", F.lit(False))
-    marked = seen.withColumn("__new", (~after).cast("int"))
-    isles = ordered_scan(marked, CONTRACT, ["section_index"], {"__isl": running_sum(F.col("__new"))}, chunk)
+    # an island ends with the first section that is not loose: count those strictly before
+    solid = F.when(F.col("__loose"), 0).otherwise(1)
+    isles = ordered_scan(
+        base,
+        CONTRACT,
+        ["section_index"],
+        {"__p": previous(F.col("__loose")), "__s": running_sum(solid)},
+        chunk,
+    ).withColumn("__isl", F.col("__s") - solid)
     busy = F.col("__loose") | F.coalesce("__p", F.lit(False))
     untouched = isles.where(~busy).select("contract_id", *fields)
     arrays = (

@@ -61,18 +61,17 @@ def mark_toc(df: DataFrame, unit: str = "section") -> DataFrame:
         {
             "__o": running_max(F.when(F.col("__open"), F.col(index))),
             "__c": running_max(F.when(~F.col("__open") & ~F.col("__on"), F.col(index))),
+            "__pos": running_sum(F.lit(1)),
         },
         int_chunk(index),
     )
     inside = F.col("__o").isNotNull() & (F.col("__o") > F.coalesce("__c", F.lit(-1)))
     toc = F.col("__open") | (inside & F.col("__on"))
-    drops = ["__open", "__on", "__o", "__c", "lines", "leader", "trailing", "leader_num", "dot_density"]
+    drops = ["__open", "__on", "__o", "__c", "__pos", "lines", "leader", "trailing", "leader_num", "dot_density"]
     if unit == "page":
         return scanned.withColumn("is_toc", toc).drop(*drops)
     total = df.groupBy("contract_id").agg(F.count(F.lit(1)).alias("__total"))
-    pos = ordered_scan(
-        scanned, CONTRACT, [index], {"__pos": running_sum(F.lit(1))}, int_chunk(index)
-    ).join(total, "contract_id")
+    pos = scanned.join(total, "contract_id")
     front = (F.col("__pos") - 1) < F.greatest(F.lit(1), F.floor(F.col("__total") * F.lit(0.10)) + 1)
     by_density = (
         front
@@ -83,7 +82,7 @@ def mark_toc(df: DataFrame, unit: str = "section") -> DataFrame:
             | ((F.col("trailing") >= F.col("lines") * 0.3) & (F.col("leader_num") >= F.col("trailing") * 0.5))
         )
     )
-    return pos.withColumn("is_toc", toc | by_density).drop(*drops, "__total", "__pos")
+    return pos.withColumn("is_toc", toc | by_density).drop(*drops, "__total")
 
 
 def toc_entries(toc_lines: DataFrame, total_pages: Column, order: str = "line_no") -> DataFrame:

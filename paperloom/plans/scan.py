@@ -17,6 +17,7 @@ needs, and AQE broadcasts it whenever its measured size allows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -32,6 +33,7 @@ class Step:
 
     kind: str
     value: Column
+    breaks: Callable[[Column, Column], Column] | None = None
 
 
 def running_sum(value: Column) -> Step:
@@ -64,6 +66,20 @@ def following(value: Column) -> Step:
     return Step("next", value)
 
 
+def first_value(value: Column) -> Step:
+    """Value of the earliest row; ``value`` must start with the order columns."""
+    return Step("first", value)
+
+
+def island(value: Column, breaks: Callable[[Column, Column], Column] | None = None) -> Step:
+    """1-based number of the run a row belongs to.
+
+    A new run starts where ``breaks(previous, current)`` holds, by default
+    where the value changes.
+    """
+    return Step("island", value, breaks or (lambda p, c: ~p.eqNullSafe(c)))
+
+
 def int_chunk(col: str, rows: int = CHUNK_ROWS) -> Column:
     """Chunk id of a non-negative integer order column."""
     return F.floor(F.col(col) / F.lit(rows)).cast("long")
@@ -88,32 +104,66 @@ def ordered_scan(
     (one page, one cell) and a single window is used.
     """
     src = {f"__v_{n}": s.value for n, s in steps.items()}
+    islands = {n: s for n, s in steps.items() if s.kind == "island"}
+    base = df.withColumns({**src, "__ck": F.lit(0) if chunk is None else chunk})
+    keys = by if chunk is None else [*by, "__ck"]
+    local = W.partitionBy(*keys).orderBy(*order)
+    if islands:
+        base = base.withColumns(
+            {f"__b_{n}": _break_flag(s, F.col(f"__v_{n}"), F.lag(F.struct(F.col(f"__v_{n}").alias("v"))).over(local)) for n, s in islands.items()}
+        )
+    keyed = base.withColumns(
+        {
+            f"__l_{n}": F.sum(f"__b_{n}").over(local.rowsBetween(W.unboundedPreceding, W.currentRow))
+            if s.kind == "island"
+            else _local(s.kind, F.col(f"__v_{n}"), local)
+            for n, s in steps.items()
+        }
+    )
+    drops = ["__ck", *src, *[f"__b_{n}" for n in islands], *[f"__l_{n}" for n in steps]]
     if chunk is None:
-        base = df.withColumns(src)
-        local = W.partitionBy(*by).orderBy(*order)
-        out = base.withColumns({n: _local(s.kind, F.col(f"__v_{n}"), local) for n, s in steps.items()})
-        return out.withColumns({n: F.col(n)["v"] for n, s in steps.items() if s.kind in ("prev", "next")}).drop(*src)
-
-    base = df.withColumns({"__ck": chunk, **src})
-    local = W.partitionBy(*by, "__ck").orderBy(*order)
-    keyed = base.withColumns({f"__l_{n}": _local(s.kind, F.col(f"__v_{n}"), local) for n, s in steps.items()})
+        done = {n: _combine(s.kind, F.col(f"__l_{n}"), F.lit(None)) for n, s in steps.items() if s.kind not in ("island",)}
+        done |= {n: F.col(f"__l_{n}") + 1 for n in islands}
+        return keyed.withColumns(done).drop(*drops)
 
     key = F.struct(*order)
+    marks = [f"__b_{n}" for n in islands]
     summary = (
-        base.select(*by, "__ck", *order, *src)
+        base.select(*by, "__ck", *order, *src, *marks)
         .groupBy(*by, "__ck")
-        .agg(*[_summary(s.kind, F.col(f"__v_{n}"), key).alias(f"__s_{n}") for n, s in steps.items()])
+        .agg(*[_summary(s.kind, F.col(f"__v_{n}"), key, f"__b_{n}").alias(f"__s_{n}") for n, s in steps.items()])
     )
     across = W.partitionBy(*by).orderBy("__ck")
+    for n, s in islands.items():
+        # does the first row of this chunk break from the last row of the chunk before?
+        joint = _break_flag(s, F.col(f"__s_{n}.first.v"), F.lag(f"__s_{n}.last").over(across), 1)
+        summary = summary.withColumn(f"__j_{n}", joint)
     carry = summary.select(
-        *by, "__ck", *[_inherit(s.kind, F.col(f"__s_{n}"), across).alias(f"__c_{n}") for n, s in steps.items()]
+        *by,
+        "__ck",
+        *[
+            _island_start(F.col(f"__s_{n}"), F.col(f"__j_{n}"), across).alias(f"__c_{n}")
+            if s.kind == "island"
+            else _inherit(s.kind, F.col(f"__s_{n}"), across).alias(f"__c_{n}")
+            for n, s in steps.items()
+        ],
     )
     joined = keyed.join(carry, [*by, "__ck"], "left")
     out = joined.withColumns(
         {n: _combine(s.kind, F.col(f"__l_{n}"), F.col(f"__c_{n}")) for n, s in steps.items()}
     )
-    drops = ["__ck", *src, *[f"__l_{n}" for n in steps], *[f"__c_{n}" for n in steps]]
-    return out.drop(*drops)
+    return out.drop(*drops, *[f"__c_{n}" for n in steps])
+
+
+def _break_flag(step: Step, value: Column, before: Column, at_start: int = 0) -> Column:
+    """1 where a run starts; the first row of a window gives ``at_start``."""
+    starts = F.coalesce(step.breaks(before["v"], value), F.lit(True))
+    return F.when(before.isNull(), at_start).otherwise(starts.cast("int"))
+
+
+def _island_start(summary: Column, joint: Column, across) -> Column:
+    before = F.sum(summary["breaks"]).over(across.rowsBetween(W.unboundedPreceding, -1))
+    return F.coalesce(before, F.lit(0)) + F.sum(joint).over(across.rowsBetween(W.unboundedPreceding, W.currentRow))
 
 
 def _local(kind: str, value: Column, w) -> Column:
@@ -123,6 +173,8 @@ def _local(kind: str, value: Column, w) -> Column:
         return F.sum(value).over(upto)
     if kind == "max":
         return F.max(value).over(upto)
+    if kind == "first":
+        return F.min(value).over(upto)
     if kind == "last":
         return F.last(value, ignorenulls=True).over(upto)
     if kind == "last_before":
@@ -135,7 +187,14 @@ def _local(kind: str, value: Column, w) -> Column:
     raise ValueError(kind)
 
 
-def _summary(kind: str, value: Column, key: Column) -> Column:
+def _summary(kind: str, value: Column, key: Column, mark: str) -> Column:
+    if kind == "island":
+        wrapped = F.struct(value.alias("v"))
+        return F.struct(
+            F.sum(mark).alias("breaks"), F.min_by(wrapped, key).alias("first"), F.max_by(wrapped, key).alias("last")
+        )
+    if kind == "first":
+        return F.min(value)
     if kind == "sum":
         return F.sum(value)
     if kind == "max":
@@ -152,16 +211,20 @@ def _inherit(kind: str, value: Column, across) -> Column:
         return F.sum(value).over(before)
     if kind == "max":
         return F.max(value).over(before)
+    if kind == "first":
+        return F.min(value).over(before)
     if kind in ("last", "last_before"):
         return F.last(value, ignorenulls=True).over(before)
     return F.lag(value).over(across) if kind == "prev" else F.lead(value).over(across)
 
 
 def _combine(kind: str, local: Column, carry: Column) -> Column:
-    if kind == "sum":
+    if kind in ("sum", "island"):
         return F.coalesce(local + carry, local, carry)
     if kind == "max":
         return F.greatest(local, carry)
+    if kind == "first":
+        return F.coalesce(carry, local)
     if kind in ("last", "last_before"):
         return F.coalesce(local, carry)
     return F.coalesce(local, carry)["v"]
