@@ -512,8 +512,8 @@ query(
         t.parts,
         t.subdocs.select("contract_id", (F.col("subdoc_index") + 100).alias("part_index"), "title", "page_start", "page_end").withColumn("confidence", F.lit(0.85)),
     ).select("contract_id", "part_index", "title", F.coalesce("part_type", F.lit("none")).alias("part_type"), F.coalesce("confidence", F.lit(0.0)).alias("confidence")),
-    """select contract_id, part_index, title, part_type, 0.0 as confidence from parts
-       union all select contract_id, subdoc_index + 100, title, 'none', 0.85 from subdocs""",
+    """select contract_id, part_index, title, part_type, 0.0::double as confidence from parts
+       union all select contract_id, subdoc_index + 100, title, 'none', 0.85::double from subdocs""",
 )
 query(
     "set3_with_fallback_rows",
@@ -586,9 +586,9 @@ query(
 query(
     "ag18_clauses_by_zone",
     lambda t: da.clauses_by_zone(jn.with_zone_key(t.clauses, t.zones)).select(
-        "contract_id", "zone", F.array_join(F.col("clauses").cast("array<string>"), ",").alias("clauses")
+        "contract_id", "zone", "piece", F.array_join(F.col("clauses").cast("array<string>"), ",").alias("clauses")
     ),
-    """select c.contract_id, z.zone_type as zone, string_agg(cast(clause_id as varchar), ',' order by sort_order, clause_id) as clauses
+    """select c.contract_id, z.zone_type as zone, 0::bigint as piece, string_agg(cast(clause_id as varchar), ',' order by sort_order, clause_id) as clauses
        from clauses c join zones z on z.zone_id = c.zone_id group by 1, 2""",
 )
 
@@ -717,7 +717,7 @@ query(
 query(
     "wn21_subdoc_runs",
     lambda t: da.subdoc_runs(jn.label_clauses(t.clauses, t.zones, t.subdocs).withColumn("subdoc_title", F.expr("case when sort_order % 5 > 2 then null else subdoc_title end"))).select("clause_id", "run_id"),
-    """select clause_id, sum(ch) over (partition by contract_id order by sort_order, clause_id) - 1 as run_id from (
+    """select clause_id, (sum(ch) over (partition by contract_id order by sort_order, clause_id) - 1)::bigint as run_id from (
          select *, case when row_number() over w = 1 or lag(tt) over w is distinct from tt then 1 else 0 end as ch from (
            select c.clause_id, c.contract_id, c.sort_order, case when c.sort_order % 5 > 2 then null else s.title end as tt
            from clauses c join zones z on z.zone_id = c.zone_id

@@ -231,7 +231,7 @@ query(
     ),
     f"""select contract_id, section_no, coalesce(max(text) filter (where is_candidate), '') as heading,
           md5(coalesce(string_agg(text || chr(10), '' order by line_no) filter (where not is_candidate), '')) as h, min(page) as page_start, max(page) as page_end
-        from (select *, sum(is_candidate::int) over (partition by contract_id order by line_no) as section_no from cl) x group by 1, 2
+        from (select *, (sum(is_candidate::int) over (partition by contract_id order by line_no))::bigint as section_no from cl) x group by 1, 2
         having heading <> '' or count(*) filter (where not is_candidate) > 0""",
     cl=SQL_CL,
 )
@@ -269,7 +269,7 @@ SQL_PS = f"""select *, case when heading <> '' and level = 1 and not is_toc then
     case when contract_id % 4 = 1 and section_index in (0, 1, 2, 15, 19, 20, 21, 4) then '' when contract_id % 4 = 2 then 'x ' || heading else heading end as heading,
     case when contract_id % 4 = 1 and section_index < 3 then 'preamble' when contract_id % 4 = 2 and zone_hint = 'preamble' then 'contract_body' when section_index = 17 then 'contract_body' else zone_hint end as zone_hint,
     case when section_index in (15, 16) and contract_id % 3 = 1 then '  ' else content end as content from sections) q"""
-SQL_PN = "select *, sum(case when bt is not null then 1 else 0 end) over (partition by contract_id order by section_index) as part_no, max(bt is not null) over (partition by contract_id) as has_b from ps"
+SQL_PN = "select *, (sum(case when bt is not null then 1 else 0 end) over (partition by contract_id order by section_index))::bigint as part_no, max(bt is not null) over (partition by contract_id) as has_b from ps"
 SQL_PARTS = f"""select contract_id, part_no, 'preamble' as part_type, '전문' as title, min(page_start) as page_start,
       coalesce(arg_max(page_end, section_index) filter (where not is_toc), (select min(page_start) - 1 from pn b where b.contract_id = pn.contract_id and b.part_no = 1)) as page_end, count(*) as section_count
     from pn where has_b and part_no = 0 group by 1, 2
@@ -316,7 +316,7 @@ query(
     lambda t: se.merge_adjacent_zones(t.sections).select(
         "contract_id", "zone_index", "zone_type", "page_from", "page_to", F.coalesce("title", F.lit("")).alias("title"), "is_analysis_target", "confidence", F.md5("text").alias("h")
     ),
-    f"""select contract_id, run - 1 as zone_index, z as zone_type, arg_min(page_start, section_index) as page_from, arg_max(page_end, section_index) as page_to,
+    f"""select contract_id, (run - 1)::bigint as zone_index, z as zone_type, arg_min(page_start, section_index) as page_from, arg_max(page_end, section_index) as page_to,
           arg_min(heading, section_index) as title, coalesce(arg_min(coalesce(zone_hint, '-'), section_index), '-') not in {NON_TARGET} as is_analysis_target,
           cast(case when arg_min(coalesce(zone_hint, '-'), section_index) = '-' then 0.8 when arg_min(zone_hint, section_index) not in {NON_TARGET} then 0.92
             when arg_min(zone_hint, section_index) in ('toc', 'cover_page') then 0.85 else 0.8 end as double) as confidence,
@@ -470,7 +470,7 @@ query(
     lambda t: tc.sub_documents(t.sections, _score_parts(t).where("contract_id % 6 <> 5")).select(
         "contract_id", "subdoc_index", "title", "page_start", "page_end", "n_parts"
     ),
-    """select contract_id, g as subdoc_index, coalesce(nullif(arg_min(title, part_index), ''), 'Document ' || (g + 1)) as title, arg_min(page_start, part_index) as page_start,
+    """select contract_id, g::bigint as subdoc_index, coalesce(nullif(arg_min(title, part_index), ''), 'Document ' || (g + 1)) as title, arg_min(page_start, part_index) as page_start,
          case when mg = 0 then arg_max(page_end, part_index) else max(page_end) end as page_end, count(*) as n_parts from (
          select *, max(g) over (partition by contract_id) as mg from (select *, sum((signals >= 2)::int) over (partition by contract_id order by part_index) as g from sc) a) b
        group by contract_id, g, mg
@@ -542,7 +542,7 @@ SQL_ML = f"""select *, {_NUM} as cand, lag(text) over (partition by doc_id order
 query(
     "wn28_split_multi_clause",
     lambda t: se.split_multi_clause(t.numbered_sections).select("doc_id", "sub", "heading", "level", F.md5("content").alias("h"), "is_auto_split"),
-    f"""select doc_id, g as sub, case when g = 0 then hd else substr({strip("split_part(body, chr(10), 1)")}, 1, 120) end as heading,
+    f"""select doc_id, g::bigint as sub, case when g = 0 then hd else substr({strip("split_part(body, chr(10), 1)")}, 1, 120) end as heading,
           case when g = 0 then lv else len(string_split({ex('body', '^[0-9.]*[0-9]', 0)}, '.')) end as level,
           md5(case when mg = 0 then raw else body end) as h, g > 0 as is_auto_split
         from (select doc_id, g, mg, any_value(heading) as hd, any_value(level) as lv, string_agg(text, chr(10) order by pos) as raw, {strip('string_agg(text, chr(10) order by pos)')} as body from (
@@ -558,7 +558,7 @@ query(
           group by doc_id having max(bd0) = 1) y""",
     ml=SQL_ML,
 )
-SQL_RESPLIT = f"""select doc_id, g - 1 as sub, {ex('body', ln.NUMBERED_LINE, 1)} as number, body from (
+SQL_RESPLIT = f"""select doc_id, (g - 1)::bigint as sub, {ex('body', ln.NUMBERED_LINE, 1)} as number, body from (
     select doc_id, g, {strip('string_agg(text, chr(10) order by pos)')} as body from (
       select *, sum(ok::int) over (partition by doc_id order by pos) as g, sum(ok::int) over (partition by doc_id) as n_ok,
         sum((cand <> '')::int) over (partition by doc_id) as n_all,
@@ -684,7 +684,7 @@ query(
         "contract_id", "order_index", "clause_number", F.coalesce("parent_clause_number", F.lit("")).alias("parent"), F.coalesce("title", F.lit("")).alias("title"),
         F.md5("content").alias("h"), "is_auto_split", F.coalesce("zone_key", F.lit("")).alias("zone_key"), "page_start", "clause_structure",
     ),
-    """select contract_id, order_index, clause_number, coalesce(parent_clause_number, '') as parent, coalesce(title, '') as title, md5(content) as h, is_auto_split,
+    """select contract_id, order_index::bigint as order_index, clause_number, coalesce(parent_clause_number, '') as parent, coalesce(title, '') as title, md5(content) as h, is_auto_split,
          coalesce(zone_key, '') as zone_key, page_start, clause_structure from shaped""",
     **SHAPE_CTES,
 )

@@ -83,9 +83,9 @@ def fallback_references(clauses: DataFrame, refs: DataFrame, k: int = 3) -> Data
     first = refs.where(F.col("ref_rank") < k).select(
         "ref_id", "ref_rank", (F.lit(1.0) - F.col("ref_rank") * F.lit(0.1)).alias("score")
     )
-    packed = first.groupBy(F.lit(0).alias("block")).agg(F.array_sort(F.collect_list(F.struct("ref_rank", "ref_id", "score"))).alias("refs"))
-    met = missing.withColumn("block", F.lit(0)).join(F.broadcast(packed), "block")
-    return met.select("clause_id", F.explode("refs").alias("s")).select("clause_id", "s.ref_id", "s.ref_rank", "s.score")
+    # k rows per clause, matched by rank; the other side has k rows at most
+    slots = missing.withColumn("ref_rank", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    return slots.join(F.broadcast(first), "ref_rank").select("clause_id", "ref_id", "ref_rank", "score")
 
 
 def analysis_queue(clauses: DataFrame, top_refs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from ..functions.lines import clean_ghost_tables, reflow_paragraphs
 from ..functions.numbering import annotate_numbering, strip_numbering
 from ..functions.text import content_hash, strip
 from ..functions.zoning import analysis_target
-from ..plans.scan import Step, int_chunk, last_before, ordered_scan, running_sum
+from ..plans.scan import Step, int_chunk, last_before, ordered_scan, page_chunk, running_sum
 from ..plans.scratch import cut
 from .sections import cut_at_lines, resplit_pieces
 
@@ -19,10 +19,6 @@ READING = ["page_start", "section_index"]
 LEVELS = 10
 
 
-def page_chunk():
-    return int_chunk("page_start", 2000)
-
-
 def split_clauses_text(docs: DataFrame, text: str = "text") -> DataFrame:
     """Clauses of a plain text: a heading line opens one.
 
@@ -220,7 +216,7 @@ def _piece_clauses(placed: DataFrame) -> DataFrame:
 def _intro_clauses(intros: DataFrame) -> DataFrame:
     order = ["__p", "__i"]
     keyed = intros.withColumns({"__p": F.col("zone_first.page_start"), "__i": F.col("zone_first.section_index")})
-    placed = ordered_scan(keyed, CONTRACT, order, {"__n": running_sum(F.lit(1))}, int_chunk("__p", 2000))
+    placed = ordered_scan(keyed, CONTRACT, order, {"__n": running_sum(F.lit(1))}, page_chunk("__p"))
     return placed.select(
         "contract_id",
         (F.col("__n") - 1).alias("order_index"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbering import clause_depth
 from ..functions.zoning import ZONE_ORDER
-from ..plans.scan import int_chunk, island, last_value, ordered_scan, running_max, running_sum, time_chunk
+from ..plans.scan import int_chunk, island, last_value, ordered_scan, page_chunk, running_max, running_sum, time_chunk
 from .filters import IN_PROGRESS, RISK_LEVELS, normalize_risk
 
 # Risk categories of the dashboard and the words that name them.
@@ -99,9 +99,13 @@ def zone_totals(zones: DataFrame) -> DataFrame:
 
 
 def clauses_by_zone(clauses: DataFrame) -> DataFrame:
-    """Clause ids per zone in reading order."""
+    """Clause ids per zone in reading order.
+
+    A zone of ordinary size is one row (``piece`` 0).  A huge one comes in
+    pieces of bounded length, so no array grows with the data.
+    """
     ids = F.transform(F.array_sort(F.collect_list(F.struct("sort_order", "clause_id"))), lambda x: x["clause_id"])
-    return clauses.groupBy("contract_id", "zone").agg(ids.alias("clauses"))
+    return clauses.groupBy("contract_id", "zone", int_chunk("sort_order").alias("piece")).agg(ids.alias("clauses"))
 
 
 def group_zones(zones: DataFrame, depth: int = 1) -> DataFrame:
@@ -201,7 +205,7 @@ def order_sections(sections: DataFrame) -> DataFrame:
         ["contract_id"],
         ["page_start", "section_index"],
         {"__n": running_sum(F.lit(1))},
-        int_chunk("page_start", 2000),
+        page_chunk(),
     )
     return scanned.withColumn("order_index", F.col("__n") - 1).drop("__n")
 

@@ -273,13 +273,14 @@ def build_clauses(blocks: DataFrame) -> DataFrame:
     opens = (F.col("block_type") == "heading") | (F.coalesce(F.col("hint.kind"), F.lit("")) == "schedule")
     src = blocks.withColumn("__t", t).where(F.col("__t") != "").withColumn("__open", opens)
     keys, order = ["contract_id"], ["zone_index", "block_no"]
+    chunk = F.col("zone_index") * 1_000_000 + int_chunk("block_no")
     # headings so far in the contract; text ahead of the first heading of a zone differs by its zone
     groups = ordered_scan(
         src,
         keys,
         order,
         {"__grp": running_sum(F.col("__open").cast("int"))},
-        F.col("zone_index") * 1_000_000 + int_chunk("block_no"),
+        chunk,
     )
     head = F.when(F.col("__open"), F.struct(F.col("__t").alias("t"), F.col("hint.normalized").alias("n")))
     rows = groups.groupBy("contract_id", "zone_index", "__grp").agg(
@@ -294,9 +295,7 @@ def build_clauses(blocks: DataFrame) -> DataFrame:
             "\n",
         ).alias("__body"),
     )
-    numbered = ordered_scan(
-        rows, keys, order, {"__k": running_sum(F.lit(1))}, F.col("zone_index").cast("long")
-    )
+    numbered = ordered_scan(rows, keys, order, {"__k": running_sum(F.lit(1))}, chunk)
     k = F.col("__k").cast("string")
     fallback = F.when(F.col("__h").isNull(), F.concat("zone_key", F.lit("-auto-"), k)).otherwise(
         F.concat("zone_key", F.lit("-"), k)

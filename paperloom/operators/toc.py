@@ -9,7 +9,7 @@ from ..functions.text import strip
 from ..functions.toc import LEADER, LEADER_WITH_NUMBER, is_toc_heading, parse_toc_line
 from ..functions.zoning import detect_part, zone_hint
 from ..plans.ranges import range_pages
-from ..plans.scan import following, int_chunk, ordered_scan, previous, running_max, running_sum
+from ..plans.scan import following, int_chunk, ordered_scan, page_chunk, previous, running_max, running_sum
 
 CONTRACT = ["contract_id"]
 
@@ -162,7 +162,7 @@ def extend_inserted_parts(parts: DataFrame) -> DataFrame:
         CONTRACT,
         ["page_start", "part_index"],
         {"__next": following(F.col("page_start"))},
-        int_chunk("page_start", 2000),
+        page_chunk(),
     )
     inserted = F.coalesce(F.col("confidence") == 0.85, F.lit(False))
     longer = F.when(F.col("__next").isNull(), F.col("__total")).otherwise(

@@ -24,7 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# Rows of a dense integer order, and pages, that make up one chunk.
 CHUNK_ROWS = 20_000
+CHUNK_PAGES = 2_000
 
 
 @dataclass(frozen=True)
@@ -80,9 +82,14 @@ def island(value: Column, breaks: Callable[[Column, Column], Column] | None = No
     return Step("island", value, breaks or (lambda p, c: ~p.eqNullSafe(c)))
 
 
-def int_chunk(col: str, rows: int = CHUNK_ROWS) -> Column:
+def int_chunk(col: str) -> Column:
     """Chunk id of a non-negative integer order column."""
-    return F.floor(F.col(col) / F.lit(rows)).cast("long")
+    return F.floor(F.col(col) / F.lit(CHUNK_ROWS)).cast("long")
+
+
+def page_chunk(col: str = "page_start") -> Column:
+    """Chunk id of an order that starts with a page number."""
+    return F.floor(F.col(col) / F.lit(CHUNK_PAGES)).cast("long")
 
 
 def time_chunk(col: str, unit: str = "hour") -> Column:
