@@ -198,12 +198,8 @@ def _contract_lines(t):
     lines = t.num_lines.select(
         "contract_id", (F.col("section_index") * 100_000 + F.col("pos")).alias("line_no"), F.col("section_index").alias("page"), "text"
     ).where(tx.strip(F.col("text")) != "")
-    return lines.withColumns(
-        {
-            "is_candidate": hd.heading_line(F.col("text")),
-            "is_trigger": F.coalesce(F.col("text").rlike(zn.TRIGGER_GENERAL), F.lit(False)),
-        }
-    )
+    tested = hd.is_heading_line(lines).withColumnRenamed("is_heading", "is_candidate")
+    return tested.withColumn("is_trigger", F.coalesce(F.col("text").rlike(zn.TRIGGER_GENERAL), F.lit(False)))
 
 
 SQL_CL = f"""select contract_id, section_index * 100000 + pos as line_no, section_index as page, text, {heading_line_sql()} as is_candidate,

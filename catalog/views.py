@@ -285,7 +285,11 @@ def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
         path = scratch_path(spark, f"view-{name}")
-        spark.sql(spark_sql(sf_dir, name)).write.parquet(path)
+        df = spark.sql(spark_sql(sf_dir, name))
+        if spark.sparkContext.master.startswith("local"):
+            # each given table is one small file: spread it, or later queries use one core
+            df = df.repartition(spark.sparkContext.defaultParallelism)
+        df.write.parquet(path)
         _STORED[key] = path
     return spark.read.parquet(_STORED[key])
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .numbering import ALPHA_ITEM, ARTICLE, DECIMAL, ROMAN_ITEM, SCHEDULE, SECTION
 from .text import strip
-from .zoning import MAJOR_PARTS, detect_part
+from .zoning import MAJOR_PARTS, with_part
 
 # Structural heading patterns.
 DOTTED = r"^\s*(\d+\.){1,}\d*\s+\S"
@@ -43,7 +43,15 @@ NUMBERED_HEADING = (
 
 def heading_line(text: Column, size_ratio: Column | None = None, bold_ratio: Column | None = None) -> Column:
     """Is this raw line a heading?  The order of the tests matters."""
-    t = strip(F.coalesce(text, F.lit("")))
+    return let(strip(F.coalesce(text, F.lit(""))), lambda t: _heading_test(t, size_ratio, bold_ratio))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _heading_test(t: Column, size_ratio: Column | None, bold_ratio: Column | None) -> Column:
     dotted_number = t.rlike(r"^\s*\d+(?:\.\d+)+\s")
     deep_number = t.rlike(r"^\s*\d+(?:\.\d+){2,}\s")
     words = F.split(t, r"\s+")
@@ -102,14 +110,10 @@ def heading_line(text: Column, size_ratio: Column | None = None, bold_ratio: Col
 def is_heading_line(
     df: DataFrame, text: str = "text", size_ratio: str | None = None, bold_ratio: str | None = None
 ) -> DataFrame:
-    return df.withColumn(
-        "is_heading",
-        heading_line(
-            F.col(text),
-            F.col(size_ratio) if size_ratio else None,
-            F.col(bold_ratio) if bold_ratio else None,
-        ),
+    test = _heading_test(
+        F.col("__t"), F.col(size_ratio) if size_ratio else None, F.col(bold_ratio) if bold_ratio else None
     )
+    return df.withColumn("__t", strip(F.coalesce(F.col(text), F.lit("")))).withColumn("is_heading", test).drop("__t")
 
 
 def is_numbered_heading(c: Column) -> Column:
@@ -119,7 +123,10 @@ def is_numbered_heading(c: Column) -> Column:
 
 def text_heading(line: Column) -> Column:
     """Heading test of the plain-text splitter: numbering hint or keyword."""
-    t = strip(line)
+    return let(strip(line), _text_heading_test)
+
+
+def _text_heading_test(t: Column) -> Column:
     rest = strip(F.regexp_extract(t, DECIMAL, 2))
     number = F.regexp_extract(t, DECIMAL, 1)
     listed = t.rlike(ROMAN_ITEM) | t.rlike(ALPHA_ITEM)
@@ -149,9 +156,9 @@ def section_level(heading: Column) -> Column:
 
 def with_section_level(lines: DataFrame, heading: str = "heading") -> DataFrame:
     """Add ``level``; headings that name a major part are level 1."""
-    part = detect_part(F.col(heading), "sections")
-    forced = F.coalesce(part.isin(MAJOR_PARTS), F.lit(False))
-    return lines.withColumn("level", F.when(forced, 1).otherwise(section_level(F.col(heading))).cast("int"))
+    forced = F.coalesce(F.col("__part").isin(MAJOR_PARTS), F.lit(False))
+    level = F.when(forced, 1).otherwise(section_level(F.col(heading))).cast("int")
+    return with_part(lines, heading, "sections", "__part").withColumn("level", level).drop("__part")
 
 
 def heading_remainder_kind(remainder: Column) -> Column:

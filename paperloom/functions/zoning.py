@@ -263,35 +263,36 @@ def _first_pattern(t: Column, ruleset: str) -> Column:
     return chain
 
 
-def detect_part(
-    heading: Column,
+def with_part(
+    df: DataFrame,
+    heading: str,
     ruleset: str = "sections",
+    out: str = "part",
     heading_like: Column | None = None,
     bold_ratio: Column | None = None,
     size_ratio: Column | None = None,
     upper_hint: Column | None = None,
-) -> Column:
-    """Part key of a heading, or null when it names no part."""
+) -> DataFrame:
+    """Add the part key a heading names, null when it names none.
+
+    The cleaned heading is a column of its own, so the many tests share it.
+    """
+    raw = F.coalesce(F.col(heading), F.lit(""))
+    clean = normalize_ws(raw) if ruleset == "layout" else strip(F.replace(raw, F.lit("\n"), F.lit(" ")))
+    t = F.col("__t")
     like = F.lit(True) if heading_like is None else heading_like
     typo = F.lit(False)
-    if bold_ratio is not None:
-        typo = typo | F.coalesce(bold_ratio >= 0.55, F.lit(False))
-    if size_ratio is not None:
-        typo = typo | F.coalesce(size_ratio >= 1.10, F.lit(False))
-    raw = F.coalesce(heading, F.lit(""))
+    for ratio, least in ((bold_ratio, 0.55), (size_ratio, 1.10), (upper_hint, 0.55)):
+        if ratio is not None:
+            typo = typo | F.coalesce(ratio >= least, F.lit(False))
+    words = F.size(F.split(t, r"\s+"))
     if ruleset == "layout":
-        if upper_hint is not None:
-            typo = typo | F.coalesce(upper_hint >= 0.55, F.lit(False))
-        t = normalize_ws(raw)
-        words = F.size(F.split(t, r"\s+"))
         upper = upper_ratio(t)
         if upper_hint is not None:
             upper = F.greatest(upper, F.coalesce(upper_hint, F.lit(0.0)))
-        shaped = ~((upper < 0.35) & (words > 6) & ~typo)
+        shaped = (words <= 6) | typo | (upper >= 0.35)
         agreement = t.rlike(TRIGGER_AGREEMENT)
     else:
-        t = strip(F.replace(raw, F.lit("\n"), F.lit(" ")))
-        words = F.size(F.split(t, r"\s+"))
         shaped = F.lit(True)
         agreement = t.rlike(TRIGGER_AGREEMENT) & ~t.rlike(TRIGGER_AGREEMENT_NOT)
     guard = (
@@ -302,43 +303,54 @@ def detect_part(
         & (words <= 12)
         & shaped
     )
-    return (
+    key = (
         F.when(t == "", None)
         .when(agreement, "contract_agreement")
         .when(t.rlike(TRIGGER_GENERAL), "general_conditions")
-        .when(guard, _first_pattern(t, ruleset))
+        .when(guard & t.rlike(_any_pattern(ruleset)), _first_pattern(t, ruleset))
     )
+    return df.withColumn("__t", clean).withColumn(out, key).drop("__t")
+
 
+def _any_pattern(ruleset: str) -> str:
+    """One alternation of all part patterns: most headings fail it and skip the chain."""
+    return "(?i)" + "|".join(p for _, _, patterns in PART_PATTERNS[ruleset] for p in patterns)
 
-def zone_hint(heading: Column, part: Column) -> Column:
-    """Part key, else keyword fallback, else ``contract_body``."""
-    low = F.lower(F.coalesce(heading, F.lit("")))
-    chain = F.when(part.isNotNull(), part)
+
+def with_zone_hint(df: DataFrame, heading: str, part: str, out: str) -> DataFrame:
+    """Add the part key, else a keyword match, else ``contract_body``."""
+    low = F.col("__low")
+    chain = F.when(F.col(part).isNotNull(), F.col(part))
     for words, zone in ZONE_KEYWORDS:
-        hit = None
-        for w in words:
-            test = low.contains(w)
-            hit = test if hit is None else hit | test
-        chain = chain.when(hit, zone)
-    return chain.otherwise("contract_body")
+        chain = chain.when(low.rlike("|".join(words)), zone)
+    every = "|".join(w for words, _ in ZONE_KEYWORDS for w in words)
+    named = F.col(part).isNotNull() | low.rlike(every)
+    return (
+        df.withColumn("__low", F.lower(F.coalesce(F.col(heading), F.lit(""))))
+        .withColumn(out, F.when(named, chain).otherwise("contract_body"))
+        .drop("__low")
+    )
 
 
 def classify_zones(df: DataFrame, heading: str, ruleset: str = "sections") -> DataFrame:
     """Add ``zone_key`` and ``is_target`` for a heading column."""
-    part = df.withColumn("__part", detect_part(F.col(heading), ruleset))
-    key = F.col("__part") if ruleset == "layout" else zone_hint(F.col(heading), F.col("__part"))
-    out = part.withColumn("zone_key", key).drop("__part")
-    target = part_is_target(F.col("zone_key"), ruleset) if ruleset == "layout" else analysis_target(F.col("zone_key"))
+    staged = with_part(df, heading, ruleset, "__part")
+    if ruleset == "layout":
+        out = staged.withColumnRenamed("__part", "zone_key")
+        target = part_is_target(F.col("zone_key"), ruleset)
+    else:
+        out = with_zone_hint(staged, heading, "__part", "zone_key").drop("__part")
+        target = analysis_target(F.col("zone_key"))
     return out.withColumn("is_target", F.coalesce(target, F.lit(False)))
 
 
 def override_zone_hint(sections: DataFrame) -> DataFrame:
     """TOC sections become ``toc``; a heading that names a part takes its key."""
-    part = detect_part(F.col("heading"), "layout")
-    return sections.withColumn(
+    staged = with_part(sections, "heading", "layout", "__part")
+    return staged.withColumn(
         "zone_hint",
-        F.when(F.coalesce(F.col("is_toc"), F.lit(False)), "toc").otherwise(F.coalesce(part, F.col("zone_hint"))),
-    )
+        F.when(F.coalesce(F.col("is_toc"), F.lit(False)), "toc").otherwise(F.coalesce("__part", "zone_hint")),
+    ).drop("__part")
 
 
 def zone_confidence(zone: Column, level: Column) -> Column:
@@ -374,10 +386,9 @@ def zone_paragraphs(paragraphs: DataFrame, text: str = "text", valid_only: bool
         | F.coalesce(F.col("__hint.is_heading"), F.lit(False))
         | f.rlike(r"(?i)^(ARTICLE|SECTION|SCHEDULE|EXHIBIT|APPENDIX)\b|^제\s*\d+\s*조")
     )
-    part = detect_part(f, "layout", like, upper_hint=F.when(all_upper, 0.9))
     # Fixed value: clause-like line starts counted for the body confidence.
     starts = r"(?im)(^|\n)\s*(Article\s+\d+|Section\s+\d+|Clause\s+\d+|\d+\.\d+[\.\d]*|제\s*\d+\s*조)"
-    base = base.withColumn("__part", part)
+    base = with_part(base, "__first", "layout", "__part", like, upper_hint=F.when(all_upper, 0.9))
     body = F.lit(0.6) + F.least(F.regexp_count(F.col(text), F.lit(starts)) * F.lit(0.05), F.lit(0.3))
     kind = F.coalesce(F.col("__part"), F.lit("contract_body"))
     if valid_only:

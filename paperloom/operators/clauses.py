@@ -72,12 +72,19 @@ def with_intro_flag(sections: DataFrame) -> DataFrame:
     ).drop("__num")
 
 
+def _intro_text():
+    h, b = F.coalesce("heading", F.lit("")), strip(F.coalesce("content", F.lit("")))
+    return F.when((h != "") & (b != ""), F.concat(h, F.lit("\n"), b)).when(h != "", h).otherwise(b)
+
+
+def _intro_number():
+    return F.when(F.col("zone") == "preamble", "preamble-1").otherwise(F.concat("zone", F.lit("-intro")))
+
+
 def merge_zone_intros(sections: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One clause per zone introduction, and the sections that remain."""
     flagged = with_intro_flag(sections)
-    h, b = F.coalesce("heading", F.lit("")), strip(F.coalesce("content", F.lit("")))
-    text = F.when((h != "") & (b != ""), F.concat(h, F.lit("\n"), b)).when(h != "", h).otherwise(b)
-    intro = flagged.where(F.col("is_intro")).withColumn("__t", text)
+    intro = flagged.where(F.col("is_intro")).withColumn("__t", _intro_text())
     texts = F.transform(
         F.array_sort(F.collect_list(F.when(F.col("__t") != "", F.struct(*READING, F.col("__t"))))), lambda x: x["__t"]
     )
@@ -85,10 +92,7 @@ def merge_zone_intros(sections: DataFrame) -> tuple[DataFrame, DataFrame]:
         intro.groupBy("contract_id", "zone", "zone_first")
         .agg(F.array_join(texts, "\n\n").alias("content"), F.min_by("page_start", F.struct(*READING)).alias("page_start"))
         .where(F.col("content") != "")
-        .withColumn(
-            "clause_number",
-            F.when(F.col("zone") == "preamble", "preamble-1").otherwise(F.concat("zone", F.lit("-intro"))),
-        )
+        .withColumn("clause_number", _intro_number())
     )
     return clauses, flagged.where(~F.col("is_intro"))
 
@@ -129,59 +133,88 @@ def shape_clauses(sections: DataFrame) -> DataFrame:
     Introductions come first, in the order in which their zones appear; the
     other sections follow in reading order, each as one clause or as the
     pieces of its second-pass split.
+
+    All ordering is decided on a narrow table (numbers, flags, piece counts)
+    that is cut off once; the texts are read beside it and joined by key.
     """
-    intros, rest = merge_zone_intros(sections)
     body = strip(F.coalesce("content", F.lit("")))
-    rest = rest.withColumn("__body", body).where((F.col("__body") != "") | (F.coalesce("heading", F.lit("")) != ""))
-    rest = rest.withColumn("__subs", resplit_pieces(F.col("__body")))
-    # numbers and piece counts are all the ordered passes need; they are cut off once
-    narrow = cut(
-        rest.select(
-            "contract_id",
-            *READING,
-            F.struct("hint.kind", "hint.level", "hint.normalized").alias("hint"),
-            F.coalesce(F.size("__subs"), F.lit(1)).alias("__n"),
-        ).withColumn("hint", F.when(F.col("hint.kind").isNotNull(), F.col("hint")))
+    keys = ["contract_id", *READING]
+    counted = sections.select(
+        *keys,
+        "heading",
+        "zone_hint",
+        F.coalesce(F.size(resplit_pieces(body)), F.lit(1)).alias("n"),
+        ((body != "") | (F.coalesce("heading", F.lit("")) != "")).alias("filled"),
     )
-    counted = with_parent_number(narrow, more={"__upto": running_sum(F.col("__n"))})
-    n_intro = intros.groupBy("contract_id").agg(F.count(F.lit(1)).alias("__intros"))
-    starts = counted.join(n_intro, "contract_id", "left").select(
-        "contract_id",
-        *READING,
+    flags = cut(
+        with_intro_flag(counted)
+        .where(F.col("filled"))
+        .select(*keys, "zone", "zone_first", "is_intro", "hint", "n")
+    )
+    intros = _intro_clauses(sections, flags.where(F.col("is_intro")))
+    n_intro = (
+        flags.where(F.col("is_intro"))
+        .select("contract_id", "zone")
+        .distinct()
+        .groupBy("contract_id")
+        .agg(F.count(F.lit(1)).alias("__intros"))
+    )
+    numbered = with_parent_number(flags.where(~F.col("is_intro")), more={"__upto": running_sum(F.col("n"))})
+    starts = numbered.join(n_intro, "contract_id", "left").select(
+        *keys,
+        "hint",
         "parent_clause_number",
-        (F.coalesce("__intros", F.lit(0)) + F.col("__upto") - F.col("__n")).alias("__start"),
+        (F.coalesce("__intros", F.lit(0)) + F.col("__upto") - F.col("n")).alias("__start"),
     )
-    placed = rest.join(starts, ["contract_id", *READING])
-    shaped = _single_clauses(placed).unionByName(_piece_clauses(placed)).unionByName(_intro_clauses(intros))
+    texts = sections.select(*keys, "heading", "zone_hint", body.alias("__body"))
+    shaped = _section_clauses(texts.join(starts, keys)).unionByName(intros)
     cleaned = shaped.withColumn("content", clean_ghost_tables(F.col("content")))
     return reflow_paragraphs(cleaned, "content").withColumn("content_hash", content_hash(F.col("content")))
 
 
-def _single_clauses(placed: DataFrame) -> DataFrame:
-    one = placed.where(F.col("__subs").isNull())
-    titled = F.col("heading") != ""
-    has_heading = F.coalesce(titled, F.lit(False))
-    kind = F.when(has_heading & F.col("hint").isNotNull(), heading_remainder_kind(F.col("hint.remainder")))
-    remainder = F.when(F.col("hint.remainder") != "", F.col("hint.remainder")).otherwise(F.col("heading"))
-    clean = F.when(
-        remainder.startswith("["), strip(F.regexp_replace(F.regexp_replace(remainder, r"^\[", ""), r"\]$", ""))
-    ).otherwise(remainder)
-    number = F.concat(
+def _section_clauses(placed: DataFrame) -> DataFrame:
+    """One row per section, or one per piece of a section that is split again."""
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("number"), F.col("__body").alias("text")))
+    rows = placed.withColumn("__subs", F.coalesce(resplit_pieces(F.col("__body")), whole)).select(
+        "*", F.posexplode("__subs").alias("__sub", "__p")
+    )
+    piece = F.col("__p.number").isNotNull()
+    line = F.split(F.col("__p.text"), "\n")[0]
+    staged = rows.withColumns({"__piece": piece, "__line": F.when(piece, line).otherwise(F.col("heading"))})
+    staged = staged.withColumn(
+        "__rem", F.when(F.col("__piece"), strip_numbering(F.col("__line"))).otherwise(F.col("hint.remainder"))
+    ).withColumn("__kind", F.when(F.col("__rem").isNotNull(), heading_remainder_kind(F.col("__rem"))))
+    piece, rem = F.col("__piece"), F.col("__rem")
+    has_heading = F.coalesce(F.col("heading") != "", F.lit(False))
+    kind = F.when(piece | has_heading, F.col("__kind"))
+    title = F.when(rem != "", rem).otherwise(F.col("__line"))
+    bare = strip(F.regexp_replace(F.regexp_replace(title, r"^\[", ""), r"\]$", ""))
+    clean = F.when(title.startswith("["), bare).otherwise(title)
+    place = F.col("__start") + F.col("__sub")
+    fallback = F.concat(
         F.coalesce("zone_hint", F.lit("general")),
         F.when(has_heading, F.lit("-")).otherwise(F.lit("-auto-")),
-        (F.col("__start") + 1).cast("string"),
+        (place + 1).cast("string"),
     )
-    return one.select(
+    text = F.col("__p.text")
+    with_heading = strip(F.concat("heading", F.lit("\n"), text))
+    return staged.select(
         "contract_id",
-        F.col("__start").alias("order_index"),
-        F.coalesce(F.col("hint.normalized"), number).alias("clause_number"),
-        "parent_clause_number",
-        F.substring(
-            F.when(kind == "body", None).when(kind == "title", clean).when(has_heading, F.col("heading")), 1, 200
-        ).alias("title"),
-        F.when(kind == "body", strip(F.concat("heading", F.lit("\n"), "__body"))).otherwise(F.col("__body")).alias("content"),
-        (~has_heading).alias("is_auto_split"),
-        F.col("zone_hint").alias("zone_key"),
+        place.alias("order_index"),
+        F.coalesce(F.col("__p.number"), F.col("hint.normalized"), fallback).alias("clause_number"),
+        F.when(piece, F.regexp_replace(F.col("__p.number"), r"\.[^.]*$", ""))
+        .otherwise(F.col("parent_clause_number"))
+        .alias("parent_clause_number"),
+        F.when(piece, F.when(kind == "title", F.substring(title, 1, 120)))
+        .otherwise(
+            F.substring(
+                F.when(kind == "body", None).when(kind == "title", clean).when(has_heading, F.col("heading")), 1, 200
+            )
+        )
+        .alias("title"),
+        F.when(~piece & (kind == "body"), with_heading).otherwise(text).alias("content"),
+        (piece | ~has_heading).alias("is_auto_split"),
+        F.when(piece, F.coalesce("zone_hint", F.lit("general_conditions"))).otherwise(F.col("zone_hint")).alias("zone_key"),
         "page_start",
         F.when(kind == "body", "numbered_untitled")
         .when(kind == "title", "numbered_titled")
@@ -190,37 +223,22 @@ def _single_clauses(placed: DataFrame) -> DataFrame:
     )
 
 
-def _piece_clauses(placed: DataFrame) -> DataFrame:
-    many = placed.where(F.col("__subs").isNotNull())
-    rows = many.select(
-        "contract_id", "__start", "zone_hint", "page_start", F.posexplode("__subs").alias("__sub", "__p")
-    ).select("*", F.split(F.col("__p.text"), "\n")[0].alias("__line"))
-    staged = rows.withColumn("__rem", strip_numbering(F.col("__line"))).withColumn(
-        "__kind", heading_remainder_kind(F.col("__rem"))
-    )
-    title = F.when(F.col("__rem") != "", F.col("__rem")).otherwise(F.col("__line"))
-    return staged.select(
-        "contract_id",
-        (F.col("__start") + F.col("__sub")).alias("order_index"),
-        F.col("__p.number").alias("clause_number"),
-        F.regexp_replace(F.col("__p.number"), r"\.[^.]*$", "").alias("parent_clause_number"),
-        F.when(F.col("__kind") == "title", F.substring(title, 1, 120)).alias("title"),
-        F.col("__p.text").alias("content"),
-        F.lit(True).alias("is_auto_split"),
-        F.coalesce("zone_hint", F.lit("general_conditions")).alias("zone_key"),
-        "page_start",
-        F.when(F.col("__kind") == "title", "numbered_titled").otherwise("numbered_untitled").alias("clause_structure"),
-    )
-
-
-def _intro_clauses(intros: DataFrame) -> DataFrame:
+def _intro_clauses(sections: DataFrame, intro: DataFrame) -> DataFrame:
+    """Numbered introduction clauses from the flagged sections."""
+    zones = intro.groupBy("contract_id", "zone").agg(F.min("zone_first").alias("__first"))
     order = ["__p", "__i"]
-    keyed = intros.withColumns({"__p": F.col("zone_first.page_start"), "__i": F.col("zone_first.section_index")})
+    keyed = zones.select("contract_id", "zone", F.col("__first.page_start").alias("__p"), F.col("__first.section_index").alias("__i"))
     placed = ordered_scan(keyed, CONTRACT, order, {"__n": running_sum(F.lit(1))}, page_chunk("__p"))
-    return placed.select(
+    texts = sections.select("contract_id", *READING, _intro_text().alias("__t"))
+    joined = intro.select("contract_id", *READING, "zone").join(texts, ["contract_id", *READING])
+    items = F.transform(F.array_sort(F.collect_list(F.struct(*READING, "__t"))), lambda x: x["__t"])
+    clauses = joined.groupBy("contract_id", "zone").agg(
+        F.array_join(items, "\n\n").alias("content"), F.min("page_start").alias("page_start")
+    )
+    return clauses.join(placed, ["contract_id", "zone"]).select(
         "contract_id",
         (F.col("__n") - 1).alias("order_index"),
-        "clause_number",
+        _intro_number().alias("clause_number"),
         F.lit(None).cast("string").alias("parent_clause_number"),
         F.lit(None).cast("string").alias("title"),
         "content",

@@ -9,7 +9,7 @@ from ..functions.headings import is_numbered_heading
 from ..functions.lines import NUMBERED_LINE, is_cross_reference, shifted
 from ..functions.numbering import heading_number, is_sibling_or_child
 from ..functions.text import strip
-from ..functions.zoning import analysis_target, detect_part, zone_confidence
+from ..functions.zoning import analysis_target, with_part, zone_confidence
 from ..plans.scan import (
     first_value,
     int_chunk,
@@ -103,8 +103,8 @@ def with_part_no(sections: DataFrame) -> DataFrame:
     """Running number of the part boundaries; 0 before the first one."""
     toc = F.coalesce(F.col("is_toc"), F.lit(False))
     heading = F.coalesce("heading", F.lit(""))
-    part = F.when((heading != "") & (F.col("level") == 1) & ~toc, detect_part(heading, "sections"))
-    marked = sections.withColumn("__part", part)
+    eligible = (heading != "") & (F.col("level") == 1) & ~toc
+    marked = with_part(sections, "heading", "sections", "__part").withColumn("__part", F.when(eligible, F.col("__part")))
     return ordered_scan(
         marked,
         CONTRACT,
@@ -249,11 +249,11 @@ def merge_short_sections(sections: DataFrame, threshold: int = 50) -> DataFrame:
     heading = F.coalesce("heading", F.lit(""))
     zone = F.coalesce("zone_hint", F.lit("contract_body"))
     content = strip(F.coalesce("content", F.lit("")))
-    boundary = detect_part(heading, "sections").isNotNull()
+    boundary = F.col("__part").isNotNull()
     deep = heading.rlike(DEEP_HEADING)
     # a narrow table of flags goes through the scans; the texts are joined back once
     flags = cut(
-        sections.select(
+        with_part(sections, "heading", "sections", "__part").select(
             "contract_id",
             "section_index",
             ((F.col("level") >= 3) & (F.length(content) < threshold) & ~boundary & ~deep).alias("frag"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..functions.toc import LEADER, LEADER_WITH_NUMBER, is_toc_heading, parse_toc_line
-from ..functions.zoning import detect_part, zone_hint
+from ..functions.zoning import with_part, with_zone_hint
 from ..plans.ranges import range_pages
 from ..plans.scan import following, int_chunk, ordered_scan, page_chunk, previous, running_max, running_sum
 
@@ -126,11 +126,12 @@ def reconcile_toc(
         .groupBy("contract_id", "entry_index", "title", "page_number")
         .agg(F.min_by("sec", F.when(F.col("sec").isNotNull(), F.col("try"))).alias("sec"))
     )
-    hint = zone_hint(F.col("title"), detect_part(F.col("title"), "sections"))
-    candidates = best.where(F.col("sec").isNotNull() & (F.col("page_number") > 0)).select(
+    placed = best.where(F.col("sec").isNotNull() & (F.col("page_number") > 0))
+    typed = with_zone_hint(with_part(placed, "title", "sections", "__part"), "title", "__part", "part_type")
+    candidates = typed.select(
         "contract_id",
         "entry_index",
-        hint.alias("part_type"),
+        "part_type",
         "title",
         F.col("page_number").alias("page_start"),
         F.col("sec.sec_end").alias("page_end"),
