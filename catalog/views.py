@@ -249,6 +249,13 @@ VIEWS = {
     "files": lambda d: f"""select page_id, {d.concat("'f'", f"cast(page_id as {d.string})", "case page_id % 4 when 0 then '.pdf' when 1 then '.docx' when 2 then '.PDF' else '.html' end")} as name,
         case page_id % 3 when 0 then '%PDF' when 1 then 'PKzz' else substr(html, 1, 4) end as head,
         case when page_id % 10 = 9 then cast(0 as bigint) when page_id % 10 = 8 then cast(60000000 as bigint) else cast(length(html) as bigint) end as length from pages""",
+    "ref_clauses": lambda d: f"""select clause_id, contract_id, sort_order, number, case when sort_order % 8 = 4 then 'definitions' else zone_key end as zone_key,
+        {d.concat("text",
+          "' The Advance-Party shall follow Sub-Clause 2.1 [Scope], see (see 7.2) and Article 2. '",
+          "case when sort_order % 4 = 1 then 'As in Clauses 1.1 [GP], 7.1 [Ins 3] and 7, and Sub-Clauses 2.1.1.1 [A] or 9.9B. ' else '' end",
+          "case when sort_order % 5 = 2 then 'Under Sub-Clauses 7.1 [Tests] to 7.9 [Repeat] the EPC Works stop. ' else '' end",
+          f"case when sort_order % 3 = 0 then {d.concat(chr(39) + chr(34) + 'Works ' + chr(39), f'cast(clause_id as {d.string})', chr(39) + chr(34) + ' or ' + chr(34) + 'EPC Works' + chr(34) + ' means all. ' + chr(34) + 'Advance-Party' + chr(34) + ' has the meaning given in Section 3.1. ' + chr(34) + 'Defect' + chr(34) + ' means: (the ' + chr(34) + '**Disclosing Party**' + chr(34) + ') and 제3조 제1항. ' + chr(39))} else '' end")} as text
+      from clauses""",
     "answers": lambda d: f"""select clause_id, case clause_id % 6
         when 0 then '{{"riskSummary":"s","recommendations":"r","fidicComparison":"c","riskLevel":"high"}}'
         when 1 then '{{"riskSummary":12,"riskLevel":"low","fidicComparison":"with text"}}'
