@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbering import clause_depth
 from ..functions.zoning import ZONE_ORDER
-from ..plans.scan import int_chunk, island, last_value, ordered_scan, page_chunk, running_max, running_sum, time_chunk
+from ..plans.scan import int_chunk, island, last_value, ordered_scan, page_chunk, range_chunked, running_max, running_sum, time_chunk
 from .filters import IN_PROGRESS, RISK_LEVELS, normalize_risk
 
 # Risk categories of the dashboard and the words that name them.
@@ -248,8 +248,15 @@ def with_position(df: DataFrame, key: list[str], order: list[str], chunk=None, o
 
 
 def backfill_sort_order(clauses: DataFrame) -> DataFrame:
-    """Position by creation time; chunks are creation hours."""
-    return with_position(clauses, ["contract_id"], ["created_at", "clause_id"], time_chunk("created_at"), "sort_order")
+    """Position by creation time.
+
+    Clauses of one import share their time, so the time cannot split a huge
+    contract; ranges of the whole order can.
+    """
+    order = ["created_at", "clause_id"]
+    narrow = range_chunked(clauses.select("contract_id", *order), ["contract_id"], order)
+    placed = with_position(narrow, ["contract_id"], order, F.col("range_chunk"), "sort_order")
+    return clauses.join(placed.select("clause_id", "sort_order"), "clause_id")
 
 
 def with_tree_parent(clauses: DataFrame) -> DataFrame:

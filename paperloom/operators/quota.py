@@ -100,11 +100,11 @@ def rate_violations(llm_calls: DataFrame, limits: DataFrame) -> DataFrame:
     hour also sees the last minute of the hour before.
     """
     gaps = ordered_scan(
-        llm_calls, ["model_key"], ["ts", "event_id"], {"__p": previous(F.col("ts"))}, time_chunk("ts")
+        llm_calls, ["model_key"], ["ts", "event_id"], {"__p": previous(F.col("ts"))}, time_chunk("ts", "hour")
     )
     ms = lambda c: F.unix_millis(c.cast("timestamp"))
     base = gaps.withColumns(
-        {"__ms": ms(F.col("ts")), "gap_ms": ms(F.col("ts")) - ms(F.col("__p")), "__h": time_chunk("ts")}
+        {"__ms": ms(F.col("ts")), "gap_ms": ms(F.col("ts")) - ms(F.col("__p")), "__h": time_chunk("ts", "hour")}
     ).drop("__p")
     late = F.col("__ms") >= (F.col("__h") + 3600) * 1000 - 60_000
     copies = F.when(late, F.array(F.col("__h"), F.col("__h") + 3600)).otherwise(F.array(F.col("__h")))

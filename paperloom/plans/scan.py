@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scratch import cut
+
 # Rows of a dense integer order, and pages, that make up one chunk.
 CHUNK_ROWS = 20_000
 CHUNK_PAGES = 2_000
@@ -92,11 +94,22 @@ def page_chunk(col: str = "page_start") -> Column:
     return F.floor(F.col(col) / F.lit(CHUNK_PAGES)).cast("long")
 
 
-def time_chunk(col: str, unit: str = "hour") -> Column:
+def time_chunk(col: str, unit: str = "day") -> Column:
     """Chunk id of a timestamp order column."""
     return F.unix_timestamp(F.date_trunc(unit, F.col(col)))
 
 
+def range_chunked(df: DataFrame, by: list[str], order: list[str], out: str = "range_chunk") -> DataFrame:
+    """Add a chunk id for an order without a usable number in it.
+
+    The rows are range-partitioned by the whole order, so every partition is a
+    bounded piece of it however the keys are distributed.  The result is cut
+    off: both sides of a scan must see the same boundaries.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(df.repartitionByRange(parts, *by, *order).withColumn(out, F.spark_partition_id()))
+
+
 def ordered_scan(
     df: DataFrame,
     by: list[str],
