@@ -27,19 +27,18 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably so that later plans do not recompute it."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint()
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name under the shared scratch root."""
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def through_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as parquet to the scratch root and read it back."""
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Materialise ``df`` as a table under the scratch root and read it back.
+
+    Later plans start from files that survive a lost executor.  Unlike the
+    rows of ``checkpoint()`` a table is columnar: a branch that needs two
+    columns reads two, and its size is known when joins are planned.
+    """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
