@@ -74,16 +74,26 @@ query(
           union all select clause_id, 'Defect', 'enumerated', false, false, text, number, zone_key from ref_clauses where sort_order % 3 = 0
           union all select clause_id, 'Disclosing Party', 'direct', true, false, text, number, zone_key from ref_clauses where sort_order % 3 = 0) x where {_DEF}""",
 )
+SQL_TERMS = f"""select clause_id, unnest(['Works ' || clause_id, 'EPC Works', 'Advance-Party', 'Defect', 'Disclosing Party']) as term from ref_clauses where sort_order % 3 = 0 and {_DEF}"""
 query(
     "xr9_term_variants",
     lambda t: rf.term_variants(terms(t)).select("clause_id", "term", "variant"),
+    """select distinct clause_id, term, variant from (select clause_id, term, unnest([term, term || chr(39) || 's', term || '’s', case when not ends_with(term, 's') then term || 's' end,
+         case when ends_with(term, 'y') and not regexp_matches(term, '(?i)[aeiou]y$') then term[1:length(term) - 1] || 'ies' end,
+         case when contains(term, '-') then replace(term, '-', '') end, case when contains(term, '-') then replace(term, '-', ' ') end]) as variant from tt) x where variant is not null""",
+    tt=SQL_TERMS,
 )
 query("xr10_term_usages", lambda t: rf.term_usages(t.ref_clauses, rf.term_variants(terms(t)), rf.dedupe_refs(found(t))).select("clause_id", "term", "matched_text", "offset_start"))
 query(
     "xr10_usage_counts",
     lambda t: rf.usage_counts(terms(t), rf.term_usages(t.ref_clauses, rf.term_variants(terms(t)), rf.dedupe_refs(found(t)))).select("clause_id", "term", "usage_count"),
 )
-query("xr11_term_aliases", lambda t: rf.term_aliases(terms(t)).select("clause_id", "term", F.array_join("aliases", "|").alias("aliases")))
+query(
+    "xr11_term_aliases",
+    lambda t: rf.term_aliases(terms(t)).select("clause_id", "term", F.array_join("aliases", "|").alias("aliases")),
+    "select clause_id, term, case when term = 'EPC Works' then 'Works ' || clause_id when starts_with(term, 'Works ') then 'EPC Works' else '' end as aliases from tt",
+    tt=SQL_TERMS,
+)
 
 
 def _xr12(t):
