@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as tx
-from paperloom.functions.calendar import quota_day_start
 from paperloom.operators import analysis as an
 from paperloom.operators import quota as qu
 from paperloom.plans.scratch import scratch_path
-from paperloom.sources import sinks as sk
 from paperloom.streaming import jobs as st
 
 from .registry import query

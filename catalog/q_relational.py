@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import preview
 from paperloom.operators import dashboards as da
 from paperloom.operators import filters as fl
 from paperloom.operators import joins as jn

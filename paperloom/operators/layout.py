@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from ..functions.numbering import annotate_numbering
 from ..functions.text import is_page_number, letter_count, normalize_pattern, rstrip, safe_join, strip, upper_count, upper_ratio
 from ..plans.scan import following, int_chunk, ordered_scan, previous, running_sum
-from .joins import ordered_text
 
 
 def with_edge_flags(lines: DataFrame, n: int = 2) -> DataFrame:

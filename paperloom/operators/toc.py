@@ -9,7 +9,7 @@ from ..functions.text import strip
 from ..functions.toc import LEADER, LEADER_WITH_NUMBER, is_toc_heading, parse_toc_line
 from ..functions.zoning import with_part, with_zone_hint
 from ..plans.ranges import range_pages
-from ..plans.scan import following, int_chunk, ordered_scan, page_chunk, previous, running_max, running_sum
+from ..plans.scan import first_value, following, int_chunk, ordered_scan, page_chunk, previous, running_max, running_sum
 
 CONTRACT = ["contract_id"]
 
@@ -262,16 +262,29 @@ def sub_documents(sections: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def _first_headings(sections: DataFrame, groups: DataFrame) -> DataFrame:
-    """First heading at or after the page before each untitled group."""
+    """First heading at or after the page before each untitled group.
+
+    Headings and groups are merged from the last page to the first; the
+    running minimum of the section order then holds the answer for a group.
+    """
     untitled = groups.where(F.coalesce("__t", F.lit("")) == "").select(
-        "contract_id", "subdoc_index", (F.col("page_start") - 1).alias("__from")
+        "contract_id", (1 - F.col("page_start")).alias("np"), F.lit(1).alias("kind"), F.col("subdoc_index").cast("long").alias("tie")
     )
-    heads = sections.where(F.coalesce("heading", F.lit("")) != "").select(
-        "contract_id", "page_start", "section_index", "heading"
+    heads = (
+        sections.where(F.coalesce("heading", F.lit("")) != "")
+        .join(untitled.select("contract_id").distinct(), "contract_id", "left_semi")
+        .select(
+            "contract_id",
+            (-F.col("page_start")).alias("np"),
+            F.lit(0).alias("kind"),
+            F.col("section_index").cast("long").alias("tie"),
+            F.struct("section_index", "heading").alias("head"),
+        )
+    )
+    merged = heads.unionByName(untitled, allowMissingColumns=True)
+    scanned = ordered_scan(
+        merged, CONTRACT, ["np", "kind", "tie"], {"best": first_value(F.col("head"))}, page_chunk("np")
     )
-    return (
-        untitled.join(heads, "contract_id")
-        .where(F.col("page_start") >= F.col("__from"))
-        .groupBy("contract_id", "subdoc_index")
-        .agg(F.min_by("heading", "section_index").alias("__heading"))
+    return scanned.where(F.col("kind") == 1).select(
+        "contract_id", F.col("tie").alias("subdoc_index"), F.col("best.heading").alias("__heading")
     )

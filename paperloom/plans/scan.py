@@ -71,7 +71,7 @@ def following(value: Column) -> Step:
 
 
 def first_value(value: Column) -> Step:
-    """Value of the earliest row; ``value`` must start with the order columns."""
+    """Least value so far.  A value that starts with the order columns gives the earliest row."""
     return Step("first", value)
 
 

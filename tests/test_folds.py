@@ -141,3 +141,21 @@ def test_eta_smoothing_over_many_rows(spark):
     )
     got = {r.event_id: r.eta_ms for r in qu.eta(df).collect()}
     assert all(abs(got[i] - want[i]) <= 1 for i in want)
+
+
+def test_untitled_documents_take_the_next_heading(spark, monkeypatch):
+    from paperloom.operators import toc as tc
+
+    monkeypatch.setattr(sc, "CHUNK_PAGES", 2)
+    sections = spark.createDataFrame(
+        [(1, i, h, "", p, p) for i, (h, p) in enumerate([("", 1), ("Alpha", 2), ("Beta", 6), ("", 8), ("Gamma", 9), ("Late", 7)])],
+        "contract_id long, section_index int, heading string, content string, page_start int, page_end int",
+    )
+    parts = spark.createDataFrame(
+        [(1, 0, "contract_body", "", 1, 5), (1, 1, "cover_page", "", 8, 9), (1, 2, "cover_page", "Named", 20, 22)],
+        "contract_id long, part_index int, part_type string, title string, page_start int, page_end int",
+    )
+    got = [(r.title, r.page_start, r.page_end) for r in tc.sub_documents(sections, parts).orderBy("subdoc_index").collect()]
+    # the second group starts at page 8, so headings from page 7 on count, in section order;
+    # a cover page behind a cover page opens nothing
+    assert got == [("Alpha", 1, 5), ("Gamma", 8, 22)]
