@@ -49,18 +49,18 @@ _STOP = "the of and to in is that was for on with as are this from by at be a de
 
 OP9 = rf"""
 with t as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
-w as (select r, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), x -> x <> '') as ws,
-  list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from t),
+w as (select r, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from t),
 grams as (
   select r, i, md5(array_to_string(ws[i:i + 7], ' ')) as g from (select r, ws, unnest(range(1, len(ws) - 6)) as i from w where len(ws) >= 8)),
 twice as (select r, i from (select r, i, count(*) over (partition by r, g) as c from grams) where c > 1),
 rep as (select r, sum(least(8, coalesce(nxt - i, 8))) as n_repeat_words from (select r, i, lead(i) over (partition by r order by i) as nxt from twice) group by r),
 m as (
-  select r, doc_id, len(ws) as n_words, coalesce(list_sum(list_transform(ws, x -> length(x))), 0)::bigint as word_chars,
+  select r, doc_id, len(ws) as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint as word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) as n_symbols, len(ls) as n_lines, len(ls) - len(list_distinct(ls)) as n_dup_lines,
     coalesce(n_repeat_words, 0)::bigint as n_repeat_words,
     length(regexp_replace(text, '[^A-Za-z]+', '', 'g')) as n_letters, length(regexp_replace(text, '[^A-Z]+', '', 'g')) as n_upper,
-    len(list_filter(ws, x -> lower(x) in ({", ".join(f"'{x}'" for x in _STOP.split())}))) as n_stop, len(list_distinct(ws)) as n_distinct
+    len(list_filter(ws, lambda x: lower(x) in ({", ".join(f"'{x}'" for x in _STOP.split())}))) as n_stop, len(list_distinct(ws)) as n_distinct
   from t join w using (r) left join rep using (r)),
 b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
