@@ -14,6 +14,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.plans.scratch import cut
+
 #: Fixed: host and path of a url.
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LEVELS = ("suffix", "domain", "host")
@@ -39,17 +41,13 @@ def matched_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tu
     subdomains where the path starts with the rule's.  Of equal rules the first wins.
     """
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for word, rule in sorted(enumerate_reversed(rules), key=lambda x: len(x[1])):
+    for word, rule in sorted(reversed(rules), key=lambda x: len(x[1])):
         at = rule.index("/")
         fits = ((host == rule[:at]) | host.endswith("." + rule[:at])) & path.startswith(rule[at:])
         name, verdict = F.when(fits, F.lit(rule)).otherwise(name), F.when(fits, F.lit(word)).otherwise(verdict)
     return name, verdict
 
 
-def enumerate_reversed(rules: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    return list(reversed(rules))
-
-
 def reputation(outcomes: DataFrame) -> DataFrame:
     """Posterior of every host in ``outcomes`` (host, good 0/1): domain, suffix, pages, post_mean, post_strength.
 
@@ -59,7 +57,7 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     """
     one = F.col("good").isin(0, 1)
     hosts = outcomes.where(one).groupBy(F.coalesce("host", F.lit("")).alias("host")).agg(F.count("*").alias("n"), F.sum("good").alias("k"))
-    level = with_levels(hosts)
+    level = cut(with_levels(hosts), "hosts")
     domains = level.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     total = suffixes.agg(((F.sum("k") + 1) / (F.sum("n") + 2)).alias("m"))
@@ -69,7 +67,11 @@ def reputation(outcomes: DataFrame) -> DataFrame:
 
 
 def shrink(groups: DataFrame) -> DataFrame:
-    """Posterior mean and strength of groups with ``k`` good of ``n`` pages and prior mean ``m``."""
+    """Posterior mean and strength of groups with ``k`` good of ``n`` pages and prior mean ``m``.
+
+    The groups are stored first: a scalar subquery would plan all below them again.
+    """
+    groups = cut(groups, "groups")
     n, k, m = F.col("n"), F.col("k"), F.col("m")
     spread = m * (1 - m)
     # expected square of k - n m: n m (1 - m) (1 + (n - 1) rho)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from paperloom.plans.scratch import scratch_path
 
-from . import bpe, host_reputation, quality_rules, warc
+from . import boosted_quality, bpe, contextual_pii, decontaminate, host_reputation, language_id, line_winnow, ngram_join, quality_rules, warc
+from .textkit import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +30,14 @@ def op1_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_reputation.judge_urls(pages, outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = held_out(F.col("doc_id"), 5, 0)
+    trees = boosted_quality.learn(docs, table(spark, sf_dir, "labels").where(~held))
+    scored = boosted_quality.score(docs, trees)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode_and_decode(docs, public_tokenizers.path("byte_bpe_50k.json"), ("n_tokens", "ids_sha256", "decoded_sha256"), keep=("doc_id",))
@@ -43,9 +52,54 @@ def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 
+def op5_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts are those of the fixed forms."""
+    found = contextual_pii.find_pii(table(spark, sf_dir, "documents"))
+    of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    counts = [of_kind(k).alias(f"n_{name}") for k, name in enumerate(contextual_pii.KINDS)]
+    base, spans = contextual_pii.spans_text(F.col("base")), contextual_pii.spans_text(F.col("spans"))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
+
+
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = held_out(F.col("doc_id"), 4, 2)
+    model = language_id.learn(docs.where(~held))
+    return language_id.predict(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_winnow.dedup_lines(docs).select("doc_id", "n_removed_lines", "n_removed_words", "text")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
     return docs.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_host_reputation, op3_bpe_round_trip, op4_warc_round_trip, op9_quality_rules)}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item found in it."""
+    docs = decontaminate.with_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return docs.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_host_reputation,
+        op2_boosted_quality,
+        op3_bpe_round_trip,
+        op4_warc_round_trip,
+        op5_contextual_pii,
+        op6_ngram_join,
+        op7_language_id,
+        op8_line_dedup,
+        op9_quality_rules,
+        op10_decontaminate,
+    )
+}
