@@ -39,6 +39,13 @@ HEADLINE = [
     "ag15_quota_usage",
     "wn30_rate_violations",
     "wn32_throttle_progress",
+    "wn17_sub_documents",
+    "wn26_merge_heading_fragments",
+    "jn9_reconcile_toc",
+    "ag23_tree_closure",
+    "ag14_dominant_language",
+    "xr10_term_usages",
+    "wn33_eta",
 ]
 
 

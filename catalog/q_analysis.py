@@ -57,7 +57,7 @@ query(
 )
 query(
     "tk2_top_references",
-    lambda t: an.top_references(an.score_references(t.clause_vectors.where("vector is not null"), t.references), 3).select(
+    lambda t: an.top_references(an.score_references(t.clause_vectors.where("vector is not null"), t.references, 3), 3).select(
         "clause_id", "ref_id", "rank", F.round("score", 4).alias("score")
     ),
     "select clause_id, ref_id, rank, round(score, 4) as score from top",
@@ -77,15 +77,15 @@ def _queue(t):
     top = an.score_references(t.clause_vectors.where("vector is not null"), t.references, 3)
     ranked = an.top_references(top, 3).join(t.references.select("ref_id", "reference", "ref_text"), "ref_id")
     clauses = t.clauses.join(t.analyses.select("clause_id", "risk_level"), "clause_id", "left")
-    return an.analysis_queue(clauses, ranked).select("clause_id", F.md5("prompt").alias("h"), "is_long", "needs_recheck")
+    return an.analysis_queue(clauses, ranked).select("clause_id", "piece_no", F.md5("prompt").alias("h"), "is_long", "needs_recheck")
 
 
 query(
     "sc26_analysis_queue",
     _queue,
-    """select c.clause_id, md5(case when r.block is not null then 'Compare with:' || chr(10) || r.block || chr(10) || chr(10) else '' end || 'Clause:' || chr(10)
-         || case when length(text) > 2000 then substr(text, 1, 2000) else text end) as h, length(text) > 2000 as is_long, coalesce(a.risk_level = 'high', false) as needs_recheck
-       from clauses c left join analyses a on a.clause_id = c.clause_id
+    """select c.clause_id, k as piece_no, md5(case when r.block is not null then 'Compare with:' || chr(10) || r.block || chr(10) || chr(10) else '' end || 'Clause:' || chr(10)
+         || substr(text, 1 + 2000 * k, 2000)) as h, length(text) > 2000 as is_long, coalesce(a.risk_level = 'high', false) as needs_recheck
+       from (select *, unnest(range(greatest(1, (length(text) + 1999) // 2000))) as k from clauses) c left join analyses a on a.clause_id = c.clause_id
        left join (select clause_id, string_agg('- ' || line, chr(10) order by rank) as block from top group by 1) r on r.clause_id = c.clause_id""",
     refs=SQL_REFS,
     scores=SQL_SCORES,
@@ -224,16 +224,17 @@ query(
 query(
     "wn33_eta",
     lambda t: qu.eta(t.progress.withColumn("stage", F.floor(F.col("event_id") / 2000).cast("int") + 1)).select("event_id", "stage", "eta_ms"),
-    """select event_id, stage, greatest(0, round(s))::bigint as eta_ms from (with recursive o as (
+    """select p.event_id, cast(p.event_id // 2000 + 1 as int) as stage, case when p.event_id // 2000 + 1 <> 5 and elapsed_ms >= 8000 and overall > 0 and done then 0
+         when s is not null then greatest(0, round(s))::bigint end as eta_ms from progress p left join (with recursive o as (
          select *, row_number() over (partition by contract_id order by ts, event_id) as rn,
            case when least(stage_progress / 100, 0.99) > 0.05 and stage_elapsed_ms > 3000 then stage_elapsed_ms / least(stage_progress / 100, 0.99) * (1 - least(stage_progress / 100, 0.99))
              else (case stage when 1 then 5000 when 2 then 180000 when 3 then 30000 when 4 then 20000 else 60000 end) * (1 - least(stage_progress / 100, 0.99)) end
            + case stage when 1 then 230000 when 2 then 50000 when 3 then 20000 else 0 end as raw
-         from (select * replace (cast(event_id // 2000 + 1 as int) as stage) from progress) p where stage <> 5 and elapsed_ms >= 8000 and overall > 0),
+         from (select * replace (cast(event_id // 2000 + 1 as int) as stage) from progress) p where stage <> 5 and elapsed_ms >= 8000 and overall > 0 and not done),
        rec as (select contract_id, rn, event_id, stage, raw::double as s from o where rn = 1
          union all select o.contract_id, o.rn, o.event_id, o.stage, case when o.stage = r.stage then 0.3::double * r.s + 0.7::double * o.raw else o.raw end
          from rec r join o on o.contract_id = r.contract_id and o.rn = r.rn + 1)
-       select * from rec) x""",
+       select * from rec) x on x.event_id = p.event_id""",
 )
 
 # ------------------------------------------------------------------ streaming
@@ -277,11 +278,13 @@ query(
 )
 query(
     "st5_rate_stream",
-    lambda t: st.run_available(st.rate_stream(_ts(t.stream("calls"))), "rate", "update", ["model_key", "window_start"]).select(
-        "model_key", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "calls"
+    lambda t: st.run_available(st.rate_stream(_ts(t.stream("calls")), limits(t)), "rate", "update", ["model_key", "window_start"]).select(
+        "model_key", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "calls", "too_many"
     ),
-    """select model_key, strftime(time_bucket(interval 10 second, ts) - to_seconds(cast(u.k * 10 as int)), '%Y-%m-%d %H:%M:%S') as window_start, count(*) as calls
-       from calls, unnest(range(0, 6)) as u(k) group by 1, 2""",
+    """select c.*, coalesce(calls > minute_limit, false) as too_many from (
+         select model_key, strftime(time_bucket(interval 10 second, ts) - to_seconds(cast(u.k * 10 as int)), '%Y-%m-%d %H:%M:%S') as window_start, count(*) as calls
+         from calls, unnest(range(0, 6)) as u(k) group by 1, 2) c left join lim l on l.model_key = c.model_key""",
+    lim=SQL_LIM,
 )
 query(
     "st6_dedup_stream",

@@ -11,7 +11,7 @@ from paperloom.plans.scratch import scratch_path
 from paperloom.sources import sinks as sk
 from paperloom.sources import tables as src
 
-from .registry import query
+from .registry import apart, query
 from .sqltext import NON_TARGET, strip
 
 STATUS_IN_PROGRESS = "('analyzing', 'parsing', 'filtering', 'partial')"
@@ -403,7 +403,7 @@ query(
         "contract_id", F.round("avg_words", 4).alias("avg_words"), "is_scan"
     ),
     f"""select contract_id, round(a, 4) as avg_words, a < 10 as is_scan from (select contract_id,
-          sum(case when i < 10 then len(regexp_split_to_array({strip('tx')}, '\\s+')) else 0 end)::double / count(*) as a
+          sum(len(regexp_split_to_array({strip('tx')}, '\\s+')))::double / count(*) as a
         from (select contract_id, i, case when contract_id % 8 = 1 then '  ' || lang else text end as tx from doc) d
         where contract_id % 4 = 1 group by 1) x""",
 )
@@ -426,13 +426,13 @@ query(
 )
 query(
     "jn2_with_zone_key",
-    lambda t: jn.with_zone_key(t.clauses, t.zones.where("zone_index <> 3")).select("clause_id", "zone"),
+    lambda t: jn.with_zone_key(t.clauses, apart(t.zones, "zone_id", "zone_index = 3")).select("clause_id", "zone"),
     """select c.clause_id, coalesce(z.zone_type, c.zone_key, 'unknown') as zone from clauses c
        left join (select * from zones where zone_index <> 3) z on z.zone_id = c.zone_id""",
 )
 query(
     "jn3_assign_zone",
-    lambda t: jn.assign_zone(t.clauses.drop("zone_index"), t.zones.where("zone_index <> 2")).select("clause_id", "zone_index"),
+    lambda t: jn.assign_zone(t.clauses.drop("zone_index"), apart(t.zones, "contract_id", "zone_index = 2")).select("clause_id", "zone_index"),
     """select c.clause_id, coalesce((select min(zone_index) from zones z where z.contract_id = c.contract_id and zone_index <> 2
            and c.page_start between z.page_from and z.page_to),
          (select min(zone_index) from zones z where z.contract_id = c.contract_id and zone_index <> 2 and z.zone_type = c.zone_key), 0) as zone_index
@@ -479,7 +479,7 @@ query(
 )
 query(
     "jn16_orphan_rows",
-    lambda t: jn.orphan_rows(t.clauses, t.zones.where("zone_id % 4 <> 1"), "zone_id").select("clause_id", "zone_id"),
+    lambda t: jn.orphan_rows(t.clauses, apart(t.zones, "zone_id", "zone_id % 4 = 1"), "zone_id").select("clause_id", "zone_id"),
     "select clause_id, zone_id from clauses where zone_id % 4 = 1",
 )
 
@@ -653,7 +653,7 @@ query(
 query(
     "tk6_order_zone_sections",
     lambda t: da.order_zone_sections(
-        jn.with_zone_key(t.clauses, t.zones.where("zone_index <> 0")).groupBy("contract_id", "zone").agg(F.min("sort_order").alias("first_seen"))
+        jn.with_zone_key(t.clauses, apart(t.zones, "zone_id", "zone_index = 0")).groupBy("contract_id", "zone").agg(F.min("sort_order").alias("first_seen"))
     ).select("contract_id", "zone", "zone_rank", "first_seen"),
     """select contract_id, zone, coalesce(list_position(['preamble', 'contract_agreement', 'general_conditions', 'particular_conditions',
          'conditions_of_contract', 'commercial_terms', 'definitions', 'letter_of_acceptance', 'technical_specifications', 'appendices', 'toc',

@@ -16,7 +16,7 @@ from paperloom.operators import sections as se
 from paperloom.operators import toc as tc
 
 from .q_text import heading_line_sql, toc_line_sql, SQL_TOC_LINES, _toc_lines
-from .registry import query
+from .registry import apart, query
 from .sqltext import (
     NON_TARGET, cross_ref, detect_part, ex, heading_number, hint, remainder_kind, rep, rest_case, kind_case, rx, strip, upper_ratio, ws, zone_hint,
 )
@@ -84,9 +84,7 @@ query(
     "ag10_font_medians",
     lambda t: ly.font_medians(t.page_lines).withColumn("median", F.round("median", 4)),
     """select contract_id, page, median(font_size) as median from page_lines where font_size > 0 group by 1, 2
-       union all select l.contract_id, -1, median(font_size) from page_lines l join (select contract_id, max(page) + 1 as n,
-         greatest(1, (max(page) + 1) // least(20, max(page) + 1)) as step from page_lines group by 1) p on p.contract_id = l.contract_id
-       where font_size > 0 and page % step = 0 and page / step < 20 group by 1""",
+       union all select contract_id, -1, median(font_size) from page_lines where font_size > 0 group by 1""",
 )
 SQL_BLOCKS = f"""with recursive ol as (select *, row_number() over (partition by contract_id, page order by y0, x0, ord) as rn from page_lines where {strip('text')} <> ''),
     mh as (select contract_id, greatest(3.5, 0.9 * coalesce(nullif(median(y1 - y0), 0), 10)) as gap from page_lines where y1 - y0 > 0 group by 1),
@@ -396,11 +394,11 @@ def _entries(t):
 
 
 def _jn9_parts(t):
-    return t.parts.where("part_index % 3 < 2")
+    return apart(t.parts, "contract_id", "part_index % 3 = 2")
 
 
 def _jn9(t):
-    inserts, warnings = tc.reconcile_toc(_jn9_parts(t), _entries(t), t.sections.where("page_end < 33"))
+    inserts, warnings = tc.reconcile_toc(_jn9_parts(t), _entries(t), apart(t.sections, "contract_id", "page_end >= 33"))
     return inserts.select("contract_id", "entry_index", "part_type", "title", "page_start", "page_end").unionByName(
         warnings.select("contract_id", "entry_index", F.lit("warning").alias("part_type"), "title", F.col("page_number").alias("page_start"), F.lit(-1).alias("page_end"))
     )
@@ -511,13 +509,38 @@ query(
        from rec r join ss s on s.contract_id = r.contract_id and s.section_index = r.section_index group by 1, 2) rq""",
     ss=SQL_SS,
 )
+_EMB = r"\s+(\d+\.\d+(?:\.\d+)*)\s+\S"
+# fixed values: headings that are complete by themselves
+_DEEP = r"^\s*\d+(?:\.\d+){2,}\s"
+_UNUSED = r"(?i)^\s*\d+(?:\.\d+)+\s+\[?Not\s+Used\]?\s*$"
+_EMPTIED = "case when section_index in (2, 3, 8, 13, 16, 17, 22, 23) then '' when section_index = 9 and contract_id % 2 = 0 then ' ' else content end"
 query(
     "wn26_merge_heading_fragments",
-    lambda t: se.merge_heading_fragments(
-        t.sections.withColumn("content", F.expr("case when section_index in (2, 3, 8, 13, 16, 17, 22, 23) then '' when section_index = 9 and contract_id % 2 = 0 then ' ' else content end"))
-    ).select("contract_id", "section_index", "heading", "level", F.md5("content").alias("h"), "page_start", "page_end"),
+    lambda t: se.merge_heading_fragments(t.sections.withColumn("content", F.expr(_EMPTIED))).select(
+        "contract_id", "section_index", "heading", "level", F.md5("content").alias("h"), "page_start", "page_end"
+    ),
+    """select contract_id, section_index, heading, level, md5(content) as h, page_start, page_end from (
+         select f.contract_id, section_index, heading, level, content, page_start, page_end from folded f join kinds k using (contract_id, g) where k.alone
+         union all
+         select f.contract_id, min(section_index), array_to_string(list_filter(list(hh order by rn), lambda x: x <> ''), ' '), arg_min(level, rn),
+           case when any_value(k.merges) then arg_max(content, rn) else arg_min(content, rn) end, arg_min(page_start, rn), arg_max(page_end, rn)
+         from folded f join kinds k using (contract_id, g) where not k.alone group by f.contract_id, g) x""",
+    hs=f"""select *, {heading_number('hh')} as num, {ex('hh', _EMB, 1)} as emb, {strip("coalesce(content, '')")} = '' and hh <> '' and not {rx('hh', _DEEP)} and not {rx('hh', _UNUSED)} as loose,
+             row_number() over (partition by contract_id order by section_index) as rn
+           from (select * replace ({_EMPTIED} as content), {strip("coalesce(heading, '')")} as hh from sections) q""",
+    folded="""select h.*, r.g, r.kind from hs h join (with recursive rec as (
+             select contract_id, rn, 1 as g, case when loose then num end as held, loose as open, case when loose then 'title' else 'solid' end as kind from hs where rn = 1
+             union all
+             select contract_id, rn, case when action in ('start', 'solid') then g + 1 else g end, case action when 'start' then num when 'join' then coalesce(held, num) end,
+               action in ('start', 'join'), case action when 'start' then 'title' when 'join' then 'title' else action end
+             from (select s.contract_id, s.rn, r.g, r.held, s.num, case when s.loose then case when not r.open then 'start' when s.num is null or r.held is null or s.num = r.held then 'join'
+                   when starts_with(s.num, r.held || '.') or starts_with(s.emb, r.held || '.') then 'start' else 'target' end
+                 when r.open and not coalesce(starts_with(s.num, r.held || '.') or starts_with(s.emb, r.held || '.'), false) then 'target' else 'solid' end as action
+               from rec r join hs s on s.contract_id = r.contract_id and s.rn = r.rn + 1) t)
+           select * from rec) r on r.contract_id = h.contract_id and r.rn = h.rn""",
+    kinds="""select contract_id, g, bool_or(kind = 'target') as merges, bool_or(kind = 'solid') or (bool_and(kind = 'title') and max(rn) = any_value(n)) as alone
+           from (select *, max(rn) over (partition by contract_id) as n from folded) q group by 1, 2""",
 )
-_EMB = r"\s+(\d+\.\d+(?:\.\d+)*)\s+\S"
 query(
     "wn27_split_compound_headings",
     lambda t: se.split_compound_headings(
@@ -703,14 +726,12 @@ query(
 )
 query(
     "ag14_dominant_language",
-    lambda t: cl.dominant_language(
-        t.clauses.drop("contract_id").withColumn("contract_id", F.col("clause_id")), cl.language_profiles(t.base("documents"))
-    ),
+    lambda t: cl.dominant_language(t.clauses, cl.language_profiles(t.base("documents"))),
     """select contract_id, arg_max(lang, (sc, lang)) as lang from (select c.contract_id, p.lang, sum(c.n * p.weight) as sc from (
-         select clause_id as contract_id, gram, count(*) as n from (select clause_id, ch[u.k] || ch[u.k + 1] || ch[u.k + 2] as gram from (select clause_id, string_split(lower(substr(text, 1, 5000)), '') as ch from clauses) q,
+         select contract_id, gram, count(*) as n from (select contract_id, ch[u.k] || ch[u.k + 1] || ch[u.k + 2] as gram from (select contract_id, string_split(string_agg(lower(coalesce(text, '')) || chr(10), '' order by sort_order, clause_id), '') as ch from clauses group by 1) q,
            unnest(range(1, len(ch) - 1)) as u(k)) g group by 1, 2) c join prof p on p.gram = c.gram group by 1, 2) s group by 1""",
     grams="select lang, gram, count(*) as n from (select lang, ch[u.k] || ch[u.k + 1] || ch[u.k + 2] as gram from (select lang, string_split(lower(text), '') as ch from documents) q, unnest(range(1, len(ch) - 1)) as u(k)) g group by 1, 2",
-    prof="""select lang, gram, n::double / tot as weight from (select *, sum(n) over (partition by lang) as tot, row_number() over (partition by lang order by n desc, gram) as r from grams) x where r <= 300""",
+    prof="select lang, gram, n::double / sum(n) over (partition by lang) as weight from grams",
 )
 query(
     "ag25_duplicate_census",

@@ -63,6 +63,13 @@ class Tables:
         )
 
 
+def apart(df: DataFrame, key: str, rows: str) -> DataFrame:
+    """The whole table, with the key of some rows moved out of reach of any match."""
+    from pyspark.sql import functions as F
+
+    return df.withColumn(key, F.expr(f"case when {rows} then -1 - {key} else {key} end"))
+
+
 def query(name: str, build: Callable[[Tables], DataFrame], sql: str | None = None, **ctes: str) -> None:
     """Register a query; ``sql`` may use the view names and the extra CTEs."""
     assert name not in QUERIES, name

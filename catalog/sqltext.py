@@ -41,6 +41,7 @@ def roman(x: str) -> str:
     return f"(case when {s} <> '' and {ok} then cast({body} as int) end)"
 
 
+# Clause number patterns.
 SCHED = r"(?i)^\s*(SCHEDULE|EXHIBIT|APPENDIX)\s+([A-Z0-9]*)\b[.\-:\s]*(.*)"
 ART = r"(?i)^\s*ARTICLE\s+([IVXLCDM]+|\d+)\b[.\-:\s]*(.*)"
 SECT = r"(?i)^\s*SECTION\s+(\d+(?:\.\d+)*)\b[.\-:]?\s*(.*)"
@@ -88,6 +89,7 @@ def hint(src: str, col: str) -> str:
         from (select *, {kind_case('ht')} as hk from (select *, {t} as ht from {src}) a) b) c) d"""
 
 
+# Fixed value: zones that are not analysed.
 NON_TARGET = "('toc', 'cover_page', 'preamble', 'drawing_list', 'form_of_tender', 'bill_of_quantities', 'appendices', 'technical_specifications')"
 
 
@@ -130,6 +132,7 @@ def zone_hint(heading: str, part: str) -> str:
     return f"coalesce({part}, case {whens} else 'contract_body' end)"
 
 
+# Numbers that a heading may start with.
 HEADING_FORMS = [
     r"^\s*(\d+(?:\.\d+)*)\s",
     r"^\s*(\d+(?:\.\d+)*)[.)]\s",
@@ -142,6 +145,7 @@ def heading_number(x: str) -> str:
     return "(case " + " ".join(f"when {rx(x, f)} then {ex(x, f, 1)}" for f in HEADING_FORMS) + " end)"
 
 
+# Lines that continue a reference.
 REF_ONLY = r"^\s*\d+(?:\.\d+)+\s+\[.*?\]\.?\s*$"
 REF_PUNCT = r"^\s*\d+(?:\.\d+)+\s+\[.*?\]\s*[,;:.]"
 REF_CONT = r"(?i)^\s*\d+(?:\.\d+)+\s+\[.*?\]\s*,?\s+(?:the|a|an|this|that|may|shall|and|or|to|in|of|for|with|by)\s"

@@ -138,10 +138,10 @@ def _numbered(d):
     num = f"{d.concat(f'cast(i + 1 as {d.string})', chr(39) + '.' + chr(39), f'cast({d.idiv(chr(112), 3)} as {d.string})')}"
     body = f"""case when p > 0 and p % 12 = 0 then {d.concat(num, "' [Title], the '", "x")}
       when p > 0 and p % 3 = 0 and p % 2 = 1 then {d.concat("'  '", num, "' '", "x")}
-      when p > 0 and p % 3 = 0 then {d.concat(num, "'.1 '", d.prefix("x", 30))}
+      when p > 0 and p % 3 = 0 then {d.concat(num, "'.1 '", "x")}
       when p % 7 = 5 then {d.concat("x", "' Sub-Clause'")}
       when p % 10 = 4 then {d.concat("'(a) '", "x")}
-      when p % 11 = 7 then {d.concat("'| '", d.prefix("x", 40), "' | b |'")}
+      when p % 11 = 7 then {d.concat("'| '", "x", "' | b |'")}
       when p % 13 = 8 then {d.concat("x", "'-'")}
       when p % 17 = 10 then ''
       when p % 19 = 11 then '| --- | --- |'

@@ -79,16 +79,33 @@ def _cells(row: Column) -> Column:
     return F.transform(F.split(row, r"\|"), strip)
 
 
+# The two characters that mark a stretch, the one that stands for them in a text, and what they become there.
+MARKS = [("\u0004", "\u0004d"), ("\u0002", "\u0004b"), ("\u0003", "\u0004c")]
+
+
+def _guarded(text: Column) -> Column:
+    """The text with its own marker characters replaced; ``_plain`` restores them."""
+    for mark, shown in MARKS:
+        text = F.replace(text, F.lit(mark), F.lit(shown))
+    return text
+
+
+def _plain(text: Column) -> Column:
+    for mark, shown in reversed(MARKS):
+        text = F.replace(text, F.lit(shown), F.lit(mark))
+    return text
+
+
 def _rewrite_marked(text: Column, rewrite) -> Column:
-    """Apply ``rewrite`` to the stretches between the two marker characters."""
+    """Apply ``rewrite`` to the stretches between the two marker characters, restoring the text's own."""
     parts = F.split(text, "[\u0002\u0003]")
-    return F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, rewrite(x)).otherwise(x)), "")
+    return F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, rewrite(_plain(x))).otherwise(_plain(x))), "")
 
 
 def clean_ghost_tables(c: Column) -> Column:
     """Turn rows of wrongly detected tables back into text."""
     headers = _rewrite_marked(
-        F.regexp_replace(c, HEADER_AND_RULE, "\u0002$1\u0003"),
+        F.regexp_replace(_guarded(c), HEADER_AND_RULE, "\u0002$1\u0003"),
         lambda x: F.array_join(F.filter(_cells(x), lambda v: v != ""), " "),
     )
     no_rules = F.regexp_replace(headers, RULE_ONLY, "")
@@ -97,7 +114,7 @@ def clean_ghost_tables(c: Column) -> Column:
         inner = F.regexp_extract(x, r"(?s)^\|([^|]+(?:\|[^|]+)?)\|", 1)
         return F.when(F.length(strip(inner)) >= 20, F.array_join(_cells(inner), " ")).otherwise(x)
 
-    rows = _rewrite_marked(F.regexp_replace(no_rules, LONE_ROW, "\u0002$0\u0003"), lone)
+    rows = _rewrite_marked(F.regexp_replace(_guarded(no_rules), LONE_ROW, "\u0002$0\u0003"), lone)
     blank = lambda v: F.regexp_replace(v, r"\n{3,}", "\n\n")
     return F.when(c.contains("|"), blank(rows)).otherwise(blank(c))
 

@@ -19,7 +19,6 @@ DECIMAL = r"^\s*(\d+(?:\.\d+){0,6})\s*[.)]?\s+(.*)"
 # Fixed value: shape of a valid roman numeral (emptiness is tested apart).
 ROMAN_SHAPE = r"^M{0,4}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$"
 
-MAX_LEVEL = 16
 
 
 def roman_to_int(c: Column) -> Column:

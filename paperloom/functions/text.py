@@ -34,9 +34,9 @@ def content_hash(c: Column) -> Column:
 def safe_join(lines: Column) -> Column:
     """Join lines with blanks; undo a line-end hyphen between letters."""
     cleaned = F.filter(F.transform(lines, lambda x: normalize_ws(F.coalesce(x, F.lit("")))), lambda x: x != "")
-    marked = F.array_join(cleaned, "\u0001")
-    merged = F.regexp_replace(marked, "(?<=[A-Za-z])-\u0001(?=[a-z_])", "")
-    return normalize_ws(F.replace(merged, F.lit("\u0001"), F.lit(" ")))
+    joined = F.array_join(cleaned, "\n")  # no line holds a line feed any more
+    merged = F.regexp_replace(joined, "(?<=[A-Za-z])-\n(?=[a-z_])", "")
+    return normalize_ws(merged)
 
 
 def letter_count(c: Column) -> Column:

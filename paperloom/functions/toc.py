@@ -17,6 +17,7 @@ TOC_HEADINGS = [
     r"^\s*index\s*$",
     r"^\s*[-–—]?\s*table\s+of\s+contents?\s*[-–—]?\s*$",
 ]
+# Leaders, page numbers and numbering of a line of contents.
 LEADER = r"\.{3,}|-\s*-\s*-"
 TRAILING_NUMBER = r"^(.*?)[.\-\s]*(\d+)\s*$"
 LEADER_WITH_NUMBER = r"(?:\.{2,}|\.\s+\.|\-\s*\-|\t)\s*\d+\s*$"

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import clip_text, strip
-from ..functions.vectors import cosine
+from ..functions.text import strip
+from ..functions.vectors import unit, unit_dot
 from ..plans.scan import int_chunk, ordered_scan, running_sum
 from .filters import RISK_LEVELS, risk_level
 
@@ -31,44 +31,32 @@ QUOTA = ["429", "RESOURCE_EXHAUSTED", "resource_exhausted", "quota", "Quota exce
 RETRYABLE = ["503", "Service Unavailable", "high demand"]
 
 BLOCK_ROWS = 512
-BROADCAST_ROWS = 20_000
 SALTS = 64
 
 
 def score_references(clauses: DataFrame, refs: DataFrame, k: int | None = None) -> DataFrame:
     """(clause_id, ref_id, ref_rank, score) by cosine similarity, best ``k`` per clause.
 
-    References travel as arrays of at most a few hundred vectors.  A clause
-    meets each array once and keeps the best ``k`` inside the row, so pairs are
-    never spread over rows.  One array per block is broadcast while the
-    measured number of references is small; a larger set is shuffled by
-    (block, salt), which spreads the clauses over all tasks.
+    Both sides are brought to unit length once.  References travel as arrays of at
+    most ``BLOCK_ROWS`` vectors; a clause meets each array once, by a salt that
+    spreads the clauses over all tasks, and keeps the best ``k`` inside the row.
+    Whether the arrays are broadcast is left to their measured size.
     """
-    n = refs.count()
-    blocks = max(1, -(-n // BLOCK_ROWS))
     packed = (
-        refs.withColumn("block", F.pmod(F.col("ref_rank"), F.lit(blocks)).cast("int"))
+        refs.withColumns({"block": F.floor(F.col("ref_rank") / BLOCK_ROWS), "u": unit(F.col("vector"))})
         .groupBy("block")
-        .agg(F.array_sort(F.collect_list(F.struct("ref_rank", "ref_id", "vector"))).alias("refs"))
+        .agg(F.array_sort(F.collect_list(F.struct("ref_rank", "ref_id", "u"))).alias("refs"))
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
-    left = clauses.select("clause_id", "vector").withColumn("block", F.explode(F.array(*[F.lit(b) for b in range(blocks)])))
-    if n <= BROADCAST_ROWS:
-        met = left.join(F.broadcast(packed), "block")
-    else:
-        salted = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        left = left.withColumn("salt", F.pmod(F.xxhash64("clause_id"), F.lit(SALTS)).cast("int"))
-        met = left.join(salted, ["block", "salt"])
+    left = clauses.select("clause_id", unit(F.col("vector")).alias("u"), F.pmod(F.xxhash64("clause_id"), F.lit(SALTS)).cast("int").alias("salt"))
     scored = F.transform(
-        "refs",
-        lambda r: F.struct(
-            (-cosine(F.col("vector"), r["vector"])).alias("neg"), r["ref_rank"].alias("ref_rank"), r["ref_id"].alias("ref_id")
-        ),
+        "refs", lambda r: F.struct((-unit_dot(F.col("u"), r["u"])).alias("neg"), r["ref_rank"].alias("ref_rank"), r["ref_id"].alias("ref_id"))
     )
     best = F.array_sort(scored) if k is None else F.slice(F.array_sort(scored), 1, k)
-    flat = met.select("clause_id", F.explode(best).alias("s")).select(
+    flat = left.join(packed, "salt").select("clause_id", F.explode(best).alias("s")).select(
         "clause_id", "s.ref_id", "s.ref_rank", (-F.col("s.neg")).alias("score")
     )
-    return flat if k is None or blocks == 1 else top_references(flat, k).drop("rank")
+    return flat if k is None else top_references(flat, k).drop("rank")
 
 
 def top_references(scores: DataFrame, k: int = 3) -> DataFrame:
@@ -89,16 +77,23 @@ def fallback_references(clauses: DataFrame, refs: DataFrame, k: int = 3) -> Data
 
 
 def analysis_queue(clauses: DataFrame, top_refs: DataFrame) -> DataFrame:
-    """Work rows for the external scorer: prompt, long-clause flag, re-check flag."""
+    """Work rows for the external scorer: prompt, long-clause flag, re-check flag.
+
+    A long clause goes out in pieces of ``LONG_CLAUSE`` characters, numbered from 0,
+    so the scorer sees the whole text; every piece repeats the references.
+    """
     line = F.concat(F.lit("- "), F.col("reference"), F.lit(": "), F.col("ref_text"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("t")))), lambda x: x["t"])
     block = top_refs.groupBy("clause_id").agg(F.array_join(lines, "\n").alias("__refs"))
     joined = clauses.join(block, "clause_id", "left")
     is_long = F.length("text") > LONG_CLAUSE
-    body = F.when(is_long, clip_text(F.col("text"), "summary")).otherwise(clip_text(F.col("text"), "prompt"))
+    last = F.greatest(F.lit(0), F.floor((F.coalesce(F.length("text"), F.lit(0)) - 1) / LONG_CLAUSE)).cast("long")
+    joined = joined.withColumn("piece_no", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    body = F.substring(F.col("text"), (F.col("piece_no") * LONG_CLAUSE + 1).cast("int"), F.lit(LONG_CLAUSE))
     head = F.when(F.col("__refs").isNotNull(), F.concat(F.lit("Compare with:\n"), "__refs", F.lit("\n\n"))).otherwise("")
     return joined.select(
         "clause_id",
+        "piece_no",
         F.concat(head, F.lit("Clause:\n"), body).alias("prompt"),
         is_long.alias("is_long"),
         F.coalesce(F.col("risk_level") == "high", F.lit(False)).alias("needs_recheck"),

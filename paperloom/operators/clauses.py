@@ -10,7 +10,7 @@ from ..functions.lines import clean_ghost_tables, reflow_paragraphs
 from ..functions.numbering import annotate_numbering, strip_numbering
 from ..functions.text import content_hash, strip
 from ..functions.zoning import analysis_target
-from ..plans.scan import Step, int_chunk, last_before, ordered_scan, page_chunk, running_sum
+from ..plans.scan import Step, following, int_chunk, last_before, ordered_scan, page_chunk, running_sum
 from ..plans.scratch import cut
 from .sections import cut_at_lines, resplit_pieces
 
@@ -270,23 +270,19 @@ def document_review_flag(rules: DataFrame, scores: DataFrame, warnings: DataFram
     )
 
 
-def dominant_language(clauses: DataFrame, profiles: DataFrame, sample: int = 5000) -> DataFrame:
-    """Language of a contract from character trigrams of its first characters.
+def dominant_language(clauses: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Language of a contract from the character trigrams of all its clauses.
 
-    Only the clauses that reach into the sample are kept: a running length in
-    clause order tells which, so no contract is concatenated as a whole.
+    Every clause ends with a line feed, and trigrams across clauses count
+    too: a clause takes the first two characters of the text behind it.
     """
-    lens = clauses.select("contract_id", "sort_order", "clause_id", "text").withColumn(
-        "__len", F.length("text") + 1
-    )
-    upto = ordered_scan(
-        lens, CONTRACT, ["sort_order", "clause_id"], {"__end": running_sum(F.col("__len"))}, int_chunk("sort_order")
-    )
-    start = F.col("__end") - F.col("__len")
-    head = upto.where(start < sample).withColumn(
-        "__piece", F.lower(F.substring(F.col("text"), F.lit(1), (F.lit(sample) - start).cast("int")))
-    )
-    grams = head.select("contract_id", F.explode(trigrams(F.col("__piece"))).alias("gram"))
+    text = clauses.select("contract_id", "sort_order", "clause_id", F.concat(F.lower(F.coalesce("text", F.lit(""))), F.lit("\n")).alias("__t"))
+    head = F.substring("__t", 1, 2)
+    # the next two characters may come from two clauses when one is empty
+    ahead = ordered_scan(text, CONTRACT, ["sort_order", "clause_id"], {"__n1": following(head)}, int_chunk("sort_order"))
+    ahead = ordered_scan(ahead, CONTRACT, ["sort_order", "clause_id"], {"__n2": following(F.col("__n1"))}, int_chunk("sort_order"))
+    tail = F.substring(F.concat(F.coalesce("__n1", F.lit("")), F.coalesce("__n2", F.lit(""))), 1, 2)
+    grams = ahead.select("contract_id", F.explode(trigrams(F.concat("__t", tail))).alias("gram"))
     counts = grams.groupBy("contract_id", "gram").agg(F.count(F.lit(1)).alias("__n"))
     scored = (
         counts.join(profiles, "gram")
@@ -301,13 +297,9 @@ def trigrams(text):
     return F.regexp_extract_all(text, F.lit("(?s)(?=(...))"), F.lit(1))
 
 
-def language_profiles(texts: DataFrame, top: int = 300) -> DataFrame:
-    """Weights of the most frequent character trigrams of labelled texts."""
-    from pyspark.sql import Window as W
-
+def language_profiles(texts: DataFrame) -> DataFrame:
+    """Weights of all character trigrams of labelled texts."""
     grams = texts.select("lang", F.explode(trigrams(F.lower("text"))).alias("gram"))
     counts = grams.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    w = W.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    ranked = counts.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= top)
-    return ranked.join(totals, "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("weight"))
+    return counts.join(totals, "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("weight"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numbering import clause_depth
 from ..functions.zoning import ZONE_ORDER
 from ..plans.scan import int_chunk, island, last_value, ordered_scan, page_chunk, range_chunked, running_max, running_sum, time_chunk
+from ..plans.scratch import cut
 from .filters import IN_PROGRESS, RISK_LEVELS, normalize_risk
 
 # Risk categories of the dashboard and the words that name them.
@@ -270,9 +271,15 @@ def with_tree_parent(clauses: DataFrame) -> DataFrame:
 
 
 def tree_closure(tree: DataFrame) -> DataFrame:
-    """(ancestor, descendant, dist) pairs; depth is at most 4, so are the hops."""
-    edges = tree.where(F.col("parent_id").isNotNull()).select(
-        "contract_id", F.col("clause_id").alias("descendant"), F.col("parent_id").alias("ancestor")
+    """(ancestor, descendant, dist) pairs; depth is at most 4, so are the hops.
+
+    The narrow edges are stored once, so the hops don't compute the tree again.
+    """
+    edges = cut(
+        tree.where(F.col("parent_id").isNotNull()).select(
+            "contract_id", F.col("clause_id").alias("descendant"), F.col("parent_id").alias("ancestor")
+        ),
+        "tree-edges",
     )
     up = edges.select("contract_id", F.col("descendant").alias("ancestor"), F.col("ancestor").alias("__up"))
     level = edges.withColumn("dist", F.lit(1))

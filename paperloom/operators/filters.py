@@ -189,14 +189,11 @@ def drop_ghost_tables(tables: DataFrame, rows_col: str = "rows") -> DataFrame:
 
 
 def detect_scans(pages: DataFrame, sections: DataFrame) -> DataFrame:
-    """Contracts without sections whose first ten pages hold almost no words.
-
-    The words of the first ten pages are divided by all pages.
-    """
+    """Contracts without sections whose pages hold almost no words on average."""
     bare = pages.join(sections.select("contract_id").distinct(), "contract_id", "left_anti")
     t = strip(F.col("text"))
     words = F.when(t == "", 0).otherwise(F.size(F.split(t, r"\s+")))
-    avg = F.sum(F.when(F.col("page") < 10, words).otherwise(0)) / F.count(F.lit(1))
+    avg = F.sum(words) / F.count(F.lit(1))
     return (
         bare.groupBy("contract_id")
         .agg(avg.alias("avg_words"))

@@ -128,11 +128,11 @@ def removal_counts(lines: DataFrame, patterns: DataFrame) -> DataFrame:
     )
 
 
-def font_medians(lines: DataFrame, max_pages: int | None = 20) -> DataFrame:
+def font_medians(lines: DataFrame, max_pages: int | None = None) -> DataFrame:
     """Median font size per page and per document (page -1).
 
-    The document median of the section rules looks at up to ``max_pages``
-    evenly spaced pages; ``None`` takes all pages.  The medians merge counts
+    The document median takes all pages, or on request up to ``max_pages``
+    evenly spaced ones.  The medians merge counts
     per distinct size, so they are partially aggregated before the shuffle.
     """
     sized = lines.where(F.col("font_size") > 0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -214,10 +216,11 @@ def _burst_courses(wait_ms: int):
 def eta(progress: DataFrame, stage_ms: dict[int, int] | None = None, alpha: float = ETA_ALPHA) -> DataFrame:
     """Remaining time: current stage from its speed plus the stages to come, smoothed.
 
-    The smoothing starts afresh with every stage.  Its weight falls by alpha
-    per step, so rows further back than 64 cannot change a double any more;
-    the window is bounded and the rows of a stage are cut into pieces that
-    overlap by 64 rows.
+    Every row stays: without an estimate (stage 5, too early, no progress) the
+    result is null, for a finished contract with one it is 0.  The smoothing starts
+    afresh with every stage.  A run of rows is cut into blocks; what a block hands
+    on falls by ``alpha`` per row, so a row adds the smoothed part of its own block
+    to what the blocks before it hand on, however long the run is.
     """
     ms_of = stage_ms or STAGE_MS
     expected = F.lit(30_000)
@@ -228,25 +231,31 @@ def eta(progress: DataFrame, stage_ms: dict[int, int] | None = None, alpha: floa
     share = F.least(F.col("stage_progress") / 100.0, F.lit(0.99))
     measured = (share > 0.05) & (F.col("stage_elapsed_ms") > 3_000)
     remaining = F.when(measured, F.col("stage_elapsed_ms") / share * (1 - share)).otherwise(expected * (1 - share))
-    usable = (F.col("stage") != 5) & (F.col("elapsed_ms") >= ETA_MIN_ELAPSED_MS) & (F.col("overall") > 0)
-    raw = progress.withColumn("__raw", F.when(usable, remaining + future)).where(F.col("__raw").isNotNull())
-    order = ["ts", "event_id"]
-    runs = ordered_scan(
-        raw,
-        ["contract_id"],
-        order,
-        {"__run": island(F.col("stage")), "__k": running_sum(F.lit(1))},
-        time_chunk("ts"),
-    )
-    size, halo = 4096, 64
-    piece = F.floor(F.col("__k") / size)
-    near_end = F.col("__k") % size >= size - halo
-    spread = runs.withColumn("__home", piece).withColumn(
-        "__c", F.explode(F.when(near_end, F.array(piece, piece + 1)).otherwise(F.array(piece)))
-    )
-    w = W.partitionBy("contract_id", "__run", "__c").orderBy("__k").rowsBetween(-(halo - 1), 0)
-    history = spread.withColumn("__x", F.collect_list("__raw").over(w)).where(F.col("__c") == F.col("__home"))
-    smooth = F.aggregate(
-        F.slice("__x", 2, halo), F.col("__x")[0], lambda acc, x: acc * F.lit(alpha) + x * F.lit(1 - alpha)
-    )
-    return history.select(*progress.columns, F.greatest(F.lit(0), F.round(smooth)).cast("long").alias("eta_ms"))
+    usable = F.coalesce((F.col("stage") != 5) & (F.col("elapsed_ms") >= ETA_MIN_ELAPSED_MS) & (F.col("overall") > 0), F.lit(False))
+    done = F.coalesce("done", F.lit(False)) if "done" in progress.columns else F.lit(False)
+    raw = progress.withColumn("__raw", F.when(usable & ~done, remaining + future))
+    others = raw.where(F.col("__raw").isNull()).select(*progress.columns, F.when(usable & done, 0).cast("long").alias("eta_ms"))
+    steps = {"__run": island(F.col("stage")), "__k": running_sum(F.lit(1))}
+    runs = ordered_scan(raw.where(F.col("__raw").isNotNull()), ["contract_id"], ["ts", "event_id"], steps, time_chunk("ts"))
+
+    # rows of a block: few enough that the weights of its ends stay within six digits
+    size = max(1, int(6 * math.log(10) / -math.log(alpha))) if 0 < alpha < 1 else 1
+    lags = 5
+    key = ["contract_id", "__run"]
+    first = runs.groupBy(*key).agg(F.min("__k").alias("__first"))
+    place = F.floor(F.col("__k") / size)
+    y = F.when(F.col("__k") == F.col("__first"), F.col("__raw")).otherwise(F.col("__raw") * (1 - alpha))
+    rows = runs.join(first, key).withColumns({"__block": place, "__at": F.col("__k") - place * size, "__y": y})
+    power = lambda e: F.pow(F.lit(float(alpha)), e)
+    if alpha > 0:
+        w = W.partitionBy(*key, "__block").orderBy("__k").rowsBetween(W.unboundedPreceding, W.currentRow)
+        own = F.sum(F.col("__y") / power(F.col("__at"))).over(w) * power(F.col("__at"))
+    else:
+        own = F.col("__y")
+    ends = rows.groupBy(*key, "__block").agg(F.sum(F.col("__y") * power(F.lit(size - 1) - F.col("__at"))).alias("__e"))
+    hops = F.array(*(F.struct(F.lit(i).alias("hop"), F.lit(float(alpha) ** (size * (i - 1))).alias("f")) for i in range(1, lags + 1)))
+    handed = ends.select(*key, "__block", "__e", F.explode(hops).alias("h"))
+    handed = handed.groupBy(*key, (F.col("__block") + F.col("h.hop")).alias("__block")).agg(F.sum(F.col("__e") * F.col("h.f")).alias("__in"))
+    out = rows.withColumn("__own", own).join(handed, [*key, "__block"], "left")
+    smooth = F.col("__own") + F.coalesce("__in", F.lit(0.0)) * power(F.col("__at") + 1)
+    return out.select(*progress.columns, F.greatest(F.lit(0), F.round(smooth)).cast("long").alias("eta_ms")).unionByName(others)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.lines import shifted
 from ..functions.text import strip
-from ..plans.scratch import cut
 
 # Clause number and optional bracketed title.
 NUM = r"\d+(?:\.\d+)*(?:[A-Za-z])?(?:\([a-z]\))?"
@@ -38,7 +37,9 @@ CONSTRUED = r'the\s+term\s+"?\*{0,2}"?([^"*\n]{2,60})"?\*{0,2}"?\s+shall\s+be\s+
 
 def spans(text: Column, pattern: str) -> Column:
     """Matches of a pattern with their offsets: array of (start, end, match)."""
-    parts = F.split(F.regexp_replace(text, pattern, "\u0002$0\u0002"), "\u0002")
+    # positions come from a copy of the text without the marker, matches from the text itself
+    clean = F.translate(text, "\u0002", "\u0003")
+    parts = F.split(F.regexp_replace(clean, pattern, "\u0002$0\u0002"), "\u0002")
     begin = F.struct(
         F.lit(0).alias("at"), F.lit(0).alias("k"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out")
     )
@@ -53,7 +54,8 @@ def spans(text: Column, pattern: str) -> Column:
         )
 
     found = F.aggregate(parts, begin, step, lambda a: a["out"])
-    return F.when(text.rlike(pattern), found)
+    own = F.transform(found, lambda s: F.struct(s["start"], s["end"], F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("match")))
+    return F.when(text.rlike(pattern), own)
 
 
 def _ref(kind: Column | str, target: Column, s: Column, listed: bool, shift: Column | int = 0) -> Column:
@@ -278,11 +280,10 @@ def term_variants(terms: DataFrame) -> DataFrame:
 
 
 TOKEN = r"[A-Za-z0-9]+"
-AHEAD = 90
 
 
-def _word_windows(chars: Column) -> Column:
-    """(start, ahead, before) of every word in an array of characters, in linear time."""
+def _word_windows(chars: Column, reach: Column) -> Column:
+    """(start, ahead, before) of every word in an array of characters; ``ahead`` has ``reach`` characters."""
     word = lambda c: c.between("0", "9") | c.between("A", "Z") | c.between("a", "z")
     opens = F.zip_with(chars, shifted(chars), lambda c, p: word(c) & ~F.coalesce(word(p), F.lit(False)))
     starts = F.filter(F.transform(opens, lambda f, i: F.when(f, i)), lambda i: i.isNotNull())
@@ -290,7 +291,7 @@ def _word_windows(chars: Column) -> Column:
         starts,
         lambda i: F.struct(
             i.alias("start"),
-            F.array_join(F.slice(chars, i + 1, F.lit(AHEAD)), "").alias("ahead"),
+            F.array_join(F.slice(chars, i + 1, reach), "").alias("ahead"),
             F.array_join(F.slice(chars, F.greatest(i - 4, F.lit(1)), F.least(i, F.lit(5))), "").alias("before"),
         ),
     )
@@ -300,22 +301,23 @@ def term_usages(clauses: DataFrame, variants: DataFrame, refs: DataFrame) -> Dat
     """Uses of defined terms: longest first, no overlap with references or each other.
 
     A word meets only the variants of its contract that start with it, and
-    carries just enough text to compare them.
+    carries just enough text to compare the longest of them.
     """
-    words = clauses.select("contract_id", "clause_id", F.split("text", "").alias("__ch")).select(
-        "contract_id", "clause_id", F.explode(_word_windows(F.col("__ch"))).alias("w")
-    ).select(
+    reach = variants.groupBy("contract_id").agg((F.max(F.length("variant")) + 1).alias("__reach"))
+    chars = clauses.join(reach, "contract_id").select("contract_id", "clause_id", "__reach", F.split("text", "").alias("__ch"))
+    words = chars.select("contract_id", "clause_id", F.explode(_word_windows(F.col("__ch"), F.col("__reach"))).alias("w")).select(
         "contract_id",
         "clause_id",
         F.regexp_extract("w.ahead", f"^({TOKEN})", 1).alias("__first"),
         F.col("w.start").alias("offset_start"),
         F.col("w.ahead").alias("__ahead"),
-        F.rtrim("w.before").alias("__before"),
+        F.regexp_replace("w.before", r"\s+$", "").alias("__before"),
+        F.substring("w.before", -2, 2).contains("\n").alias("__new_line"),
     )
     v = variants.select("contract_id", "term_id", "term", "variant", F.regexp_extract("variant", f"^({TOKEN})", 1).alias("__first"))
     size = F.length("variant")
     after = F.substring(F.col("__ahead"), size + 1, F.lit(1))
-    sentence_start = (F.col("offset_start") == 0) | F.col("__before").rlike(r"[.!?:;]$")
+    sentence_start = (F.col("offset_start") == 0) | F.col("__before").rlike(r"[.!?:;]$") | F.col("__new_line")
     hit = (
         F.col("__ahead").startswith(F.col("variant"))
         & ~after.rlike("[A-Za-z0-9_]")
@@ -357,9 +359,38 @@ def term_aliases(terms: DataFrame) -> DataFrame:
     return joined.withColumn("aliases", others).drop("__all")
 
 
-def rebuild_contract_refs(clauses: DataFrame, path: str, buckets: int = 64) -> None:
-    """Replace the stored references of the given buckets of contracts; repeating it changes nothing."""
-    found = extract_refs(clauses).unionByName(extract_list_refs(clauses)).unionByName(expand_ranges(clauses, clauses))
-    resolved = cut(resolve_refs(dedupe_refs(found), clauses))
-    placed = resolved.withColumn("bucket", F.pmod(F.xxhash64("contract_id"), F.lit(buckets)).cast("int"))
-    placed.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+def rebuild_contract_refs(clauses: DataFrame, path: str, contracts: DataFrame | None = None) -> None:
+    """Replace the stored references of exactly the given contracts (default: those of ``clauses``).
+
+    References are stored in versions; a version is complete and the newest one with
+    its end mark counts.  A rebuild writes the rows of all other contracts and the
+    new rows of the given ones as the next version, so contracts left without a
+    reference lose their rows, others keep theirs, and repeating it changes nothing.
+    """
+    spark = clauses.sparkSession
+    ids = (clauses if contracts is None else contracts).select("contract_id").distinct()
+    wanted = clauses.join(ids, "contract_id", "left_semi")
+    found = extract_refs(wanted).unionByName(extract_list_refs(wanted)).unionByName(expand_ranges(wanted, wanted))
+    new = resolve_refs(dedupe_refs(found), wanted)
+    version = stored_version(spark, path)
+    if version is not None:
+        kept = spark.read.parquet(f"{path}/version={version}").join(ids, "contract_id", "left_anti")
+        new = new.unionByName(kept)
+    new.write.mode("overwrite").parquet(f"{path}/version={(version or 0) + 1}")
+
+
+def stored_version(spark, path: str) -> int | None:
+    """The newest complete version below ``path``, or null."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return None
+    names = [x.getPath().getName() for x in fs.listStatus(root)]
+    done = [int(n[8:]) for n in names if n.startswith("version=") and fs.exists(hadoop.Path(f"{path}/{n}/_SUCCESS"))]
+    return max(done, default=None)
+
+
+def stored_refs(spark, path: str) -> DataFrame:
+    """The references of the newest complete version."""
+    return spark.read.parquet(f"{path}/version={stored_version(spark, path)}")

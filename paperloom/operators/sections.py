@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.headings import is_numbered_heading
@@ -309,112 +310,79 @@ def merge_short_sections(sections: DataFrame, threshold: int = 50) -> DataFrame:
     )
 
 
+# Fixed value: a clause number inside a heading, with text behind it.
 EMBEDDED = r"\s+(\d+\.\d+(?:\.\d+)*)\s+\S"
-MERGE_FIELDS = "section_index long, heading string, level int, zone_hint string, page_start int, page_end int, content string"
+
+
+def _opens_below(number: Column, heading: Column) -> Column:
+    """``heading`` starts with, or holds, a number below ``number``."""
+    stem = F.concat(number, F.lit("."))
+    inner = F.regexp_extract(heading, EMBEDDED, 1)
+    return F.coalesce(heading_number(heading).startswith(stem) | inner.startswith(stem), F.lit(False))
 
 
 def merge_heading_fragments(sections: DataFrame) -> DataFrame:
     """Put headings that were split over several sections together again.
 
-    Only runs of empty headings plus the section behind them interact.  Those
-    runs are islands; their rows travel as one array and a small Python step
-    folds each array.  All other sections pass by untouched.
+    Only runs of empty headings plus the section behind them interact; all other
+    sections pass by untouched.  Inside a run a numbered heading either holds its
+    number for what follows or is taken in by the group before it.  It holds where
+    it repeats the number before it or opens a level below; where it conflicts
+    instead, it holds only if the one before didn't.  So a number's state is the
+    parity of conflicts since the last agreement, and groups, their titles and
+    their targets are running values over the run.
     """
     heading, content = strip(F.coalesce("heading", F.lit(""))), strip(F.coalesce("content", F.lit("")))
     whole = heading.rlike(DEEP_HEADING) | heading.rlike(NOT_USED_HEADING)
-    loose = (content == "") & (heading != "") & ~whole
-    chunk = int_chunk("section_index")
     fields = ["section_index", "heading", "level", "zone_hint", "page_start", "page_end", "content"]
-    base = sections.select("contract_id", *fields).withColumn("__loose", loose)
-    # an island ends with the first section that is not loose: count those strictly before
+    base = sections.select("contract_id", *fields).withColumn("__loose", (content == "") & (heading != "") & ~whole)
+    # a run ends with the first section that is not loose: count those strictly before
     solid = F.when(F.col("__loose"), 0).otherwise(1)
-    isles = ordered_scan(
-        base,
-        CONTRACT,
-        ["section_index"],
-        {"__p": previous(F.col("__loose")), "__s": running_sum(solid)},
-        chunk,
-    ).withColumn("__isl", F.col("__s") - solid)
+    steps = {"__p": previous(F.col("__loose")), "__s": running_sum(solid)}
+    runs = ordered_scan(base, CONTRACT, ["section_index"], steps, int_chunk("section_index")).withColumn("__run", F.col("__s") - solid)
     busy = F.col("__loose") | F.coalesce("__p", F.lit(False))
-    untouched = isles.where(~busy).select("contract_id", *fields)
-    arrays = (
-        isles.where(busy)
-        .groupBy("contract_id", "__isl")
-        .agg(F.array_sort(F.collect_list(F.struct(*fields, "__loose"))).alias("rows"))
-        .select("contract_id", "rows")
+    untouched = runs.where(~busy).select("contract_id", *fields)
+
+    run = W.partitionBy("contract_id", "__run").orderBy("section_index")
+    before, upto = run.rowsBetween(W.unboundedPreceding, -1), run.rowsBetween(W.unboundedPreceding, W.currentRow)
+    loose, title = F.col("__loose"), F.col("__title")
+    named = runs.where(busy).withColumn("__title", heading).withColumn("__num", F.when(loose, heading_number(title)))
+    seen = named.withColumn("__held", F.last("__num", ignorenulls=True).over(before))
+    same, below = F.col("__num") == F.col("__held"), _opens_below(F.col("__held"), title)
+    linked = seen.withColumns({"__below": below, "__agrees": same | F.when(F.col("__num").isNotNull(), below)})
+    spell = linked.withColumn("__spell", F.sum(F.when(F.col("__agrees"), 1).otherwise(0)).over(upto))
+    inside = W.partitionBy("contract_id", "__run", "__spell").orderBy("section_index").rowsBetween(W.unboundedPreceding, W.currentRow)
+    conflicts = F.sum(F.when(~F.col("__agrees"), 1).otherwise(0)).over(inside)
+    state = spell.withColumn("__holds", F.when(F.col("__num").isNotNull(), conflicts % 2 == 0))
+    state = state.withColumn("__open", F.coalesce(F.last("__holds", ignorenulls=True).over(before), F.lit(False)))
+    taken = state.withColumn("__taken", loose & F.coalesce(~F.col("__holds"), F.lit(False)))
+    after_taken = F.coalesce(F.lag("__taken").over(run), F.lit(False))
+    starts = F.lag("__title").over(run).isNull() | after_taken | (F.col("__below") & F.col("__open") & (F.col("__num").isNotNull() | ~loose))
+    grouped = taken.withColumn("__group", F.sum(F.when(starts, 1).otherwise(0)).over(upto))
+
+    # the last group of a run that nothing follows stays as it is
+    whole_run = W.partitionBy("contract_id", "__run")
+    group = W.partitionBy("contract_id", "__run", "__group")
+    unclosed = (F.max("__group").over(whole_run) == F.col("__group")) & ~F.max(~loose | F.col("__taken")).over(group) & ~F.max(~loose).over(whole_run)
+    marked = grouped.withColumn("__alone", unclosed)
+    alone = marked.where("__alone").select("contract_id", *fields)
+    row = F.struct("section_index", "level", "zone_hint", "page_start", "page_end", "content", "heading", "__loose", "__taken", "__title")
+    packed = marked.where("not __alone").groupBy("contract_id", "__run", "__group").agg(F.array_sort(F.collect_list(row)).alias("__rows"))
+    first, last, n = F.col("__rows")[0], F.element_at("__rows", -1), F.size("__rows")
+    merges = (~last["__loose"] | last["__taken"]) & (n > 1)
+    zone = F.when(F.coalesce(first["zone_hint"], F.lit("contract_body")) != "contract_body", first["zone_hint"]).otherwise(last["zone_hint"])
+    titles = F.array_join(F.filter(F.transform("__rows", lambda x: x["__title"]), lambda t: t != ""), " ")
+    merged = packed.select(
+        "contract_id",
+        first["section_index"].alias("section_index"),
+        F.when(n > 1, titles).when(first["__loose"], first["__title"]).otherwise(first["heading"]).alias("heading"),
+        first["level"].alias("level"),
+        F.when(merges, zone).otherwise(first["zone_hint"]).alias("zone_hint"),
+        first["page_start"].alias("page_start"),
+        last["page_end"].alias("page_end"),
+        F.when(merges, last["content"]).otherwise(first["content"]).alias("content"),
     )
-    schema = f"contract_id long, rows array<struct<{MERGE_FIELDS.replace(' ', ':').replace(',:', ',')}>>"
-    folded = arrays.mapInPandas(_fold_batches, schema)
-    merged = folded.select("contract_id", F.explode("rows").alias("r")).select("contract_id", "r.*")
-    return untouched.unionByName(merged.select("contract_id", *fields))
-
-
-def _fold_batches(batches):
-    for pdf in batches:
-        pdf["rows"] = [fold_island([dict(r) for r in rows]) for rows in pdf["rows"]]
-        yield pdf
-
-
-def fold_island(rows: list[dict]) -> list[dict]:
-    """Fold one island: empty headings, then the section they may belong to."""
-    import re
-
-    forms = [
-        r"^\s*(\d+(?:\.\d+)*)\s",
-        r"^\s*(\d+(?:\.\d+)*)[.)]\s",
-        r"^\s*(\d+(?:\.\d+)*)[.)]\s*$",
-        r"(?i)^\s*(?:ARTICLE|CLAUSE|SECTION|CHAPTER|PART)\s+(\d+(?:\.\d+)*)\b",
-    ]
-
-    def number(text: str) -> str | None:
-        return next((m.group(1) for m in (re.match(f, text) for f in forms) if m), None)
-
-    def below(a: str | None, b: str | None) -> bool:
-        return bool(a and b and b.startswith(a + "."))
-
-    out: list[dict] = []
-    pos = 0
-    while pos < len(rows):
-        if not rows[pos]["__loose"]:
-            out.append(rows[pos])
-            pos += 1
-            continue
-        titles = [rows[pos]["heading"].strip()]
-        end = pos + 1
-        while end < len(rows) and rows[end]["__loose"]:
-            nxt = rows[end]["heading"].strip()
-            mine = next((n for n in map(number, titles) if n), None)
-            theirs = number(nxt)
-            if below(number(titles[-1]), theirs) or (mine and theirs and mine != theirs):
-                break
-            titles.append(nxt)
-            end += 1
-        if end == len(rows):
-            out.extend(rows[pos:end])
-            break
-        target = (rows[end]["heading"] or "").strip()
-        numbers = [number(t) for t in titles]
-        inner = re.search(EMBEDDED, target)
-        blocked = any(below(n, number(target)) for n in numbers) or bool(
-            inner and any(below(n, inner.group(1)) for n in numbers)
-        )
-        joined = dict(rows[pos]) if blocked else dict(rows[end])
-        if blocked:
-            joined["page_end"] = rows[end - 1]["page_end"]
-            joined["heading"] = " ".join(titles)
-            pos = end
-        else:
-            joined["heading"] = " ".join(titles + ([target] if target else []))
-            joined["level"] = rows[pos]["level"]
-            joined["page_start"] = rows[pos]["page_start"]
-            if (rows[pos]["zone_hint"] or "contract_body") != "contract_body":
-                joined["zone_hint"] = rows[pos]["zone_hint"]
-            joined["section_index"] = rows[pos]["section_index"]
-            pos = end + 1
-        out.append(joined)
-    for r in out:
-        r.pop("__loose", None)
-    return out
+    return untouched.unionByName(alone).unionByName(merged.select("contract_id", *fields))
 
 
 # ---------------------------------------------------------------- splits
@@ -453,12 +421,17 @@ def cut_at_lines(text: Column, boundary) -> Column:
     Element 0 is what stands before the first such line.
     """
     lines = F.split(text, "\n")
+    hits = F.zip_with(lines, shifted(lines), lambda x, p: F.coalesce(boundary(x, p), F.lit(False)))
+    starts = F.filter(F.transform(hits, lambda h, i: F.when(h, i + 1)), lambda i: i.isNotNull())
+    bounds = F.concat(F.array(F.lit(1)), starts, F.array(F.size(lines) + 1))
 
-    def piece(x: Column, p: Column) -> Column:
-        hit = F.coalesce(boundary(x, p), F.lit(False))
-        return F.when(hit, F.concat(F.lit("\u0002"), x)).when(p.isNull(), x).otherwise(F.concat(F.lit("\n"), x))
+    def pieces(s: Column) -> Column:
+        upto = F.slice(s["bounds"], 2, F.size(s["bounds"]) - 1)
+        return F.transform(upto, lambda b, i: F.array_join(F.slice(s["lines"], F.get(s["bounds"], i), b - F.get(s["bounds"], i)), "\n"))
 
-    return F.split(F.array_join(F.zip_with(lines, shifted(lines), piece), ""), "\u0002")
+    # lines and bounds are computed once for all pieces
+    held = F.array(F.struct(lines.alias("lines"), bounds.alias("bounds")))
+    return F.when(text.isNotNull(), F.transform(held, pieces)[0])
 
 
 def split_multi_clause(sections: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from ..functions.toc import LEADER, LEADER_WITH_NUMBER, is_toc_heading, parse_to
 from ..functions.zoning import with_part, with_zone_hint
 from ..plans.ranges import range_pages
 from ..plans.scan import first_value, following, int_chunk, ordered_scan, page_chunk, previous, running_max, running_sum
+from ..plans.scratch import cut
 
 CONTRACT = ["contract_id"]
 
@@ -126,6 +127,7 @@ def reconcile_toc(
         .groupBy("contract_id", "entry_index", "title", "page_number")
         .agg(F.min_by("sec", F.when(F.col("sec").isNotNull(), F.col("try"))).alias("sec"))
     )
+    best = cut(best, "toc-matches")  # inserts and warnings both start from it
     placed = best.where(F.col("sec").isNotNull() & (F.col("page_number") > 0))
     typed = with_zone_hint(with_part(placed, "title", "sections", "__part"), "title", "__part", "part_type")
     candidates = typed.select(
@@ -214,8 +216,11 @@ def with_boundary_score(sections: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def sub_documents(sections: DataFrame, parts: DataFrame) -> DataFrame:
-    """Groups of parts that form a document of their own."""
-    scored = with_boundary_score(sections, parts)
+    """Groups of parts that form a document of their own.
+
+    The scored parts and the groups are narrow and stored once: each is read by several steps.
+    """
+    scored = cut(with_boundary_score(sections, parts), "scored-parts")
     scanned = ordered_scan(
         scored.withColumn("__new", (F.col("signals") >= 2).cast("int")),
         CONTRACT,
@@ -230,6 +235,7 @@ def sub_documents(sections: DataFrame, parts: DataFrame) -> DataFrame:
         F.max_by("page_end", "part_index").alias("__last_end"),
         F.count(F.lit(1)).alias("n_parts"),
     )
+    groups = cut(groups, "subdoc-groups")
     counts = groups.groupBy("contract_id").agg(F.count(F.lit(1)).alias("__groups"))
     titles = _first_headings(sections, groups)
     named = groups.join(counts, "contract_id").join(titles, ["contract_id", "subdoc_index"], "left")

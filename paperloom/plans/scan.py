@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -168,7 +169,9 @@ def ordered_scan(
             for n, s in steps.items()
         ],
     )
-    joined = keyed.join(carry, [*by, "__ck"], "left")
+    carry = carry.withColumnsRenamed({c: f"__k_{c}" for c in [*by, "__ck"]})
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in [*by, "__ck"]))
+    joined = keyed.join(carry, same, "left").drop(*[f"__k_{c}" for c in [*by, "__ck"]])
     out = joined.withColumns(
         {n: _combine(s.kind, F.col(f"__l_{n}"), F.col(f"__c_{n}")) for n, s in steps.items()}
     )

@@ -12,9 +12,9 @@ BUCKETS = 64
 
 
 def publish_contract_tables(
-    contracts: DataFrame, zones: DataFrame, clauses: DataFrame, path: str, buckets: int = BUCKETS
+    contracts: DataFrame, zones: DataFrame, clauses: DataFrame, path: str, buckets: int = BUCKETS, batch: str = "0"
 ) -> None:
-    """Append the three tables under ``path``.
+    """Add the three tables under ``path`` as one batch; publishing a batch again replaces it.
 
     A contract with a broken zone row gets status ``error`` and neither zones
     nor clauses; broken clause rows are left out without failing the contract.
@@ -28,22 +28,22 @@ def publish_contract_tables(
     status = (
         F.when(F.col("__bad"), "error").when(F.coalesce("__unsure", F.lit(False)), "filtering").otherwise("ready")
     )
-    _append(marked.withColumn("status", status).drop("__bad", "__unsure"), f"{path}/contracts", buckets)
+    _append(marked.withColumn("status", status).drop("__bad", "__unsure"), f"{path}/contracts", buckets, batch)
     good_zones = zones.join(bad, "contract_id", "left_anti")
-    _append(good_zones, f"{path}/document_zones", buckets)
+    _append(good_zones, f"{path}/document_zones", buckets, batch)
     good_clauses = (
         clauses.where(F.col("text").isNotNull())
         .join(bad, "contract_id", "left_anti")
         .join(good_zones.select("contract_id").distinct(), "contract_id", "left_semi")
     )
-    _append(good_clauses, f"{path}/clauses", buckets)
+    _append(good_clauses, f"{path}/clauses", buckets, batch)
 
 
-def _append(df: DataFrame, path: str, buckets: int) -> None:
+def _append(df: DataFrame, path: str, buckets: int, batch: str) -> None:
     placed = df.withColumn("bucket", F.pmod(F.xxhash64("contract_id"), F.lit(buckets)).cast("int"))
-    placed.hint("rebalance", "bucket").write.mode("append").option("maxRecordsPerFile", 5_000_000).partitionBy(
+    placed.hint("rebalance", "bucket").write.mode("overwrite").option("maxRecordsPerFile", 5_000_000).partitionBy(
         "bucket"
-    ).parquet(path)
+    ).parquet(f"{path}/batch={batch}")
 
 
 def latest_status(status_events: DataFrame) -> DataFrame:

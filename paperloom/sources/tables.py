@@ -23,10 +23,14 @@ sub_documents array<struct<title:string,page_start:int,page_end:int>>
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """File name, size and first bytes; the content itself is not kept."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return raw.select(
-        F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.substring("content", 1, 4).alias("head")
-    )
+    return file_heads(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+
+
+def file_heads(raw: DataFrame) -> DataFrame:
+    """Name, size and first bytes of binary files; of files of a wrong size only the metadata is read."""
+    name, fits = F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").between(1, MAX_FILE_BYTES)
+    opened = raw.where(fits).select(name, "length", F.substring("content", 1, 4).alias("head"))
+    return opened.unionByName(raw.where(~fits).select(name, "length", F.lit(None).cast("binary").alias("head")))
 
 
 def validate_files(files: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..plans.scratch import scratch_path
-from ..sources.tables import validate_files
+from ..sources.tables import file_heads, validate_files
 
 
 def intake_stream(spark: SparkSession, path: str, sink: str) -> StreamingQuery:
@@ -23,10 +23,7 @@ def intake_stream(spark: SparkSession, path: str, sink: str) -> StreamingQuery:
         .option("recursiveFileLookup", "true")
         .load(path)
     )
-    files = raw.select(
-        F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.substring("content", 1, 4).alias("head")
-    )
-    checked = validate_files(files)
+    checked = validate_files(file_heads(raw))
     return file_sink(checked, sink, {"accepted": "accepted", "rejected": "not accepted"})
 
 
@@ -86,15 +83,16 @@ def quota_stream(calls: DataFrame, delay: str = "1 hour") -> DataFrame:
     )
 
 
-def rate_stream(calls: DataFrame, delay: str = "1 minute") -> DataFrame:
-    """Calls per model in sliding minutes."""
+def rate_stream(calls: DataFrame, limits: DataFrame, delay: str = "1 minute") -> DataFrame:
+    """Calls per model in sliding minutes, and whether they exceed the model's limit.
+
+    ``limits`` is a static table (model_key, minute_limit); a model without a limit never exceeds it.
+    """
     minute = F.window("ts", "1 minute", "10 seconds")
-    return (
-        calls.withWatermark("ts", delay)
-        .groupBy("model_key", minute.alias("w"))
-        .agg(F.count(F.lit(1)).alias("calls"))
-        .select("model_key", F.col("w.start").alias("window_start"), "calls")
-    )
+    counted = calls.withWatermark("ts", delay).groupBy("model_key", minute.alias("w")).agg(F.count(F.lit(1)).alias("calls"))
+    joined = counted.join(limits.select("model_key", "minute_limit"), "model_key", "left")
+    too_many = F.coalesce(F.col("calls") > F.col("minute_limit"), F.lit(False))
+    return joined.select("model_key", F.col("w.start").alias("window_start"), "calls", too_many.alias("too_many"))
 
 
 def dedup_stream(clauses: DataFrame, ttl: str = "24 hours") -> DataFrame:

@@ -4,6 +4,7 @@ import datetime
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from paperloom.operators import quota as qu
@@ -127,20 +128,30 @@ def test_throttle_with_bursts(spark):
     assert {r.event_id for r in qu.throttle_progress(df).collect()} == want
 
 
-def test_eta_smoothing_over_many_rows(spark):
+@pytest.mark.parametrize("alpha", [0.3, 0.95, 0.0, 0.999])
+def test_eta_smoothing_over_many_rows(spark, alpha):
     base = datetime.datetime(2024, 1, 1)
-    rows, want, s = [], {}, None
-    for i in range(9000):
-        p = float(10 + (i * 37) % 80)
-        raw = 10_000 / (p / 100) * (1 - p / 100) + 50_000
-        s = raw if s is None else 0.3 * s + 0.7 * raw
+    rows, want, s, before = [], {}, None, None
+    for i in range(3000):
+        p, stage = float(10 + (i * 37) % 80), 2 + (i // 1100) % 2
+        early, done = i % 50 == 7, i % 61 == 5
+        rows.append((i, 1, base + datetime.timedelta(seconds=i), stage, p, 5_000 if early else 20_000, 10_000, p, done))
+        if early:
+            want[i] = None
+            continue
+        if done:
+            want[i] = 0
+            continue
+        raw = 10_000 / (p / 100) * (1 - p / 100) + (50_000 if stage == 2 else 20_000)
+        s = raw if stage != before else alpha * s + (1 - alpha) * raw
+        before = stage
         want[i] = round(s)
-        rows.append((i, 1, base + datetime.timedelta(seconds=i), 2, p, 20_000, 10_000, p, False))
     df = spark.createDataFrame(
         rows, "event_id long, contract_id long, ts timestamp_ntz, stage int, stage_progress double, elapsed_ms long, stage_elapsed_ms long, overall double, done boolean"
     )
-    got = {r.event_id: r.eta_ms for r in qu.eta(df).collect()}
-    assert all(abs(got[i] - want[i]) <= 1 for i in want)
+    got = {r.event_id: r.eta_ms for r in qu.eta(df, alpha=alpha).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[i] == want[i] or abs(got[i] - want[i]) <= 1 for i in want)
 
 
 def test_untitled_documents_take_the_next_heading(spark, monkeypatch):

@@ -109,3 +109,10 @@ def test_definitions_split_into_two_clauses(spark):
     text += "\nas further described in the schedules that are attached to this contract"
     df = spark.createDataFrame([(1, "1.1 Definitions", text)], "id int, heading string, content string")
     assert [r.number for r in se.resplit_clauses(df).orderBy("sub").collect()] == ["1.1.1.1", "1.1.1.2"]
+
+
+def test_control_characters_dont_split_clauses(spark):
+    from paperloom.operators.clauses import split_clauses_text
+
+    got = split_clauses_text(spark.createDataFrame([(1, "one \u0002 text\u0003 \u0001 here")], "doc_id long, text string")).collect()
+    assert len(got) == 1 and got[0]["text"] == "one \u0002 text\u0003 \u0001 here"

@@ -1,5 +1,7 @@
 """Cross references and defined terms on worked examples."""
 
+from pyspark.sql import functions as F
+
 from paperloom.operators import references as rf
 
 
@@ -58,3 +60,32 @@ def test_terms_and_usages(spark):
     assert [r.matched_text for r in used] == ["Project Company", "Owner's", "day", "Owners", "Owner"]
     counts = {r.term: r.usage_count for r in rf.usage_counts(terms, rf.term_usages(df, rf.term_variants(terms), none)).collect()}
     assert counts["QNJSC"] == 1
+
+
+def test_control_characters_are_text(spark):
+    df = clauses(spark, "a\u0002b see Clause 4.2 \u0002\u0003 and Clause 9", "x")
+    got = [(r.target_ref, r.matched_text, r.offset_start) for r in rf.extract_refs(df).orderBy("offset_start").collect()]
+    text = df.first().text
+    assert got == [("4.2", "Clause 4.2", text.index("Clause 4.2")), ("9", "Clause 9", text.index("Clause 9"))]
+
+
+def test_usage_at_a_line_start_is_a_sentence_start(spark):
+    df = clauses(spark, '"day" means 24 hours.', "first line\nday one and a day", numbers=["1.1.1", "2"])
+    terms = rf.extract_terms(rf.definition_clauses(df))
+    used = rf.term_usages(df, rf.term_variants(terms), rf.extract_refs(df.where("false"))).where("clause_id = 1").collect()
+    assert [r.offset_start for r in used] == [25]
+
+
+def test_rebuild_replaces_exactly_the_given_contracts(spark, tmp_path):
+    path = str(tmp_path / "refs")
+    rows = [(c, c * 10 + i, i, str(i + 1), None, "see Clause 2 here" if i == 0 else "x") for c in range(8) for i in range(2)]
+    df = spark.createDataFrame(rows, "contract_id long, clause_id long, sort_order int, number string, zone_key string, text string")
+    rf.rebuild_contract_refs(df, path)
+    count = lambda: {r.contract_id: r["count"] for r in rf.stored_refs(spark, path).groupBy("contract_id").count().collect()}
+    assert count() == {c: 1 for c in range(8)}
+    one = df.where("contract_id = 1").withColumn("text", F.lit("nothing"))
+    for _ in range(2):
+        rf.rebuild_contract_refs(one, path)
+        assert count() == {c: 1 for c in range(8) if c != 1}
+    rf.rebuild_contract_refs(df, path, df.where("contract_id = 1"))
+    assert count() == {c: 1 for c in range(8)}

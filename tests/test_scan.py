@@ -85,3 +85,9 @@ def test_queries_do_not_depend_on_the_chunk_size(spark, monkeypatch, rows, pages
     monkeypatch.setattr(sc, "CHUNK_PAGES", pages)
     for n in names:
         assert run(n) == whole[n], n
+
+
+def test_null_keys_are_one_key(spark):
+    df = spark.createDataFrame([(None, i) for i in range(6)], "k string, pos long")
+    got = sc.ordered_scan(df, ["k"], ["pos"], {"n": sc.running_sum(F.lit(1))}, F.floor(F.col("pos") / 2)).orderBy("pos").collect()
+    assert [r.n for r in got] == [1, 2, 3, 4, 5, 6]
