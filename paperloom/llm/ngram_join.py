@@ -5,8 +5,9 @@ a tree node has the OR of its entries' bitmaps and their size range.  Two entrie
 can only link if they share a shingle among their rarest ones (prefix filter), so
 the dual traversal starts at the pairs of roots that do, instead of at all pairs:
 
-1. every entry is compared with two pivots, the entry with the smallest and the one
-   with the largest hash in the shingle buckets it shares most; links make clusters;
+1. every entry is compared with two pivots of the shingle buckets it shares most: the
+   most central entry, whose rare shingles most others share (in a group of copies the
+   one with the fewest changes), and the one with the largest hash; links make clusters;
 2. a cluster is the root of a tree, cut into nodes of about ``LEAVES`` entries;
    pairs of roots, then nodes, then entries are dropped by the largest overlap that
    shared prefix shingles, size ranges and bitmaps allow;
@@ -49,8 +50,8 @@ def prefix_length(n, percent: int):
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    """A bit per cell, in at least twice as many cells as there are shingles."""
-    size = max(64, 1 << int(2 * len(hashes) - 1).bit_length())
+    """A bit per cell, in at least four times as many cells as there are shingles."""
+    size = max(64, 1 << int(4 * len(hashes) - 1).bit_length())
     bits = np.zeros(size, np.uint8)
     bits[(hashes & np.uint64(size - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -334,16 +335,18 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     scanned = cut(_scanned(docs, size), "scanned")
     sketch = _merged(scanned.where("seg is not null").select("seg", "data"), np.int32, "add")
     rows = scanned.where("seg is null").drop("seg", "data")
-    buckets = rows.limit(0).select(F.col("key").alias("token"), "entry", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"))
+    buckets = rows.limit(0).select(F.col("key").alias("token"), "entry", F.col("key").alias("hi"), F.col("key").alias("size"))
     if len(sketch) > 1:
         tokens = cut(_prefixes(docs, sketch, size, percent), "tokens")
-        several = tokens.groupBy("token").agg(F.min("entry").alias("lo"), F.max("entry").alias("hi")).where("lo < hi")
-        buckets = cut(tokens.join(several, "token"), "buckets")
+        several = tokens.groupBy("token").agg(F.min("entry").alias("lo"), F.max("entry").alias("hi"), F.count("*").alias("size")).where("lo < hi")
+        buckets = cut(tokens.join(several.drop("lo"), "token"), "buckets")
     held = rows.where("entry is not null").groupBy("entry").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     entries = cut(held.join(buckets.select("entry").distinct(), "entry"), "entries")
 
-    pivots = [buckets.where(F.col("entry") != F.col(p)).groupBy("entry", p).count().groupBy("entry").agg(F.max(F.struct("count", p))[p].alias("b")) for p in ("lo", "hi")]
-    stars = pivots[0].unionByName(pivots[1]).select(F.least("entry", "b").alias("a"), F.greatest("entry", "b").alias("b")).distinct()
+    central = buckets.groupBy("entry").agg(F.sum("size").alias("s")).join(entries, "entry").select("entry", (F.col("s") / F.col("n")).alias("c"))
+    hubs = buckets.join(central, "entry").groupBy("token").agg(F.max(F.struct("c", "entry"))["entry"].alias("hub"))
+    most = lambda df, p: df.where(F.col("entry") != F.col(p)).groupBy("entry", p).count().groupBy("entry").agg(F.max(F.struct("count", p))[p].alias("b"))
+    stars = most(buckets.join(hubs, "token"), "hub").unionByName(most(buckets, "hi")).select(F.least("entry", "b").alias("a"), F.greatest("entry", "b").alias("b")).distinct()
     near = _with_both(stars, entries, ["n", "bits"]).mapInArrow(_possible(percent), "a long, b long")
     first = _verified(near, rows, docs, size, percent)
     more = _verified(_traversed(buckets, entries, components(first), percent).distinct(), rows, docs, size, percent)

@@ -69,4 +69,21 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from b
 """
 
-ORACLES: dict[str, str] = {"op1_host_reputation": OP1, "op4_warc_round_trip": OP4, "op9_quality_rules": OP9}
+OP6 = r"""
+with recursive w as (
+  select row_number() over () as r, doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws
+  from documents),
+s as (
+  select distinct r, g from (select r, unnest(case when len(ws) >= 4 then list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))
+    when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as g from w)),
+n as (select r, count(*) as n from s group by r),
+p as (select a.r as a, b.r as b, count(*) as c from s a join s b using (g) where a.r < b.r group by a.r, b.r),
+l as (select a, b from p join n x on x.r = a join n y on y.r = b where 100 * c >= 85 * (x.n + y.n - c)),
+both_ways as (select a, b from l union all select b, a from l),
+reach(r, t) as (select r, r from w union select reach.r, b from reach join both_ways on a = t)
+select w.doc_id, coalesce(n, 0) as n_shingles, (select min(o.doc_id) from reach join w o on o.r = t where reach.r = w.r) as component_id
+from w left join n using (r)
+"""
+
+ORACLES: dict[str, str] = {"op1_host_reputation": OP1, "op4_warc_round_trip": OP4, "op6_ngram_join": OP6, "op9_quality_rules": OP9}
