@@ -76,8 +76,11 @@ def fingerprints(grams: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.unique(best)
 
 
-def _positions(size: int, chosen: bool):
-    """Fingerprints (or all grams) of rows (key, doc_id, text)."""
+NUMBERS = ("line", "lines", "number", "number_to", "before", "after")
+
+
+def _positions(size: int):
+    """Grams of rows (key, doc_id, text), and whether they are fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,13 +91,14 @@ def _positions(size: int, chosen: bool):
                 row, number, count, h = line_table(data[part[0] : part[-1]], part - part[0])
                 end = gram_ends(row, count, size)
                 grams = gram_hashes(h, end)
-                at = fingerprints(grams, end) if chosen else np.flatnonzero(end > 0)
+                at = np.flatnonzero(end > 0)
+                chosen = np.zeros(len(grams), bool)
+                chosen[fingerprints(grams, end)] = True
                 first = np.searchsorted(row, row)  # first line of the row
                 total = np.concatenate([[0], np.cumsum(count)])
-                arrays = [pa.array(grams[at].view(np.int64)), pa.array(key[lo + row[at]]), batch.column(1).take(pa.array(lo + row[at]))]
+                arrays = [pa.array(grams[at].view(np.int64)), pa.array(key[lo + row[at]]), batch.column(1).take(pa.array(lo + row[at])), pa.array(chosen[at])]
                 extra = [at - first[at], end[at] - at, number[at], number[np.maximum(end[at], 1) - 1], total[at] - total[first[at]], total[end[at]] - total[first[at]]]
-                names = ["gram", "key", "doc_id", "line", "lines", "number", "number_to", "before", "after"]
-                yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(x.astype(np.int64)) for x in extra)], names=names)
+                yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(x.astype(np.int32)) for x in extra)], names=["gram", "key", "doc_id", "chosen", *NUMBERS])
 
     return run
 
@@ -106,23 +110,22 @@ def repeated_runs(docs: DataFrame, gram_words: int = GRAM_WORDS, least_words: in
     (doc_id, key, line), null ids last; it stays.
     """
     kind = docs.schema["doc_id"].dataType
-    schema = T.StructType().add("gram", "long").add("key", "long").add("doc_id", kind)
-    for name in ("line", "lines", "number", "number_to", "before", "after"):
-        schema = schema.add(name, "long")
+    schema = T.StructType().add("gram", "long").add("key", "long").add("doc_id", kind).add("chosen", "boolean")
+    for name in NUMBERS:
+        schema = schema.add(name, "integer")
     slim = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), "doc_id", "text")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "line")
 
-    prints = cut(slim.mapInArrow(_positions(gram_words, True), schema).select("gram", "key", "line"), "prints")
+    grams = cut(slim.mapInArrow(_positions(gram_words), schema), "grams")
+    prints = grams.where("chosen").select("gram", "key", "line")
     spots = F.struct("key", "line")
     shared = prints.groupBy("gram").agg(F.min(spots).alias("lo"), F.max(spots).alias("hi")).where("lo < hi").select("gram")
-    marked = cut(prints.join(shared, "gram").select("key").distinct(), "marked")
-    grams = slim.join(marked, "key").dropDuplicates(["key"]).select("key", "doc_id", "text").mapInArrow(_positions(gram_words, False), schema)
-    grams = cut(grams, "grams")
+    anchor = cut(prints.join(shared, "gram").select("key", "line").distinct().withColumn("anchor", F.lit(True)), "anchors")
+    grams = grams.join(anchor.select("key").distinct(), "key")
     first = grams.groupBy("gram").agg(F.min(place).alias("first"), F.max(place).alias("other")).where("first < other").select("gram", "first")
     again = grams.join(first, "gram").where(F.col("first") != place)
-    anchor = prints.join(shared, "gram").select("key", "line").distinct().withColumn("anchor", F.lit(True))
-    again = again.join(anchor, ["key", "line"], "left").select("key", "line", "lines", "number", "number_to", "before", "after", "anchor")
-    runs = again.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("line", "lines", "number", "number_to", "before", "after", "anchor"))).alias("g"))
+    again = again.join(anchor, ["key", "line"], "left").select("key", *NUMBERS, "anchor")
+    runs = again.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(*NUMBERS, "anchor"))).alias("g"))
     return runs.mapInArrow(_islands(least_words), "key long, from_line long, to_line long, words long")
 
 
