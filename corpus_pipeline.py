@@ -38,7 +38,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group (5-word shingles, similarity 0.8), and all without a word.
 
-    Of rows with equal ids in a group one stays; a null id stays where its group has no other.
+    Rows that repeat an id are one document and stay together; rows with a null id stay if one of them is the only kind of its group.
     """
     group = ngram_join.jaccard_components(docs).where("n_shingles > 0").select(F.col("component_id").alias("_c"), F.col("doc_id").alias("_d")).distinct()
     keep = group.where(F.col("_c").eqNullSafe(F.col("_d"))).select("_d").distinct().withColumn("_in", F.lit(True))

@@ -29,7 +29,7 @@ _FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes}
 #: Most labelled rows that training reads; of more, those with the least hash of their id.
 SAMPLE = 6_000
 DIMS = 2048
-EPOCHS, BATCH, REGULAR = 12, 32, 1e-4
+EPOCHS, BATCH, REGULAR = 30, 32, 1e-5
 UNKNOWN = "und"
 
 _FOLD = np.arange(256, dtype=np.uint8)
