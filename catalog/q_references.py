@@ -149,10 +149,42 @@ query(
     defs=SQL_DEFS,
     names=SQL_NAMES,
 )
-query("xr10_term_usages", lambda t: rf.term_usages(t.ref_clauses, rf.term_variants(terms(t)), rf.dedupe_refs(found(t))).select("clause_id", "term", "matched_text", "offset_start"))
+SQL_VARIANTS = """select distinct contract_id, term, variant, regexp_extract(variant, '^[A-Za-z0-9]+') as head from (select contract_id, term, unnest([term, term || chr(39) || 's', term || '’s',
+      case when not ends_with(term, 's') then term || 's' end, case when ends_with(term, 'y') and not regexp_matches(term, '(?i)[aeiou]y$') then term[1:length(term) - 1] || 'ies' end,
+      case when contains(term, '-') then replace(term, '-', '') end, case when contains(term, '-') then replace(term, '-', ' ') end]) as variant from names) x where variant is not null"""
+SQL_STARTS = """select contract_id, clause_id, i - 1 as s, substr(text, i, (select max(length(variant)) + 1 from variants)) as ahead, substr(text, greatest(i - 5, 1), least(i - 1, 5)) as before
+    from (select contract_id, clause_id, text, c, unnest(range(1, len(c) + 1)) as i from (select contract_id, clause_id, text, string_split(text, '') as c from ref_clauses) q) w
+    where regexp_matches(c[i], '[A-Za-z0-9]') and (i = 1 or not regexp_matches(c[i - 1], '[A-Za-z0-9]'))"""
+SQL_HITS = """select *, row_number() over (partition by clause_id order by length(term) desc, term, length(variant) desc, s) as rn from (
+    select distinct clause_id, term, variant, s, s + length(variant) as e from starts p join variants v on v.contract_id = p.contract_id and v.head = regexp_extract(ahead, '^[A-Za-z0-9]+')
+    where starts_with(ahead, variant) and not regexp_matches(substr(ahead, length(variant) + 1, 1), '[A-Za-z0-9_]')
+      and not ((s = 0 or regexp_matches(before, '[.!?:;]\\s*$') or contains(substr(before, -2), chr(10))) and not regexp_matches(term, '^[A-Z]'))) h"""
+# the walk keeps a use that overlaps no reference and no use kept before
+SQL_USED = """select h.clause_id, h.term, h.variant as matched_text, h.s as offset_start from hits h join (
+    with recursive rec as (
+      select h.clause_id, 0::bigint as rn, coalesce(b.busy, []) as busy, false as kept from (select distinct clause_id from hits) h
+        left join (select clause_id, list({'s': offset_start, 'e': offset_end}) as busy from deduped group by 1) b using (clause_id)
+      union all
+      select clause_id, rn, case when clash then busy else list_append(busy, {'s': s::bigint, 'e': e::bigint}) end, not clash from (
+        select h.clause_id, h.rn, r.busy, h.s, h.e, len(list_filter(r.busy, lambda o: h.s < o.e and o.s < h.e)) > 0 as clash
+        from rec r join hits h on h.clause_id = r.clause_id and h.rn = r.rn + 1) t)
+    select clause_id, rn from rec where kept) k on k.clause_id = h.clause_id and k.rn = h.rn"""
+USED = dict(FOUND, defs=SQL_DEFS, names=SQL_NAMES, variants=SQL_VARIANTS, starts=SQL_STARTS, hits=SQL_HITS, used=SQL_USED)
+query(
+    "xr10_term_usages",
+    lambda t: rf.term_usages(t.ref_clauses, rf.term_variants(terms(t)), rf.dedupe_refs(found(t))).select("clause_id", "term", "matched_text", "offset_start"),
+    "select clause_id, term, matched_text, offset_start from used",
+    **USED,
+)
+# a term that several clauses of a contract define counts for one of them only; which one is not part of the result
 query(
     "xr10_usage_counts",
-    lambda t: rf.usage_counts(terms(t), rf.term_usages(t.ref_clauses, rf.term_variants(terms(t)), rf.dedupe_refs(found(t)))).select("clause_id", "term", "usage_count"),
+    lambda t: rf.usage_counts(terms(t), rf.term_usages(t.ref_clauses, rf.term_variants(terms(t)), rf.dedupe_refs(found(t))))
+    .groupBy("contract_id", "term")
+    .agg(F.sum("usage_count").alias("usage_count")),
+    """select n.contract_id, n.term, coalesce(max(u.k), 0) as usage_count from (select distinct contract_id, term from names) n
+       left join (select c.contract_id, term, count(*) as k from used join ref_clauses c using (clause_id) group by 1, 2) u using (contract_id, term) group by 1, 2""",
+    **USED,
 )
 query(
     "xr11_term_aliases",
