@@ -10,7 +10,7 @@ the dual traversal starts at the pairs of roots that do, instead of at all pairs
    one with the fewest changes), and the one with the largest hash; links make clusters;
 2. a cluster is the root of a tree, cut into nodes of about ``LEAVES`` entries;
    pairs of roots, then nodes, then entries are dropped by the largest overlap that
-   shared prefix shingles, size ranges and bitmaps allow;
+   the places of shared shingles, size ranges and bitmaps allow;
 3. the pairs that are left are compared shingle by shingle.
 
 Pairs inside a cluster are never visited: they are connected already.  All bounds
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -135,14 +135,14 @@ def _scanned(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, sketch: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(token, entry): the rarest shingles of each entry, once in a task."""
+    """(token, entry, pos): the rarest shingles of each entry and their places in the common order, once in a task."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, seen = shared.value, set()
         for batch in batches:
             for _, sets in sets_of(batch.column(0), size):
-                tokens, entries = [], []
+                tokens, entries, places = [], [], []
                 for s in sets:
                     if not len(s) or (e := set_key(s)) in seen:
                         continue
@@ -150,10 +150,12 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, size: int, percent: int) -> D
                     order = np.lexsort((s, count[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
                     tokens.append(s[order[: prefix_length(len(s), percent)]])
                     entries.append(np.full(len(tokens[-1]), e, np.int64))
+                    places.append(np.arange(len(tokens[-1]), dtype=np.int32))
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(entries))], names=["token", "entry"])
+                    arrays = [np.concatenate(tokens).view(np.int64), np.concatenate(entries), np.concatenate(places)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["token", "entry", "pos"])
 
-    return docs.select("text").mapInArrow(run, "token long, entry long")
+    return docs.select("text").mapInArrow(run, "token long, entry long, pos int")
 
 
 def _possible(percent: int):
@@ -284,32 +286,25 @@ def _with_both(pairs: DataFrame, entries: DataFrame, columns: list[str]) -> Data
     return pairs
 
 
-def least_shared(na: Column, nb: Column, percent: int) -> Column:
-    """Least prefix shingles that two linked sets share.
+def _traversed(buckets: DataFrame, entries: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
+    """Pairs of entries of different clusters that may link: dual traversal from pairs of roots.
 
-    Of two linked sets take the one whose prefix ends first in the common order:
-    all it shares with the other inside its prefix lies in the other's prefix too.
+    Roots meet at a shared rare shingle.  Two linked sets have all they share from
+    the first such shingle on, so both must have ``need`` shingles left there.
     """
-    up = lambda x, d: F.floor((x + (d - 1)) / F.lit(d))
-    o = up(percent * (na + nb), 100 + percent)
-    beyond = lambda n: up(percent * n, 100) - 1
-    return F.greatest(F.least(o - beyond(na), o - beyond(nb)), F.lit(1))
-
-
-def _traversed(buckets: DataFrame, entries: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
-    """Pairs of entries of different clusters that may link: dual traversal from pairs of roots."""
     member = entries.join(clusters.select(F.col("node").alias("entry"), "component"), "entry", "left").withColumn("root", F.coalesce("component", "entry")).drop("component")
     member = cut(member, "members")
     root = member.groupBy("root").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    held = buckets.select("token", "entry").join(member.select("entry", "root"), "entry").select("token", "root").distinct()
+    left = (F.col("n") - F.col("pos")).alias("left")
+    held = buckets.select("token", "entry", "pos").join(member.select("entry", "root", "n"), "entry").select("token", "root", left)
+    held = held.groupBy("token", "root").agg(F.max("left").alias("left"))
     mixed = held.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
     held = cut(held.join(mixed, "token").join(root, "root"), "held")
-    other = held.select("token", F.col("root").alias("root_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
-    meet = held.join(other, "token").where((F.col("root") < F.col("root_b")) & (100 * F.col("high") >= percent * F.col("low_b")) & (100 * F.col("high_b") >= percent * F.col("low")))
-    pairs = meet.groupBy("root", "root_b").agg(F.count("*").alias("shared"), *(F.first(c).alias(c) for c in ("low", "high", "low_b", "high_b")))
-    single = (F.col("low") == F.col("high")) & (F.col("low_b") == F.col("high_b"))
-    pairs = pairs.where(~single | (F.col("shared") >= least_shared(F.col("low"), F.col("low_b"), percent))).select("root", "root_b")
-    pairs = cut(pairs, "roots")
+    other = held.select("token", *(F.col(c).alias(f"{c}_b") for c in ("root", "low", "high", "left")))
+    sizes = (100 * F.col("high") >= percent * F.col("low_b")) & (100 * F.col("high_b") >= percent * F.col("low"))
+    enough = (100 + percent) * F.least("left", "left_b") >= percent * (F.col("low") + F.col("low_b"))
+    meet = held.join(other, "token").where((F.col("root") < F.col("root_b")) & sizes & enough)
+    pairs = cut(meet.select("root", "root_b").distinct(), "roots")
     used = pairs.select(F.explode(F.array("root", "root_b")).alias("root")).distinct()
     used = member.join(used, "root").groupBy("root").agg(F.ceil(F.count("*") / LEAVES).alias("slots"))
     leaves = member.join(used, "root").withColumn("slot", F.pmod(F.xxhash64("entry"), F.col("slots")))
@@ -335,7 +330,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     scanned = cut(_scanned(docs, size), "scanned")
     sketch = _merged(scanned.where("seg is not null").select("seg", "data"), np.int32, "add")
     rows = scanned.where("seg is null").drop("seg", "data")
-    buckets = rows.limit(0).select(F.col("key").alias("token"), "entry", F.col("key").alias("hi"), F.col("key").alias("size"))
+    buckets = rows.limit(0).select(F.col("key").alias("token"), "entry", F.lit(0).alias("pos"), F.col("key").alias("hi"), F.col("key").alias("size"))
     if len(sketch) > 1:
         tokens = cut(_prefixes(docs, sketch, size, percent), "tokens")
         several = tokens.groupBy("token").agg(F.min("entry").alias("lo"), F.max("entry").alias("hi"), F.count("*").alias("size")).where("lo < hi")
