@@ -5,9 +5,12 @@ words.  Of the grams that start within the next ``gram_words`` words the one wit
 least hash is a fingerprint, so any run of lines that two places share contains
 the same fingerprint at both, as soon as it is about three grams long; a line of
 ``gram_words`` words or more is always one.  Fingerprints found at two places mark
-their documents; there a match is extended both ways over all lines whose grams
-occur at an earlier place, and a run of at least ``least_words`` words is deleted.
-Only hashes and positions are shuffled.
+their documents; there a match is extended both ways to its last line, and a run of
+at least ``least_words`` words is deleted.  For that a *back gram*, the shortest run
+of lines up to a line that holds ``gram_words`` words, stands beside the grams: the
+lines of a shared run behind its last gram are those of its back grams.  So a line
+is covered exactly where it belongs to a run of ``gram_words`` words or more that
+occurs at any earlier place.  Only hashes and positions are shuffled.
 """
 
 from __future__ import annotations
@@ -63,6 +66,25 @@ def gram_hashes(hashes: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
+def back_grams(row: np.ndarray, count: np.ndarray, hashes: np.ndarray, end: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First line, the line after the last, and hash of the back grams that are not grams themselves."""
+    total = np.concatenate([[0], np.cumsum(count)])
+    start = np.searchsorted(total, total[1:] - size, "right") - 1  # -1 where fewer words precede
+    own = start >= 0
+    own[own] = row[start[own]] == row[own]
+    stop = np.flatnonzero(own) + 1
+    start = start[own]
+    other = end[start] != stop
+    start, stop = start[other], stop[other]
+    out = np.zeros(len(start), np.uint64)
+    live, j = np.arange(len(start)), 0
+    while len(live):
+        out[live] = mix(out[live] * _NEXT + hashes[start[live] + j])
+        j += 1
+        live = live[start[live] + j < stop[live]]
+    return start, stop, mix(out + _NEXT)
+
+
 def fingerprints(grams: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Lines whose gram is the least of some window: the grams that start within one gram's lines."""
     starts = np.flatnonzero(end > 0)
@@ -80,7 +102,7 @@ NUMBERS = ("line", "lines", "number", "number_to", "before", "after")
 
 
 def _positions(size: int):
-    """Grams of rows (key, doc_id, text), and whether they are fingerprints."""
+    """Grams and back grams of rows (key, doc_id, text), and whether they are fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,10 +116,14 @@ def _positions(size: int):
                 at = np.flatnonzero(end > 0)
                 chosen = np.zeros(len(grams), bool)
                 chosen[fingerprints(grams, end)] = True
+                start, stop, back = back_grams(row, count, h, end, size)
+                marks = np.concatenate([chosen[at], np.zeros(len(start), bool)])
+                prints = np.concatenate([grams[at], back])
+                at, to = np.concatenate([at, start]), np.concatenate([end[at], stop])
                 first = np.searchsorted(row, row)  # first line of the row
                 total = np.concatenate([[0], np.cumsum(count)])
-                arrays = [pa.array(grams[at].view(np.int64)), pa.array(key[lo + row[at]]), batch.column(1).take(pa.array(lo + row[at])), pa.array(chosen[at])]
-                extra = [at - first[at], end[at] - at, number[at], number[np.maximum(end[at], 1) - 1], total[at] - total[first[at]], total[end[at]] - total[first[at]]]
+                arrays = [pa.array(prints.view(np.int64)), pa.array(key[lo + row[at]]), batch.column(1).take(pa.array(lo + row[at])), pa.array(marks)]
+                extra = [at - first[at], to - at, number[at], number[to - 1], total[at] - total[first[at]], total[to] - total[first[at]]]
                 yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(x.astype(np.int32)) for x in extra)], names=["gram", "key", "doc_id", "chosen", *NUMBERS])
 
     return run

@@ -82,3 +82,64 @@ def test_documents(spark, odd):
 
 def test_empty(none):
     assert line_winnow.dedup_lines(none).count() == 0
+
+
+def by_lines(rows):
+    """Texts after deletion, line by line: a line is covered where a run of at least W words around it equals lines at an earlier place.
+
+    Runs grow by single lines from every pair of equal lines; a covered stretch of at least 50 words goes.
+    """
+    unique = sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    table, places = [], {}
+    for d, (_, text) in enumerate(unique):
+        lines = [(i, x.strip(" \t\r\v\f"), len(re.findall(r"[^\x20\x09-\x0D]+", x))) for i, x in enumerate(text.split("\n"))]
+        table.append([x for x in lines if x[2]])
+        for a, x in enumerate(table[-1]):
+            places.setdefault(x[1], []).append((d, a))
+    out = {}
+    for d, (doc, text) in enumerate(unique):
+        lines, covered = table[d], set()
+        for a, x in enumerate(lines):
+            for e, c in places[x[1]]:
+                if (e, c) >= (d, a):
+                    break
+                other = table[e]
+                if a and c and lines[a - 1][1] == other[c - 1][1]:
+                    continue  # this pair belongs to a run that starts before
+                n = 0
+                while a + n < len(lines) and c + n < len(other) and lines[a + n][1] == other[c + n][1]:
+                    n += 1
+                if sum(y[2] for y in lines[a : a + n]) >= W:
+                    covered |= set(range(a, a + n))
+        gone, a = set(), 0
+        while a < len(lines):
+            b = a
+            while b < len(lines) and b in covered:
+                b += 1
+            if sum(x[2] for x in lines[a:b]) >= line_winnow.LEAST_WORDS:
+                gone |= set(range(lines[a][0], lines[b - 1][0] + 1))
+            a = max(b, a + 1)
+        out[doc, text] = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
+    return out
+
+
+def test_short_last_lines(spark):
+    """A run goes to its last line, however short; the earlier place of its end may be another than that of its start."""
+    rows = []
+    for i, sizes in enumerate([(37, 13), (45, 12), (20, 20, 12), (13, 37), (9, 9, 9, 9, 9, 9), (60, 3)]):
+        run = [sentence(100 * i + j, n) for j, n in enumerate(sizes)]
+        rows += [(10 * i, "\n".join(["before", *run, "after"])), (10 * i + 1, "\n".join(["else", *run, "other"])), (10 * i + 2, "\n".join(run))]
+    head, tail = sentence(900, 40), sentence(901, 12)
+    rows += [(90, head + "\nx"), (91, f"a\n{head}\n{tail}\nb"), (92, f"c\n{head}\n{tail}\nd")]
+    got = {r["doc_id"]: r["text"] for r in line_winnow.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(6):
+        assert got[10 * i + 1] == "else\nother" and got[10 * i + 2] == ""
+    assert got[91] == rows[-2][1] and got[92] == "c\nd"
+
+
+def test_documents_by_lines(spark, odd):
+    for df in (documents(spark), odd):
+        rows = [(r["doc_id"], r["text"]) for r in df.collect()]
+        want = by_lines(rows)
+        got = sorted((r["doc_id"] or -1, r["text"] or "") for r in line_winnow.dedup_lines(df.repartition(3)).collect())
+        assert got == sorted((d or -1, want.get((d, t)) or "") for d, t in rows)
