@@ -4,7 +4,9 @@ Matches of the fixed forms are seeds.  The words before a seed are a lexical
 pattern; the same pattern before other identifier-like strings suggests their kind.
 Patterns and strings make a bipartite graph that is scored in rounds: a pattern is
 as trustworthy as the strings it is found with, a string as the patterns that lead
-to it.  Texts are read once; all rounds work on the narrow table of occurrences.
+to it.  Strings that supported patterns make certain are seeds of the next step,
+which adds the patterns before them, until no string is added.  Texts are read once;
+all steps work on the narrow table of occurrences.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 CANDIDATE = re.compile(r"(?<![^\s\"'=:(<\[,;])(?=[^\s]*[0-9@])[A-Za-z0-9+(][A-Za-z0-9@._+()/-]*[A-Za-z0-9](?:[ -](?=[0-9])[0-9().-]*[0-9])*")
 CONTEXT = re.compile(r"(\S+\s+)?\S+[\s\"'=:(<\[]*$")
 ROUNDS = 3
-#: A pattern discovers if its score reaches this and it precedes so many different seeds.
+#: A pattern discovers if its score reaches this and it precedes so many different trusted strings; a string is trusted
+#: if it has a fixed form or its worth by the patterns with as many reaches the same.
 TRUST, SEEDS = 0.8, 5
 #: Characters before an identifier in which its two words of context are sought.
 AHEAD = 80
@@ -136,27 +139,39 @@ def _bit(kind: Column) -> Column:
 def trusted_patterns(seen: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, seeds: int = SEEDS) -> DataFrame:
     """(pattern, kind) that discover, from occurrences (pattern, instance, kind, may).
 
-    Round by round: a pattern's score for a kind is the sum of the scores of its
-    different strings over their number plus one; the score of a string without a
-    fixed form is 1 - product(1 - score) over the patterns before it.  The graph is
-    aggregated to different edges first, so a hot pattern or string costs no more
-    than its different neighbours.
+    A step has ``rounds`` rounds: a pattern's score for a kind is the sum of the
+    scores of its different strings over their number plus one, where a trusted
+    string counts as 1; the score of another is 1 - product(1 - score) over the
+    patterns before it.  Strings that reach ``trust`` by patterns with ``seeds``
+    trusted strings are trusted in all further steps, and all patterns before them
+    take part; the steps end when no string is added.  Trust only grows, so the
+    result does not depend on the order.  The graph is aggregated to different edges
+    first, so a hot pattern or string costs no more than its different neighbours.
     """
     edge = cut(seen.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"), F.bit_or("may").alias("may")), "edges")
     own = F.when(F.col("kind").isNotNull(), F.array(F.col("kind"))).otherwise(F.filter(F.array(*map(F.lit, range(len(KINDS)))), lambda k: F.col("may").bitwiseAND(_bit(k)) > 0))
-    arc = edge.select("pattern", "instance", F.col("kind").isNotNull().alias("seed"), F.explode(own).alias("k"))
+    arc = edge.select("pattern", "instance", F.col("kind").isNotNull().alias("sure"), F.explode(own).alias("k"))
     size = edge.groupBy("pattern").agg(F.count("*").alias("size"))
-    fixed = arc.where("seed").groupBy("pattern", "k").agg(F.count("*").alias("seeds"))
-    known = fixed.join(size, "pattern").select("pattern", "k", "seeds", "size", (F.col("seeds") / (F.col("size") + 1)).alias("score"))
-    known = cut(known, "patterns")
-    for _ in range(rounds):
-        led = arc.where("not seed").join(known.select("pattern", "k", "score"), ["pattern", "k"])
-        chance = 1 - F.exp(F.sum(F.log1p(-F.least("score", F.lit(0.999999)))))
-        strings = led.groupBy("instance", "k").agg(chance.alias("worth"))
-        sums = led.join(strings, ["instance", "k"]).groupBy("pattern", "k").agg(F.sum("worth").alias("worth"))
-        again = known.drop("score").join(sums, ["pattern", "k"], "left")
-        known = cut(again.select("pattern", "k", "seeds", "size", ((F.col("seeds") + F.coalesce("worth", F.lit(0.0))) / (F.col("size") + 1)).alias("score")), "patterns")
-    return known.where((F.col("score") >= trust) & (F.col("seeds") >= seeds)).select("pattern", F.col("k").alias("kind"))
+    chance = 1 - F.exp(F.sum(F.log1p(-F.least("score", F.lit(0.999999)))))
+    fresh = arc.where("sure").select("instance", "k").distinct().withColumn("fresh", F.lit(True))
+    while True:
+        arc = arc.join(fresh, ["instance", "k"], "left").withColumn("sure", F.col("sure") | F.col("fresh").isNotNull()).drop("fresh")
+        arc = cut(arc, "arcs")
+        held = arc.where("sure").groupBy("pattern", "k").agg(F.count("*").alias("seeds"))
+        known = held.join(size, "pattern").select("pattern", "k", "seeds", "size", (F.col("seeds") / (F.col("size") + 1)).alias("score"))
+        known = cut(known, "patterns")
+        open_arcs = arc.where("not sure").select("pattern", "instance", "k")
+        for _ in range(rounds):
+            led = open_arcs.join(known.select("pattern", "k", "score"), ["pattern", "k"])
+            strings = led.groupBy("instance", "k").agg(chance.alias("worth"))
+            sums = led.join(strings, ["instance", "k"]).groupBy("pattern", "k").agg(F.sum("worth").alias("worth"))
+            again = known.drop("score").join(sums, ["pattern", "k"], "left")
+            known = cut(again.select("pattern", "k", "seeds", "size", ((F.col("seeds") + F.coalesce("worth", F.lit(0.0))) / (F.col("size") + 1)).alias("score")), "patterns")
+        firm = known.where(F.col("seeds") >= seeds).select("pattern", "k", "score")
+        certain = open_arcs.join(firm, ["pattern", "k"]).groupBy("instance", "k").agg(chance.alias("worth")).where(F.col("worth") >= trust)
+        fresh = cut(certain.select("instance", "k", F.lit(True).alias("fresh")), "fresh")
+        if fresh.isEmpty():
+            return known.where((F.col("score") >= trust) & (F.col("seeds") >= seeds)).select("pattern", F.col("k").alias("kind"))
 
 
 def find_pii(docs: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, seeds: int = SEEDS) -> DataFrame:

@@ -55,3 +55,18 @@ def test_edges(spark, odd, none):
     assert pii.find_pii(odd).count() == odd.count() and pii.find_pii(none).count() == 0
     twice = spark.createDataFrame([(1, "a@b.c"), (1, "a@b.c"), (1, "x"), (None, "+1 234 567 890")], "doc_id long, text string")
     assert sorted(len(r["spans"]) for r in pii.find_pii(twice).collect()) == [0, 1, 1, 1]
+
+
+def test_discovered_strings_induce_patterns(spark):
+    """Numbers found behind a pattern of fixed forms make the next pattern known, and that one the next; a word before a few does not."""
+    rows = [(i, f"Please call me at +49 30 12345{i:02d} today") for i in range(60)]
+    rows += [(100 + i, f"Please call me at 030 76543{i:02d} today") for i in range(8)]
+    rows += [(200 + i, f"or just ring us: 030 76543{i:02d} now") for i in range(8)] + [(210 + i, f"or just ring us: 040 11122{i:02d} now") for i in range(1)]
+    rows += [(220 + i, f"or just ring us: 040 11133{i:02d} now") for i in range(1)]
+    rows += [(300, "the order of 030 7654301 units"), (301, "the order of 050 9998877 units")]
+    more = [(400 + i, f"or just ring us: 060 55566{i:02d} now") for i in range(6)] + [(500 + i, f"then reach out via 060 55566{i:02d} soon") for i in range(6)] + [(510, "then reach out via 070 4443322 soon")]
+    got = {r["doc_id"]: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(len(got[i]["spans"]) == 1 and got[i]["base"] == [] for i in (*range(100, 108), *range(200, 208), 210, 220))
+    assert got[300]["spans"] == [] and got[301]["spans"] == []
+    got = {r["doc_id"]: r for r in pii.find_pii(spark.createDataFrame(rows + more, "doc_id long, text string")).collect()}
+    assert all(len(got[i]["spans"]) == 1 for i in (*range(200, 208), *range(400, 406), *range(500, 506), 510))
