@@ -4,7 +4,8 @@ Each level is a beta-binomial model.  The prior of a level has the posterior mea
 of the level above as its mean; its strength comes from how far the groups of the
 level scatter around that mean beyond binomial chance (method of moments).  A page
 is allowed where an upper bound of its host's posterior good rate reaches a
-threshold: only hosts that are surely bad are blocked.
+threshold: only hosts that are surely bad are blocked.  A host without outcomes has
+the prior that its domain, suffix and all outcomes give it.
 """
 
 from __future__ import annotations
@@ -48,27 +49,37 @@ def matched_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tu
     return name, verdict
 
 
-def reputation(outcomes: DataFrame) -> DataFrame:
+def reputation(outcomes: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """Posterior of every host in ``outcomes`` (host, good 0/1): domain, suffix, pages, post_mean, post_strength.
 
+    Hosts of ``asked`` (host) without an outcome take part with 0 pages: their
+    posterior is their prior, with the mean of the domain, which without outcomes
+    has that of the suffix, and that the mean of all; the scatter of all levels
+    without outcomes adds up.  They move no other posterior.
     Rows without an outcome count for nothing, a null host is the host "".  Counts
     are aggregated map-side first, so a host with a third of all rows is one row.
-    No outcomes: no rows.
+    No outcomes and no hosts asked for: no rows.
     """
     one = F.col("good").isin(0, 1)
-    hosts = outcomes.where(one).groupBy(F.coalesce("host", F.lit("")).alias("host")).agg(F.count("*").alias("n"), F.sum("good").alias("k"))
+    name = F.coalesce("host", F.lit("")).alias("host")
+    hosts = outcomes.where(one).groupBy(name).agg(F.count("*").alias("n"), F.sum("good").cast("long").alias("k"))
+    if asked is not None:
+        none = asked.select(name).distinct().select("host", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("k"))
+        hosts = hosts.unionByName(none).groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     level = cut(with_levels(hosts), "hosts")
     domains = level.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     total = suffixes.agg(((F.sum("k") + 1) / (F.sum("n") + 2)).alias("m"))
-    suffixes = shrink(suffixes.withColumn("m", total.scalar())).select("suffix", F.col("post_mean").alias("m"))
-    domains = shrink(domains.join(suffixes, "suffix")).select("domain", F.col("post_mean").alias("m"))
+    suffixes = shrink(suffixes.withColumns({"m": total.scalar(), "u": F.lit(1.0)})).select("suffix", F.col("post_mean").alias("m"), "u")
+    domains = shrink(domains.join(suffixes, "suffix")).select("domain", F.col("post_mean").alias("m"), "u")
     return shrink(level.join(domains, "domain")).select("host", "domain", "suffix", F.col("n").alias("pages"), "post_mean", "post_strength")
 
 
 def shrink(groups: DataFrame) -> DataFrame:
     """Posterior mean and strength of groups with ``k`` good of ``n`` pages and prior mean ``m``.
 
+    1 - ``u`` is the variance of the level above in units of m (1 - m), as far as no
+    page told about it; a group without pages adds its own, c / (c + 1) at strength c.
     The groups are stored first: a scalar subquery would plan all below them again.
     """
     groups = cut(groups, "groups")
@@ -79,8 +90,13 @@ def shrink(groups: DataFrame) -> DataFrame:
     low, high = STRENGTH
     kept = F.greatest(F.least(F.coalesce(rho.scalar(), F.lit(0.0)), F.lit(1 / (low + 1))), F.lit(1 / (high + 1)))
     strength = 1 / kept - 1
+    c = F.col("strength")
+    u = F.when(n > 0, 1.0).otherwise(F.col("u") * c / (c + 1))
     return groups.withColumn("strength", strength).select(
-        *groups.columns, ((k + F.col("strength") * m) / (n + F.col("strength"))).alias("post_mean"), (n + F.col("strength")).alias("post_strength")
+        *(x for x in groups.columns if x != "u"),
+        ((k + c * m) / (n + c)).alias("post_mean"),
+        F.when(n > 0, n + c).otherwise(1 / (1 - u) - 1).alias("post_strength"),
+        u.alias("u"),
     )
 
 
@@ -89,12 +105,13 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str
 
     A fitting rule decides; else a page is blocked where the posterior good rate of
     its host lies below ``least`` by more than ``sigmas`` posterior deviations.
-    Hosts without outcomes are allowed: nothing is known against them.  A null url,
+    A host without outcomes is judged by its prior, from its domain, suffix or all
+    outcomes; without any outcomes all pages are allowed.  A null url,
     or one without ``://``, has empty host and path.  Repeated rows and rows with
     equal ids are judged one by one; columns of these names are replaced.
     """
     host, path = url_part(F.col(url), 1), url_part(F.col(url), 2)
-    rep = reputation(outcomes).select(F.col("host").alias("_host"), "post_mean", "post_strength")
+    rep = reputation(outcomes, pages.select(host.alias("host"))).select(F.col("host").alias("_host"), "post_mean", "post_strength")
     mean, strength = F.col("_rep.post_mean"), F.col("_rep.post_strength")
     bound = mean + sigmas * F.sqrt(mean * (1 - mean) / (strength + 1))
     name, verdict = matched_rule(F.col("host"), F.col("path"), rules)

@@ -49,3 +49,18 @@ def test_rules(spark, odd, none):
         assert (r["n_words"], r["word_chars"], r["n_repeat_words"], r["n_dup_lines"]) == (len(words), sum(map(len, words)), covered(words), len(lines) - len(set(lines)))
         assert r["base_failed"] == (len(words) < 20 or 100 * covered(words) > 30 * len(words)) and not (r["kept"] and r["base_failed"])
     assert quality_rules.quality_rules(none).count() == 0
+
+
+def test_unlabelled_hosts(spark):
+    """A host without outcomes has the prior of its domain, else of its suffix, else of all; it moves no other."""
+    seen = [(f"h{i % 8}.spam.org", 0) for i in range(400)] + [(f"h{i % 8}.fine.org", 1) for i in range(400)] + [(f"d{i % 40}.bad", int(i % 40 == 0)) for i in range(800)]
+    outcomes = spark.createDataFrame(seen, "host string, good int")
+    hosts = ["new.spam.org", "a.b.spam.org:8080", "new.fine.org", "new.bad", "www.d7.bad", "new.zz", "h1.spam.org", "h1.fine.org"]
+    pages = spark.createDataFrame([(i, f"http://{h}/") for i, h in enumerate(hosts)], "page_id long, url string")
+    got = {r["host"]: r for r in host_reputation.judge_urls(pages, outcomes, []).collect()}
+    assert {h: r["verdict"] for h, r in got.items()} == dict(zip(hosts, ["block", "block", "allow", "block", "block", "allow", "block", "allow"]))
+    assert all(r["upper_bound"] is not None for r in got.values())
+    asked = host_reputation.reputation(outcomes, pages.selectExpr("substring(url, 8, length(url) - 8) as host")).collect()
+    plain = {r["host"]: (r["pages"], round(r["post_mean"], 9), round(r["post_strength"], 6)) for r in host_reputation.reputation(outcomes).collect()}
+    assert {r["host"]: (r["pages"], round(r["post_mean"], 9), round(r["post_strength"], 6)) for r in asked if r["pages"]} == plain
+    assert {r["host"] for r in asked if not r["pages"]} == set(hosts[:6])
