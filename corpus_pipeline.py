@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm import boosted_quality, bpe, decontaminate, line_winnow, ngram_join
 from paperloom.llm.queries import table
-from paperloom.llm.textkit import held_out
+from paperloom.llm.textkit import held_out, row_key
 from paperloom.plans.scratch import cut
 
 #: A document of a lower score is rejected.
@@ -36,15 +36,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group (5-word shingles, similarity 0.8), and all without a word.
+    """Keeps one row of each group (5-word shingles, similarity 0.8), and all without a word.
 
-    Rows that repeat an id are one document and stay together; rows with a null id stay if one of them is the only kind of its group.
+    It is the row with the smallest id, null ids last, of equal ids the one with the
+    least key of id and text, of equal rows any one; so nothing depends on ids being there or different.
     """
-    group = ngram_join.jaccard_components(docs).where("n_shingles > 0").select(F.col("component_id").alias("_c"), F.col("doc_id").alias("_d")).distinct()
-    keep = group.where(F.col("_c").eqNullSafe(F.col("_d"))).select("_d").distinct().withColumn("_in", F.lit(True))
+    rows = ngram_join.row_components(docs).where("component is not null").groupBy("component", "doc_id", "key").count()
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "count")).alias("_f"))
+    keep = cut(first.select(F.col("_f.key").alias("_in"), (F.col("_f.count") > 1).alias("_more")), "keep")
     blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    joined = docs.join(keep, docs.doc_id.eqNullSafe(keep["_d"]), "left").where(blank | F.col("_in").isNotNull())
-    return joined.select(*(docs[c] for c in docs.columns))
+    keyed = docs.withColumns({"_key": row_key(F.col("doc_id"), F.col("text")), "_blank": blank})
+    single = keyed.join(keep, F.col("_key") == F.col("_in"), "left").where(F.col("_blank") | ~F.col("_more"))
+    # few ids repeat with their text as a rule: only these rows are compared as a whole
+    several = keyed.where(~F.col("_blank")).join(keep.where("_more"), F.col("_key") == F.col("_in")).dropDuplicates(["_key"])
+    return single.select(docs.columns).unionByName(several.select(docs.columns))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -326,6 +326,18 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     links but are never the smallest unless there is no other; repeated rows are
     copies of each other.  An empty table gives no rows.
     """
+    grouped = cut(row_components(docs, size, percent).drop("key"), "grouped")
+    smallest = grouped.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    out = grouped.join(smallest, "component", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def row_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """(key, doc_id, n, component) of every row of ``docs``, linked as by ``jaccard_components``.
+
+    ``key`` is ``textkit.row_key``, ``n`` the number of shingles; ``component`` tells
+    groups apart whatever their ids are, and is null where there is no shingle.
+    """
     docs = docs.select("doc_id", "text")
     scanned = cut(_scanned(docs, size), "scanned")
     sketch = _merged(scanned.where("seg is not null").select("seg", "data"), np.int32, "add")
@@ -347,7 +359,4 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     more = _verified(_traversed(buckets, entries, components(first), percent).distinct(), rows, docs, size, percent)
     label = components(first.unionByName(more)).select(F.col("node").alias("entry"), "component")
 
-    grouped = cut(rows.join(label, "entry", "left").select("doc_id", "n", F.coalesce("component", "entry").alias("component")), "grouped")
-    smallest = grouped.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = grouped.join(smallest, "component", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return rows.join(label, "entry", "left").select("key", "doc_id", "n", F.coalesce("component", "entry").alias("component"))

@@ -50,3 +50,18 @@ def test_odd_rows(spark, odd):
         else:
             assert out.schema == docs.schema
         assert stage(spark, docs.limit(0), FOLDER).count() == 0
+
+
+def test_one_row_of_each_group(spark):
+    """Ids that are null, repeated or shared between groups keep no copy alive."""
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    docs = [(3, one), (3, one), (3, one), (5, one + " end"), (None, one), (5, two), (7, two), (5, two + " more"), (None, three), (None, three), (None, three + " x"), (9, ""), (9, ""), (None, None)]
+    df = spark.createDataFrame([(d, t, "en", "web", len(t or "")) for d, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    for parts in (1, 5):
+        out = [(r["doc_id"], r["text"]) for r in cp.near_duplicates(spark, df.repartition(parts), FOLDER).collect()]
+        assert [x for x in out if x[1] and x[1][0] == "a"] == [(3, one)]
+        left = [x for x in out if x[1] and x[1][0] == "b"]
+        assert len(left) == 1 and left[0][0] == 5
+        left = [x for x in out if x[1] and x[1][0] == "c"]
+        assert len(left) == 1 and left[0][0] is None
+        assert sorted(str(x) for x in out if not x[1]) == ["(9, '')", "(9, '')", "(None, None)"]
