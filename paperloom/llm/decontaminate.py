@@ -7,8 +7,9 @@ in at most ``RADIUS`` bits differ in at most RADIUS / BLOCKS bits of some block,
 table of the block values near each item finds them all.  What is found is compared
 exactly: weights of shared shingles to weights of all shingles, both with repeats.
 
-A window without any shingle of an item has similarity 0 to all items, so only
-windows around such shingles are fingerprinted; this loses nothing.
+A window that has less than the least similarity of its weight in shingles of any
+items is less similar to each of them, so only the others are fingerprinted; this
+loses nothing.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from .textkit import pieces, shingles, text_bytes, words
 
 SHINGLE = 5
 LEAST = 0.8
-RADIUS = 16
+RADIUS = 24
 BLOCKS = 8
 #: Bytes of item texts that go with every task at once; a larger benchmark takes several passes.
 BLOCK_BYTES = 16 << 20
@@ -120,6 +121,9 @@ class Index:
         for part in np.split(hits, np.flatnonzero(np.diff(hits) > 2 * reach) + 1):
             lo, hi = max(0, int(part[0]) - reach), min(len(h), int(part[-1]) + reach)
             sums = running_bits(h[lo:hi], weight[lo:hi])
+            own, every = np.zeros(hi - lo, np.int64), np.concatenate([[0], np.cumsum(weight[lo:hi])])
+            own[part - lo] = weight[part]
+            own = np.concatenate([[0], np.cumsum(own)])
             for g in groups:
                 count = min(g.length, n_words) - k + 1
                 if count < 1:
@@ -128,16 +132,17 @@ class Index:
                 np.add.at(marks, np.maximum(part - lo - count + 1, 0), 1)
                 np.add.at(marks, part - lo + 1, -1)
                 start = np.flatnonzero(np.cumsum(marks)[: max(0, hi - lo - count + 1)] > 0)
+                start = start[own[start + count] - own[start] >= least * (1 - 1e-9) * (every[start + count] - every[start])]
                 if not len(start):
                     continue
                 prints = simhashes(sums, start, count)
                 found = np.zeros((len(start), len(g.numbers)), bool)
                 for b in range(BLOCKS):
                     found |= g.near[b][prints[:, b]]
-                for w, i in zip(*np.nonzero(found)):
-                    apart = int(np.bitwise_count(prints[w] ^ g.prints[i]).sum())
-                    if apart > self.radius:
-                        continue
+                ws, numbers = np.nonzero(found)
+                bits = np.bitwise_count(prints[ws] ^ g.prints[numbers]).sum(axis=1)
+                near = bits <= self.radius
+                for w, i, apart in zip(ws[near], numbers[near], bits[near].tolist()):
                     at = lo + int(start[w])
                     s = similarity(weighted_bag(h[at : at + count], weight[at : at + count]), g.bags[i])
                     if s >= least:

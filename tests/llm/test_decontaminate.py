@@ -92,3 +92,14 @@ def test_edges(spark, odd, none):
         assert sorted(map(str, decontaminate.with_leaks(odd, bench).select("doc_id", "leaks").collect())) == sorted(map(str, got.select("doc_id", "leaks").collect()))
     finally:
         decontaminate.BLOCK_BYTES = blocks
+
+
+def test_rare_far_fingerprints(spark):
+    """Of windows of similarity 0.806 about one in a hundred has a fingerprint more than 16 bits away; all are found."""
+    rng = random.Random(5)
+    items = [[f"{rng.randrange(16**6):06x}" for _ in range(32)] for _ in range(600)]
+    near = [x[:-3] + ["zzzzzz"] + x[-2:] for x in items]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(near)], "doc_id long, text string")
+    hits = lambda **kw: {r["doc_id"] for r in decontaminate.with_leaks(docs, bench, **kw).collect() if [x["item_id"] for x in r["leaks"]] == [r["doc_id"]]}
+    assert hits() == set(range(600)) and 570 < len(hits(radius=16)) < 600
