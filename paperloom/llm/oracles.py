@@ -86,4 +86,27 @@ select w.doc_id, coalesce(n, 0) as n_shingles, (select min(o.doc_id) from reach
 from w left join n using (r)
 """
 
-ORACLES: dict[str, str] = {"op1_host_reputation": OP1, "op4_warc_round_trip": OP4, "op6_ngram_join": OP6, "op9_quality_rules": OP9}
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP11 = rf"""
+with d as (select row_number() over () as r, doc_id, unnest({_TERMS}) as term from documents),
+i as (select i, item_id, term, count(*) as c from (select row_number() over () as i, item_id, unnest({_TERMS}) as term from benchmark) group by all),
+f as (select r, doc_id, term, count(*) as tf from d group by all),
+s as (select r, sum(tf)::bigint as n from f group by r),
+g as (select count(*) as docs, sum(n)::bigint as terms from s),
+w as (select term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)::double))::bigint as w from f, g where term in (select term from i) group by term, docs),
+u as (
+  select r, doc_id, f.term, w, (1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // terms)) as u
+  from f join w using (term) join s using (r), g),
+scored as (select i, item_id, r, doc_id, sum(c * w * u)::bigint as score from i join u using (term) group by all),
+ranked as (select *, row_number() over (partition by i order by score desc, doc_id nulls last) as rank from scored where score > 0)
+select item_id, rank::integer as rank, doc_id, score from ranked where rank <= 10
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_host_reputation": OP1,
+    "op4_warc_round_trip": OP4,
+    "op6_ngram_join": OP6,
+    "op9_quality_rules": OP9,
+    "op11_ball_search": OP11,
+}

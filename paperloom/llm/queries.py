@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from paperloom.plans.scratch import scratch_path
 
-from . import boosted_quality, bpe, contextual_pii, decontaminate, host_reputation, language_id, line_winnow, ngram_join, piece_prefix, quality_rules, warc
+from . import ball_search, boosted_quality, bpe, contextual_pii, decontaminate, host_reputation, language_id, line_winnow, ngram_join, piece_prefix, quality_rules, warc
 from .textkit import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +88,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
 
 
+def op11_ball_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_piece_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return piece_prefix.encode_and_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), ("n_tokens", "ids_sha256", "decoded_sha256"), keep=("doc_id",))
@@ -106,6 +110,7 @@ QUERIES: dict[str, Query] = {
         op8_line_dedup,
         op9_quality_rules,
         op10_decontaminate,
+        op11_ball_search,
         op12_piece_prefix,
     )
 }

@@ -79,7 +79,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of a batch: hash, byte span, row, and the first word of each row (one more at the end)."""
+    """Words of a batch: hash, byte span, row, and the first word of each row (one more at the end)."""
 
     hash: np.ndarray
     start: np.ndarray
@@ -88,8 +88,9 @@ class Words:
     first: np.ndarray
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
-    space = _SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, gaps: np.ndarray = _SPACE) -> Words:
+    """Runs of bytes that are no gaps, ``[^\\x20\\x09-\\x0D]+`` unless told otherwise."""
+    space = gaps[data]
     gap = np.ones(len(data) + 1, bool)
     gap[1:-1] = space[:-1]
     gap[offsets] = True  # a row ends a word
