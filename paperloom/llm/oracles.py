@@ -103,10 +103,31 @@ ranked as (select *, row_number() over (partition by i order by score desc, doc_
 select item_id, rank::integer as rank, doc_id, score from ranked where rank <= 10
 """
 
+# crc32 of the id as text, bit by bit, the lowest bit of a byte first
+_CRC = """xor(list_reduce(flatten(list_transform(string_split(x::varchar, ''), lambda ch: list_transform(range(8), lambda k: (ascii(ch) >> k) & 1))),
+  lambda crc, b: xor(crc >> 1, 3988292384 * (xor(crc, b) & 1)), 4294967295::bigint), 4294967295)"""
+
+OP13 = rf"""
+with c as (select conv_id::bigint as c, turn, sha256(length(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, '')) as d,
+    octet_length(encode(coalesce(text, '')))::bigint as b from conversations where conv_id is not null),
+own as (select c, list({{'d': d, 'b': b}} order by turn nulls first, substr(d, 1, 30)) as ts, c - c % 5 as base from c group by c),
+cut as (select *, {_CRC.replace("x::varchar", "c::varchar")} % 9 as h from own),
+built as (select x.c, list_concat(coalesce(y.ts[1:x.h], []), x.ts[x.h + 1:]) as ts from cut x left join own y on y.c = x.base),
+members as (select c, len(ts) as size, unnest(range(0, len(ts) + 1)) as depth, ts from built),
+keyed as (select c, size, depth, array_to_string(list_transform(ts[1:depth], lambda t: t.d), '') as key, coalesce(ts[depth].b, 0) as b from members),
+nodes as (select depth, key, min(c) as conv_id, count(*) as n, min(b) as b, coalesce(string_agg(c::varchar, ',' order by c) filter (size = depth), '') as ends from keyed group by all),
+kids as (select depth - 1 as depth, left(key, (depth - 1) * 64) as key, count(*) as n_children from nodes where depth > 0 group by all),
+below as (select n.*, unnest(range(0, depth + 1)) as up, coalesce(n_children, 0) as n_children from nodes n left join kids using (depth, key)),
+sums as (select up as depth, left(key, up * 64) as key, sum((n_children = 0)::bigint)::bigint as n_leaves, sum((n - 1) * b)::bigint as saved_tokens from below group by all)
+select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n as n_convs, coalesce(n_children, 0) as n_children, n_leaves, saved_tokens, sha256(n.ends) as ends_sha256
+from nodes n left join kids using (depth, key) join sums using (depth, key) left join nodes p on p.depth = n.depth - 1 and p.key = left(n.key, p.depth * 64)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_host_reputation": OP1,
     "op4_warc_round_trip": OP4,
     "op6_ngram_join": OP6,
     "op9_quality_rules": OP9,
     "op11_ball_search": OP11,
+    "op13_prefix_trie": OP13,
 }

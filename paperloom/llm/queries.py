@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from paperloom.plans.scratch import scratch_path
 
-from . import ball_search, boosted_quality, bpe, contextual_pii, decontaminate, host_reputation, language_id, line_winnow, ngram_join, piece_prefix, quality_rules, warc
+from . import ball_search, boosted_quality, bpe, contextual_pii, decontaminate, host_reputation, language_id, line_winnow, ngram_join, piece_prefix, prefix_trie, quality_rules, warc
 from .textkit import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,6 +97,14 @@ def op12_piece_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_prefix.encode_and_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), ("n_tokens", "ids_sha256", "decoded_sha256"), keep=("doc_id",))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation takes its head from the one whose id is the next lower multiple of five."""
+    trie = prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), lambda c: c - c % 5, lambda c: F.crc32(c.cast("string").cast("binary")) % 9)
+    nodes = trie.nodes.join(trie.digests(), list(prefix_trie.KEY), "left")
+    ends = F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256")
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", ends)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -112,5 +120,6 @@ QUERIES: dict[str, Query] = {
         op10_decontaminate,
         op11_ball_search,
         op12_piece_prefix,
+        op13_prefix_trie,
     )
 }

@@ -16,7 +16,7 @@ def ordered(rows):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(name, spark):
     con = duckdb.connect()
-    for t in "documents pages benchmark labels".split():
+    for t in "documents pages benchmark labels conversations".split():
         con.execute(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
     df = QUERIES[name](spark, FOLDER)
     cols = sorted(df.columns)
