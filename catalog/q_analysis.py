@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import text as tx
 from paperloom.operators import analysis as an
 from paperloom.operators import quota as qu
+from paperloom.operators import scoring as sg
 from paperloom.plans.scratch import scratch_path
 from paperloom.streaming import jobs as st
 
@@ -77,19 +78,68 @@ def _queue(t):
     top = an.score_references(t.clause_vectors.where("vector is not null"), t.references, 3)
     ranked = an.top_references(top, 3).join(t.references.select("ref_id", "reference", "ref_text"), "ref_id")
     clauses = t.clauses.join(t.analyses.select("clause_id", "risk_level"), "clause_id", "left")
-    return an.analysis_queue(clauses, ranked).select("clause_id", "piece_no", F.md5("prompt").alias("h"), "is_long", "needs_recheck")
+    return an.analysis_queue(clauses, ranked)
 
 
+SQL_QUEUE = """select c.clause_id, k as piece_no, case when r.block is not null then 'Compare with:' || chr(10) || r.block || chr(10) || chr(10) else '' end || 'Clause:' || chr(10)
+         || substr(text, 1 + 2000 * k, 2000) as prompt, length(text) > 2000 as is_long, coalesce(a.risk_level = 'high', false) as needs_recheck
+       from (select *, unnest(range(greatest(1, (length(text) + 1999) // 2000))) as k from clauses) c left join analyses a on a.clause_id = c.clause_id
+       left join (select clause_id, string_agg('- ' || line, chr(10) order by rank) as block from top group by 1) r on r.clause_id = c.clause_id"""
 query(
     "sc26_analysis_queue",
-    _queue,
-    """select c.clause_id, k as piece_no, md5(case when r.block is not null then 'Compare with:' || chr(10) || r.block || chr(10) || chr(10) else '' end || 'Clause:' || chr(10)
-         || substr(text, 1 + 2000 * k, 2000)) as h, length(text) > 2000 as is_long, coalesce(a.risk_level = 'high', false) as needs_recheck
-       from (select *, unnest(range(greatest(1, (length(text) + 1999) // 2000))) as k from clauses) c left join analyses a on a.clause_id = c.clause_id
-       left join (select clause_id, string_agg('- ' || line, chr(10) order by rank) as block from top group by 1) r on r.clause_id = c.clause_id""",
+    lambda t: _queue(t).select("clause_id", "piece_no", F.md5("prompt").alias("h"), "is_long", "needs_recheck"),
+    "select clause_id, piece_no, md5(prompt) as h, is_long, needs_recheck from queue",
+    refs=SQL_REFS,
+    scores=SQL_SCORES,
+    top=SQL_TOP,
+    queue=SQL_QUEUE,
+)
+
+# the scorer of short prompts is asked first; the pieces it can't take go to the second
+SHORT = 900
+
+
+def _scored(t):
+    docs = t.base("documents").join(t.base("labels"), "doc_id").select("text", (F.col("quality") == 0).alias("risky"))
+    model = sg.learn_word_model(docs)
+    chain = [sg.Scorer("flash25", sg.short_prompts(SHORT, sg.word_risk), model), sg.Scorer("flash25Lite", sg.word_risk, model)]
+    return sg.score_pieces(_queue(t).select("clause_id", "piece_no", "prompt"), chain)
+
+
+def _score_fn(t):
+    answers = an.ingest_answers(sg.worst_answers(_scored(t)), t.answers.limit(0).select("clause_id", "answer"))
+    return answers.select("clause_id", "risk_level", "risk_summary", "model")
+
+
+_MD5_BUCKET = "('0x' || md5(lower(w))[1:3])::int"
+query(
+    "score_fn",
+    _score_fn,
+    """select clause_id, level as risk_level, 'mean weight ' || mean as risk_summary, case when length(prompt) <= 900 then 'flash25' else 'flash25Lite' end as model from graded
+       qualify row_number() over (partition by clause_id order by case level when 'high' then 0 when 'medium' then 1 else 2 end, piece_no) = 1""",
+    refs=SQL_REFS,
+    scores=SQL_SCORES,
+    top=SQL_TOP,
+    queue=SQL_QUEUE,
+    learnt=f"""select b, floor(1000 * ln((sum(y) + 1) / (sum(1 - y) + 1)::double))::bigint as weight from (
+        select distinct doc_id, (quality = 0)::int as y, {_MD5_BUCKET} as b from (
+          select d.doc_id, quality, unnest(regexp_extract_all(text, '[A-Za-z]{{2,}}')) as w from documents d join labels l on l.doc_id = d.doc_id) x) y group by b""",
+    weighed=f"""select clause_id, piece_no, prompt, sum(coalesce(weight, 0))::bigint as total, count(*) as n from (
+        select *, {_MD5_BUCKET} as b from (select *, unnest(regexp_extract_all(prompt, '[A-Za-z]{{2,}}')) as w from queue) x) q left join learnt using (b) group by all""",
+    graded="select *, case when mean >= 60 then 'high' when mean >= 0 then 'medium' else 'low' end as level from (select *, floor(total / n)::bigint as mean from weighed) x",
+)
+query(
+    "score_fn_failures",
+    # a chain of the scorer of short prompts alone: what it can't take stays as a row with its error
+    lambda t: sg.score_pieces(
+        _queue(t).select("clause_id", "piece_no", "prompt"), [sg.Scorer("flash25", sg.short_prompts(SHORT, lambda _, ps: ["{}"] * len(ps)))]
+    ).select("clause_id", "piece_no", F.coalesce("error", F.lit("")).alias("error"), F.coalesce("answer", F.lit("")).alias("answer")),
+    """select clause_id, piece_no, case when length(prompt) > 900 then 'flash25: RESOURCE_EXHAUSTED: prompt too long' else '' end as error,
+         case when length(prompt) > 900 then '' else '{}' end as answer from queue""",
     refs=SQL_REFS,
     scores=SQL_SCORES,
     top=SQL_TOP,
+    queue=SQL_QUEUE,
 )
 query(
     "sc27_ingest_answers",
@@ -224,15 +274,17 @@ query(
 query(
     "wn33_eta",
     lambda t: qu.eta(t.progress.withColumn("stage", F.floor(F.col("event_id") / 2000).cast("int") + 1)).select("event_id", "stage", "eta_ms"),
+    # whole numbers of 1e-20 ms; what is rounded up has a fraction of 0.5 - 5e-10 or more, as rounding to nine places first gives
     """select p.event_id, cast(p.event_id // 2000 + 1 as int) as stage, case when p.event_id // 2000 + 1 <> 5 and elapsed_ms >= 8000 and overall > 0 and done then 0
-         when s is not null then greatest(0, round(s))::bigint end as eta_ms from progress p left join (with recursive o as (
+         when s is not null then greatest(0, (s + 50000000050000000000::hugeint) // 100000000000000000000::hugeint)::bigint end as eta_ms from progress p left join (with recursive o as (
          select *, row_number() over (partition by contract_id order by ts, event_id) as rn,
-           case when least(stage_progress / 100, 0.99) > 0.05 and stage_elapsed_ms > 3000 then stage_elapsed_ms / least(stage_progress / 100, 0.99) * (1 - least(stage_progress / 100, 0.99))
-             else (case stage when 1 then 5000 when 2 then 180000 when 3 then 30000 when 4 then 20000 else 60000 end) * (1 - least(stage_progress / 100, 0.99)) end
-           + case stage when 1 then 230000 when 2 then 50000 when 3 then 20000 else 0 end as raw
+           case when least(stage_progress, 99) > 5 and stage_elapsed_ms > 3000
+             then stage_elapsed_ms::hugeint * (100 - least(stage_progress, 99)::hugeint) * 100000000000000000000::hugeint // greatest(1, least(stage_progress, 99)::hugeint)
+             else (case stage when 1 then 5000 when 2 then 180000 when 3 then 30000 when 4 then 20000 else 60000 end)::hugeint * (100 - least(stage_progress, 99)::hugeint) * 1000000000000000000::hugeint end
+           + (case stage when 1 then 230000 when 2 then 50000 when 3 then 20000 else 0 end)::hugeint * 100000000000000000000::hugeint as raw
          from (select * replace (cast(event_id // 2000 + 1 as int) as stage) from progress) p where stage <> 5 and elapsed_ms >= 8000 and overall > 0 and not done),
-       rec as (select contract_id, rn, event_id, stage, raw::double as s from o where rn = 1
-         union all select o.contract_id, o.rn, o.event_id, o.stage, case when o.stage = r.stage then 0.3::double * r.s + 0.7::double * o.raw else o.raw end
+       rec as (select contract_id, rn, event_id, stage, raw as s from o where rn = 1
+         union all select o.contract_id, o.rn, o.event_id, o.stage, case when o.stage = r.stage then (3 * r.s + 7 * o.raw) // 10 else o.raw end
          from rec r join o on o.contract_id = r.contract_id and o.rn = r.rn + 1)
        select * from rec) x on x.event_id = p.event_id""",
 )

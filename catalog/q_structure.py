@@ -9,13 +9,14 @@ from paperloom.functions import lines as ln
 from paperloom.functions import numbering as nb
 from paperloom.functions import text as tx
 from paperloom.functions import zoning as zn
+from paperloom.functions.rules import register_rules
 from paperloom.operators import clauses as cl
 from paperloom.operators import dashboards as da
 from paperloom.operators import layout as ly
 from paperloom.operators import sections as se
 from paperloom.operators import toc as tc
 
-from .q_text import heading_line_sql, toc_line_sql, SQL_TOC_LINES, _toc_lines
+from .q_text import heading_line_sql, pattern_table, toc_line_sql, SQL_TOC_LINES, _toc_lines
 from .registry import apart, query
 from .sqltext import (
     NON_TARGET, cross_ref, detect_part, ex, heading_number, hint, remainder_kind, rep, rest_case, kind_case, rx, strip, upper_ratio, ws, zone_hint,
@@ -287,6 +288,14 @@ query(
     pn=SQL_PN,
     dparts=SQL_PARTS,
 )
+query(
+    "register_rules_parts",
+    lambda t: se.document_parts(_part_sections(t), register_rules(pattern_table(t, "sections"))),
+    "select contract_id, part_no, part_type, title, page_start, page_end, section_count from dparts",
+    ps=SQL_PS,
+    pn=SQL_PN,
+    dparts=SQL_PARTS,
+)
 
 
 def _wn13(t):

@@ -10,6 +10,7 @@ from paperloom.functions import lines as ln
 from paperloom.functions import numbering as nb
 from paperloom.functions import text as tx
 from paperloom.functions import zoning as zn
+from paperloom.functions.rules import register_rules
 from paperloom.functions.toc import parse_toc_line
 from paperloom.functions.vectors import cosine
 
@@ -90,6 +91,30 @@ query(
         (select doc_id, pos, {zone_hint('text', detect_part('text', 'sections'))} as z from labels) x""",
     labels=SQL_LABELS,
 )
+
+
+def pattern_table(t, ruleset):
+    """The rule set as a table among rules that match nothing here: 1,000 rules, priorities kept."""
+    rows = [(10 * p, key, target, pattern) for p, key, target, pattern in zn.part_rules(ruleset)]
+    rows += [(i % 160, f"other_{i}", i % 2 == 0, rf"^\s*unheard-of\s+rule\s+{i}\b|^\s*rule\s+{i}\s+unheard\s+of\b") for i in range(1000 - len(rows))]
+    return t.spark.createDataFrame(rows, "priority int, key string, is_target boolean, pattern string")
+
+
+query(
+    "register_rules_sections",
+    lambda t: zn.classify_zones(_labels(t), "text", "sections", register_rules(pattern_table(t, "sections"))).select("doc_id", "pos", "zone_key", "is_target"),
+    f"""select doc_id, pos, z as zone_key, z not in {NON_TARGET} as is_target from
+        (select doc_id, pos, {zone_hint('text', detect_part('text', 'sections'))} as z from labels) x""",
+    labels=SQL_LABELS,
+)
+query(
+    "register_rules_layout",
+    lambda t: zn.classify_zones(_labels(t), "text", "layout", register_rules(pattern_table(t, "layout"))).where("zone_key is not null").select("doc_id", "pos", "zone_key", "is_target"),
+    f"""select doc_id, pos, z as zone_key, z in ('contract_agreement', 'general_conditions', 'particular_conditions', 'conditions_of_contract',
+          'commercial_terms', 'definitions', 'letter_of_acceptance') as is_target from
+        (select doc_id, pos, {detect_part('text', 'layout')} as z from labels) x where z is not null""",
+    labels=SQL_LABELS,
+)
 query(
     "sc9_classify_zones_layout",
     lambda t: zn.classify_zones(_labels(t), "text", "layout").where("zone_key is not null").select("doc_id", "pos", "zone_key", "is_target"),

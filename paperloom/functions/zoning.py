@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rules import Rules
 from .text import normalize_ws, strip, upper_ratio
 
 # Zones that are never analysed.
@@ -272,10 +273,12 @@ def with_part(
     bold_ratio: Column | None = None,
     size_ratio: Column | None = None,
     upper_hint: Column | None = None,
+    rules: Rules | None = None,
 ) -> DataFrame:
     """Add the part key a heading names, null when it names none.
 
-    The cleaned heading is a column of its own, so the many tests share it.
+    The cleaned heading is a column of its own, so the many tests share it.  Registered
+    ``rules`` take the place of the rule set's patterns; its guards stay.
     """
     raw = F.coalesce(F.col(heading), F.lit(""))
     clean = normalize_ws(raw) if ruleset == "layout" else strip(F.replace(raw, F.lit("\n"), F.lit(" ")))
@@ -303,12 +306,12 @@ def with_part(
         & (words <= 12)
         & shaped
     )
-    key = (
-        F.when(t == "", None)
-        .when(agreement, "contract_agreement")
-        .when(t.rlike(TRIGGER_GENERAL), "general_conditions")
-        .when(guard & t.rlike(_any_pattern(ruleset)), _first_pattern(t, ruleset))
-    )
+    named = F.when(t == "", None).when(agreement, "contract_agreement").when(t.rlike(TRIGGER_GENERAL), "general_conditions")
+    if rules is not None:
+        # only headings that the guards let through reach the rules
+        asked = df.withColumn("__t", clean).withColumn("__ask", F.when(guard & (t != ""), t)).withColumn("__rule", rules.key(F.col("__ask")))
+        return asked.withColumn(out, named.otherwise(F.col("__rule"))).drop("__t", "__ask", "__rule")
+    key = named.when(guard & t.rlike(_any_pattern(ruleset)), _first_pattern(t, ruleset))
     return df.withColumn("__t", clean).withColumn(out, key).drop("__t")
 
 
@@ -332,12 +335,17 @@ def with_zone_hint(df: DataFrame, heading: str, part: str, out: str) -> DataFram
     )
 
 
-def classify_zones(df: DataFrame, heading: str, ruleset: str = "sections") -> DataFrame:
+def part_rules(ruleset: str) -> list[tuple[int, str, bool, str]]:
+    """A rule set as rows (priority, key, is_target, pattern)."""
+    return [(i, key, target, "|".join(patterns)) for i, (key, target, patterns) in enumerate(PART_PATTERNS[ruleset])]
+
+
+def classify_zones(df: DataFrame, heading: str, ruleset: str = "sections", rules: Rules | None = None) -> DataFrame:
     """Add ``zone_key`` and ``is_target`` for a heading column."""
-    staged = with_part(df, heading, ruleset, "__part")
+    staged = with_part(df, heading, ruleset, "__part", rules=rules)
     if ruleset == "layout":
         out = staged.withColumnRenamed("__part", "zone_key")
-        target = part_is_target(F.col("zone_key"), ruleset)
+        target = part_is_target(F.col("zone_key"), ruleset) if rules is None else rules.is_target(F.col("zone_key"))
     else:
         out = with_zone_hint(staged, heading, "__part", "zone_key").drop("__part")
         target = analysis_target(F.col("zone_key"))

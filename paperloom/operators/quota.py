@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import math
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.calendar import quota_day_start
-from ..plans.scan import island, last_value, ordered_scan, previous, running_sum, time_chunk
+from ..plans.scan import RATE, VALUE, affine_scan, island, last_value, ordered_scan, plain_keys, previous, running_sum, time_chunk
 from ..plans.scratch import cut
 
 # Calls per day, calls per minute and least interval in ms per model.
@@ -128,134 +128,125 @@ def rate_violations(llm_calls: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def throttle_progress(progress: DataFrame, seconds: int = 3) -> DataFrame:
-    """Keep changed values, at most one per ``seconds`` since the last kept one.
+    """Keep changed values, at most one per ``seconds`` since the last kept one; null is a value like others.
 
     After a pause of ``seconds`` the next value is compared only with the last
     kept value, and afterwards that value is the last kept one whichever way
     it went.  So the rows between two pauses form a burst with two possible
-    courses, first row kept or first row dropped.  Both are computed per burst,
-    row by row in one stream, and a running pass over the bursts picks one:
-    no contract has to fit into one task.
+    courses, first row kept or first row dropped.  Inside a burst the row kept
+    after a kept row depends on that row alone: both courses follow the same
+    pointers from two rows, found by doubling them.  A running pass over the bursts
+    picks one course for each: no contract and no burst has to fit into one task.
     """
     order = ["ts", "event_id"]
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    timed = progress.withColumn("__ms", ms)
+    timed = progress.withColumn("__ms", F.unix_millis(F.col("ts").cast("timestamp")))
     pause = lambda p, c: c - p >= seconds * 1000
-    bursts = ordered_scan(timed, ["contract_id"], order, {"__b": island(F.col("__ms"), pause)}, time_chunk("ts"))
-    schema = bursts.schema.add("__ka", "boolean").add("__kb", "boolean")
-    streamed = cut(
-        bursts.repartition("contract_id", "__b")
-        .sortWithinPartitions("contract_id", "__b", *order)
-        .mapInPandas(_burst_courses(seconds * 1000), schema)
-    )
-    key = F.struct(*order)
-    first = F.min_by("percent", key)
-    summary = cut(
-        streamed.groupBy("contract_id", "__b").agg(
-            first.alias("__first"),
-            F.max_by("percent", F.when(F.col("__ka"), key)).alias("__ea"),
-            F.coalesce(F.max_by("percent", F.when(F.col("__kb"), key)), first).alias("__eb"),
-            F.min("ts").alias("ts"),
-        )
+    steps = {"__b": island(F.col("__ms"), pause), "__run": island(F.col("percent")), "__n": running_sum(F.lit(1).cast("long"))}
+    scanned = ordered_scan(timed, ["contract_id"], order, steps, time_chunk("ts"))
+    keys = plain_keys(scanned, ["contract_id"])
+    rows = cut(scanned.withColumns(keys), "progress")
+    key = [*keys]
+    bursts = rows.groupBy(*key, "__b").agg(F.min("__n").alias("__start"), F.max("__n").alias("__stop"), F.min("ts").alias("ts"), F.min_by("contract_id", "__n").alias("contract_id"))
+    bursts = cut(bursts, "bursts")
+    courses = _burst_courses(rows, bursts, key, seconds * 1000)
+    marked = rows.join(bursts.select(*key, "__b", "__start", "__stop"), [*key, "__b"]).join(courses, [*key, "__n"], "left")
+    first = F.col("__n") == F.col("__start")
+    marked = marked.withColumns({"__ka": first | F.coalesce(F.col("__a") > 0, F.lit(False)), "__kb": F.coalesce(F.col("__c") > 0, F.lit(False))}).drop("__a", "__c")
+    streamed = cut(marked, "courses")
+    value = F.struct("percent")
+    summary = streamed.groupBy(*key, "__b").agg(
+        F.min_by(value, "__n").alias("__first"),
+        F.max_by(value, F.when(F.col("__ka"), F.col("__n"))).alias("__ea"),
+        F.coalesce(F.max_by(value, F.when(F.col("__kb"), F.col("__n"))), F.min_by(value, "__n")).alias("__eb"),
+        F.min("ts").alias("ts"),
     )
+    summary = cut(summary, "ends")
     # course a (first row kept) unless the burst before ended on the same value
     chunk = time_chunk("ts")
-    before = ordered_scan(
-        summary, ["contract_id"], ["__b"], {"__pa": previous(F.col("__ea")), "__pb": previous(F.col("__eb"))}, chunk
-    )
+    before = ordered_scan(summary, key, ["__b"], {"__pa": previous(F.col("__ea")), "__pb": previous(F.col("__eb"))}, chunk)
     start = F.col("__pa").isNull()
-    after_a = start | (F.col("__pa") != F.col("__first"))
-    after_b = start | (F.col("__pb") != F.col("__first"))
+    after_a = start | ~F.col("__pa").eqNullSafe(F.col("__first"))
+    after_b = start | ~F.col("__pb").eqNullSafe(F.col("__first"))
     modes = before.withColumns(
         {
             "__const": F.when(after_a == after_b, F.struct("__b", after_a.alias("v"))),
             "__swap": F.when(~after_a & after_b, 1).otherwise(0),
         }
     )
-    passes = ordered_scan(
-        modes, ["contract_id"], ["__b"], {"__lc": last_value(F.col("__const")), "__sw": running_sum(F.col("__swap"))}, chunk
-    )
-    at_const = ordered_scan(
-        passes,
-        ["contract_id"],
-        ["__b"],
-        {"__s0": last_value(F.when(F.col("__const").isNotNull(), F.col("__sw")))},
-        chunk,
-    )
+    passes = ordered_scan(modes, key, ["__b"], {"__lc": last_value(F.col("__const")), "__sw": running_sum(F.col("__swap"))}, chunk)
+    at_const = ordered_scan(passes, key, ["__b"], {"__s0": last_value(F.when(F.col("__const").isNotNull(), F.col("__sw")))}, chunk)
     flips = (F.col("__sw") - F.col("__s0")) % 2 == 1
-    picked = at_const.select("contract_id", "__b", (F.col("__lc.v") != flips).alias("__a"))
-    chosen = streamed.join(picked, ["contract_id", "__b"])
+    picked = at_const.select(*key, "__b", (F.col("__lc.v") != flips).alias("__a"))
     kept = F.when(F.col("__a"), F.col("__ka")).otherwise(F.col("__kb"))
-    return chosen.where(kept).select(*progress.columns)
+    return streamed.join(picked, [*key, "__b"]).where(kept).select(*progress.columns)
 
 
-def _burst_courses(wait_ms: int):
-    def run(batches):
-        key, a, b = None, None, None
-        for pdf in batches:
-            keep_a, keep_b = [], []
-            for contract, burst, ms, value in zip(pdf["contract_id"], pdf["__b"], pdf["__ms"], pdf["percent"]):
-                if (contract, burst) != key:
-                    key, a, b = (contract, burst), (ms, value), (None, value)
-                    keep_a.append(True)
-                    keep_b.append(False)
-                    continue
-                for state, out in (("a", keep_a), ("b", keep_b)):
-                    last_ms, last = a if state == "a" else b
-                    ok = value != last and (last_ms is None or ms - last_ms >= wait_ms)
-                    out.append(ok)
-                    if ok and state == "a":
-                        a = (ms, value)
-                    elif ok:
-                        b = (ms, value)
-            yield pdf.assign(__ka=keep_a, __kb=keep_b)
+def _burst_courses(rows: DataFrame, bursts: DataFrame, key: list[str], wait_ms: int) -> DataFrame:
+    """(key, __n, __a, __c): rows kept if their burst's first row is kept (__a), or dropped (__c).
 
-    return run
-
-
-def eta(progress: DataFrame, stage_ms: dict[int, int] | None = None, alpha: float = ETA_ALPHA) -> DataFrame:
+    The row after a kept one is the first that is ``wait_ms`` later or, where that has
+    the kept value, the first of the next run of equal values.  Only bursts of several
+    rows are followed.
+    """
+    inside = cut(rows.join(bursts.where("__stop > __start").select(*key, "__b", "__start"), [*key, "__b"]).select(*key, "__b", "__start", "__n", "__ms", "__run", "percent"), "inside")
+    # later times come first: what was seen last is the earliest row not before a time
+    seen = inside.select(*key, "__b", (-F.col("__ms")).alias("__t"), F.lit(0).alias("__asks"), (-F.col("__n")).alias("__m"), F.struct("__n", "__run", "percent").alias("__to"))
+    asks = inside.select(*key, "__b", (-F.col("__ms") - wait_ms).alias("__t"), F.lit(1).alias("__asks"), (-F.col("__n")).alias("__m"), F.lit(None).cast(seen.schema["__to"].dataType).alias("__to"))
+    span = F.floor(F.col("__t") / max(60_000, 16 * wait_ms))
+    found = ordered_scan(seen.unionByName(asks), [*key, "__b"], ["__t", "__asks", "__m"], {"__at": last_value(F.col("__to"))}, span)
+    found = found.where("__asks = 1").select(*key, (-F.col("__m")).alias("__n"), "__at")
+    runs = inside.groupBy(*key, "__b", "__run").agg(F.min("__n").alias("__change"))
+    after = lambda run: runs.select(*key, "__b", (F.col("__run") - 1).alias(run), "__change")
+    asked = inside.join(found, [*key, "__n"]).withColumn("__at_run", F.col("__at.__run"))
+    asked = asked.join(after("__at_run"), [*key, "__b", "__at_run"], "left")
+    same = F.col("__at.percent").eqNullSafe(F.col("percent"))
+    jump = cut(asked.select(*key, "__n", F.when(same, F.col("__change")).otherwise(F.col("__at.__n")).alias("__to")).where("__to is not null"), "jump")
+    firsts = inside.where("__n = __start")
+    dropped = firsts.join(after("__run"), [*key, "__b", "__run"]).select(*key, F.col("__change").alias("__n"), F.lit(0).alias("__a"), F.lit(1).alias("__c"))
+    reached = firsts.select(*key, "__n", F.lit(1).alias("__a"), F.lit(0).alias("__c")).unionByName(dropped)
+    reached = cut(reached.groupBy(*key, "__n").agg(F.max("__a").alias("__a"), F.max("__c").alias("__c")), "reached")
+    total, count = F.sum(F.col("__a") + F.col("__c")), None
+    while (now := reached.agg(total).first()[0]) != count:
+        # after k rounds the rows within 2 ** k hops are reached
+        count = now
+        hop = reached.join(jump, [*key, "__n"]).select(*key, F.col("__to").alias("__n"), "__a", "__c")
+        reached = cut(reached.unionByName(hop).groupBy(*key, "__n").agg(F.max("__a").alias("__a"), F.max("__c").alias("__c")), "reached")
+        far = jump.select(*key, F.col("__n").alias("__to"), F.col("__to").alias("__far"))
+        jump = cut(jump.join(far, [*key, "__to"]).select(*key, "__n", F.col("__far").alias("__to")), "jump")
+    return reached
+
+
+def eta(progress: DataFrame, stage_ms: dict[int, int] | None = None, alpha: float | str = ETA_ALPHA) -> DataFrame:
     """Remaining time: current stage from its speed plus the stages to come, smoothed.
 
     Every row stays: without an estimate (stage 5, too early, no progress) the
     result is null, for a finished contract with one it is 0.  The smoothing starts
-    afresh with every stage.  A run of rows is cut into blocks; what a block hands
-    on falls by ``alpha`` per row, so a row adds the smoothed part of its own block
-    to what the blocks before it hand on, however long the run is.
+    afresh with every stage: x = alpha * x of the row before + (1 - alpha) * estimate.
+    That is an affine scan in decimals (progress counts with six places); the
+    result is rounded to nine places, then half up to whole milliseconds, so exact halves
+    are halves whichever way a run was cut into pieces.
     """
     ms_of = stage_ms or STAGE_MS
+    smooth = Decimal(str(alpha))
     expected = F.lit(30_000)
     future = F.lit(0)
     for stage, ms in ms_of.items():
         expected = F.when(F.col("stage") == stage, ms).otherwise(expected)
         future = future + F.when((F.col("stage") < stage) & F.lit(stage != 5), ms).otherwise(0)
-    share = F.least(F.col("stage_progress") / 100.0, F.lit(0.99))
-    measured = (share > 0.05) & (F.col("stage_elapsed_ms") > 3_000)
-    remaining = F.when(measured, F.col("stage_elapsed_ms") / share * (1 - share)).otherwise(expected * (1 - share))
+    percent = F.least(F.col("stage_progress").cast("decimal(9,6)"), F.lit(99).cast("decimal(9,6)"))
+    elapsed = F.col("stage_elapsed_ms").cast("decimal(13,0)")
+    measured = (percent > 5) & (F.col("stage_elapsed_ms") > 3_000)
+    # a try: the unused branch may divide by zero
+    remaining = F.when(measured, F.try_divide(elapsed * (F.lit(100) - percent), percent)).otherwise(expected.cast("decimal(13,0)") * (F.lit(100) - percent) / F.lit(100))
     usable = F.coalesce((F.col("stage") != 5) & (F.col("elapsed_ms") >= ETA_MIN_ELAPSED_MS) & (F.col("overall") > 0), F.lit(False))
     done = F.coalesce("done", F.lit(False)) if "done" in progress.columns else F.lit(False)
-    raw = progress.withColumn("__raw", F.when(usable & ~done, remaining + future))
+    raw = progress.withColumn("__raw", F.when(usable & ~done, (remaining + future).cast(VALUE)))
     others = raw.where(F.col("__raw").isNull()).select(*progress.columns, F.when(usable & done, 0).cast("long").alias("eta_ms"))
-    steps = {"__run": island(F.col("stage")), "__k": running_sum(F.lit(1))}
-    runs = ordered_scan(raw.where(F.col("__raw").isNotNull()), ["contract_id"], ["ts", "event_id"], steps, time_chunk("ts"))
-
-    # rows of a block: few enough that the weights of its ends stay within six digits
-    size = max(1, int(6 * math.log(10) / -math.log(alpha))) if 0 < alpha < 1 else 1
-    lags = 5
-    key = ["contract_id", "__run"]
-    first = runs.groupBy(*key).agg(F.min("__k").alias("__first"))
-    place = F.floor(F.col("__k") / size)
-    y = F.when(F.col("__k") == F.col("__first"), F.col("__raw")).otherwise(F.col("__raw") * (1 - alpha))
-    rows = runs.join(first, key).withColumns({"__block": place, "__at": F.col("__k") - place * size, "__y": y})
-    power = lambda e: F.pow(F.lit(float(alpha)), e)
-    if alpha > 0:
-        w = W.partitionBy(*key, "__block").orderBy("__k").rowsBetween(W.unboundedPreceding, W.currentRow)
-        own = F.sum(F.col("__y") / power(F.col("__at"))).over(w) * power(F.col("__at"))
-    else:
-        own = F.col("__y")
-    ends = rows.groupBy(*key, "__block").agg(F.sum(F.col("__y") * power(F.lit(size - 1) - F.col("__at"))).alias("__e"))
-    hops = F.array(*(F.struct(F.lit(i).alias("hop"), F.lit(float(alpha) ** (size * (i - 1))).alias("f")) for i in range(1, lags + 1)))
-    handed = ends.select(*key, "__block", "__e", F.explode(hops).alias("h"))
-    handed = handed.groupBy(*key, (F.col("__block") + F.col("h.hop")).alias("__block")).agg(F.sum(F.col("__e") * F.col("h.f")).alias("__in"))
-    out = rows.withColumn("__own", own).join(handed, [*key, "__block"], "left")
-    smooth = F.col("__own") + F.coalesce("__in", F.lit(0.0)) * power(F.col("__at") + 1)
-    return out.select(*progress.columns, F.greatest(F.lit(0), F.round(smooth)).cast("long").alias("eta_ms")).unionByName(others)
+    steps = {"__stage": previous(F.col("stage")), "__k": running_sum(F.lit(1).cast("long"))}
+    rows = ordered_scan(raw.where(F.col("__raw").isNotNull()), ["contract_id"], ["ts", "event_id"], steps, time_chunk("ts"))
+    first = F.col("__stage").isNull() | (F.col("__stage") != F.col("stage"))
+    rate = F.when(first, F.lit(Decimal(0)).cast(RATE)).otherwise(F.lit(smooth).cast(RATE))
+    value = F.when(first, F.col("__raw")).otherwise((F.col("__raw") * F.lit(1 - smooth).cast(RATE)).cast(VALUE))
+    out = affine_scan(rows, ["contract_id"], F.col("__k") - 1, rate, value, "__smooth")
+    whole = F.round(F.round(F.col("__smooth"), 9), 0)
+    return out.select(*progress.columns, F.greatest(F.lit(0), whole).cast("long").alias("eta_ms")).unionByName(others)

@@ -10,6 +10,7 @@ from ..functions.headings import is_numbered_heading
 from ..functions.lines import NUMBERED_LINE, is_cross_reference, shifted
 from ..functions.numbering import heading_number, is_sibling_or_child
 from ..functions.text import strip
+from ..functions.rules import Rules
 from ..functions.zoning import analysis_target, with_part, zone_confidence
 from ..plans.scan import (
     first_value,
@@ -100,12 +101,12 @@ def mark_preamble(sections: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- document parts
 
 
-def with_part_no(sections: DataFrame) -> DataFrame:
+def with_part_no(sections: DataFrame, rules: Rules | None = None) -> DataFrame:
     """Running number of the part boundaries; 0 before the first one."""
     toc = F.coalesce(F.col("is_toc"), F.lit(False))
     heading = F.coalesce("heading", F.lit(""))
     eligible = (heading != "") & (F.col("level") == 1) & ~toc
-    marked = with_part(sections, "heading", "sections", "__part").withColumn("__part", F.when(eligible, F.col("__part")))
+    marked = with_part(sections, "heading", "sections", "__part", rules=rules).withColumn("__part", F.when(eligible, F.col("__part")))
     return ordered_scan(
         marked,
         CONTRACT,
@@ -115,9 +116,9 @@ def with_part_no(sections: DataFrame) -> DataFrame:
     ).withColumnRenamed("__part", "boundary_type")
 
 
-def document_parts(sections: DataFrame) -> DataFrame:
+def document_parts(sections: DataFrame, rules: Rules | None = None) -> DataFrame:
     """Parts of every contract; boundaries without any content are skipped."""
-    s = with_part_no(sections)
+    s = with_part_no(sections, rules)
     toc = F.coalesce(F.col("is_toc"), F.lit(False))
     idx = F.col("section_index")
     content = strip(F.coalesce("content", F.lit(""))) != ""

@@ -12,21 +12,27 @@ the job.  ``ordered_scan`` computes the same running values in two levels:
 3. the inherited values are joined back on ``(key, chunk)`` and combined.
 
 The inherited side has one row per chunk, reads only the columns the scan
-needs, and AQE broadcasts it whenever its measured size allows.
+needs, and AQE broadcasts it whenever its measured size allows.  Nulls in a key
+are made values of their own before the window, so the join needs the same
+partitioning as the window and the wide side is shuffled once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scratch import cut
 
+# Rows that an affine scan folds at once, and the types of its rates and values.
+FOLD_ROWS = 64
+RATE, VALUE = T.DecimalType(25, 24), T.DecimalType(30, 18)
+
 # Rows of a dense integer order, and pages, that make up one chunk.
 CHUNK_ROWS = 20_000
 CHUNK_PAGES = 2_000
@@ -126,8 +132,12 @@ def ordered_scan(
     """
     src = {f"__v_{n}": s.value for n, s in steps.items()}
     islands = {n: s for n, s in steps.items() if s.kind == "island"}
-    base = df.withColumns({**src, "__ck": F.lit(0) if chunk is None else chunk})
-    keys = by if chunk is None else [*by, "__ck"]
+    safe = {} if chunk is None else plain_keys(df, by, "__y")
+    one = [*safe] if safe else by
+    # rows without a chunk come first, as nulls do
+    own = {} if chunk is None else {"__ck": F.coalesce(chunk.cast("long"), F.lit(-(2**63)).cast("long"))}
+    base = df.withColumns({**src, **safe, **own})
+    keys = [*one, *own]
     local = W.partitionBy(*keys).orderBy(*order)
     if islands:
         base = base.withColumns(
@@ -141,7 +151,7 @@ def ordered_scan(
             for n, s in steps.items()
         }
     )
-    drops = ["__ck", *src, *[f"__b_{n}" for n in islands], *[f"__l_{n}" for n in steps]]
+    drops = [*safe, *own, *src, *[f"__b_{n}" for n in islands], *[f"__l_{n}" for n in steps]]
     if chunk is None:
         done = {n: _combine(s.kind, F.col(f"__l_{n}"), F.lit(None)) for n, s in steps.items() if s.kind not in ("island",)}
         done |= {n: F.col(f"__l_{n}") + 1 for n in islands}
@@ -150,18 +160,17 @@ def ordered_scan(
     key = F.struct(*order)
     marks = [f"__b_{n}" for n in islands]
     summary = (
-        base.select(*by, "__ck", *order, *src, *marks)
-        .groupBy(*by, "__ck")
+        base.select(*keys, *order, *src, *marks)
+        .groupBy(*keys)
         .agg(*[_summary(s.kind, F.col(f"__v_{n}"), key, f"__b_{n}").alias(f"__s_{n}") for n, s in steps.items()])
     )
-    across = W.partitionBy(*by).orderBy("__ck")
+    across = W.partitionBy(*one).orderBy("__ck")
     for n, s in islands.items():
         # does the first row of this chunk break from the last row of the chunk before?
         joint = _break_flag(s, F.col(f"__s_{n}.first.v"), F.lag(f"__s_{n}.last").over(across), 1)
         summary = summary.withColumn(f"__j_{n}", joint)
     carry = summary.select(
-        *by,
-        "__ck",
+        *keys,
         *[
             _island_start(F.col(f"__s_{n}"), F.col(f"__j_{n}"), across).alias(f"__c_{n}")
             if s.kind == "island"
@@ -169,15 +178,28 @@ def ordered_scan(
             for n, s in steps.items()
         ],
     )
-    carry = carry.withColumnsRenamed({c: f"__k_{c}" for c in [*by, "__ck"]})
-    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in [*by, "__ck"]))
-    joined = keyed.join(carry, same, "left").drop(*[f"__k_{c}" for c in [*by, "__ck"]])
+    joined = keyed.join(carry, keys, "left")
     out = joined.withColumns(
         {n: _combine(s.kind, F.col(f"__l_{n}"), F.col(f"__c_{n}")) for n, s in steps.items()}
     )
     return out.drop(*drops, *[f"__c_{n}" for n in steps])
 
 
+def plain_keys(df: DataFrame, by: list[str], name: str = "__z") -> dict[str, Column]:
+    """Key columns without nulls that tell the same keys apart: each value, and which of them are missing."""
+    out = {f"{name}_{i}": _filled(F.col(c), df.schema[c].dataType) for i, c in enumerate(by)}
+    missing = [F.when(F.col(c).isNull(), 1 << i).otherwise(0) for i, c in enumerate(by)]
+    return out | {f"{name}_nul": sum(missing[1:], missing[0])}
+
+
+def _filled(c: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.NumericType, T.BooleanType)):
+        return F.coalesce(c, F.lit(0).cast(kind))
+    if isinstance(kind, T.StringType):
+        return F.coalesce(c, F.lit(""))
+    return F.struct(c)
+
+
 def _break_flag(step: Step, value: Column, before: Column, at_start: int = 0) -> Column:
     """1 where a run starts; the first row of a window gives ``at_start``."""
     starts = F.coalesce(step.breaks(before["v"], value), F.lit(True))
@@ -251,3 +273,44 @@ def _combine(kind: str, local: Column, carry: Column) -> Column:
     if kind in ("last", "last_before"):
         return F.coalesce(local, carry)
     return F.coalesce(local, carry)["v"]
+
+
+def affine_scan(df: DataFrame, by: list[str], place: Column, rate: Column, value: Column, out: str) -> DataFrame:
+    """Add ``out``: along ``place`` (0, 1, 2, ... inside ``by``) x = rate * x of the row before + value.
+
+    A rate of 0 starts afresh.  Two steps in a row are a step of the same kind, so
+    pieces of ``FOLD_ROWS`` rows are folded to one each, the pieces are scanned in
+    the same way, and what a piece inherits is put into its rows; a key of any length
+    needs a level for every factor of ``FOLD_ROWS`` and no row loop outside a piece.
+    Values are decimals with 18 places, rates (at most 1) with 24; nothing is ever divided.
+    The columns of ``df`` have to be of types that can be ordered.
+    """
+    safe = plain_keys(df, by)
+    rows = df.select(
+        *(c.alias(n) for n, c in safe.items()),
+        place.cast("long").alias("p"),
+        rate.cast(RATE).alias("a"),
+        value.cast(VALUE).alias("x"),
+        F.struct(*df.columns).alias("row"),
+    )
+    return _affine(rows, [*safe]).select("row.*", F.col("x").alias(out))
+
+
+def _affine(rows: DataFrame, keys: list[str]) -> DataFrame:
+    done = F.array().cast(T.ArrayType(T.StructType([rows.schema["p"], rows.schema["row"], T.StructField("a", RATE), T.StructField("x", VALUE)])))
+    start = F.struct(F.lit(1).cast(RATE).alias("a"), F.lit(0).cast(VALUE).alias("x"), done.alias("done"))
+
+    def step(s: Column, r: Column) -> Column:
+        a, x = (s["a"] * r["a"]).cast(RATE), (r["a"] * s["x"] + r["x"]).cast(VALUE)
+        row = F.struct(r["p"].alias("p"), r["row"].alias("row"), a.alias("a"), x.alias("x"))
+        return F.struct(a.alias("a"), x.alias("x"), F.concat(s["done"], F.array(row)).alias("done"))
+
+    pieces = rows.groupBy(*keys, F.floor(F.col("p") / FOLD_ROWS).cast("long").alias("piece")).agg(F.array_sort(F.collect_list(F.struct("p", "a", "x", "row"))).alias("rows"))
+    folded = cut(pieces.select(*keys, "piece", F.aggregate("rows", start, step).alias("f")).select(*keys, "piece", "f.*"), "folded")
+    each = folded.select(*keys, "piece", F.explode("done").alias("d")).select(*keys, "piece", "d.*")
+    if not folded.agg(F.max("piece")).first()[0]:
+        return each.select(*keys, "p", "row", "x")
+    ends = folded.select(*keys, F.col("piece").alias("p"), "a", "x", F.lit(0).alias("row"))
+    carry = _affine(ends, keys).select(*keys, (F.col("p") + 1).alias("piece"), F.col("x").alias("before"))
+    whole = (F.col("x") + F.col("a") * F.coalesce("before", F.lit(0).cast(VALUE))).cast(VALUE)
+    return each.join(carry, [*keys, "piece"], "left").select(*keys, "p", "row", whole.alias("x"))

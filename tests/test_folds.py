@@ -170,3 +170,67 @@ def test_untitled_documents_take_the_next_heading(spark, monkeypatch):
     # the second group starts at page 8, so headings from page 7 on count, in section order;
     # a cover page behind a cover page opens nothing
     assert got == [("Alpha", 1, 5), ("Gamma", 8, 22)]
+
+
+def exact_eta(rows, alpha):
+    """Smoothing in fractions; (contract, event) -> milliseconds."""
+    from fractions import Fraction as Q
+
+    alpha, state, out = Q(alpha), {}, {}
+    for contract, event, stage, p, elapsed, stage_elapsed in rows:
+        p = min(Q(p), Q(99))
+        expected = Q({1: 5_000, 2: 180_000, 3: 30_000, 4: 20_000}[stage])
+        left = Q(stage_elapsed) * (100 - p) / p if p > 5 and stage_elapsed > 3000 else expected * (100 - p) / 100
+        raw = left + sum(v for s, v in {1: 5_000, 2: 180_000, 3: 30_000, 4: 20_000}.items() if s > stage)
+        before = state.get(contract)
+        x = raw if before is None or before[0] != stage else alpha * before[1] + (1 - alpha) * raw
+        if x.denominator > 10**60:
+            x = Q(round(x * 10**40), 10**40)
+        state[contract] = (stage, x)
+        out[contract, event] = int(x + Q(1, 2))
+    return out
+
+
+@pytest.mark.parametrize("alpha", ["0.3", "0", "1", "0.999", "0.5"])
+def test_eta_of_one_hot_contract(spark, monkeypatch, alpha):
+    """Any smoothing, runs over many pieces and several levels of pieces, exact halves, one contract with most rows."""
+    monkeypatch.setattr(sc, "FOLD_ROWS", 4)
+    rnd = random.Random(3)
+    base = datetime.datetime(2024, 1, 1)
+    rows, model = [], []
+    for contract, n in ((1, 700), (None, 60), (2, 3)):
+        stage = 1
+        for i in range(n):
+            stage = rnd.choice([1, 2, 3, 4]) if rnd.random() < 0.02 else stage
+            p, stage_elapsed = float(rnd.choice([0, 3, 5, 6, 10, 20, 25, 50, 99, 100])), rnd.choice([0, 3000, 3001, 4001, 10_000, 20_001])
+            model.append((contract, i, stage, p, 10_000, stage_elapsed))
+            rows.append((i, contract, base + datetime.timedelta(minutes=37 * i), stage, p, 10_000, stage_elapsed, 5.0, False))
+    df = spark.createDataFrame(rows, "event_id long, contract_id long, ts timestamp, stage int, stage_progress double, elapsed_ms long, stage_elapsed_ms long, overall double, done boolean")
+    got = {(r["contract_id"], r["event_id"]): r["eta_ms"] for r in qu.eta(df.repartition(5), alpha=alpha).collect()}
+    assert got == exact_eta(model, alpha)
+
+
+def test_throttle_plan_holds_no_python(spark):
+    from catalog import QUERIES
+
+    for name in ("wn32_throttle_progress", "wn33_eta"):
+        text = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in text and "InPandas" not in text and "InArrow" not in text
+
+
+def test_throttle_of_one_hot_contract(spark, monkeypatch):
+    """One burst that never pauses, null values and equal times, against a row loop."""
+    rnd = random.Random(11)
+    base = datetime.datetime(2024, 1, 1)
+    for step in ([100, 500, 1000], [0, 0, 2500, 2999], [1000, 3000, 40_000]):
+        rows, want, ms = [], set(), 0
+        kept_ms = kept = seen = None
+        for i in range(800):
+            ms += rnd.choice(step)
+            value = rnd.choice([None, 1, 1, 2, 2, 3])
+            rows.append((i, None, base + datetime.timedelta(milliseconds=ms), value))
+            if seen is None or (value != kept and ms - kept_ms >= 3000):
+                kept, kept_ms, seen = value, ms, True
+                want.add(i)
+        df = spark.createDataFrame(rows, "event_id long, contract_id long, ts timestamp, percent int").repartition(4)
+        assert {r["event_id"] for r in qu.throttle_progress(df).collect()} == want

@@ -50,3 +50,23 @@ def test_publish_layout(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out" / "clauses"))
     assert back.count() == t.clauses.count() and set(r[0] for r in back.select("bucket").distinct().collect()) <= {0, 1, 2, 3}
     assert back.where(F.col("bucket").isNull()).count() == 0
+
+
+def test_a_scan_shuffles_the_wide_table_once(spark):
+    """Exchanges: the wide table by (key, chunk), the summaries by the same and by the key, and back to the join."""
+    from paperloom.plans.scan import ordered_scan, running_sum
+
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = spark.read.parquet(f"{FOLDER}/events.parquet").select("user_id", "event_type", "event_id", "value")
+        for by in (["user_id"], ["user_id", "event_type"]):
+            text = plan(ordered_scan(df, by, ["event_id"], {"n": running_sum(F.lit(1))}, F.floor(F.col("event_id") / 100)))
+            wide = [x for x in text.split("\n") if "Exchange hashpartitioning" in x]
+            assert len(wide) == 4, text
+            assert text.count("Sort [") + text.count("Sort(") <= 3, text
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
