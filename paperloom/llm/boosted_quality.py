@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import Words, pieces, shingles, span_hashes, text_bytes, words
+from .textkit import Words, pieces, row_key, shingles, span_hashes, text_bytes, words
 
-#: Most labelled rows that training reads; of more, those with the least hash of their id.
+#: Most labelled rows that training reads; of more, those with the least hash of their id; equal rows count once.
 SAMPLE = 20_000
 TREES, DEPTH, BINS, RATE, L2 = 80, 3, 48, 0.15, 2.0
 
@@ -148,12 +148,16 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, bi
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str = "text") -> Trees:
     """Trees from (doc_id, ``text``) and labels (doc_id, quality 0/1); rows without such a label teach nothing.
 
-    At most ``sample`` labelled ids are read.  Only their statistics reach the driver, ``sample`` times ``len(NAMES)``
-    numbers; ids that several documents or labels bear count as often as they occur there.
+    At most ``sample`` different labelled ids are read, and of the rows that bear them at most
+    ``sample`` different ones, however often an id or a row repeats.  Only their statistics
+    reach the driver, ``sample`` times ``len(NAMES)`` numbers.
     """
-    ids = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    ids = ids.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "quality").limit(sample)
-    rows = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(ids), "doc_id").select("text", "quality")
+    ids = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
+    h = F.xxhash64(F.col("doc_id").cast("string"))
+    ids = ids.orderBy(h, "doc_id", "quality").limit(sample)
+    labelled = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(ids), "doc_id").withColumn("key", row_key(F.col("doc_id"), F.col("text")))
+    chosen = labelled.select(h.alias("h"), "key", "quality").distinct().orderBy("h", "key", "quality").limit(sample).select("key", "quality")
+    rows = labelled.join(F.broadcast(chosen), ["key", "quality"]).groupBy("key", "quality").agg(F.first("text").alias("text")).select("text", "quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -20,9 +20,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .textkit import pieces, shingles, text_bytes, words
 
@@ -151,17 +152,16 @@ class Index:
         return {i: (s, -at, n, apart) for i, (s, at, n, apart) in best.items()}
 
 
-FOUND = T.ArrayType(
-    T.StructType().add("item", "integer").add("similarity", "double").add("start_word", "long").add("n_words", "long").add("bits_apart", "integer")
-)
-_FOUND = pa.list_(pa.struct([("item", pa.int32()), ("similarity", pa.float64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("bits_apart", pa.int32())]))
+def found_type(item_id: T.DataType) -> T.ArrayType:
+    return T.ArrayType(T.StructType().add("item_id", item_id).add("similarity", "double").add("start_word", "long").add("n_words", "long").add("bits_apart", "integer"))
 
 
-def _scan(index, least: float, text: str, name: str):
-    """Adds the matches of every row of a batch with a block's items."""
+def _scan(index, least: float, text: str, name: str, kind: T.DataType):
+    """Adds the matches of every row of a batch with a block's items (index and item ids)."""
+    arrow = to_arrow_type(found_type(kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = index.value
+        items, ids = index.value
         for batch in batches:
             data, offsets = text_bytes(batch.column(batch.schema.get_field_index(text)))
             found: list[list[dict]] = [[] for _ in range(len(batch))]
@@ -180,17 +180,12 @@ def _scan(index, least: float, text: str, name: str):
                         lengths = (w.end - w.start)[w.first[r] : w.first[r + 1]]
                         at = places[np.searchsorted(places, cuts[r]) : np.searchsorted(places, cuts[r + 1])] - cuts[r]
                         best = items.matches(k, h[own], shingle_weights(lengths, len(h[own]), k), int(count[r]), at, least)
-                        found[lo + r] += [dict(item=i, similarity=s, start_word=a, n_words=n, bits_apart=d) for i, (s, a, n, d) in best.items()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _FOUND)], names=[*batch.schema.names, name])
+                        found[lo + r] += [dict(item_id=ids[i], similarity=s, start_word=a, n_words=n, bits_apart=d) for i, (s, a, n, d) in best.items()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, arrow)], names=[*batch.schema.names, name])
 
     return run
 
 
-def _given(ids: Column):
-    """A match with the item's id instead of its number in the block."""
-    return lambda x: F.struct(F.get(ids, x["item"]).alias("item_id"), *(x[c].alias(c) for c in ("similarity", "start_word", "n_words", "bits_apart")))
-
-
 def with_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, size: int = SHINGLE, radius: int = RADIUS, text: str = "text") -> DataFrame:
     """Adds ``leaks``: an array of (item_id, similarity, start_word, n_words, bits_apart), one for each item found.
 
@@ -209,14 +204,12 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, size
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = -(-total // BLOCK_BYTES)
     parts = []
+    kind = benchmark.schema["item_id"].dataType
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toArrow()
-        index = spark.sparkContext.broadcast(Index(rows.column("text").to_pylist(), size, radius))
+        index = spark.sparkContext.broadcast((Index(rows.column("text").to_pylist(), size, radius), rows.column("item_id").to_pylist()))
         name = f"_leaks_{b}"
-        out = out.mapInArrow(_scan(index, least, text, name), T.StructType([*out.schema.fields, T.StructField(name, FOUND)]))
-        ids = F.array(*(F.lit(x) for x in rows.column("item_id").to_pylist())).cast(T.ArrayType(benchmark.schema["item_id"].dataType))
-        parts.append(F.transform(name, _given(ids)))
-    kind = benchmark.schema["item_id"].dataType.simpleString()
-    none = F.array().cast(f"array<struct<item_id:{kind},similarity:double,start_word:bigint,n_words:bigint,bits_apart:int>>")
+        out = out.mapInArrow(_scan(index, least, text, name, kind), T.StructType([*out.schema.fields, T.StructField(name, found_type(kind))]))
+        parts.append(F.col(name))
     kept = [c for c in docs.columns if c != "leaks"]
-    return out.select(*(F.col(f"`{c}`") for c in kept), (F.concat(*parts) if parts else none).alias("leaks"))
+    return out.select(*(F.col(f"`{c}`") for c in kept), (F.concat(*parts) if parts else F.array().cast(found_type(kind))).alias("leaks"))

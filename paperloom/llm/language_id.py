@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import mix, pieces, text_bytes
+from .textkit import mix, pieces, row_key, text_bytes
 
 #: Language families by language code; a language without one is in the family "other".
 FAMILIES = {
@@ -26,7 +26,7 @@ FAMILIES = {
     "sinitic": "zh yue wuu".split(),
 }
 _FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes}
-#: Most labelled rows that training reads; of more, those with the least hash of their id.
+#: Most labelled rows that training reads; of more, those with the least hash of their id; equal rows count once.
 SAMPLE = 6_000
 DIMS = 2048
 EPOCHS, BATCH, REGULAR = 30, 32, 1e-5
@@ -59,6 +59,7 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             cells.append(h.astype(np.int64))
         skip = np.zeros(len(x), bool)
         skip[:-1] = both
+        skip[part[1:][part[1:] > 0] - 1] = False  # the byte behind a row's last one is another row's
         for r in range(hi - lo):
             a, b = part[r], part[r + 1]
             ok = ~skip[a:b]
@@ -156,13 +157,16 @@ def fit(x: np.ndarray, lang: list[str]) -> Languages:
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE, text: str = "text") -> Languages:
-    """A model from rows (doc_id, ``text``, lang); null languages and texts without a letter teach nothing.
+    """A model from rows (doc_id, ``text``, lang); null ids and languages and texts without a letter teach nothing.
 
-    At most ``sample`` rows are read.  Their features reach the driver, ``sample`` times ``DIMS`` half floats.
+    At most ``sample`` different rows are used, however often an id or a row repeats.  Their
+    features reach the driver, ``sample`` times ``DIMS`` half floats.
     """
-    ids = docs.where(F.col("lang").isNotNull() & F.col(text).isNotNull()).select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
-    chosen = ids.orderBy("h", "doc_id", "lang").limit(sample).select("doc_id").distinct()
-    rows = docs.where(F.col("lang").isNotNull()).join(F.broadcast(chosen), "doc_id").select(F.col(text).alias("text"), "lang")
+    taught = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col(text).isNotNull()).select("doc_id", F.col(text).alias("text"), "lang")
+    taught = taught.withColumn("key", row_key(F.col("doc_id"), F.col("text")))
+    ids = taught.select(F.xxhash64(F.col("doc_id").cast("string")).alias("h"), "key", "lang").distinct()
+    chosen = ids.orderBy("h", "key", "lang").limit(sample).select("key", "lang")
+    rows = taught.join(F.broadcast(chosen), ["key", "lang"]).groupBy("key", "lang").agg(F.first("text").alias("text")).select("text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -151,7 +151,8 @@ def repeated_runs(docs: DataFrame, gram_words: int = GRAM_WORDS, least_words: in
     first = grams.groupBy("gram").agg(F.min(place).alias("first"), F.max(place).alias("other")).where("first < other").select("gram", "first")
     again = grams.join(first, "gram").where(F.col("first") != place)
     again = again.join(anchor, ["key", "line"], "left").select("key", *NUMBERS, "anchor")
-    runs = again.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(*NUMBERS, "anchor"))).alias("g"))
+    # a set, merged before the shuffle: rows that repeat add nothing, and a document's grams are bounded by its text
+    runs = again.groupBy("key").agg(F.sort_array(F.collect_set(F.struct(*NUMBERS, "anchor"))).alias("g"))
     return runs.mapInArrow(_islands(least_words), "key long, from_line long, to_line long, words long")
 
 

@@ -11,20 +11,21 @@ with p as (
     coalesce(regexp_extract(url, '{_URL}', 2), '') as path
   from pages),
 seen as (
-  select host, sum(n) as n, sum(k) as k from (select p.host, 1 as n, l.quality as k from p join labels l on l.doc_id = p.page_id where l.quality in (0, 1)) group by host),
+  select host, count(*) filter (l.quality in (0, 1)) as n, coalesce(sum(l.quality) filter (l.quality in (0, 1)), 0) as k
+  from p left join labels l on l.doc_id = p.page_id group by host),
 hosts as (
   select host, n, k, regexp_extract(regexp_replace(host, ':[0-9]*$', ''), '([^.]*\.)?[^.]*$') as domain,
     regexp_extract(regexp_replace(host, ':[0-9]*$', ''), '[^.]*$') as suffix
   from seen),
 domains as (select suffix, domain, sum(n) as n, sum(k) as k from hosts group by suffix, domain),
 suffixes as (select suffix, sum(n) as n, sum(k) as k from domains group by suffix),
-s0 as (select suffix, n, k, (select (sum(k) + 1) / (sum(n) + 2)::double from suffixes) as m from suffixes),
-s1 as (select *, (select 1 / greatest(least(coalesce(sum((k - n * m) * (k - n * m) - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0), 1 / 3.0::double), 1 / 1001.0::double) - 1 from s0) as c from s0),
-d0 as (select d.suffix, domain, d.n, d.k, (s1.k + c * m) / (s1.n + c) as m from domains d join s1 using (suffix)),
-d1 as (select *, (select 1 / greatest(least(coalesce(sum((k - n * m) * (k - n * m) - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0), 1 / 3.0::double), 1 / 1001.0::double) - 1 from d0) as c from d0),
-h0 as (select h.host, h.n, h.k, (d1.k + c * m) / (d1.n + c) as m from hosts h join d1 using (domain)),
-h1 as (select *, (select 1 / greatest(least(coalesce(sum((k - n * m) * (k - n * m) - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0), 1 / 3.0::double), 1 / 1001.0::double) - 1 from h0) as c from h0),
-h2 as (select host, (k + c * m) / (n + c) as mean, n + c as strength from h1),
+s0 as (select suffix, n, k, 1.0::double as u, (select (sum(k) + 1) / (sum(n) + 2)::double from suffixes) as m from suffixes),
+s1 as (select * replace (case when n > 0 then 1 else u * c / (c + 1) end as u) from (select *, (select 1 / greatest(least(coalesce(sum((k - n * m) * (k - n * m) - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0), 1 / 3.0::double), 1 / 1001.0::double) - 1 from s0) as c from s0)),
+d0 as (select d.suffix, domain, d.n, d.k, u, (s1.k + c * m) / (s1.n + c) as m from domains d join s1 using (suffix)),
+d1 as (select * replace (case when n > 0 then 1 else u * c / (c + 1) end as u) from (select *, (select 1 / greatest(least(coalesce(sum((k - n * m) * (k - n * m) - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0), 1 / 3.0::double), 1 / 1001.0::double) - 1 from d0) as c from d0)),
+h0 as (select h.host, h.n, h.k, u, (d1.k + c * m) / (d1.n + c) as m from hosts h join d1 using (domain)),
+h1 as (select * replace (case when n > 0 then 1 else u * c / (c + 1) end as u) from (select *, (select 1 / greatest(least(coalesce(sum((k - n * m) * (k - n * m) - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0), 1 / 3.0::double), 1 / 1001.0::double) - 1 from h0) as c from h0)),
+h2 as (select host, (k + c * m) / (n + c) as mean, case when n > 0 then n + c else 1 / (1 - u) - 1 end as strength from h1),
 rules(verdict, rule) as (values ('allow', 'com/'), ('block', 'example.com/en/'), ('allow', 'www.example.com/en/'), ('block', 'net/es/'), ('block', 'net/fr/')),
 parts as (select verdict, rule, split_part(rule, '/', 1) as rh, substr(rule, strpos(rule, '/')) as rp from rules),
 keyed as (select p.*, row_number() over () as r from p),
@@ -33,7 +34,7 @@ best as (
   from keyed join parts on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by r)
 select page_id, host, path, rule,
   coalesce(verdict, case when mean + 2 * sqrt(mean * (1 - mean) / (strength + 1)) < 0.5 then 'block' else 'allow' end) as verdict
-from keyed left join best using (r) left join h2 using (host)
+from keyed left join best using (r) join h2 using (host)
 """
 
 OP4 = """

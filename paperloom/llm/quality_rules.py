@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,7 +72,7 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
 
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), n_lines and
     the ratios that the rules name.  A null or empty text has zero counts and null
-    ratios.
+    ratios.  Columns of ``df`` that bear the name of a measure are replaced, all others stay.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -87,16 +88,18 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
         )
 
     per_lines = lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
-    m = F.col("_m")
+    # two helper columns under names that the table does not have
+    by_words, by_lines = (next(n for i in count() if (n := f"_{k}{i}") not in df.columns) for k in ("words", "lines"))
+    m = F.col(by_words)
     letters = F.length(F.regexp_replace(t, r"[^A-Za-z]+", ""))
     added = {
         **{c: m[c] for c in ("n_words", "word_chars", "n_repeat_words", "n_stop_words", "n_distinct_words")},
         "n_symbols": F.length(F.regexp_replace(t, f"[^{SYMBOLS}]+", "")).cast("long"),
-        **{c: F.col("_l")[c] for c in ("n_lines", "n_dup_lines")},
+        **{c: F.col(by_lines)[c] for c in ("n_lines", "n_dup_lines")},
         "n_letters": letters.cast("long"),
         "n_upper": F.length(F.regexp_replace(t, r"[^A-Z]+", "")).cast("long"),
     }
-    return df.withColumns({"_m": let(text_words(F.col(text)), per_words), "_l": let(lines, per_lines)}).withColumns(added).drop("_m", "_l")
+    return df.withColumns({by_words: let(text_words(F.col(text)), per_words), by_lines: let(lines, per_lines)}).withColumns(added).drop(by_words, by_lines)
 
 
 def ratios() -> dict[str, Column]:
@@ -129,7 +132,8 @@ def quality_rules(df: DataFrame, rules: list[Rule] | None = None, text: str = "t
 
     ``base_failed``: fewer than ``least_words`` words, or more than ``most_repeated``
     per cent of them in repeated windows.  ``kept``: not base_failed and no rule of
-    the table broken.  A null or empty text has no words and so fails.
+    the table broken.  A null or empty text has no words and so fails.  Columns that
+    bear the name of a measure, base_failed or kept are replaced, all others stay.
     """
     low = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     out = measures(df, text).withColumn("base_failed", low)

@@ -7,47 +7,6 @@ from .conftest import documents
 W = line_winnow.GRAM_WORDS
 
 
-def brute(rows):
-    """Texts after deletion: runs of at least 50 words, all of whose grams occur at an earlier place, with a shared fingerprint.
-
-    All grams of documents that share a fingerprint with another place are compared by their text.
-    """
-    unique = sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-    table = []
-    for doc, text in unique:
-        lines = [(i, x.strip(" \t\r\v\f"), len(re.findall(r"[^\x20\x09-\x0D]+", x))) for i, x in enumerate(text.split("\n"))]
-        lines = [x for x in lines if x[2]]
-        grams = []
-        for a in range(len(lines)):
-            total, b = 0, a
-            while b < len(lines) and total < W:
-                total += lines[b][2]
-                b += 1
-            grams.append((tuple(x[1] for x in lines[a:b]), b) if total >= W else None)
-        table.append((doc, text, lines, grams))
-    first = {}
-    for d, (_, _, _, grams) in enumerate(table):
-        for a, g in enumerate(grams):
-            if g:
-                first.setdefault(g[0], (d, a))
-    out = {}
-    for d, (doc, text, lines, grams) in enumerate(table):
-        covered = set()
-        for a, g in enumerate(grams):
-            if g and first[g[0]] != (d, a):
-                covered |= set(range(a, g[1]))
-        gone, a = set(), 0
-        while a < len(lines):
-            b = a
-            while b < len(lines) and b in covered:
-                b += 1
-            if b > a and sum(x[2] for x in lines[a:b]) >= line_winnow.LEAST_WORDS:
-                gone |= set(range(lines[a][0], lines[b - 1][0] + 1))
-            a = max(b, a + 1)
-        out[doc, text] = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
-    return out
-
-
 def sentence(seed, n):
     return " ".join(f"s{seed}q{i}" for i in range(n))
 
@@ -70,16 +29,6 @@ def test_planted(spark):
     assert got[6]["text"] == "between"
 
 
-def test_documents(spark, odd):
-    for df in (documents(spark), documents(spark, "sf0.01"), odd):
-        want = brute([(r["doc_id"], r["text"]) for r in df.collect()])
-        got = line_winnow.dedup_lines(df.repartition(3)).collect()
-        assert len(got) == df.count()
-        left = sorted((r["doc_id"] or -1, r["text"] or "") for r in got)
-        plain = sorted((r["doc_id"] or -1, want.get((r["doc_id"], r["text"])) or "") for r in df.collect())
-        assert left == plain
-
-
 def test_empty(none):
     assert line_winnow.dedup_lines(none).count() == 0
 
@@ -137,9 +86,30 @@ def test_short_last_lines(spark):
     assert got[91] == rows[-2][1] and got[92] == "c\nd"
 
 
-def test_documents_by_lines(spark, odd):
-    for df in (documents(spark), odd):
+def test_documents(spark, odd):
+    for df in (documents(spark), documents(spark, "sf0.01"), odd):
         rows = [(r["doc_id"], r["text"]) for r in df.collect()]
         want = by_lines(rows)
         got = sorted((r["doc_id"] or -1, r["text"] or "") for r in line_winnow.dedup_lines(df.repartition(3)).collect())
         assert got == sorted((d or -1, want.get((d, t)) or "") for d, t in rows)
+
+
+def test_repeated_rows_are_one_document(spark, monkeypatch):
+    """Copies of a row neither pile up in one list nor change what is cut."""
+    text = "\n".join(sentence(500 + i, 20) for i in range(10))
+    rows = [(1, text)] + [(2, text + "\nown line")] * 300 + [(3, "x\n" + text)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    want = by_lines(rows)
+    plain = line_winnow._islands
+
+    def watched(least):
+        def run(batches):
+            for batch in batches:
+                assert max(map(len, batch.to_pydict()["g"]), default=0) < 60
+                yield from plain(least)(iter([batch]))
+
+        return run
+
+    monkeypatch.setattr(line_winnow, "_islands", watched)
+    got = sorted((r["doc_id"], r["text"]) for r in line_winnow.dedup_lines(df).collect())
+    assert got == sorted((d, want[d, t]) for d, t in rows)

@@ -64,3 +64,10 @@ def test_unlabelled_hosts(spark):
     plain = {r["host"]: (r["pages"], round(r["post_mean"], 9), round(r["post_strength"], 6)) for r in host_reputation.reputation(outcomes).collect()}
     assert {r["host"]: (r["pages"], round(r["post_mean"], 9), round(r["post_strength"], 6)) for r in asked if r["pages"]} == plain
     assert {r["host"] for r in asked if not r["pages"]} == set(hosts[:6])
+
+
+def test_clashing_columns_stay(spark):
+    """Helper columns take names that are free; columns named like a measure are replaced."""
+    df = spark.createDataFrame([(1, "a b", 7, 8, 9, 10, 11, 12)], "doc_id long, text string, _m int, _l int, _words0 int, _lines0 int, n_lines int, kept int")
+    r = quality_rules.quality_rules(df).first()
+    assert (r["_m"], r["_l"], r["_words0"], r["_lines0"]) == (7, 8, 9, 10) and (r["n_lines"], r["kept"]) == (1, False)
