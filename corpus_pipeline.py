@@ -20,6 +20,9 @@ from paperloom.plans.scratch import cut
 
 #: A document of a lower score is rejected.
 LEAST_SCORE = 0.3
+#: Share of its words that a document must keep when repeated lines are deleted from it; of a copy that is as similar
+#: as a near duplicate (0.8) less is left.
+LEAST_LEFT = 0.2
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +33,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later repeated runs of lines; documents stay, with their new length."""
-    out = line_winnow.dedup_lines(docs).drop("n_removed_lines", "n_removed_words")
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    """Deletes later repeated runs of lines; ``n_chars``, where there is one, becomes the new length.
+
+    A document of which less than ``LEAST_LEFT`` of its words is left was a copy of others:
+    what remains of it are the words in which it differs, no document, and goes too.  Documents of which
+    nothing was deleted all stay, empty ones included.
+    """
+    out = line_winnow.dedup_lines(docs)
+    left, gone = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")), F.col("n_removed_words")
+    out = out.where((gone == 0) | (left >= LEAST_LEFT * (left + gone)))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
