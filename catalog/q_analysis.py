@@ -338,6 +338,14 @@ query(
          from calls, unnest(range(0, 6)) as u(k) group by 1, 2) c left join lim l on l.model_key = c.model_key""",
     lim=SQL_LIM,
 )
+query(
+    "st5_interval_stream",
+    # the static side of the join is the table of limits, the batch twin is that of wn30
+    lambda t: st.run_available(st.interval_stream(_ts(t.stream("calls")), limits(t)), "interval").select("event_id", "model_key", F.coalesce("gap_ms", F.lit(-1)).alias("gap_ms"), "too_close"),
+    """select event_id, c.model_key, coalesce(gap, -1) as gap_ms, coalesce(gap < min_interval_ms, false) as too_close from (
+         select *, epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) over (partition by model_key order by ts, event_id) as gap from calls) c left join lim l on l.model_key = c.model_key""",
+    lim=SQL_LIM,
+)
 query(
     "st6_dedup_stream",
     lambda t: st.run_available(

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.lines import shifted
 from ..functions.text import strip
 
 # Clause number and optional bracketed title.
@@ -135,22 +141,40 @@ def expand_ranges(clauses: DataFrame, clause_index: DataFrame) -> DataFrame:
     )
 
 
-def _keep_disjoint(items: Column, taken: Column) -> Column:
-    """Walk an ordered array and keep what overlaps nothing kept so far or ``taken``."""
-    begin = F.struct(taken.alias("busy"), F.slice(items, 1, 0).alias("out"))
+def disjoint(starts: list[int], ends: list[int], taken: list[tuple[int, int]]) -> list[int]:
+    """Numbers of the intervals, in their order, that overlap nothing kept before them or ``taken``.
 
-    def step(acc: Column, x: Column) -> Column:
-        clash = F.exists(acc["busy"], lambda o: (x["offset_start"] < o["e"]) & (o["s"] < x["offset_end"]))
-        own = F.array(F.struct(x["offset_start"].alias("s"), x["offset_end"].alias("e")))
-        return F.struct(
-            F.when(clash, acc["busy"]).otherwise(F.concat(acc["busy"], own)).alias("busy"),
-            F.when(clash, acc["out"]).otherwise(F.concat(acc["out"], F.array(x))).alias("out"),
-        )
-
-    return F.aggregate(items, begin, step, lambda a: a["out"])
+    What is kept lies apart, sorted; an interval only has to fit the gap it begins in.
+    """
+    lows: list[int] = []
+    highs: list[int] = []
+    for a, b in sorted(taken):
+        if highs and a < highs[-1]:
+            highs[-1] = max(highs[-1], b)
+        else:
+            lows.append(a)
+            highs.append(b)
+    out = []
+    for i, (a, b) in enumerate(zip(starts, ends)):
+        at = bisect_right(lows, a)
+        if (at and highs[at - 1] > a) or (at < len(lows) and lows[at] < b):
+            continue
+        lows.insert(at, a)
+        highs.insert(at, b)
+        out.append(i)
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _disjoint(starts: pd.Series, ends: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
+    return pd.Series([disjoint(list(a), list(b), list(zip(c, d))) for a, b, c, d in zip(starts, ends, low, high)])
 
 
-NOTHING_TAKEN = "array<struct<s:int,e:int>>"
+def _keep_disjoint(items: Column, taken: Column) -> Column:
+    """Walk an ordered array and keep what overlaps nothing kept so far or ``taken`` (arrays of one clause)."""
+    of = lambda c, name: F.transform(c, lambda x: x[name].cast("int"))
+    kept = _disjoint(of(items, "offset_start"), of(items, "offset_end"), of(taken, "s"), of(taken, "e"))
+    return F.transform(kept, lambda i: F.get(items, i))
 
 
 def dedupe_refs(refs: DataFrame) -> DataFrame:
@@ -282,68 +306,65 @@ def term_variants(terms: DataFrame) -> DataFrame:
 TOKEN = r"[A-Za-z0-9]+"
 
 
-def _word_windows(chars: Column, reach: Column) -> Column:
-    """(start, ahead, before) of every word in an array of characters; ``ahead`` has ``reach`` characters."""
-    word = lambda c: c.between("0", "9") | c.between("A", "Z") | c.between("a", "z")
-    opens = F.zip_with(chars, shifted(chars), lambda c, p: word(c) & ~F.coalesce(word(p), F.lit(False)))
-    starts = F.filter(F.transform(opens, lambda f, i: F.when(f, i)), lambda i: i.isNotNull())
-    return F.transform(
-        starts,
-        lambda i: F.struct(
-            i.alias("start"),
-            F.array_join(F.slice(chars, i + 1, reach), "").alias("ahead"),
-            F.array_join(F.slice(chars, F.greatest(i - 4, F.lit(1)), F.least(i, F.lit(5))), "").alias("before"),
-        ),
-    )
+def uses_in(text: str, variants: list[dict], busy: list[tuple[int, int]]) -> list[tuple[str, str, str, int, int]]:
+    """(term_id, term, matched text, start, end) of the uses in one text: longest term first, apart from ``busy`` and each other.
+
+    A use begins at a word, ends before no letter, digit or underscore and, where a
+    sentence or line begins, belongs to a capitalised term.
+    """
+    found = set()
+    for v in variants:
+        variant, term = v["variant"], v["term"]
+        at, size = text.find(variant), len(variant)
+        while at >= 0:
+            after = text[at + size : at + size + 1]
+            if not (at and _alnum(text[at - 1])) and not (_alnum(after) or after == "_"):
+                before = text[max(0, at - 5) : at]
+                starts = at == 0 or before.rstrip(" \t\n\v\f\r")[-1:] in tuple(".!?:;") or "\n" in before[-2:]
+                if not starts or "A" <= term[:1] <= "Z":
+                    found.add((-len(term), term, -size, at, at + size, v["term_id"], variant))
+            at = text.find(variant, at + 1)
+    ordered = sorted(found)
+    kept = disjoint([x[3] for x in ordered], [x[4] for x in ordered], busy)
+    return [(ordered[i][5], ordered[i][1], ordered[i][6], ordered[i][3], ordered[i][4]) for i in kept]
+
+
+def _alnum(c: str) -> bool:
+    return "0" <= c <= "9" or "A" <= c <= "Z" or "a" <= c <= "z"
+
+
+_USE_NAMES = ("term_id", "term", "matched_text", "offset_start", "offset_end")
+
+
+def _uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows, out = [], []
+        for i, (text, variants, busy) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("text", "variants", "busy")))):
+            uses = uses_in(text, variants, [(x["s"], x["e"]) for x in busy or []])
+            rows += [i] * len(uses)
+            out += uses
+        at = pa.array(rows, pa.int64())
+        columns = [pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, [pa.string()] * 3 + [pa.int32()] * 2)]
+        yield pa.RecordBatch.from_arrays([batch.column("contract_id").take(at), batch.column("clause_id").take(at), *columns], names=["contract_id", "clause_id", *_USE_NAMES])
 
 
 def term_usages(clauses: DataFrame, variants: DataFrame, refs: DataFrame) -> DataFrame:
     """Uses of defined terms: longest first, no overlap with references or each other.
 
-    A word meets only the variants of its contract that start with it, and
-    carries just enough text to compare the longest of them.
+    The different words of a clause meet the variants of its contract that start with
+    them; no text travels with a word.  A clause then gets its variants and its
+    references as arrays, and its own text is searched once for each variant.
     """
-    reach = variants.groupBy("contract_id").agg((F.max(F.length("variant")) + 1).alias("__reach"))
-    chars = clauses.join(reach, "contract_id").select("contract_id", "clause_id", "__reach", F.split("text", "").alias("__ch"))
-    words = chars.select("contract_id", "clause_id", F.explode(_word_windows(F.col("__ch"), F.col("__reach"))).alias("w")).select(
-        "contract_id",
-        "clause_id",
-        F.regexp_extract("w.ahead", f"^({TOKEN})", 1).alias("__first"),
-        F.col("w.start").alias("offset_start"),
-        F.col("w.ahead").alias("__ahead"),
-        F.regexp_replace("w.before", r"\s+$", "").alias("__before"),
-        F.substring("w.before", -2, 2).contains("\n").alias("__new_line"),
-    )
-    v = variants.select("contract_id", "term_id", "term", "variant", F.regexp_extract("variant", f"^({TOKEN})", 1).alias("__first"))
-    size = F.length("variant")
-    after = F.substring(F.col("__ahead"), size + 1, F.lit(1))
-    sentence_start = (F.col("offset_start") == 0) | F.col("__before").rlike(r"[.!?:;]$") | F.col("__new_line")
-    hit = (
-        F.col("__ahead").startswith(F.col("variant"))
-        & ~after.rlike("[A-Za-z0-9_]")
-        & ~(sentence_start & ~F.col("term").rlike("^[A-Z]"))
-    )
-    found = words.join(v, ["contract_id", "__first"]).where(hit)
-    item = F.struct(
-        (-F.length("term")).alias("rank"),
-        "term",
-        (-size).alias("len"),
-        "offset_start",
-        (F.col("offset_start") + size).alias("offset_end"),
-        "term_id",
-        F.col("variant").alias("matched_text"),
-    )
-    per_clause = found.groupBy("contract_id", "clause_id").agg(F.array_sort(F.collect_set(item)).alias("items"))
-    busy = refs.groupBy("contract_id", "clause_id").agg(
-        F.collect_list(F.struct(F.col("offset_start").cast("int").alias("s"), F.col("offset_end").cast("int").alias("e"))).alias("busy")
-    )
-    joined = per_clause.join(busy, ["contract_id", "clause_id"], "left").withColumn(
-        "busy", F.coalesce("busy", F.array().cast(NOTHING_TAKEN))
-    )
-    kept = _keep_disjoint(F.col("items"), F.col("busy"))
-    return joined.select("contract_id", "clause_id", F.explode(kept).alias("u")).select(
-        "contract_id", "clause_id", "u.term_id", "u.term", "u.matched_text", "u.offset_start", "u.offset_end"
-    )
+    first = F.regexp_extract("variant", f"^({TOKEN})", 1)
+    v = variants.where(first != "").select("contract_id", first.alias("__word"), F.struct("term_id", "term", "variant").alias("v"))
+    words = clauses.select("contract_id", "clause_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({TOKEN})"), F.lit(1)))).alias("__word"))
+    met = words.join(v, ["contract_id", "__word"]).groupBy("contract_id", "clause_id").agg(F.collect_set("v").alias("variants"))
+    busy = refs.groupBy("contract_id", "clause_id").agg(F.collect_set(F.struct(F.col("offset_start").cast("int").alias("s"), F.col("offset_end").cast("int").alias("e"))).alias("busy"))
+    joined = clauses.select("contract_id", "clause_id", "text").join(met, ["contract_id", "clause_id"]).join(busy, ["contract_id", "clause_id"], "left")
+    schema = T.StructType([clauses.schema["contract_id"], clauses.schema["clause_id"]])
+    for name in _USE_NAMES:
+        schema = schema.add(name, "integer" if name.startswith("offset") else "string")
+    return joined.mapInArrow(_uses, schema)
 
 
 def usage_counts(terms: DataFrame, usages: DataFrame) -> DataFrame:
@@ -359,38 +380,66 @@ def term_aliases(terms: DataFrame) -> DataFrame:
     return joined.withColumn("aliases", others).drop("__all")
 
 
-def rebuild_contract_refs(clauses: DataFrame, path: str, contracts: DataFrame | None = None) -> None:
+#: Buckets of contracts in which references are stored; a rebuild rewrites those of the contracts it is given.
+BUCKETS = 256
+
+
+def rebuild_contract_refs(clauses: DataFrame, path: str, contracts: DataFrame | None = None, buckets: int = BUCKETS) -> None:
     """Replace the stored references of exactly the given contracts (default: those of ``clauses``).
 
-    References are stored in versions; a version is complete and the newest one with
-    its end mark counts.  A rebuild writes the rows of all other contracts and the
-    new rows of the given ones as the next version, so contracts left without a
-    reference lose their rows, others keep theirs, and repeating it changes nothing.
+    Contracts are hashed to buckets.  A rebuild writes the buckets that hold given
+    contracts anew, under the next version, and a manifest that names the version of every
+    bucket; files of other buckets are neither read nor written.  The newest manifest
+    with its end mark counts, so a rebuild that fails leaves what was there.  Contracts left
+    without a reference lose their rows, others keep theirs, and repeating it changes nothing.
     """
     spark = clauses.sparkSession
+    bucket = F.pmod(F.xxhash64("contract_id"), F.lit(buckets)).cast("int")
     ids = (clauses if contracts is None else contracts).select("contract_id").distinct()
     wanted = clauses.join(ids, "contract_id", "left_semi")
     found = extract_refs(wanted).unionByName(extract_list_refs(wanted)).unionByName(expand_ranges(wanted, wanted))
     new = resolve_refs(dedupe_refs(found), wanted)
     version = stored_version(spark, path)
-    if version is not None:
-        kept = spark.read.parquet(f"{path}/version={version}").join(ids, "contract_id", "left_anti")
-        new = new.unionByName(kept)
-    new.write.mode("overwrite").parquet(f"{path}/version={(version or 0) + 1}")
-
-
-def stored_version(spark, path: str) -> int | None:
-    """The newest complete version below ``path``, or null."""
+    manifest = _manifest(spark, path, version)
+    touched = {r[0] for r in ids.select(bucket).distinct().collect()}
+    before = _read_buckets(spark, path, {b: v for b, v in manifest.items() if b in touched}, new.schema)
+    whole = new.unionByName(before.join(ids, "contract_id", "left_anti"))
+    number = (version or 0) + 1
+    whole.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/data/version={number}")
+    written = {int(n[7:]) for n in _names(spark, f"{path}/data/version={number}") if n.startswith("bucket=")}
+    manifest = {b: v for b, v in manifest.items() if b not in touched} | {b: number for b in written}
+    rows = [(b, v, None) for b, v in sorted(manifest.items())] + [(-1, number, new.schema.json())]
+    spark.createDataFrame(rows, "bucket int, version int, schema string").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/version={number}")
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it is missing."""
     hadoop = spark._jvm.org.apache.hadoop.fs
     root = hadoop.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    names = [x.getPath().getName() for x in fs.listStatus(root)]
-    done = [int(n[8:]) for n in names if n.startswith("version=") and fs.exists(hadoop.Path(f"{path}/{n}/_SUCCESS"))]
-    return max(done, default=None)
+    return [x.getPath().getName() for x in fs.listStatus(root)] if fs.exists(root) else []
 
 
-def stored_refs(spark, path: str) -> DataFrame:
+def _manifest(spark: SparkSession, path: str, version: int | None) -> dict[int, int]:
+    """The version of every bucket that has rows."""
+    if version is None:
+        return {}
+    return {r["bucket"]: r["version"] for r in spark.read.parquet(f"{path}/manifest/version={version}").where("bucket >= 0").collect()}
+
+
+def _read_buckets(spark: SparkSession, path: str, versions: dict[int, int], schema: T.StructType) -> DataFrame:
+    paths = [f"{path}/data/version={v}/bucket={b}" for b, v in sorted(versions.items())]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def stored_version(spark: SparkSession, path: str) -> int | None:
+    """The newest complete version below ``path``, or null."""
+    names = [n for n in _names(spark, f"{path}/manifest") if n.startswith("version=")]
+    return max((int(n[8:]) for n in names if "_SUCCESS" in _names(spark, f"{path}/manifest/{n}")), default=None)
+
+
+def stored_refs(spark: SparkSession, path: str) -> DataFrame:
     """The references of the newest complete version."""
-    return spark.read.parquet(f"{path}/version={stored_version(spark, path)}")
+    version = stored_version(spark, path)
+    schema = spark.read.parquet(f"{path}/manifest/version={version}").where("bucket = -1").first()["schema"]
+    return _read_buckets(spark, path, _manifest(spark, path, version), T.StructType.fromJson(json.loads(schema)))

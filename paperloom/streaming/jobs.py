@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..plans.scratch import scratch_path
 from ..sources.tables import file_heads, validate_files
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def intake_stream(spark: SparkSession, path: str, sink: str) -> StreamingQuery:
     """Watch a folder: accepted files go to ``sink/accepted``, others to ``sink/rejected``."""
     schema = "path string, modificationTime timestamp, length long, content binary"
@@ -30,6 +33,9 @@ def intake_stream(spark: SparkSession, path: str, sink: str) -> StreamingQuery:
 def file_sink(stream: DataFrame, sink: str, routes: dict[str, str] | None = None, mode: str = "append") -> StreamingQuery:
     """Write every micro-batch to its own folder, so a repeated batch replaces itself."""
 
+    # keyed state needs a store that keeps several states of a key
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
     def write(batch: DataFrame, batch_id: int) -> None:
         for name, condition in (routes or {"rows": "true"}).items():
             batch.where(condition).write.mode("overwrite").parquet(f"{sink}/{name}/batch_id={batch_id}")
@@ -95,36 +101,92 @@ def rate_stream(calls: DataFrame, limits: DataFrame, delay: str = "1 minute") ->
     return joined.select("model_key", F.col("w.start").alias("window_start"), "calls", too_many.alias("too_many"))
 
 
+def _in_order(chunks: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple]:
+    """Rows of one key in the order of ``columns``: every chunk is sorted and the chunks are merged."""
+    parts = [list(c.sort_values(columns, kind="stable").itertuples(index=False)) for c in chunks]
+    return heapq.merge(*parts, key=lambda r: tuple(getattr(r, c) for c in columns))
+
+
+class _Interval(StatefulProcessor):
+    """The last call of a model; a model without calls for ``ttl_ms`` is forgotten."""
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "ts_ms long", self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last = self.last.get()[0] if self.last.exists() else None
+        out = []
+        for r in _in_order(rows, ["ts_ms", "event_id"]):
+            gap = None if last is None else r.ts_ms - last
+            least = None if pd.isna(r.min_interval_ms) else r.min_interval_ms
+            out.append((r.event_id, r.model_key, gap, gap is not None and least is not None and gap < least))
+            last = r.ts_ms
+        if out:
+            self.last.update((int(last),))
+            yield pd.DataFrame(out, columns=["event_id", "model_key", "gap_ms", "too_close"]).astype({"gap_ms": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def interval_stream(calls: DataFrame, limits: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Gap of every call to the model's call before it, and whether that is below the model's least interval.
+
+    Keyed state holds one time per model and crosses micro-batches; inside a batch the
+    calls of a model are taken in order of (ts, event_id).  A call that arrives in a later batch
+    than a call after it has a negative gap and counts as too close.  ``limits`` is a static table (model_key, min_interval_ms);
+    a model without a limit is never too close.  With ``ttl_ms`` the state of a silent model expires.
+    """
+    timed = calls.select("event_id", "model_key", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
+    joined = timed.join(limits.select("model_key", F.col("min_interval_ms").cast("long").alias("min_interval_ms")), "model_key", "left")
+    mode = "ProcessingTime" if ttl_ms else "None"
+    return joined.groupBy("model_key").transformWithStateInPandas(_Interval(ttl_ms), "event_id long, model_key string, gap_ms long, too_close boolean", "append", mode)
+
+
 def dedup_stream(clauses: DataFrame, ttl: str = "24 hours") -> DataFrame:
     """First clause of every content hash within the TTL."""
     return clauses.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["content_hash"])
 
 
-THROTTLE_OUTPUT = "contract_id long, event_id long, ts timestamp, percent int"
-THROTTLE_STATE = "last_ms long, last_percent int"
+class _Throttle(StatefulProcessor):
+    """The last kept value of a contract and its time; a contract without rows for ``ttl_ms`` is forgotten."""
 
+    def __init__(self, wait_ms: int, ttl_ms: int | None):
+        self.wait_ms, self.ttl_ms = wait_ms, ttl_ms
 
-def throttle_stream(progress: DataFrame, seconds: int = 3) -> DataFrame:
-    """Changed values only, at most one per ``seconds`` since the last kept one."""
-    wait = seconds * 1000
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getValueState("kept", "ts_ms long, percent int", self.ttl_ms)
 
-    def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last_ms, last = state.get if state.exists else (None, None)
-        # the rows of one contract in one micro-batch arrive unordered
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        kept = []
-        for ts, value in zip(rows["ts"], rows["percent"]):
-            ms = ts.value // 1_000_000
-            ok = value != last and (last_ms is None or ms - last_ms >= wait)
-            kept.append(ok)
-            if ok:
-                last_ms, last = int(ms), int(value)
-        state.update((last_ms, last))
-        yield rows.loc[kept, ["contract_id", "event_id", "ts", "percent"]]
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last_ms, last = self.kept.get() if self.kept.exists() else (None, None)
+        out = []
+        for r in _in_order(rows, ["ts_ms", "event_id"]):
+            if r.percent != last and (last_ms is None or r.ts_ms - last_ms >= self.wait_ms):
+                last_ms, last = int(r.ts_ms), int(r.percent)
+                out.append((r.contract_id, r.event_id, r.ts, r.percent))
+        if out:
+            self.kept.update((last_ms, last))
+            yield pd.DataFrame(out, columns=["contract_id", "event_id", "ts", "percent"])
 
-    typed = progress.select(
-        F.col("contract_id").cast("long"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("percent").cast("int")
+    def close(self) -> None:
+        pass
+
+
+def throttle_stream(progress: DataFrame, seconds: int = 3, ttl_ms: int | None = None) -> DataFrame:
+    """Changed values only, at most one per ``seconds`` since the last kept one.
+
+    Keyed state holds the last kept value of a contract; inside a micro-batch its rows are
+    taken in order of (ts, event_id).  With ``ttl_ms`` the state of a silent contract expires.
+    Rows without a value are left out.  ``maxFilesPerTrigger`` on the source bounds a batch.
+    """
+    ts = F.col("ts").cast("timestamp")
+    typed = progress.where("percent is not null").select(
+        F.col("contract_id").cast("long").alias("contract_id"), "event_id", ts.alias("ts"), F.unix_millis(ts).alias("ts_ms"), F.col("percent").cast("int").alias("percent")
     )
-    return typed.groupBy("contract_id").applyInPandasWithState(
-        keep, THROTTLE_OUTPUT, THROTTLE_STATE, "append", GroupStateTimeout.NoTimeout
+    mode = "ProcessingTime" if ttl_ms else "None"
+    return typed.groupBy("contract_id").transformWithStateInPandas(
+        _Throttle(seconds * 1000, ttl_ms), "contract_id long, event_id long, ts timestamp, percent int", "append", mode
     )

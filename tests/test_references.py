@@ -89,3 +89,60 @@ def test_rebuild_replaces_exactly_the_given_contracts(spark, tmp_path):
         assert count() == {c: 1 for c in range(8) if c != 1}
     rf.rebuild_contract_refs(df, path, df.where("contract_id = 1"))
     assert count() == {c: 1 for c in range(8)}
+
+
+def test_rebuild_leaves_other_buckets_alone(spark, tmp_path):
+    """Files of buckets without a given contract are the same files, untouched; a manifest without its end mark counts for nothing."""
+    import os
+
+    path = str(tmp_path / "refs")
+    rows = [(c, c * 10, 0, "1", None, f"see Clause {c + 2} here") for c in range(40)]
+    df = spark.createDataFrame(rows, "contract_id long, clause_id long, sort_order int, number string, zone_key string, text string")
+    rf.rebuild_contract_refs(df, path, buckets=8)
+    data = {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(f"{path}/data") for f in fs}
+    rf.rebuild_contract_refs(df.where("contract_id = 3").withColumn("text", F.lit("Clause 7 and Article 9")), path, buckets=8)
+    later = {f: t for f, t in data.items() if os.path.exists(f) and os.stat(f).st_mtime_ns == t}
+    assert later == data
+    assert len([d for d in os.listdir(f"{path}/data/version=2") if d.startswith("bucket=")]) == 1
+    got = {r["contract_id"]: r["n"] for r in rf.stored_refs(spark, path).groupBy("contract_id").agg(F.count("*").alias("n")).collect()}
+    assert got == {c: 2 if c == 3 else 1 for c in range(40)}
+    os.makedirs(f"{path}/manifest/version=3")
+    assert rf.stored_version(spark, path) == 2
+    rf.rebuild_contract_refs(df.withColumn("text", F.lit("none")), path, buckets=8)
+    assert rf.stored_refs(spark, path).count() == 0
+
+
+def test_disjoint_as_the_walk():
+    import random
+    import time
+
+    rng = random.Random(1)
+    for _ in range(300):
+        items = [(a := rng.randint(0, 60), a + rng.randint(1, 9)) for _ in range(rng.randint(0, 25))]
+        taken = [(a := rng.randint(0, 60), a + rng.randint(1, 5)) for _ in range(rng.randint(0, 6))]
+        busy, want = list(taken), []
+        for i, (a, b) in enumerate(items):
+            if not any(a < e and s < b for s, e in busy):
+                busy.append((a, b))
+                want.append(i)
+        assert rf.disjoint([a for a, _ in items], [b for _, b in items], taken) == want
+    starts = [rng.randint(0, 10_000_000) for _ in range(50_000)]
+    began = time.time()
+    rf.disjoint(starts, [a + 20 for a in starts], [(a + 5, a + 9) for a in starts[:1000]])
+    assert time.time() - began < 5
+
+
+def test_a_clause_of_many_references_ends_in_seconds(spark):
+    import time
+
+    refs = spark.range(50_000).selectExpr("1L as contract_id", "1L as clause_id", "'clause' as pattern_type", "cast(id as string) as target_ref", "'x' as matched_text", "cast(id * 7 as int) as offset_start", "cast(id * 7 + id % 13 + 1 as int) as offset_end", "id % 50 = 0 as is_list")
+    began = time.time()
+    kept = rf.dedupe_refs(refs).count()
+    assert 25_000 < kept < 50_000 and time.time() - began < 30
+
+
+def test_usage_plan_cuts_no_text_for_words(spark):
+    df = clauses(spark, '"Owner" means x.', "The Owner", numbers=["1.1.1", "2"])
+    variants = rf.term_variants(rf.extract_terms(rf.definition_clauses(df)))
+    plan = rf.term_usages(df, variants, rf.extract_refs(df))._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring" not in plan.split("Generate explode(array_distinct(regexp_extract_all")[1].split("\n")[0]
