@@ -16,7 +16,10 @@ from paperloom.operators import layout as ly
 from paperloom.operators import sections as se
 from paperloom.operators import toc as tc
 
-from .q_text import heading_line_sql, pattern_table, toc_line_sql, SQL_TOC_LINES, _toc_lines
+from paperloom.plans.scratch import scratch_path
+from paperloom.streaming import jobs as st
+
+from .q_text import _sql_paragraph_part, heading_line_sql, pattern_table, toc_line_sql, SQL_TOC_LINES, _toc_lines
 from .registry import apart, query
 from .sqltext import (
     NON_TARGET, cross_ref, detect_part, ex, heading_number, hint, remainder_kind, rep, rest_case, kind_case, rx, strip, upper_ratio, ws, zone_hint,
@@ -620,6 +623,53 @@ query(
     good=f"""select doc_id, g, max({strip('text')}) filter (where hd) as head, {strip("string_agg(text, chr(10) order by pos) filter (where not hd)")} as body from (
         select *, sum(hd::int) over (partition by doc_id order by pos) as g from l6) a group by doc_id, g having coalesce(body, '') <> ''""",
 )
+
+
+def contract_files(t, inbox):
+    """One file per contract, of the lines of its documents: of ten contracts one without the head of an accepted file, one without text."""
+    lines = t.numbered_sections.select((F.col("doc_id") % 40).alias("contract"), "doc_id", F.posexplode(F.split("content", "\n")).alias("pos", "line"))
+    lines = lines.where((F.trim("line") != "") & (F.col("contract") % 10 != 9))
+    heads = t.numbered_sections.select((F.col("doc_id") % 40).alias("contract")).distinct().where("contract % 10 <> 8")
+    rows = lines.unionByName(heads.select("contract", F.lit(-1).cast("long").alias("doc_id"), F.lit(0).alias("pos"), F.lit("%PDF-1.7").alias("line")))
+    ordered = rows.repartition("contract").sortWithinPartitions("contract", "doc_id", "pos").select("contract", "line")
+    options = dict(extension="pdf", sep="\u0001", quote="\u0002", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    ordered.write.partitionBy("contract").options(**options).csv(inbox)
+
+
+def _st1_publish(t):
+    inbox, sink = scratch_path(t.spark, "inbox"), scratch_path(t.spark, "intake")
+    contract_files(t, inbox)
+    number = F.regexp_extract("path", r"contract=(\d+)/", 1)
+    st.publish_stream(t.spark, inbox, sink, contract=number).awaitTermination()
+    read = lambda n: t.spark.read.parquet(f"{sink}/published/{n}")
+    zones = read("document_zones").groupBy("contract_id").agg(F.count("*").alias("zones"), F.max("zone_type").alias("zone_type"))
+    clauses = read("clauses").groupBy("contract_id").agg(F.count("*").alias("clauses"), F.sum(F.length("text")).alias("chars"), F.count_if("needs_review").alias("unsure"))
+    out = read("contracts").select("contract_id", "status").join(zones, "contract_id", "left").join(clauses, "contract_id", "left")
+    rejected = t.spark.read.parquet(f"{sink}/rejected").select("contract_id", F.col("reject_reason").alias("status"))
+    every = out.unionByName(rejected, allowMissingColumns=True)
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return every.select("contract_id", "status", F.coalesce("zone_type", F.lit("")).alias("zone_type"), *(count(c) for c in ("zones", "clauses", "chars", "unsure")))
+
+
+query(
+    "st1_publish_stream",
+    _st1_publish,
+    f"""select c.contract as contract_id, case when c.contract % 10 = 8 then 'magic_pdf' when c.contract % 10 = 9 then 'error' when z.type in {NON_TARGET} then 'filtering' else 'ready' end as status,
+          case when c.contract % 10 < 8 then z.type else '' end as zone_type, case when c.contract % 10 < 8 then 1 else 0 end as zones, coalesce(k.clauses, 0) as clauses, coalesce(k.chars, 0)::bigint as chars, coalesce(k.unsure, 0)::bigint as unsure
+        from (select distinct doc_id % 40 as contract from numbered_sections) c left join (
+          select doc_id, coalesce(part, 'contract_body') as type from (select *, {_sql_paragraph_part()} as part from headed) x) z on z.doc_id = c.contract
+        left join (select doc_id, count(*) as clauses, sum(length(text)) as chars, sum(unsure) as unsure from (
+          select doc_id, case when head is null then body else head || chr(10) || body end as text, 0 as unsure from good where doc_id % 10 < 8
+          union all select doc_id, {strip("string_agg(text, chr(10) order by pos)")}, 1 from l6 where doc_id not in (select doc_id from good) and doc_id % 10 < 8 group by doc_id) q group by 1) k on k.doc_id = c.contract""",
+    lines0="""select doc_id % 40 as doc_id, row_number() over (partition by doc_id % 40 order by doc_id, u.pos) as pos, ls[u.pos] as text
+        from (select doc_id, string_split(content, chr(10)) as ls from numbered_sections) q, unnest(range(1, len(ls) + 1)) as u(pos) where trim(ls[u.pos]) <> '' and doc_id % 10 <> 9""",
+    hinted=hint("lines0", "text"),
+    l6=SQL_TL6,
+    good=f"""select doc_id, g, max({strip('text')}) filter (where hd) as head, {strip("string_agg(text, chr(10) order by pos) filter (where not hd)")} as body from (
+        select *, sum(hd::int) over (partition by doc_id order by pos) as g from l6) a group by doc_id, g having coalesce(body, '') <> ''""",
+    firsts=f"select doc_id, {strip('text')} as heading, {strip('text')} as first_line from lines0 where pos = 1",
+    headed=hint("firsts", "first_line"),
+)
 SQL_WI = f"""select *, zone = 'preamble' or coalesce((page_start, section_index) < fnum, false) as is_intro from (
     select *, min((page_start, section_index)) over (partition by contract_id, zone) as zfirst, min(case when hk is not null then (page_start, section_index) end) over (partition by contract_id, zone) as fnum
     from hinted where zone = 'preamble' or zone not in {NON_TARGET}) q"""

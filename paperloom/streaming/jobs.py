@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..plans.scratch import scratch_path
-from ..sources.tables import file_heads, validate_files
+from ..functions.zoning import analysis_target, zone_paragraphs
+from ..operators.clauses import split_clauses_text
+from ..plans.scan import int_chunk, island, ordered_scan
+from ..plans.scratch import cut, scratch_path
+from ..sources.sinks import publish_contract_tables
+from ..sources.tables import file_heads, split_text, validate_files
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -30,6 +34,68 @@ def intake_stream(spark: SparkSession, path: str, sink: str) -> StreamingQuery:
     return file_sink(checked, sink, {"accepted": "accepted", "rejected": "not accepted"})
 
 
+HEADER = r"^%PDF[^\n]*\n?"
+
+
+def plain_text(content: Column) -> Column:
+    """Text of an accepted file that holds plain text behind its header line; null where the bytes are no UTF-8."""
+    return F.regexp_replace(F.try_validate_utf8(content.cast("string")), HEADER, "")
+
+
+def parse_files(files: DataFrame, text: Column) -> dict[str, DataFrame]:
+    """Contracts, zones and clauses of accepted files (contract_id, name, content).
+
+    A file without a line of text, or one that can't be read, is damaged: its contract gets the status
+    ``error`` and nothing else.  Paragraphs are typed by their first line; a run of equal
+    types is a zone, from its first paragraph to its last.  Clauses are split at heading lines.
+    """
+    read = cut(files.select("contract_id", "name", text.alias("text")), "read")
+    damaged = ~F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
+    docs = read.where(~damaged).withColumn("doc_id", F.col("contract_id"))
+    paragraphs = split_text(docs, "paragraph").withColumn("heading", F.split("text", "\n")[0])
+    typed = zone_paragraphs(paragraphs).withColumnRenamed("doc_id", "contract_id")
+    runs = ordered_scan(typed, ["contract_id"], ["pos"], {"zone_index": island(F.col("type"))}, int_chunk("pos"))
+    zones = runs.groupBy("contract_id", "zone_index", F.col("type").alias("zone_type")).agg(
+        F.min("pos").alias("page_from"), F.max("pos").alias("page_to"), F.max("confidence").alias("confidence")
+    )
+    # a damaged contract gets one zone without a page, which is what fails a contract on publishing
+    broken = read.where(damaged).select("contract_id", F.lit(1).cast("long").alias("zone_index"), F.lit(None).cast("string").alias("zone_type"), F.lit(None).cast("int").alias("page_from"), F.lit(None).cast("int").alias("page_to"), F.lit(None).cast("double").alias("confidence"))
+    zones = zones.select(broken.columns).unionByName(broken).withColumn("is_analysis_target", analysis_target(F.col("zone_type")))
+    clauses = split_clauses_text(docs).withColumnRenamed("doc_id", "contract_id")
+    return {"contracts": read.select("contract_id", "name"), "zones": zones, "clauses": clauses, "damaged": read.where(damaged).select("contract_id", "name")}
+
+
+def publish_stream(spark: SparkSession, path: str, sink: str, text: Callable[[Column], Column] = plain_text, contract: Column | None = None) -> StreamingQuery:
+    """Watch a folder; parse accepted files and publish their contracts, zones and clauses below ``sink``.
+
+    Every micro-batch is published under its own number, so repeating one replaces it
+    and changes nothing.  Files that are no contracts go to ``sink/rejected`` with the reason; ``sink/counts``
+    has a row per batch: files, accepted, rejected and damaged ones, as observed while
+    the batch was written.  ``contract`` gives a file's id from its ``path`` (default: a hash of it).
+    """
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    raw = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(path)
+    key = (F.xxhash64("path") if contract is None else contract).cast("long").alias("contract_id")
+
+    def write(batch: DataFrame, number: int) -> None:
+        here = f"batch_id={number}"
+        heads = batch.select(key, F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.substring("content", 1, 4).alias("head"), "content")
+        checked = validate_files(heads)
+        seen = Observation(f"intake-{number}")
+        slim = checked.select("contract_id", "name", "length", "reject_reason").observe(
+            seen, F.count(F.lit(1)).alias("files"), F.count_if(F.col("reject_reason").isNull()).alias("accepted"), F.count_if(F.col("reject_reason").isNotNull()).alias("rejected")
+        )
+        listed = cut(slim, "listed")
+        listed.where("reject_reason is not null").write.mode("overwrite").parquet(f"{sink}/rejected/{here}")
+        parsed = parse_files(checked.where("accepted").select("contract_id", "name", "content"), text(F.col("content")))
+        publish_contract_tables(parsed["contracts"], parsed["zones"], parsed["clauses"], f"{sink}/published", batch=str(number))
+        counts = seen.get | {"damaged": parsed["damaged"].count()}
+        names = ["files", "accepted", "rejected", "damaged"]
+        spark.createDataFrame([tuple(counts[n] for n in names)], ", ".join(f"{n} long" for n in names)).coalesce(1).write.mode("overwrite").parquet(f"{sink}/counts/{here}")
+
+    return raw.writeStream.foreachBatch(write).option("checkpointLocation", f"{sink}/_state").trigger(availableNow=True).start()
+
+
 def file_sink(stream: DataFrame, sink: str, routes: dict[str, str] | None = None, mode: str = "append") -> StreamingQuery:
     """Write every micro-batch to its own folder, so a repeated batch replaces itself."""
 
