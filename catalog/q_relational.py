@@ -105,7 +105,25 @@ def _items(t):
     )
 
 
-query("src4_words_to_lines", lambda t: src.words_to_lines(_items(t)))
+query(
+    "src4_words_to_lines",
+    lambda t: src.words_to_lines(_items(t)).select(
+        "contract_id", "page", "line_no", "text", *(F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1", "font_size")), "is_bold"
+    ),
+    # the fold over a page, word by word
+    f"""select contract_id, page, line as line_no, {strip("string_agg(w, ' ' order by tx, seq)")} as text, round(min(tx), 6)::double as x0, round(min(page_height - ty - font_size), 6)::double as y0,
+          round(max(tx + length(w) * 5.0), 6)::double as x1, round(max(page_height - ty + font_size * 0.2), 6)::double as y1, round(avg(font_size), 6)::double as font_size, avg(is_bold::int) >= 0.5 as is_bold
+        from (with recursive o as (select *, row_number() over (partition by contract_id, page order by -ty, tx, seq) as rn from items),
+          rec as (select o.*, ty as anchor, 0 as line from o where rn = 1
+            union all select o.*, case when abs(o.ty - r.anchor) <= greatest(2.0, o.font_size * 0.4) then r.anchor else o.ty end,
+              case when abs(o.ty - r.anchor) <= greatest(2.0, o.font_size * 0.4) then r.line else r.line + 1 end
+            from rec r join o on o.contract_id = r.contract_id and o.page = r.page and o.rn = r.rn + 1)
+          select * from rec) x
+        group by contract_id, page, line having {strip("string_agg(w, ' ' order by tx, seq)")} <> ''""",
+    items="""select contract_id, page, page_height::double as page_height, font_size::double as font_size, is_bold, ord * 100000 + k - 1 as seq, ws[k] as w, x0 + (k - 1) * 30 as tx,
+        page_height - y0 - font_size + ((k - 1) % 4) * 0.9::double as ty
+      from (select *, unnest(range(1, len(ws) + 1)) as k from (select *, string_split(text, ' ') as ws from page_lines) a) b where ws[k] <> ''""",
+)
 
 query(
     "src5_split_text_lines",
@@ -399,7 +417,7 @@ def _scan_pages(t):
 
 query(
     "flt16_detect_scans",
-    lambda t: fl.detect_scans(_scan_pages(t), t.sections.where("contract_id % 4 <> 1")).select(
+    lambda t: fl.detect_scans(_scan_pages(t), apart(t.sections, "contract_id", "contract_id % 4 = 1")).select(
         "contract_id", F.round("avg_words", 4).alias("avg_words"), "is_scan"
     ),
     f"""select contract_id, round(a, 4) as avg_words, a < 10 as is_scan from (select contract_id,
@@ -518,10 +536,10 @@ query(
     "set3_with_fallback_rows",
     lambda t: jn.with_fallback_rows(
         t.contracts,
-        t.clauses.where("contract_id % 3 <> 0").select("contract_id", F.col("sort_order").cast("long").alias("order_index"), F.coalesce("number", F.lit("")).alias("number"), "text", "is_auto_split"),
+        apart(t.clauses, "contract_id", "contract_id % 3 = 0").select("contract_id", F.col("sort_order").cast("long").alias("order_index"), F.coalesce("number", F.lit("")).alias("number"), "text", "is_auto_split"),
         t.sections,
     ).select("contract_id", "order_index", "number", F.md5("text").alias("h"), "is_auto_split"),
-    f"""select contract_id, sort_order as order_index, coalesce(number, '') as number, md5(text) as h, is_auto_split from clauses where contract_id % 3 <> 0
+    f"""select case when contract_id % 3 = 0 then -1 - contract_id else contract_id end as contract_id, sort_order as order_index, coalesce(number, '') as number, md5(text) as h, is_auto_split from clauses
         union all
         select contract_id, 0, 'contract_body-auto-1', md5({strip("string_agg(content, chr(10) || chr(10) order by page_start, section_index)")}), true
         from sections where contract_id % 3 = 0 and coalesce(zone_hint, '') not in ('toc', 'cover_page') group by contract_id""",
@@ -533,9 +551,9 @@ query(
 )
 query(
     "set5_parity_diff",
-    lambda t: jn.parity_diff(t.clauses, t.clauses.where("clause_id % 17 <> 5"), "contract_id"),
-    """select contract_id, count(*) as left_rows, count(*) filter (where clause_id % 17 <> 5) as right_rows from clauses group by 1
-       having count(*) <> count(*) filter (where clause_id % 17 <> 5)""",
+    lambda t: jn.parity_diff(t.clauses, apart(t.clauses, "contract_id", "clause_id % 17 = 5"), "contract_id"),
+    """select contract_id, sum(l)::bigint as left_rows, sum(r)::bigint as right_rows from (select contract_id, 1 as l, 0 as r from clauses
+         union all select case when clause_id % 17 = 5 then -1 - contract_id else contract_id end, 0, 1 from clauses) x group by 1 having sum(l) <> sum(r)""",
 )
 
 # ------------------------------------------------------------------ dashboards

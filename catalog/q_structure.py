@@ -473,7 +473,8 @@ query(
 )
 query(
     "wn17_sub_documents",
-    lambda t: tc.sub_documents(t.sections, _score_parts(t).where("contract_id % 6 <> 5")).select(
+    # of one contract in six the parts belong to a contract without sections
+    lambda t: tc.sub_documents(t.sections, apart(_score_parts(t), "contract_id", "contract_id % 6 = 5")).select(
         "contract_id", "subdoc_index", "title", "page_start", "page_end", "n_parts"
     ),
     """select contract_id, g::bigint as subdoc_index, coalesce(nullif(arg_min(title, part_index), ''), 'Document ' || (g + 1)) as title, arg_min(page_start, part_index) as page_start,
@@ -481,7 +482,7 @@ query(
          select *, max(g) over (partition by contract_id) as mg from (select *, sum((signals >= 2)::int) over (partition by contract_id order by part_index) as g from sc) a) b
        group by contract_id, g, mg
        union all select contract_id, 0, coalesce(arg_min(heading, section_index) filter (where heading <> ''), ''), 1, max(page_end), 0 from sections where contract_id % 6 = 5 group by 1""",
-    sp=SQL_SP + " where contract_id % 6 <> 5",
+    sp=f"select * replace (case when contract_id % 6 = 5 then -1 - contract_id else contract_id end as contract_id) from ({SQL_SP}) q",
     sc=SQL_SCORE,
 )
 query(
@@ -778,8 +779,8 @@ query(
     "ag13_document_review_flag",
     lambda t: cl.document_review_flag(
         t.contracts.select("contract_id", (F.col("contract_id") % 5 == 0).alias("needs_review")),
-        t.contracts.where("contract_id % 3 > 0").select("contract_id", ((F.col("contract_id") % 7) / 4.0 - 0.3).alias("score")),
-        t.zones.where("not is_analysis_target and contract_id % 11 = 4"),
+        t.contracts.select("contract_id", F.when(F.col("contract_id") % 3 > 0, (F.col("contract_id") % 7) / 4.0 - 0.3).alias("score")),
+        apart(t.zones.where("not is_analysis_target"), "contract_id", "contract_id % 11 <> 4"),
     ),
     """select contract_id, contract_id % 5 = 0 or (contract_id % 3 > 0 and least(1.0, greatest(0.0, (contract_id % 7) / 4.0 - 0.3)) < 0.5) or contract_id % 11 = 4 as needs_review from contracts""",
 )

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.headings import heading_remainder_kind, text_heading
 from ..functions.lines import clean_ghost_tables, reflow_paragraphs
@@ -259,7 +264,8 @@ def quality_rules(clauses: DataFrame) -> DataFrame:
 
 def document_review_flag(rules: DataFrame, scores: DataFrame, warnings: DataFrame) -> DataFrame:
     """Review is needed by rule, for a score below one half, or with warnings."""
-    s = scores.select("contract_id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score"))).alias("__s"))
+    # a missing score says nothing; least and greatest would skip it and give 0
+    s = scores.where("score is not null").select("contract_id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score"))).alias("__s"))
     w = warnings.select("contract_id").distinct().withColumn("__w", F.lit(True))
     joined = rules.join(s, "contract_id", "left").join(w, "contract_id", "left")
     return joined.select(
@@ -282,8 +288,8 @@ def dominant_language(clauses: DataFrame, profiles: DataFrame) -> DataFrame:
     ahead = ordered_scan(text, CONTRACT, ["sort_order", "clause_id"], {"__n1": following(head)}, int_chunk("sort_order"))
     ahead = ordered_scan(ahead, CONTRACT, ["sort_order", "clause_id"], {"__n2": following(F.col("__n1"))}, int_chunk("sort_order"))
     tail = F.substring(F.concat(F.coalesce("__n1", F.lit("")), F.coalesce("__n2", F.lit(""))), 1, 2)
-    grams = ahead.select("contract_id", F.explode(trigrams(F.concat("__t", tail))).alias("gram"))
-    counts = grams.groupBy("contract_id", "gram").agg(F.count(F.lit(1)).alias("__n"))
+    pieces = gram_counts(ahead.select("contract_id", F.concat("__t", tail).alias("__t")), "contract_id", "__t")
+    counts = pieces.groupBy("contract_id", "gram").agg(F.sum("n").alias("__n"))
     scored = (
         counts.join(profiles, "gram")
         .groupBy("contract_id", "lang")
@@ -292,14 +298,48 @@ def dominant_language(clauses: DataFrame, profiles: DataFrame) -> DataFrame:
     return scored.groupBy("contract_id").agg(F.max_by("lang", F.struct("__score", "lang")).alias("lang"))
 
 
-def trigrams(text):
-    """All overlapping character trigrams in one pass over the text."""
-    return F.regexp_extract_all(text, F.lit("(?s)(?=(...))"), F.lit(1))
+#: Characters counted at once.
+GRAM_CHARS = 2_000_000
+
+
+def gram_counts(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, gram, n): overlapping character trigrams, counted inside a batch, so a key adds each of its trigrams once a batch.
+
+    A trigram is the number of its three code points, 21 bits each.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.cumsum([len(t or "") for t in batch.column(1).to_pylist()])
+            at = 0
+            while at < batch.num_rows:
+                done = int(sizes[at - 1]) if at else 0
+                to = max(at + 1, int(np.searchsorted(sizes, done + GRAM_CHARS, "right")))
+                yield _grams_of(batch.slice(at, to - at), key)
+                at = to
+
+    schema = T.StructType([T.StructField(key, texts.schema[key].dataType), T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
+    return texts.select(key, text).mapInArrow(run, schema)
+
+
+def _grams_of(batch: pa.RecordBatch, key: str) -> pa.RecordBatch:
+    codes = batch.column(0).dictionary_encode(null_encoding="encode")
+    texts = [t or "" for t in batch.column(1).to_pylist()]
+    chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    whole = np.flatnonzero(row[2:] == row[:-2])
+    gram = chars[whole] << 42 | chars[whole + 1] << 21 | chars[whole + 2]
+    owner = codes.indices.to_numpy(zero_copy_only=False)[row[whole]]
+    order = np.lexsort((gram, owner))
+    gram, owner = gram[order], owner[order]
+    first = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])]) if len(gram) else np.zeros(0, np.int64)
+    n = np.diff(np.r_[first, len(gram)])
+    return pa.RecordBatch.from_arrays([codes.dictionary.take(pa.array(owner[first])), pa.array(gram[first]), pa.array(n.astype(np.int64))], names=[key, "gram", "n"])
 
 
 def language_profiles(texts: DataFrame) -> DataFrame:
     """Weights of all character trigrams of labelled texts."""
-    grams = texts.select("lang", F.explode(trigrams(F.lower("text"))).alias("gram"))
-    counts = grams.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
+    pieces = gram_counts(texts.select("lang", F.lower("text").alias("text")), "lang", "text")
+    counts = pieces.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     return counts.join(totals, "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("weight"))

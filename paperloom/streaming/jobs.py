@@ -96,8 +96,12 @@ def publish_stream(spark: SparkSession, path: str, sink: str, text: Callable[[Co
     return raw.writeStream.foreachBatch(write).option("checkpointLocation", f"{sink}/_state").trigger(availableNow=True).start()
 
 
-def file_sink(stream: DataFrame, sink: str, routes: dict[str, str] | None = None, mode: str = "append") -> StreamingQuery:
-    """Write every micro-batch to its own folder, so a repeated batch replaces itself."""
+def file_sink(stream: DataFrame, sink: str, routes: dict[str, str] | None = None, mode: str = "append", trigger: dict | None = None) -> StreamingQuery:
+    """Write every micro-batch to its own folder, so a repeated batch replaces itself.
+
+    Everything available is processed unless ``trigger`` says otherwise; a stream whose state
+    expires never runs out of batches and needs a trigger of its own.
+    """
 
     # keyed state needs a store that keeps several states of a key
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -110,7 +114,7 @@ def file_sink(stream: DataFrame, sink: str, routes: dict[str, str] | None = None
         stream.writeStream.outputMode(mode)
         .foreachBatch(write)
         .option("checkpointLocation", f"{sink}/_state")
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
