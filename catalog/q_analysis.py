@@ -66,6 +66,14 @@ query(
     scores=SQL_SCORES,
     top=SQL_TOP,
 )
+query(
+    "tk2_nearest_references",
+    lambda t: an.nearest_references(t.clause_vectors, t.references, 3).select("clause_id", "ref_id", "rank", F.round("score", 4).alias("score")),
+    "select clause_id, ref_id, rank, round(score, 4) as score from top",
+    refs=SQL_REFS,
+    scores=SQL_SCORES,
+    top=SQL_TOP,
+)
 query(
     "tk3_fallback_references",
     lambda t: an.fallback_references(t.clause_vectors, t.references).select("clause_id", "ref_id", "ref_rank", F.round("score", 4).alias("score")),

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import strip
 from ..functions.vectors import unit, unit_dot
@@ -59,6 +65,127 @@ def score_references(clauses: DataFrame, refs: DataFrame, k: int | None = None)
     return flat if k is None else top_references(flat, k).drop("rank")
 
 
+#: Bytes of reference vectors that may go with every task; more of them are met by a join.
+MOST_REF_BYTES = 64 << 20
+#: References of one ball; scores are compared with nine places, so this much is added to every bound.
+BALL_REFS, BOUND_SLACK = 64, 1e-8
+
+
+@dataclass(frozen=True)
+class Balls:
+    """Unit vectors of references in balls: each ball's rows, centroid and radius."""
+
+    vectors: np.ndarray
+    ranks: np.ndarray
+    ends: np.ndarray
+    centroids: np.ndarray
+    radii: np.ndarray
+
+    @classmethod
+    def build(cls, vectors: np.ndarray, ranks: np.ndarray) -> Balls:
+        """Halves the rows between two far ones until ``BALL_REFS`` are left."""
+        order, ends, todo = [], [], [np.arange(len(vectors))]
+        while todo:
+            rows = todo.pop()
+            x = vectors[rows]
+            if len(rows) <= BALL_REFS:
+                order.append(rows)
+                ends.append(len(rows))
+                continue
+            one = x[((x - x.mean(axis=0)) ** 2).sum(axis=1).argmax()]
+            two = x[((x - one) ** 2).sum(axis=1).argmax()]
+            side = np.argsort(x @ (one - two), kind="stable")
+            todo += [rows[side[: len(rows) // 2]], rows[side[len(rows) // 2 :]]]
+        at, ends = np.concatenate(order), np.cumsum(ends)
+        vectors, ranks = vectors[at], ranks[at]
+        parts = np.split(vectors, ends[:-1])
+        centroids = np.array([p.mean(axis=0) for p in parts])
+        radii = np.array([np.sqrt(((p - c) ** 2).sum(axis=1).max()) for p, c in zip(parts, centroids)])
+        return cls(vectors, ranks, ends, centroids, radii)
+
+    def top(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Positions of the ``k`` best references of each unit vector, their scores, and how many pairs were scored.
+
+        The ball with the nearest centroid is scored first; after it only balls whose
+        bound (centroid's score plus radius) reaches the k-th best score so far.
+        """
+        n, k = len(queries), min(k, len(self.vectors))
+        near = queries @ self.centroids.T
+        score, place = np.full((n, k), -np.inf), np.full((n, k), -1)
+        pairs = 0
+        starts = np.r_[0, self.ends[:-1]]
+        first = (near + self.radii).argmax(axis=1)
+
+        def offer(ball: int, rows: np.ndarray) -> None:
+            nonlocal pairs
+            lo, hi = starts[ball], self.ends[ball]
+            pairs += len(rows) * int(hi - lo)
+            new = np.round(queries[rows] @ self.vectors[lo:hi].T, 9)
+            both = np.concatenate([score[rows], new], axis=1)
+            at = np.concatenate([place[rows], np.broadcast_to(np.arange(lo, hi), new.shape)], axis=1)
+            rank = np.where(at >= 0, self.ranks[at], np.iinfo(np.int64).max)
+            best = np.lexsort((rank, -both), axis=1)[:, :k]
+            score[rows], place[rows] = np.take_along_axis(both, best, 1), np.take_along_axis(at, best, 1)
+
+        for ball in np.unique(first):
+            offer(ball, np.flatnonzero(first == ball))
+        for ball in range(len(self.ends)):
+            rows = np.flatnonzero((near[:, ball] + self.radii[ball] + BOUND_SLACK >= score[:, -1]) & (first != ball))
+            if len(rows):
+                offer(ball, rows)
+        return place, score, pairs
+
+
+def nearest_references(clauses: DataFrame, refs: DataFrame, k: int = 3) -> DataFrame:
+    """(clause_id, ref_id, ref_rank, rank, score): the ``k`` best references of each clause by cosine similarity.
+
+    The same rows as ``top_references(score_references(...))``, scores compared with nine places and
+    ties in reference order, but without scoring all pairs: references lie in balls, and an Arrow
+    batch of clauses skips the balls whose bound is too low.  References that take more than
+    ``MOST_REF_BYTES`` are met by the join instead.  Clauses without a vector, or with one of zeros, are left out.
+    """
+    held = refs.where("vector is not null")
+    total = held.agg(F.coalesce(F.sum(F.size("vector") * 8), F.lit(0))).first()[0]
+    if total > MOST_REF_BYTES:
+        return top_references(score_references(clauses.where("vector is not null"), held, k), k).select("clause_id", "ref_id", "ref_rank", "rank", "score")
+    rows = held.select("ref_id", F.col("ref_rank").cast("long").alias("ref_rank"), "vector").toArrow()
+    schema = T.StructType([clauses.schema["clause_id"], refs.schema["ref_id"]]).add("ref_rank", "long").add("rank", "integer").add("score", "double")
+    if not rows.num_rows:
+        return clauses.sparkSession.createDataFrame([], schema)
+    unit_rows = _unit_rows(rows.column("vector"))
+    kept = np.flatnonzero(np.abs(unit_rows).sum(axis=1) > 0)
+    ids = rows.column("ref_id").combine_chunks()
+    ranks = rows.column("ref_rank").to_numpy()
+    order = np.argsort(ranks[kept], kind="stable")
+    kept = kept[order]
+    balls = Balls.build(unit_rows[kept], np.arange(len(kept)))
+    shared = clauses.sparkSession.sparkContext.broadcast((balls, ids.take(pa.array(kept)), ranks[kept]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        balls, ids, ranks = shared.value
+        for batch in batches:
+            q = _unit_rows(batch.column(1))
+            own = np.flatnonzero(np.abs(q).sum(axis=1) > 0)
+            place, score, _ = balls.top(q[own], k)
+            number = balls.ranks[place]  # of the reference in order of rank
+            width = place.shape[1]
+            at, flat = pa.array(np.repeat(own, width)), number.ravel()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), ids.take(pa.array(flat)), pa.array(ranks[flat]), pa.array(np.tile(np.arange(1, width + 1, dtype=np.int32), len(own))), pa.array(score.ravel())],
+                names=["clause_id", "ref_id", "ref_rank", "rank", "score"],
+            )
+
+    return clauses.where("vector is not null").select("clause_id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, schema)
+
+
+def _unit_rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows of length 1; a vector of zeros stays as it is."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    x = flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(flat), -1) if len(flat) else np.zeros((0, 1))
+    size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+
 def top_references(scores: DataFrame, k: int = 3) -> DataFrame:
     """Best ``k`` references per clause; ties keep the reference order."""
     w = W.partitionBy("clause_id").orderBy(F.desc("score"), "ref_rank")
