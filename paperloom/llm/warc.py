@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +24,9 @@ from paperloom.plans.scratch import cut
 LEAST_REVISIT = 1000  # bytes of a payload that may be replaced by a revisit record
 SEGMENT_BYTES = 64 << 10
 CHUNK_BYTES = 8 << 10
-RECORDS_PER_FILE = 200  # bounds an archive by this many segments
+RECORDS_PER_FILE = 5_000  # bounds an archive by this many segments, about 300 MB before compression
+#: Bytes of blocks in one batch of read records.
+BATCH_BYTES = 8 << 20
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -100,20 +104,24 @@ def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00
     out.option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
-def parse_archive(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (lower-case names) and block of each record of an archive."""
-    at, end = 0, len(raw)
-    while at < end:
-        stop = raw.find(b"\r\n\r\n", at)
-        if stop < 0 or not raw.startswith(b"WARC/", at):
-            raise ValueError(f"no record at byte {at}")
-        lines = raw[at:stop].decode("utf-8", "replace").split("\r\n")[1:]
-        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+def parse_archive(raw: bytes | BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (lower-case names) and block of each record of an archive, read one record at a time."""
+    stream = io.BytesIO(raw) if isinstance(raw, bytes) else raw
+    number = 0
+    while line := stream.readline():
+        number += 1
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"record {number} has no WARC header")
+        head = {}
+        while (line := stream.readline()) != b"\r\n":
+            if not line:
+                raise ValueError(f"the header of record {number} has no end")
+            name, _, value = line.decode("utf-8", "replace").partition(":")
+            head[name.strip().lower()] = value.strip()
         size = int(head["content-length"])
-        block = raw[stop + 4 : stop + 4 + size]
-        at = stop + 4 + size + 4
-        if len(block) < size or raw[at - 4 : at] != b"\r\n\r\n":
-            raise ValueError(f"record at byte {stop} isn't closed")
+        block = stream.read(size)
+        if len(block) < size or stream.read(4) != b"\r\n\r\n":
+            raise ValueError(f"record {number} isn't closed")
         yield head, block
 
 
@@ -178,8 +186,8 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = _schema(RECORD)
     for batch in batches:
         for content in batch.column(0):
-            rows = []
-            for head, block in parse_archive(gzip.decompress(content.as_py())):
+            rows, size = [], 0
+            for head, block in parse_archive(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content.as_py())))):
                 seg, total = head.get("warc-segment-number"), head.get("warc-segment-total-length")
                 row = {n: None for n in schema.names} | {
                     "record_id": head["warc-record-id"],
@@ -194,6 +202,10 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 elif row["record_type"] == "response":
                     row = _settled(row, block)
                 rows.append(row)
+                size += len(row["block"] or b"") + 1024
+                if size >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows, size = [], 0
             yield pa.RecordBatch.from_pylist(rows, schema)
 
 
@@ -220,7 +232,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     ``error`` tells what is wrong with a damaged response (a segment missing, a
     wrong total length, framing cut off, digest differs); it has no payload then.
     Repeated records come as often as they were written.  Only segments of one
-    record meet in a group; whole records pass it without their block.
+    record meet in a group, equal ones once; whole records pass it without their block.  An archive,
+    of one gzip member or many, is unpacked as a stream: a task holds its packed bytes and one batch of records.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     rows = files.mapInArrow(_parsed, RECORD)
@@ -233,7 +246,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         F.max("payload_bytes").alias("payload_bytes"),
         F.max("payload_digest").alias("payload_digest"),
         F.max("error").alias("error"),
-        F.collect_list(part).alias("parts"),
+        F.collect_set(part).alias("parts"),
         F.sum(head.cast("int")).alias("copies"),
     )
     return grouped.mapInArrow(_joined, READ)

@@ -51,3 +51,30 @@ def test_damage():
             warc.dechunk(bad)
     assert warc.dechunk(b"3;x=1\r\nabc\r\n1\r\nd\r\n0\r\n\r\n") == b"abcd"
     assert warc._settled({"declared": "00"}, b"HTTP/1.1 200 OK\r\n\r\nabc")["error"] == "payload digest differs"
+
+
+def test_archives_of_many_members_are_read_as_a_stream(spark, monkeypatch):
+    """One gzip member a record, as usual archives have them; batches stay small; a cut archive is an error."""
+    import gzip
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(warc, "BATCH_BYTES", 4096)
+    payload = b"HTTP/1.1 200 OK\r\n\r\n" + b"x" * 500
+    record = lambda i: b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <%d>\r\nContent-Length: %d\r\n\r\n" % (i, len(payload)) + payload + b"\r\n\r\n"
+    packed = b"".join(gzip.compress(record(i)) for i in range(40))
+    batches = list(warc._parsed(iter([pa.RecordBatch.from_arrays([pa.array([packed, b""], pa.binary())], names=["content"])])))
+    rows = [r for b in batches for r in b.to_pylist()]
+    assert [r["record_id"] for r in rows] == [f"<{i}>" for i in range(40)] and {r["payload_bytes"] for r in rows} == {500}
+    assert len(batches) > 5
+    for cut in (record(1)[:-5], record(1)[:30], b"GARC" + record(1)):
+        with pytest.raises(ValueError):
+            list(warc.parse_archive(cut))
+
+
+def test_repeated_segments_meet_once(spark):
+    """Copies of one long page: each comes back, its segments are held once."""
+    text = "\n".join(f"line {i} of a long page" for i in range(9000))
+    rows = [(7, "http://a/7", text, "p", "d", 1)] * 6
+    _, got = read(spark, rows)
+    assert len(got) == 6 and {r["payload_bytes"] for r in got} == {len(text)} and all(r["error"] is None for r in got)
