@@ -234,3 +234,11 @@ def test_throttle_of_one_hot_contract(spark, monkeypatch):
                 want.add(i)
         df = spark.createDataFrame(rows, "event_id long, contract_id long, ts timestamp, percent int").repartition(4)
         assert {r["event_id"] for r in qu.throttle_progress(df).collect()} == want
+
+
+def test_eta_of_stages_that_are_not_listed(spark):
+    """They take ``other_ms``, by default what the reference takes; the query's SQL has the fifth stage's time for them."""
+    row = [(1, 1, datetime.datetime(2024, 1, 1), 7, 0.0, 10_000, 0, 5.0, False)]
+    df = spark.createDataFrame(row, "event_id long, contract_id long, ts timestamp, stage int, stage_progress double, elapsed_ms long, stage_elapsed_ms long, overall double, done boolean")
+    assert qu.eta(df).first()["eta_ms"] == 30_000
+    assert qu.eta(df, other_ms=qu.STAGE_MS[5]).first()["eta_ms"] == 60_000
