@@ -381,8 +381,15 @@ def block_zone_confidence(zone: Column, numbered_blocks: Column) -> Column:
     )
 
 
-def zone_paragraphs(paragraphs: DataFrame, text: str = "text", valid_only: bool = False) -> DataFrame:
-    """Zone type and confidence of plain-text paragraphs."""
+# Fixed value: clause-like line starts counted for the body confidence.
+CLAUSE_STARTS = r"(?im)(^|\n)\s*(Article\s+\d+|Section\s+\d+|Clause\s+\d+|\d+\.\d+[\.\d]*|제\s*\d+\s*조)"
+
+
+def zone_paragraphs(paragraphs: DataFrame, text: str = "text", valid_only: bool = False, starts: Column | None = None) -> DataFrame:
+    """Zone type and confidence of plain-text paragraphs.
+
+    With ``starts``, the number of clause-like line starts of a paragraph, its first line will do for ``text``.
+    """
     from .numbering import annotate_numbering
 
     first = strip(F.split(F.col(text), "\n")[0])
@@ -394,10 +401,9 @@ def zone_paragraphs(paragraphs: DataFrame, text: str = "text", valid_only: bool
         | F.coalesce(F.col("__hint.is_heading"), F.lit(False))
         | f.rlike(r"(?i)^(ARTICLE|SECTION|SCHEDULE|EXHIBIT|APPENDIX)\b|^제\s*\d+\s*조")
     )
-    # Fixed value: clause-like line starts counted for the body confidence.
-    starts = r"(?im)(^|\n)\s*(Article\s+\d+|Section\s+\d+|Clause\s+\d+|\d+\.\d+[\.\d]*|제\s*\d+\s*조)"
+    starts = F.regexp_count(F.col(text), F.lit(CLAUSE_STARTS)) if starts is None else starts
     base = with_part(base, "__first", "layout", "__part", like, upper_hint=F.when(all_upper, 0.9))
-    body = F.lit(0.6) + F.least(F.regexp_count(F.col(text), F.lit(starts)) * F.lit(0.05), F.lit(0.3))
+    body = F.lit(0.6) + F.least(starts * F.lit(0.05), F.lit(0.3))
     kind = F.coalesce(F.col("__part"), F.lit("contract_body"))
     if valid_only:
         kind = F.when(kind.isin(PARAGRAPH_ZONES), kind).otherwise("contract_body")

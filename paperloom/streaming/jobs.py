@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..functions.zoning import analysis_target, zone_paragraphs
-from ..operators.clauses import split_clauses_text
-from ..plans.scan import int_chunk, island, ordered_scan
+from ..functions.headings import text_heading
+from ..functions.text import BLANKS, strip
+from ..functions.zoning import CLAUSE_STARTS, analysis_target, zone_paragraphs
+from ..plans.scan import following, int_chunk, island, ordered_scan, running_sum
 from ..plans.scratch import cut, scratch_path
 from ..sources.sinks import publish_contract_tables
-from ..sources.tables import file_heads, split_text, validate_files
+from ..sources.tables import file_heads, validate_files
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -34,12 +35,12 @@ def intake_stream(spark: SparkSession, path: str, sink: str) -> StreamingQuery:
     return file_sink(checked, sink, {"accepted": "accepted", "rejected": "not accepted"})
 
 
-HEADER = r"^%PDF[^\n]*\n?"
-
-
 def plain_text(content: Column) -> Column:
     """Text of an accepted file that holds plain text behind its header line; null where the bytes are no UTF-8."""
-    return F.regexp_replace(F.try_validate_utf8(content.cast("string")), HEADER, "")
+    text = F.try_validate_utf8(content.cast("string"))
+    end = F.instr(text, "\n")
+    rest = F.when(end > 0, F.substring(text, end + 1, F.length(text))).otherwise("")
+    return F.when(text.startswith("%PDF"), rest).otherwise(text)
 
 
 def parse_files(files: DataFrame, text: Column) -> dict[str, DataFrame]:
@@ -48,21 +49,83 @@ def parse_files(files: DataFrame, text: Column) -> dict[str, DataFrame]:
     A file without a line of text, or one that can't be read, is damaged: its contract gets the status
     ``error`` and nothing else.  Paragraphs are typed by their first line; a run of equal
     types is a zone, from its first paragraph to its last.  Clauses are split at heading lines.
+    A file is held as a whole only while it is read; all that follows works on its lines, so
+    no task needs room for more than one file.
     """
-    read = cut(files.select("contract_id", "name", text.alias("text")), "read")
-    damaged = ~F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
-    docs = read.where(~damaged).withColumn("doc_id", F.col("contract_id"))
-    paragraphs = split_text(docs, "paragraph").withColumn("heading", F.split("text", "\n")[0])
-    typed = zone_paragraphs(paragraphs).withColumnRenamed("doc_id", "contract_id")
-    runs = ordered_scan(typed, ["contract_id"], ["pos"], {"zone_index": island(F.col("type"))}, int_chunk("pos"))
+    read = files.select("contract_id", "name", F.monotonically_increasing_id().alias("file"), text.alias("text"))
+    lines = cut(read.select("contract_id", "name", "file", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line")), "read")
+    solid = F.coalesce(F.col("line").rlike(r"\S"), F.lit(False))
+    listed = cut(lines.groupBy("contract_id", "name", "file").agg((~F.max(solid)).alias("damaged")), "listed")
+    damaged = listed.where("damaged")
+    body = lines.join(F.broadcast(listed.where("not damaged").select("file")), "file", "left_semi").select("contract_id", "file", "pos", "line")
+    # a paragraph has no empty line, a clause begins with a heading line
+    head = F.coalesce(text_heading(_clean("line")), F.lit(False))
+    steps = {"part": running_sum((F.col("line") == "").cast("int")), "clause": running_sum(F.col("head").cast("int"))}
+    scanned = cut(ordered_scan(body.withColumn("head", head), ["file"], ["pos"], steps, int_chunk("pos")), "lines")
+    typed = _typed_paragraphs(scanned)
+    runs = ordered_scan(cut(typed, "typed"), ["file"], ["pos"], {"zone_index": island(F.col("type"))}, int_chunk("pos"))
     zones = runs.groupBy("contract_id", "zone_index", F.col("type").alias("zone_type")).agg(
         F.min("pos").alias("page_from"), F.max("pos").alias("page_to"), F.max("confidence").alias("confidence")
     )
     # a damaged contract gets one zone without a page, which is what fails a contract on publishing
-    broken = read.where(damaged).select("contract_id", F.lit(1).cast("long").alias("zone_index"), F.lit(None).cast("string").alias("zone_type"), F.lit(None).cast("int").alias("page_from"), F.lit(None).cast("int").alias("page_to"), F.lit(None).cast("double").alias("confidence"))
-    zones = zones.select(broken.columns).unionByName(broken).withColumn("is_analysis_target", analysis_target(F.col("zone_type")))
-    clauses = split_clauses_text(docs).withColumnRenamed("doc_id", "contract_id")
-    return {"contracts": read.select("contract_id", "name"), "zones": zones, "clauses": clauses, "damaged": read.where(damaged).select("contract_id", "name")}
+    broken = damaged.select("contract_id", F.lit(1).cast("long").alias("zone_index"), F.lit(None).cast("string").alias("zone_type"), F.lit(None).cast("int").alias("page_from"), F.lit(None).cast("int").alias("page_to"), F.lit(None).cast("double").alias("confidence"))
+    zones = cut(zones.select(broken.columns).unionByName(broken).withColumn("is_analysis_target", analysis_target(F.col("zone_type"))), "zones")
+    clauses = _line_clauses(scanned)
+    return {"contracts": listed.select("contract_id", "name"), "zones": zones, "clauses": clauses, "damaged": damaged.select("contract_id", "name")}
+
+
+def _clean(line: str) -> Column:
+    """A line without the carriage return in front of its line feed."""
+    return F.regexp_replace(line, r"\r\z", "")
+
+
+def _typed_paragraphs(lines: DataFrame) -> DataFrame:
+    """Paragraphs (contract_id, file, pos, type, confidence) of lines, as ``zone_paragraphs`` types those of whole texts.
+
+    A clause-like start may reach over line feeds, to the next line with text or the one after it; what it
+    finds there are numbers and the word 조.  So these few properties of lines are looked up, not lines.
+    """
+    line, left = F.col("line"), F.ltrim(F.col("line"), F.lit(BLANKS))
+    named = {"digit": r"^\s*\d", "dotted": r"^\s*\d+\.\d", "article": r"^\s*\d+\s*조", "number": r"^\s*\d+\s*\z", "word": r"^\s*조"}
+    open_ends = {"keyword": r"(?im)^\s*(Article|Section|Clause)\s*\z", "ko": r"(?m)^\s*제\s*\z", "ko_number": r"(?m)^\s*제\s*\d+\s*\z"}
+    looks = F.struct(F.col("part"), *(line.rlike(rx).alias(n) for n, rx in named.items())).alias("looks")
+    # a paragraph is stripped, so its first line counts without leading blanks
+    ends = [F.struct(F.regexp_count(c, F.lit(CLAUSE_STARTS)).alias("n"), *(c.rlike(rx).alias(n) for n, rx in open_ends.items())) for c in (line, left)]
+    solid = lines.where(line.rlike(r"\S")).select("contract_id", "file", "pos", "part", looks, ends[0].alias("own"), ends[1].alias("bare"), (strip(line) != "").alias("text"))
+    near = ordered_scan(solid, ["file"], ["pos"], {"n1": following(F.col("looks"))}, int_chunk("pos"))
+    near = ordered_scan(near, ["file"], ["pos"], {"n2": following(F.col("n1"))}, int_chunk("pos"))
+    at = lambda c, name: F.coalesce((F.col(f"{c}.part") == F.col("part")) & F.col(f"{c}.{name}"), F.lit(False))
+
+    def starts(c: str) -> Column:
+        keyword = F.col(f"{c}.keyword") & at("n1", "digit")
+        ko = F.col(f"{c}.ko") & (at("n1", "article") | (at("n1", "number") & at("n2", "word")))
+        # the number behind a keyword is no start of its own
+        return F.col(f"{c}.n") + (keyword & ~at("n1", "dotted")).cast("int") + (ko | (F.col(f"{c}.ko_number") & at("n1", "word"))).cast("int")
+
+    found = near.groupBy("contract_id", "file", "part").agg(
+        F.sum(starts("own")).alias("n"), F.min(F.when(F.col("text"), F.col("pos"))).alias("at"), F.min_by(starts("bare") - starts("own"), F.when(F.col("text"), F.col("pos"))).alias("more")
+    )
+    found = cut(found.where("at is not null").select("contract_id", "file", "at", (F.col("n") + F.col("more")).alias("starts")), "paragraphs")
+    numbered = ordered_scan(found, ["file"], ["at"], {"pos": running_sum(F.lit(1))}, int_chunk("at")).withColumn("pos", (F.col("pos") - 1).cast("int"))
+    first = lines.select("file", F.col("pos").alias("at"), left.alias("text"))
+    return zone_paragraphs(numbered.join(first, ["file", "at"]), starts=F.col("starts")).select("contract_id", "file", "pos", "type", "confidence")
+
+
+def _line_clauses(lines: DataFrame) -> DataFrame:
+    """Clauses (contract_id, clause, text, needs_review) of lines, as ``split_clauses_text`` cuts whole texts."""
+    filled = F.coalesce(F.max(~F.col("head") & (strip(F.col("line")) != "")), F.lit(False))
+    held = cut(lines.groupBy("file", "clause").agg(filled.alias("filled")), "clauses")
+    kept = ordered_scan(held.where("filled"), ["file"], ["clause"], {"no": running_sum(F.lit(1))}, int_chunk("clause")).select("file", "clause", "no", F.lit(False).alias("needs_review"))
+    # without a clause the whole text is one
+    bare = held.groupBy("file").agg(F.max("filled").alias("any")).where("not any").select("file")
+    whole = held.join(bare, "file", "left_semi").select("file", "clause", F.lit(1).cast("long").alias("no"), F.lit(True).alias("needs_review"))
+    numbers = kept.unionByName(whole)
+    texts = F.sort_array(F.collect_list(F.struct("pos", "head", _clean("line").alias("line"))))
+    made = lines.join(numbers, ["file", "clause"]).groupBy("contract_id", "file", "no", "needs_review").agg(texts.alias("l"))
+    joined = lambda c: strip(F.array_join(F.transform(c, lambda x: x["line"]), "\n"))
+    opened = ~F.col("needs_review") & F.get("l", F.lit(0))["head"]
+    text = F.when(opened, F.concat(strip(F.get("l", F.lit(0))["line"]), F.lit("\n"), joined(F.slice("l", F.lit(2), F.size("l"))))).otherwise(joined(F.col("l")))
+    return made.select("contract_id", F.concat(F.lit("clause-"), F.col("no").cast("string")).alias("clause"), text.alias("text"), "needs_review")
 
 
 def publish_stream(spark: SparkSession, path: str, sink: str, text: Callable[[Column], Column] = plain_text, contract: Column | None = None) -> StreamingQuery:

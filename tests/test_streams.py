@@ -88,3 +88,32 @@ def test_damaged_files_fail_alone(spark):
     assert sorted(r["contract_id"] for r in parsed["damaged"].collect()) == [2, 3, 4]
     assert {r["contract_id"] for r in parsed["clauses"].collect()} == {1}
     assert parsed["contracts"].count() == 4
+
+
+def test_lines_give_what_whole_texts_give(spark):
+    """Zones and clauses from lines are those of the operators on whole texts; a row that is kept holds a line, not a file."""
+    from paperloom.functions.zoning import zone_paragraphs
+    from paperloom.operators.clauses import split_clauses_text
+    from paperloom.sources.tables import split_text
+
+    texts = [
+        "1. Scope\nText\r\nmore\r\n\n\nArticle\n 5.1 Next\nArticle\n\t\n6 more\n\n \n\n Article 7\n제\n3\n조 목적\r\n\n2. Terms\n3. Empty",
+        "Intro only\n\n\nTABLE OF CONTENTS\nno heading here\r",
+        "1. A\n2. B\n3. C",
+        "\n\n\nGENERAL CONDITIONS\n1.1 First\nbody\n\n1.2 Second\n \n1.3 Third\nbody\n\nAPPENDIX A\nSection\n\n9 x\nClause 4 and\nClause\n \n8",
+        "plain\n" * 30 + "1.1 a\n1.2 b\n1.3 c\n1.4 d\nArticle 1\nSection 2\nClause 3 Article 9\rArticle 10\nlast",
+    ]
+    files = spark.createDataFrame([(i, f"{i}.pdf", bytearray(("%PDF-1.7\n" + t).encode())) for i, t in enumerate(texts)], "contract_id long, name string, content binary")
+    parsed = st.parse_files(files, st.plain_text(F.col("content")))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = lambda df, *c: sorted(map(tuple, df.select(*c).collect()))
+    assert rows(parsed["clauses"], "contract_id", "clause", "text", "needs_review") == rows(split_clauses_text(docs), "doc_id", "clause", "text", "needs_review")
+    want, run = {}, {}
+    for r in zone_paragraphs(split_text(docs, "paragraph")).orderBy("doc_id", "pos").collect():
+        last = run.get(r.doc_id)
+        run[r.doc_id] = (last[0] + (last[1] != r.type), r.type) if last else (1, r.type)
+        z = want.setdefault((r.doc_id, run[r.doc_id][0], r.type), [r.pos, r.pos, r.confidence])
+        z[1], z[2] = r.pos, max(z[2], r.confidence)
+    assert rows(parsed["zones"], "contract_id", "zone_index", "zone_type", "page_from", "page_to", "confidence") == sorted((*k, *v) for k, v in want.items())
+    plan = parsed["clauses"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "content" not in plan
