@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable, Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -234,10 +235,19 @@ def rate_stream(calls: DataFrame, limits: DataFrame, delay: str = "1 minute") ->
     return joined.select("model_key", F.col("w.start").alias("window_start"), "calls", too_many.alias("too_many"))
 
 
-def _in_order(chunks: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple]:
-    """Rows of one key in the order of ``columns``: every chunk is sorted and the chunks are merged."""
-    parts = [list(c.sort_values(columns, kind="stable").itertuples(index=False)) for c in chunks]
-    return heapq.merge(*parts, key=lambda r: tuple(getattr(r, c) for c in columns))
+#: Rows of a key that are turned into Python values, or written, at once.
+PIECE_ROWS = 50_000
+
+
+def _in_order(chunks: Iterator[pd.DataFrame], columns: list[str], names: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows of one key in the order of ``columns``, ``names`` only, as frames of ``PIECE_ROWS``.
+
+    The rows of a key in a micro-batch are held as flat columns, some tens of bytes a row.
+    """
+    whole = pd.concat([c[names] for c in chunks], ignore_index=True)
+    order = np.lexsort([whole[c].to_numpy() for c in columns[::-1]])
+    for at in range(0, len(order), PIECE_ROWS):
+        yield whole.take(order[at : at + PIECE_ROWS])
 
 
 class _Interval(StatefulProcessor):
@@ -251,15 +261,17 @@ class _Interval(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0] if self.last.exists() else None
-        out = []
-        for r in _in_order(rows, ["ts_ms", "event_id"]):
-            gap = None if last is None else r.ts_ms - last
-            least = None if pd.isna(r.min_interval_ms) else r.min_interval_ms
-            out.append((r.event_id, r.model_key, gap, gap is not None and least is not None and gap < least))
-            last = r.ts_ms
-        if out:
-            self.last.update((int(last),))
-            yield pd.DataFrame(out, columns=["event_id", "model_key", "gap_ms", "too_close"]).astype({"gap_ms": "Int64"})
+        first = next(rows)
+        model, least = first["model_key"].iloc[0], first["min_interval_ms"].iloc[0]
+        for part in _in_order(chain([first], rows), ["ts_ms", "event_id"], ["ts_ms", "event_id"]):
+            ms = part["ts_ms"].astype("int64").to_numpy()
+            gap = np.diff(ms, prepend=ms[0] if last is None else last)
+            known = np.arange(len(ms)) >= (last is None)
+            close = known & (gap < least) if not pd.isna(least) else np.zeros(len(ms), bool)
+            last = int(ms[-1])
+            yield pd.DataFrame({"event_id": part["event_id"].to_numpy(), "model_key": model, "gap_ms": pd.arrays.IntegerArray(gap, ~known), "too_close": close})
+        if last is not None:
+            self.last.update((last,))
 
     def close(self) -> None:
         pass
@@ -295,14 +307,18 @@ class _Throttle(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last_ms, last = self.kept.get() if self.kept.exists() else (None, None)
-        out = []
-        for r in _in_order(rows, ["ts_ms", "event_id"]):
-            if r.percent != last and (last_ms is None or r.ts_ms - last_ms >= self.wait_ms):
-                last_ms, last = int(r.ts_ms), int(r.percent)
-                out.append((r.contract_id, r.event_id, r.ts, r.percent))
-        if out:
+        kept = False
+        for part in _in_order(rows, ["ts_ms", "event_id"], ["contract_id", "event_id", "ts", "ts_ms", "percent"]):
+            out = []
+            for i, (ms, percent) in enumerate(zip(part["ts_ms"].tolist(), part["percent"].tolist())):
+                if percent != last and (last_ms is None or ms - last_ms >= self.wait_ms):
+                    last_ms, last = int(ms), int(percent)
+                    out.append(i)
+            if out:
+                kept = True
+                yield part.iloc[out][["contract_id", "event_id", "ts", "percent"]]
+        if kept:
             self.kept.update((last_ms, last))
-            yield pd.DataFrame(out, columns=["contract_id", "event_id", "ts", "percent"])
 
     def close(self) -> None:
         pass

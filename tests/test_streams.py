@@ -117,3 +117,39 @@ def test_lines_give_what_whole_texts_give(spark):
     assert rows(parsed["zones"], "contract_id", "zone_index", "zone_type", "page_from", "page_to", "confidence") == sorted((*k, *v) for k, v in want.items())
     plan = parsed["clauses"]._jdf.queryExecution().optimizedPlan().toString()
     assert "content" not in plan
+
+
+def test_interval_holds_a_key_as_flat_columns(spark):
+    """A key of 400,000 calls in one batch: pieces in order, and little more memory than its numbers."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    class Value:
+        at = None
+
+        def exists(self):
+            return self.at is not None
+
+        def get(self):
+            return self.at
+
+        def update(self, row):
+            self.at = row
+
+    n = 400_000
+    ids = np.random.default_rng(1).permutation(n)
+    chunks = (pd.DataFrame({"event_id": ids[i : i + 10_000], "model_key": "m", "ts_ms": ids[i : i + 10_000] // 2 * 10, "min_interval_ms": 5}) for i in range(0, n, 10_000))
+    state = st._Interval(None)
+    state.last = Value()
+    tracemalloc.start()
+    at, close = 0, 0
+    for part in state.handleInputRows(("m",), chunks, None):
+        assert part["event_id"].tolist() == list(range(at, at + len(part)))
+        assert part["gap_ms"].tolist()[1:3] == [0, 10] if at == 0 else part["gap_ms"].tolist()[:2] == [10, 0]
+        at, close = at + len(part), close + int(part["too_close"].sum())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert at == n and close == n // 2 and state.last.at == ((n - 1) // 2 * 10,)
+    assert peak < 100 * n
