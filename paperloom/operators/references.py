@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -30,6 +31,7 @@ SINGLE = {
 KEYWORD = r"(?:Sub-\s*)?Clauses?|Articles?|Sections?"
 SEPARATOR = r"\s*(?:,\s*(?:and\s+)?|\s+and\s+|\s+or\s+)"
 LIST = rf"(?i)\b(?:{KEYWORD})\s+{NUM}{TITLE}(?:{SEPARATOR}{NUM}{TITLE})+"
+RANGE_SIGN = r"(?i)\]\s+to\s+\d"
 RANGE = rf"(?i)(?:{KEYWORD})\s+({NUM})\s*\[[^\]]*\]\s+to\s+({NUM})\s*\[[^\]]*\]"
 
 # Definition forms.
@@ -41,27 +43,45 @@ INLINE = r'\(the\s+"?\*{0,2}"?([^"*\n]{2,60})"?\*{0,2}"?\s*\)'
 CONSTRUED = r'the\s+term\s+"?\*{0,2}"?([^"*\n]{2,60})"?\*{0,2}"?\s+shall\s+be\s+construed'
 
 
+SPANS = "array<struct<start:int,end:int,match:string>>"
+
+#: What tests the text around a match: boundaries, lookarounds, anchors.
+AROUND = re.compile(r"\\[bBAGzZ]|\(\?[=!<]|(?<![\[\\])[\^$]")
+
+
 def spans(text: Column, pattern: str) -> Column:
     """Matches of a pattern with their offsets: array of (start, end, match)."""
+    if AROUND.search(pattern):
+        return _marked_spans(text, pattern)
+    # such a pattern matches wherever the text of a match stands, so a match begins where its text is next found
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = F.position(x, text, acc["at"] + 1) - 1
+        hit = F.struct(start.alias("start"), (start + F.length(x)).alias("end"), x.alias("match"))
+        return F.struct(hit["end"].alias("at"), F.concat(acc["out"], F.array(hit)).alias("out"))
+
+    return F.aggregate(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), begin, step, lambda a: a["out"])
+
+
+def _marked_spans(text: Column, pattern: str) -> Column:
     # positions come from a copy of the text without the marker, matches from the text itself
-    clean = F.translate(text, "\u0002", "\u0003")
+    held = text.contains("\u0002")
+    clean = F.when(held, F.translate(text, "\u0002", "\u0003")).otherwise(text)
     parts = F.split(F.regexp_replace(clean, pattern, "\u0002$0\u0002"), "\u0002")
-    begin = F.struct(
-        F.lit(0).alias("at"), F.lit(0).alias("k"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out")
-    )
+    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), F.array().cast(SPANS).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         stop = acc["at"] + F.length(x)
-        hit = F.array(F.struct(acc["at"].alias("start"), stop.alias("end"), x.alias("match")))
+        match = F.when(held, F.substring(text, acc["at"] + 1, F.length(x))).otherwise(x)
+        hit = F.array(F.struct(acc["at"].alias("start"), stop.alias("end"), match.alias("match")))
         return F.struct(
             stop.alias("at"),
             (acc["k"] + 1).alias("k"),
             F.when(acc["k"] % 2 == 1, F.concat(acc["out"], hit)).otherwise(acc["out"]).alias("out"),
         )
 
-    found = F.aggregate(parts, begin, step, lambda a: a["out"])
-    own = F.transform(found, lambda s: F.struct(s["start"], s["end"], F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("match")))
-    return F.when(text.rlike(pattern), own)
+    return F.aggregate(parts, begin, step, lambda a: a["out"])
 
 
 def _ref(kind: Column | str, target: Column, s: Column, listed: bool, shift: Column | int = 0) -> Column:
@@ -109,7 +129,9 @@ def extract_list_refs(clauses: DataFrame) -> DataFrame:
 
 def expand_ranges(clauses: DataFrame, clause_index: DataFrame) -> DataFrame:
     """References of ``9.5 [..] to 9.7 [..]`` to the clauses that exist in between."""
-    found = clauses.select("contract_id", "clause_id", F.explode(spans(F.col("text"), RANGE)).alias("s"))
+    # few texts hold what every range has in it, and that is found faster
+    able = clauses.where(F.col("text").rlike(RANGE_SIGN))
+    found = able.select("contract_id", "clause_id", F.explode(spans(F.col("text"), RANGE)).alias("s"))
     last = lambda c: F.regexp_extract(c, r"([^.]*)$", 1)
     head = lambda c: F.regexp_replace(c, r"\.?[^.]*$", "")
     ranged = found.withColumns(
@@ -190,7 +212,7 @@ def dedupe_refs(refs: DataFrame) -> DataFrame:
         "is_list",
     )
     unique = refs.dropDuplicates(["contract_id", "clause_id", "target_ref", "offset_start", "is_list"])
-    per_clause = unique.groupBy("contract_id", "clause_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    per_clause = unique.groupBy("contract_id", "clause_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
     split = per_clause.withColumns(
         {"lists": F.filter("items", lambda x: x["is_list"]), "singles": F.filter("items", lambda x: ~x["is_list"])}
     )

@@ -146,3 +146,23 @@ def test_usage_plan_cuts_no_text_for_words(spark):
     variants = rf.term_variants(rf.extract_terms(rf.definition_clauses(df)))
     plan = rf.term_usages(df, variants, rf.extract_refs(df))._jdf.queryExecution().optimizedPlan().toString()
     assert "substring" not in plan.split("Generate explode(array_distinct(regexp_extract_all")[1].split("\n")[0]
+
+
+def test_spans_are_those_of_the_pattern(spark):
+    """Repeated, touching and near matches, and texts with the marker, against Python's own search; no copy of a whole text is marked up."""
+    import re
+
+    texts = [
+        "Clause 1Clause 1 Clause 12 Clause 1, xClauses 1, 2 and Clauses 1, 2 Sub-Clause 1 [A] Clause 1 [A] to 2",
+        "a\u0002Clause 7 \u0002 Clauses 7 and 8 \u0002\u0002Clause 7 제3조 제3조 제1항 (see 7.2)(see 7.2)",
+        "Clauses 4.1 [A]\n to 4.3 [B] Clauses 4.1 [A] to 4.3",
+        "",
+        None,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for rx in [*rf.SINGLE.values(), rf.LIST, rf.RANGE, rf.NUM + rf.TITLE, rf.INLINE]:
+        for r in df.select("text", rf.spans(F.col("text"), rx).alias("s")).collect():
+            want = [(m.start(), m.end(), m.group()) for m in re.finditer(rx, r.text or "", re.A)]
+            assert [tuple(x) for x in r.s or []] == want, rx
+    plan = df.select(rf.spans(F.col("text"), rf.SINGLE["clause"]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "translate" not in plan
