@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..plans.scan import ordered_fold
 
 # Accepted upload types and the size limit.
 MAX_FILE_BYTES = 50 * 1024 * 1024
@@ -79,30 +80,17 @@ def words_to_lines(items: DataFrame) -> DataFrame:
     max(2, 0.4 x font size) of the line's first item, so the line number
     depends on the previous decision: an ordered fold over one page.
     """
-    fields = ["ty", "tx", "seq", "text", "width", "font_size", "font_name"]
-    pages = items.groupBy("contract_id", "page", "page_height").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("ty")).alias("down"), "tx", "seq", *[c for c in fields if c not in ("tx", "seq")]))).alias("items")
-    )
-    start = F.struct(
-        F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("line"), F.array().cast("array<int>").alias("lines")
-    )
 
-    def step(acc: Column, x: Column) -> Column:
-        same = acc["anchor"].isNotNull() & (
-            F.abs(x["ty"] - acc["anchor"]) <= F.greatest(F.lit(2.0), x["font_size"] * 0.4)
-        )
-        line = F.when(same, acc["line"]).otherwise(acc["line"] + 1)
-        return F.struct(
-            F.when(same, acc["anchor"]).otherwise(x["ty"]).alias("anchor"),
-            line.alias("line"),
-            F.concat(acc["lines"], F.array(line)).alias("lines"),
-        )
-
-    numbered = pages.withColumn("line_of", F.aggregate("items", start, step, lambda a: a["lines"]))
-    flat = numbered.select(
-        "contract_id", "page", "page_height", F.explode(F.arrays_zip("items", "line_of")).alias("z")
-    ).select("contract_id", "page", "page_height", F.col("z.line_of").alias("line_no"), "z.items.*")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tx", "seq", "text"))), lambda x: x["text"]), " ")
+    def step(state: tuple | None, ty: float | None, reach: float) -> tuple:
+        anchor, line = state or (None, -1)
+        if anchor is not None and ty is not None and abs(ty - anchor) <= reach:
+            return anchor, line
+        return ty, line + 1
+
+    reach = F.greatest(F.lit(2.0), F.col("font_size") * 0.4)
+    fields = ["contract_id", "page", "page_height", "ty", "tx", "seq", "text", "width", "font_size", "font_name"]
+    flat = ordered_fold(items.select(*fields), fields[:3], [-F.col("ty"), F.col("tx"), F.col("seq")], {"ty": F.col("ty").cast("double"), "reach": reach}, step, "line_no")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("tx", "seq", "text"))), lambda x: x["text"]), " ")
     top = F.col("page_height") - F.col("ty")
     lines = flat.groupBy("contract_id", "page", "line_no").agg(
         strip(text).alias("text"),

@@ -242,3 +242,35 @@ def test_eta_of_stages_that_are_not_listed(spark):
     df = spark.createDataFrame(row, "event_id long, contract_id long, ts timestamp, stage int, stage_progress double, elapsed_ms long, stage_elapsed_ms long, overall double, done boolean")
     assert qu.eta(df).first()["eta_ms"] == 30_000
     assert qu.eta(df, other_ms=qu.STAGE_MS[5]).first()["eta_ms"] == 60_000
+
+
+def test_pages_are_folded_row_by_row(spark):
+    """A page of several Arrow batches in shuffled rows; the plan gathers no page into one row."""
+    from paperloom.operators import layout as ly
+
+    rnd = random.Random(5)
+    rows, want = [], {}
+    for page in (1, 2):
+        left = bottom = None
+        block, y = -1, 0.0
+        for i in range(15_000):
+            y += rnd.choice([0.5, 2.0, 30.0])
+            x, low = float(rnd.choice([10, 60, 120])), y + 10
+            if bottom is None or y - bottom > 9.0 or abs(x - left) > 80:
+                left, block = x, block + 1
+            left, bottom = min(left, x), low
+            want[page, i] = block
+            rows.append((1, page, i, "t", x, y, 200.0, low))
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "contract_id long, page int, ord long, text string, x0 double, y0 double, x1 double, y1 double")
+    out = ly.assign_blocks(df)
+    assert {(r["page"], r["ord"]): r["block_id"] for r in out.collect()} == want
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+    words = df.selectExpr("contract_id", "page", "1000000D as page_height", "ord as seq", "text", "x0 as tx", "-y0 as ty", "5D as width", "10D as font_size", "'Helvetica' as font_name")
+    lines, anchor, n = {}, {}, {}
+    for _, page, i, _, _, y, _, _ in sorted(rows, key=lambda r: (r[1], r[5], r[4], r[2])):
+        if page not in anchor or y - anchor[page] > 4.0:
+            anchor[page], n[page] = y, n.get(page, -1) + 1
+        lines[page, n[page]] = lines.get((page, n[page]), 0) + 1
+    got = {(r["page"], r["line_no"]): r["text"].count("t") for r in src.words_to_lines(words).collect()}
+    assert got == lines
