@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbering import annotate_numbering
 from ..functions.text import is_page_number, letter_count, normalize_pattern, rstrip, safe_join, strip, upper_count, upper_ratio
-from ..plans.scan import following, int_chunk, ordered_scan, previous, running_sum
+from ..plans.scan import following, int_chunk, ordered_fold, ordered_scan, previous, running_sum
 
 
 def with_edge_flags(lines: DataFrame, n: int = 2) -> DataFrame:
@@ -157,42 +157,26 @@ def assign_blocks(lines: DataFrame) -> DataFrame:
     filled = lines.where(strip(F.col("text")) != "")
     height = F.col("y1") - F.col("y0")
     medians = lines.where(height > 0).groupBy("contract_id").agg(F.median(height).alias("__h"))
-    pages = filled.groupBy("contract_id", "page").agg(
-        F.array_sort(F.collect_list(F.struct("y0", "x0", "ord", "y1"))).alias("items")
-    )
     h = F.when(F.coalesce("__h", F.lit(0.0)) == 0, 10.0).otherwise(F.col("__h"))
-    pages = pages.join(medians, "contract_id", "left").withColumn("gap", F.greatest(F.lit(3.5), h * 0.9))
-    start = F.struct(
-        F.lit(None).cast("double").alias("left"),
-        F.lit(None).cast("double").alias("bottom"),
-        F.lit(-1).alias("block"),
-        F.array().cast("array<struct<ord:bigint,block:int>>").alias("out"),
-    )
+    known = filled.where("contract_id is not null and page is not null and ord is not null")
+    gaps = known.join(medians, "contract_id", "left").withColumn("__gap", F.greatest(F.lit(3.5), h * 0.9))
 
-    def step(acc: Column, x: Column) -> Column:
-        opens = (
-            acc["bottom"].isNull()
-            | ((x["y0"] - acc["bottom"]) > F.col("gap"))
-            | (F.abs(x["x0"] - acc["left"]) > 80)
-        )
-        block = F.when(opens, acc["block"] + 1).otherwise(acc["block"])
-        entry = F.struct(x["ord"].cast("bigint").alias("ord"), block.alias("block"))
-        return F.struct(
-            F.when(opens, x["x0"]).otherwise(F.least(acc["left"], x["x0"])).cast("double").alias("left"),
-            x["y1"].cast("double").alias("bottom"),
-            block.alias("block"),
-            F.concat(acc["out"], F.array(entry)).alias("out"),
-        )
+    def step(state: tuple | None, y0: float | None, x0: float | None, y1: float | None, gap: float) -> tuple:
+        left, bottom, block = state or (None, None, -1)
+        away = y0 is not None and bottom is not None and y0 - bottom > gap
+        aside = x0 is not None and left is not None and abs(x0 - left) > 80
+        if bottom is None or away or aside:
+            return x0, y1, block + 1
+        return x0 if left is None else left if x0 is None else min(left, x0), y1, block
 
-    numbered = pages.select(
-        "contract_id", "page", F.explode(F.aggregate("items", start, step, lambda a: a["out"])).alias("e")
-    ).select("contract_id", "page", F.col("e.ord").alias("ord"), F.col("e.block").alias("block_id"))
-    return filled.join(numbered, ["contract_id", "page", "ord"])
+    inputs = {n: F.col(n).cast("double") for n in ("y0", "x0", "y1")} | {"gap": F.col("__gap")}
+    order = [F.col(c) for c in ("y0", "x0", "ord")]
+    return ordered_fold(gaps.select(*lines.columns, "__gap"), ["contract_id", "page"], order, inputs, step, "block_id").drop("__gap")
 
 
 def block_stats(lines: DataFrame) -> DataFrame:
     """One row per block: box, indent, fonts, bold and upper-case ratios, joined text."""
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("y0", "x0", "ord", "text"))), lambda x: x["text"])
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("y0", "x0", "ord", "text"))), lambda x: x["text"])
     stats = lines.groupBy("contract_id", "page", "block_id").agg(
         F.min("x0").alias("x0"),
         F.min("y0").alias("y0"),
