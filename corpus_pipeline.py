@@ -23,10 +23,19 @@ LEAST_SCORE = 0.3
 #: Share of its words that a document must keep when repeated lines are deleted from it; of a copy that is as similar
 #: as a near duplicate (0.8) less is left.
 LEAST_LEFT = 0.2
+#: Bytes of a batch on its way to a Python worker and back.  Spark's 10,000 rows of text are held several times in an
+#: executor, outside its heap; rows are handled by themselves, so the size of a batch changes no result.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_BYTES`` from now on, in the whole session: plans take the setting when they run."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that the classifier holds for bad; it learns as op2 does, but from the documents at hand."""
+    small_batches(spark)
     labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 5, 0))
     scored = boosted_quality.score(docs, boosted_quality.learn(docs, labels), name="_score")
     return scored.where(F.col("_score") >= LEAST_SCORE).drop("_score")
@@ -39,6 +48,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     what remains of it are the words in which it differs, no document, and goes too.  Documents of which
     nothing was deleted all stay, empty ones included.
     """
+    small_batches(spark)
     out = line_winnow.dedup_lines(docs)
     left, gone = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")), F.col("n_removed_words")
     out = out.where((gone == 0) | (left >= LEAST_LEFT * (left + gone)))
@@ -53,6 +63,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     It is the row with the smallest id, null ids last, of equal ids the one with the
     least key of id and text, of equal rows any one; so nothing depends on ids being there or different.
     """
+    small_batches(spark)
     rows = ngram_join.row_components(docs).where("component is not null").groupBy("component", "doc_id", "key").count()
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "count")).alias("_f"))
     keep = cut(first.select(F.col("_f.key").alias("_in"), (F.col("_f.count") > 1).alias("_more")), "keep")
@@ -66,11 +77,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark passage."""
+    small_batches(spark)
     return decontaminate.with_leaks(docs, table(spark, sf_dir, "benchmark")).where(F.size("leaks") == 0).drop("leaks")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes and decodes what is left: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    small_batches(spark)
     return bpe.encode_and_decode(docs, public_tokenizers.path("byte_bpe_50k.json"), ("n_tokens", "ids_sha256", "decoded_sha256"), keep=("doc_id",))
 
 

@@ -25,9 +25,9 @@ from pyspark.sql import types as T
 #: Fixed: the words of byte-level BPE, as the vocabulary's pre-tokenizer defines them.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks remembered by a task; beyond it the memory starts anew (results stay the same).
-MEMORY = 1_000_000
+MEMORY = 300_000
 #: Characters encoded at once.
-PIECE_CHARS = 3_000_000
+PIECE_CHARS = 1_000_000
 NEVER = np.iinfo(np.int32).max
 
 

@@ -162,9 +162,9 @@ def _islands(least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
+            for key, grams in zip(batch.column(0), batch.column(1)):  # one document at a time: its grams as Python objects are large
                 runs: list[list] = []  # end line, first and last line number, words before and after, anchored
-                for g in r["g"]:
+                for g in grams.as_py():
                     if runs and g["line"] <= runs[-1][0]:
                         last = runs[-1]
                         if g["line"] + g["lines"] > last[0]:
@@ -172,7 +172,7 @@ def _islands(least_words: int):
                         last[5] |= bool(g["anchor"])
                     else:
                         runs.append([g["line"] + g["lines"], g["number"], g["number_to"], g["before"], g["after"], bool(g["anchor"])])
-                out += [(r["key"], x[1], x[2], x[4] - x[3]) for x in runs if x[5] and x[4] - x[3] >= least_words]
+                out += [(key.as_py(), x[1], x[2], x[4] - x[3]) for x in runs if x[5] and x[4] - x[3] >= least_words]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], names=["key", "from_line", "to_line", "words"])
 
     return run

@@ -120,7 +120,7 @@ def _scanned(docs: DataFrame, size: int) -> DataFrame:
                         seen.add(e)
                         fresh.append(s)
                 if fresh:
-                    sketch += np.bincount((np.concatenate(fresh) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch)).astype(np.int32)
+                    np.add.at(sketch, (np.concatenate(fresh) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
                 part = batch.slice(lo, len(sets))
                 none = pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())
                 bits = [bitmap(s) if len(s) else None for s in sets]
@@ -215,7 +215,7 @@ def _leaf_pairs(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [p for r in batch.to_pylist() for p in descend(r["one"], r["two"])]
+            found = [p for one, two in zip(batch.column(0), batch.column(1)) for p in descend(one.as_py(), two.as_py())]
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run

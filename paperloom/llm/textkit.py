@@ -21,8 +21,9 @@ _BYTE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) | np.u
 _STEP = 0x9E3779B97F4A7C15 | 1
 _BLOCK = 1 << 16
 
-#: Bytes of text that are worked on at once; a longer text is a piece of its own.
-PIECE_BYTES = 4 << 20
+#: Bytes of text that are worked on at once; a longer text is a piece of its own.  Hashes, words and shingles of a piece take
+#: some thirty times its bytes in every worker.
+PIECE_BYTES = 1 << 20
 
 
 def _powers(base: int) -> np.ndarray:
