@@ -280,20 +280,24 @@ def dominant_language(clauses: DataFrame, profiles: DataFrame) -> DataFrame:
     """Language of a contract from the character trigrams of all its clauses.
 
     Every clause ends with a line feed, and trigrams across clauses count
-    too: a clause takes the first two characters of the text behind it.
+    too: its last two characters and the first two of the text behind it
+    hold those.  So only ends of texts are put in order, and whole texts stay
+    where they are.  Scores are sums over trigrams, so counts of parts of a
+    contract are weighted as they come.
     """
-    text = clauses.select("contract_id", "sort_order", "clause_id", F.concat(F.lower(F.coalesce("text", F.lit(""))), F.lit("\n")).alias("__t"))
-    head = F.substring("__t", 1, 2)
+    text = F.concat(F.lower(F.coalesce("text", F.lit(""))), F.lit("\n"))
+    order = ["sort_order", "clause_id"]
+    ends = cut(clauses.select("contract_id", *order, F.substring(text, 1, 2).alias("__h"), F.substring(text, -2, 2).alias("__e")), "ends")
     # the next two characters may come from two clauses when one is empty
-    ahead = ordered_scan(text, CONTRACT, ["sort_order", "clause_id"], {"__n1": following(head)}, int_chunk("sort_order"))
-    ahead = ordered_scan(ahead, CONTRACT, ["sort_order", "clause_id"], {"__n2": following(F.col("__n1"))}, int_chunk("sort_order"))
+    ahead = ordered_scan(ends, CONTRACT, order, {"__n1": following(F.col("__h"))}, int_chunk("sort_order"))
+    ahead = ordered_scan(ahead, CONTRACT, order, {"__n2": following(F.col("__n1"))}, int_chunk("sort_order"))
     tail = F.substring(F.concat(F.coalesce("__n1", F.lit("")), F.coalesce("__n2", F.lit(""))), 1, 2)
-    pieces = gram_counts(ahead.select("contract_id", F.concat("__t", tail).alias("__t")), "contract_id", "__t")
-    counts = pieces.groupBy("contract_id", "gram").agg(F.sum("n").alias("__n"))
+    texts = clauses.select("contract_id", text.alias("__t")).unionByName(ahead.select("contract_id", F.concat("__e", tail).alias("__t")))
     scored = (
-        counts.join(profiles, "gram")
+        gram_counts(texts, "contract_id", "__t")
+        .join(profiles, "gram")
         .groupBy("contract_id", "lang")
-        .agg(F.sum(F.col("__n") * F.col("weight")).alias("__score"))
+        .agg(F.sum(F.col("n") * F.col("weight")).alias("__score"))
     )
     return scored.groupBy("contract_id").agg(F.max_by("lang", F.struct("__score", "lang")).alias("lang"))
 
@@ -315,26 +319,39 @@ def gram_counts(texts: DataFrame, key: str, text: str) -> DataFrame:
             while at < batch.num_rows:
                 done = int(sizes[at - 1]) if at else 0
                 to = max(at + 1, int(np.searchsorted(sizes, done + GRAM_CHARS, "right")))
-                yield _grams_of(batch.slice(at, to - at), key)
+                yield from _grams_of(batch.slice(at, to - at), key)
                 at = to
 
     schema = T.StructType([T.StructField(key, texts.schema[key].dataType), T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
     return texts.select(key, text).mapInArrow(run, schema)
 
 
-def _grams_of(batch: pa.RecordBatch, key: str) -> pa.RecordBatch:
+def _grams_of(batch: pa.RecordBatch, key: str) -> Iterator[pa.RecordBatch]:
+    """A key and a trigram are one number to sort, of as few bits as the characters at hand need."""
     codes = batch.column(0).dictionary_encode(null_encoding="encode")
     texts = [t or "" for t in batch.column(1).to_pylist()]
-    chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
-    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    place = np.zeros(0x110000, np.uint64)
+    place[chars] = 1
+    alphabet = np.flatnonzero(place)
+    place[alphabet] = np.arange(len(alphabet), dtype=np.uint64)
+    bits = max(len(alphabet) - 1, 1).bit_length()
+    if 3 * bits + (len(codes.dictionary) - 1).bit_length() > 64:  # never so for one row
+        half = batch.num_rows // 2
+        yield from _grams_of(batch.slice(0, half), key)
+        yield from _grams_of(batch.slice(half), key)
+        return
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
     whole = np.flatnonzero(row[2:] == row[:-2])
-    gram = chars[whole] << 42 | chars[whole + 1] << 21 | chars[whole + 2]
-    owner = codes.indices.to_numpy(zero_copy_only=False)[row[whole]]
-    order = np.lexsort((gram, owner))
-    gram, owner = gram[order], owner[order]
-    first = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])]) if len(gram) else np.zeros(0, np.int64)
-    n = np.diff(np.r_[first, len(gram)])
-    return pa.RecordBatch.from_arrays([codes.dictionary.take(pa.array(owner[first])), pa.array(gram[first]), pa.array(n.astype(np.int64))], names=[key, "gram", "n"])
+    code, owner = place[chars], codes.indices.to_numpy(zero_copy_only=False).astype(np.uint64)
+    b, low = np.uint64(bits), np.uint64((1 << bits) - 1)
+    gram = ((owner[row[whole]] << b | code[whole]) << b | code[whole + 1]) << b | code[whole + 2]
+    gram.sort()
+    first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, np.int64)
+    n, gram = np.diff(np.r_[first, len(gram)]), gram[first]
+    one, two, three = (alphabet[(gram >> np.uint64(i * bits) & low).astype(np.int64)] for i in (2, 1, 0))
+    keys = codes.dictionary.take(pa.array((gram >> np.uint64(3 * bits)).astype(np.int64)))
+    yield pa.RecordBatch.from_arrays([keys, pa.array(one << 42 | two << 21 | three), pa.array(n.astype(np.int64))], names=[key, "gram", "n"])
 
 
 def language_profiles(texts: DataFrame) -> DataFrame:

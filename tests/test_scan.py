@@ -107,3 +107,47 @@ def test_trigrams_are_counted_whole(spark, monkeypatch):
         got[r["k"], gram] = got.get((r["k"], gram), 0) + r["n"]
     want = Counter((k, (t or "")[i : i + 3]) for k, t in rows for i in range(len(t or "") - 2))
     assert got == want
+
+
+def test_trigrams_of_more_characters_than_fit_a_number():
+    """Keys and characters that need more than 64 bits together are counted in parts."""
+    import pyarrow as pa
+
+    from paperloom.operators import clauses as cl
+
+    texts = [chr(0x20000 + 5 * i) + chr(0x20001 + 5 * i) + chr(0x1000 + 5 * i) + "ab" for i in range(8200)] + [""]
+    texts = [t + "".join(chr(0x30000 + 9 * i + j) for j in range(6)) for i, t in enumerate(texts)]
+    assert len({c for t in texts for c in t}) > 1 << 16 and len(texts) > 1 << 13
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["k", "t"])
+    parts = list(cl._grams_of(batch, "k"))
+    got = {(k, g): n for p in parts for k, g, n in zip(*(c.to_pylist() for c in p.columns))}
+    code = lambda t: ord(t[0]) << 42 | ord(t[1]) << 21 | ord(t[2])
+    assert len(parts) > 1 and got == {(k, code(t[i : i + 3])): 1 for k, t in enumerate(texts) for i in range(len(t) - 2)}
+
+
+def test_only_ends_of_clauses_are_put_in_order(spark, monkeypatch):
+    """Languages by whole contracts, with trigrams across empty clauses; no text goes through a scan."""
+    from collections import Counter
+
+    from paperloom.operators import clauses as cl
+
+    rng, scanned, whole = random.Random(4), [], cl.ordered_scan
+    monkeypatch.setattr(cl, "ordered_scan", lambda df, *a: scanned.append(df) or whole(df, *a))
+    rows = [(c, i, 100 * c + i, rng.choice([None, "", "A", "Xy", "\n", "".join(rng.choices("abxy", k=9))])) for c in range(40) for i in range(c % 7 + 1)]
+    texts = {c: "".join((t or "").lower() + "\n" for k, _, _, t in rows if k == c) for c in range(40)}
+    grams = sorted({t[i : i + 3] for t in texts.values() for i in range(len(t) - 2)})
+    weight = {(lang, g): float(rng.randint(1, 1 << 20)) for lang in ("de", "en", "fr") for g in grams if rng.random() < 0.8}
+    code = lambda t: ord(t[0]) << 42 | ord(t[1]) << 21 | ord(t[2])
+    profiles = spark.createDataFrame([(lang, code(g), w) for (lang, g), w in weight.items()], "lang string, gram long, weight double")
+    clauses = spark.createDataFrame(rows, "contract_id long, sort_order long, clause_id long, text string").repartition(5)
+    got = {r["contract_id"]: r["lang"] for r in cl.dominant_language(clauses, profiles).collect()}
+    want = {}
+    for c, t in texts.items():
+        n = Counter(t[i : i + 3] for i in range(len(t) - 2))
+        score = {lang: sum(k * weight[lang, g] for g, k in n.items() if (lang, g) in weight) for lang in ("de", "en", "fr") if any((lang, g) in weight for g in n)}
+        if score:
+            want[c] = max(score, key=lambda x: (score[x], x))
+    assert got == want and len(want) > 30
+    for df in scanned:
+        names = [x for x, kind in df.dtypes if kind == "string"]
+        assert names and all(r is None or len(r) <= 2 for row in df.select(*names).collect() for r in row)
