@@ -1,14 +1,17 @@
 """Order-dependent operators against plain sequential models."""
 
 import datetime
+import math
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from paperloom.operators import quota as qu
 from paperloom.operators import sections as se
+from paperloom.plans import packed as pk
 from paperloom.plans import scan as sc
 from paperloom.sources import tables as src
 
@@ -274,3 +277,64 @@ def test_pages_are_folded_row_by_row(spark):
         lines[page, n[page]] = lines.get((page, n[page]), 0) + 1
     got = {(r["page"], r["line_no"]): r["text"].count("t") for r in src.words_to_lines(words).collect()}
     assert got == lines
+
+
+def test_words_travel_once_as_packed_columns(spark):
+    """Lines of items with nulls, NaN and items that come twice; no item is shuffled as a row, none a second time."""
+    rnd = random.Random(7)
+    some = lambda v, p=0.06: None if rnd.random() < p else v
+    rows = []
+    for page in range(30):
+        for k in range(rnd.randint(1, 60)):
+            ty = math.nan if rnd.random() < 0.03 else some(700.0 - rnd.randint(0, 12) * 1.7)
+            rows.append((some(page % 3), some(page // 3, 0.02), some(800.0, 0.02), k % 20, some(f"w{k}"), some(float(rnd.randint(0, 9))), ty, some(20.0), 10.0 if k % 2 else some(4.0), some(rnd.choice(["BOLD", "Plain"]))))
+    rows += rnd.choices(rows, k=300)
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(
+        rows, "contract_id long, page int, page_height double, seq long, text string, tx double, ty double, width double, font_size double, font_name string"
+    )
+    rank = lambda v: (v is not None, v is not None and math.isnan(v), 0 if v is None or math.isnan(v) else v)
+    pages: dict = {}
+    for r in rows:
+        pages.setdefault(r[:2], []).append(r)
+    want = []
+    for (contract, page), items in pages.items():
+        groups, anchor = [], None
+        for r in sorted(items, key=lambda r: (rank(None if r[6] is None else -r[6]), rank(r[5]), r[3])):
+            if anchor is not None and r[6] is not None and abs(r[6] - anchor) <= max(2, (r[8] or 0) * 0.4):
+                groups[-1].append(r)
+            else:
+                groups.append([r])
+                anchor = r[6]
+        for i, g in enumerate(groups):
+            text = " ".join(r[4] for r in sorted(g, key=lambda r: (rank(r[5]), r[3], r[4] or "")) if r[4] is not None)
+            if text:
+                tx = [r[5] for r in g if r[5] is not None]
+                bold = [r[9] == "BOLD" for r in g if r[9] is not None]
+                size = [r[8] for r in g if r[8] is not None]
+                want.append((contract, page, i, text, min(tx, default=None), round(sum(size) / len(size), 6) if size else None, sum(bold) / len(bold) >= 0.5 if bold else None))
+    out = src.words_to_lines(df)
+    got = [(r["contract_id"], r["page"], r["line_no"], r["text"], r["x0"], None if r["font_size"] is None else round(r["font_size"], 6), r["is_bold"]) for r in out.collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and plan.count("Repartition") == 1 and "piece" in plan
+
+
+def test_a_long_part_is_sorted_in_ranges(monkeypatch):
+    """Parts beyond what is sorted at once, of few keys: ranges give the rows in the order of one sort."""
+    rnd = random.Random(8)
+    some = lambda v: rnd.choice([None, math.nan, v, v, v, v])
+    rows = [{"k": rnd.choice([1, 2, None]), "v": some(float(rnd.randint(0, 40))), "n": i, "__h": 0} for i in range(2000)]
+    for r in rows:
+        r["__h"] = {1: 9, 2: -9, None: 4}[r["k"]]
+    schema = pa.schema([("k", pa.int64()), ("v", pa.float64()), ("n", pa.int64()), ("__h", pa.int64())])
+    whole = pa.RecordBatch.from_pylist(rows, schema=schema)
+    pieces = [lambda at=at: whole.slice(at, 130) for at in range(0, 2000, 130)]
+    once = pk._in_order(whole, ["k"], ["v", "n"]).column("n").to_pylist()
+    monkeypatch.setattr(pk, "SORT_ROWS", 150)
+    ranges = [pk._in_order(r, ["k"], ["v", "n"]).column("n").to_pylist() for r in pk._ranges(pieces, "v")]
+    assert len(ranges) > 5 and sum(ranges, []) == once
+    # keys of one hash still come one after the other
+    mixed = whole.set_column(3, "__h", pa.array([5] * 2000))
+    keys = pk._in_order(mixed, ["k"], ["v", "n"]).column("k").to_pylist()
+    assert sum(a != b for a, b in zip(keys, keys[1:])) == 2
