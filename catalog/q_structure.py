@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paperloom.functions import headings as hd
@@ -16,7 +17,7 @@ from paperloom.operators import layout as ly
 from paperloom.operators import sections as se
 from paperloom.operators import toc as tc
 
-from paperloom.plans.scratch import scratch_path
+from paperloom.plans.scratch import no_shuffle_kept, scratch_path
 from paperloom.streaming import jobs as st
 
 from .q_text import _sql_paragraph_part, heading_line_sql, pattern_table, toc_line_sql, SQL_TOC_LINES, _toc_lines
@@ -626,15 +627,26 @@ query(
 )
 
 
-def contract_files(t, inbox):
-    """One file per contract, of the lines of its documents: of ten contracts one without the head of an accepted file, one without text."""
+#: Bytes of text in a file of a contract; a longer contract comes in several, as no file above 50 MB is accepted.
+FILE_BYTES = 16 << 20
+
+
+def contract_files(t, inbox, size=FILE_BYTES):
+    """Files per contract, of the lines of its documents: of ten contracts one without the head of an accepted file, one without text."""
     lines = t.numbered_sections.select((F.col("doc_id") % 40).alias("contract"), "doc_id", F.posexplode(F.split("content", "\n")).alias("pos", "line"))
-    lines = lines.where((F.trim("line") != "") & (F.col("contract") % 10 != 9))
+    lines = lines.where((F.trim("line") != "") & (F.col("contract") % 10 != 9)).withColumn("bytes", F.octet_length("line") + 1)
+    # every file begins with a head; the last one may have nothing else
+    last = F.floor((F.sum("bytes") - 1) / size)
     heads = t.numbered_sections.select((F.col("doc_id") % 40).alias("contract")).distinct().where("contract % 10 <> 8")
-    rows = lines.unionByName(heads.select("contract", F.lit(-1).cast("long").alias("doc_id"), F.lit(0).alias("pos"), F.lit("%PDF-1.7").alias("line")))
-    ordered = rows.repartition("contract").sortWithinPartitions("contract", "doc_id", "pos").select("contract", "line")
+    heads = heads.join(lines.groupBy("contract").agg(last.alias("last")), "contract", "left").select("contract", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("last", F.lit(0).cast("long")))).alias("part"))
+    heads = heads.select("contract", F.lit(-1).cast("long").alias("doc_id"), F.lit(0).alias("pos"), F.lit("%PDF-1.7").alias("line"), F.lit(0).alias("bytes"), "part")
+    before = F.sum("bytes").over(W.partitionBy("contract").orderBy("doc_id", "pos").rowsBetween(W.unboundedPreceding, -1))
+    rows = lines.withColumn("part", F.lit(None).cast("long")).unionByName(heads)
+    placed = rows.withColumn("part", F.format_string("%05d", F.coalesce("part", F.floor(F.coalesce(before, F.lit(0)) / size))))
+    ordered = placed.sortWithinPartitions("contract", "part", "doc_id", "pos").select("contract", "part", "line")
     options = dict(extension="pdf", sep="\u0001", quote="\u0002", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    ordered.write.partitionBy("contract").options(**options).csv(inbox)
+    with no_shuffle_kept(t.spark):
+        ordered.write.partitionBy("contract", "part").options(**options).csv(inbox)
 
 
 def _st1_publish(t):
@@ -642,11 +654,11 @@ def _st1_publish(t):
     contract_files(t, inbox)
     number = F.regexp_extract("path", r"contract=(\d+)/", 1)
     st.publish_stream(t.spark, inbox, sink, contract=number).awaitTermination()
-    read = lambda n: t.spark.read.parquet(f"{sink}/published/{n}")
+    read = lambda n: st.published(t.spark, sink, n)
     zones = read("document_zones").groupBy("contract_id").agg(F.count("*").alias("zones"), F.max("zone_type").alias("zone_type"))
     clauses = read("clauses").groupBy("contract_id").agg(F.count("*").alias("clauses"), F.sum(F.length("text")).alias("chars"), F.count_if("needs_review").alias("unsure"))
     out = read("contracts").select("contract_id", "status").join(zones, "contract_id", "left").join(clauses, "contract_id", "left")
-    rejected = t.spark.read.parquet(f"{sink}/rejected").select("contract_id", F.col("reject_reason").alias("status"))
+    rejected = t.spark.read.parquet(f"{sink}/rejected").select("contract_id", F.col("reject_reason").alias("status")).distinct()
     every = out.unionByName(rejected, allowMissingColumns=True)
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return every.select("contract_id", "status", F.coalesce("zone_type", F.lit("")).alias("zone_type"), *(count(c) for c in ("zones", "clauses", "chars", "unsure")))

@@ -172,3 +172,21 @@ def new_keys(batch: pa.RecordBatch, by: list[str], before: list | None = None) -
         new[1:] |= ~pc.coalesce(pc.equal(a, b), missing).to_numpy(zero_copy_only=False)
     new[0] = before is None or before != [batch.column(c)[0].as_py() for c in by]
     return new
+
+
+def whole_keys(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows in order of their keys, and where each key begins; no key is torn apart."""
+    key, held = None, []
+    for batch in batches:
+        starts = np.flatnonzero(new_keys(batch, by, key))
+        key = [batch.column(c)[-1].as_py() for c in by]
+        if not len(starts):
+            held.append(batch)
+            continue
+        ahead = sum(h.num_rows for h in held)
+        at = [0] * bool(ahead) + (starts[:-1] + ahead).tolist()
+        if at:
+            yield pa.concat_batches([*held, batch.slice(0, starts[-1])]), np.array(at)
+        held = [batch.slice(starts[-1])]
+    if held:
+        yield pa.concat_batches(held), np.array([0])

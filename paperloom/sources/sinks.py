@@ -41,7 +41,7 @@ def publish_contract_tables(
 
 def _append(df: DataFrame, path: str, buckets: int, batch: str) -> None:
     placed = df.withColumn("bucket", F.pmod(F.xxhash64("contract_id"), F.lit(buckets)).cast("int"))
-    placed.hint("rebalance", "bucket").write.mode("overwrite").option("maxRecordsPerFile", 5_000_000).partitionBy(
+    placed.hint("rebalance", "bucket").write.mode("overwrite").option("maxRecordsPerFile", 5_000_000).option("compression", "zstd").partitionBy(
         "bucket"
     ).parquet(f"{path}/batch={batch}")
 

@@ -39,6 +39,12 @@ def file_heads(raw: DataFrame) -> DataFrame:
     return opened.unionByName(raw.where(~fits).select(name, "length", F.lit(None).cast("binary").alias("head")))
 
 
+def fitting_content(raw: DataFrame) -> DataFrame:
+    """Binary files; the content of files of a wrong size is null and not read."""
+    fits = F.col("length").between(1, MAX_FILE_BYTES)
+    return raw.where(fits).unionByName(raw.where(~fits).withColumn("content", F.lit(None).cast("binary")))
+
+
 def validate_files(files: DataFrame) -> DataFrame:
     """Add ``accepted`` and the first failing rule as ``reject_reason``."""
     name = F.lower("name")

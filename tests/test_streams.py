@@ -8,6 +8,7 @@ from catalog import Tables
 from catalog.q_structure import contract_files
 from paperloom.operators import quota as qu
 from paperloom.plans.scratch import scratch_path
+from paperloom.sources import tables as src
 from paperloom.streaming import jobs as st
 
 BASE = datetime.datetime(2024, 1, 1)
@@ -80,6 +81,53 @@ def test_replay_of_a_batch_changes_nothing(spark):
     assert counts["files"] == counts["accepted"] + counts["rejected"] and counts["rejected"] > 0 and counts["damaged"] > 0
 
 
+def test_a_contract_in_several_files_is_one_text(spark):
+    """Files too large to be accepted are none any more: the parts of a contract give what its one file gave."""
+    t = Tables(spark, "/root/testdata/sf0.001")
+    number = F.regexp_extract("path", r"contract=(\d+)/", 1)
+    got, files = [], []
+    for size in (1 << 24, 3000):
+        inbox, sink = scratch_path(spark, "inbox"), scratch_path(spark, "intake")
+        contract_files(t, inbox, size)
+        st.publish_stream(spark, inbox, sink, contract=number).awaitTermination()
+        tables = [st.published(spark, sink, n).drop("batch", "bucket") for n in st.PUBLISHED]
+        names = [[c for c in df.columns if c != "name"] for df in tables]
+        got.append([sorted(map(str, df.select(c).collect())) for df, c in zip(tables, names)])
+        got[-1].append(sorted(map(str, spark.read.parquet(f"{sink}/rejected").select("contract_id", "reject_reason").distinct().collect())))
+        files.append(spark.read.parquet(f"{sink}/counts").first()["files"])
+        assert all(dict(spark.read.parquet(f"{sink}/published/{n}").dtypes)[c] == kind for n, df in zip(st.PUBLISHED, tables) for c, kind in df.dtypes)
+    assert files[0] == 40 and files[1] > 100
+    assert got[0] == got[1] and all(got[0])
+
+
+def test_parts_end_with_their_last_line(spark):
+    rows = [(1, "b", "2. Terms\nmore\n\n"), (1, "a", "1. Scope\ntext\n"), (1, "c", "\nend"), (2, "x", "1. One\nbody\n"), (3, "y", "1. One"), (3, "z", None), (None, "p", "1. P\nx"), (None, "q", "1. Q\ny")]
+    files = spark.createDataFrame([(i, f"{n}.pdf", f"/in/{n}", t) for i, n, t in rows], "contract_id long, name string, path string, content string")
+    parsed = st.parse_files(files, F.col("content"))
+    one = spark.createDataFrame([(1, "a.pdf", "1. Scope\ntext\n2. Terms\nmore\n\n\nend"), (2, "x.pdf", "1. One\nbody\n")], "contract_id long, name string, content string")
+    want = st.parse_files(one, F.col("content"))
+    for table in ("zones", "clauses"):
+        rows = [sorted(map(str, p[table].where("contract_id < 3").collect())) for p in (parsed, want)]
+        assert rows[0] == rows[1] and rows[0]
+    assert [r["contract_id"] for r in parsed["damaged"].collect()] == [3]
+    assert sorted(r["name"] for r in parsed["contracts"].collect()) == ["a.pdf", "p.pdf", "q.pdf", "x.pdf", "y.pdf"]
+    assert parsed["clauses"].where("contract_id is null").count() == 2
+
+
+def test_nothing_published_can_be_read(spark, tmp_path, monkeypatch):
+    """All files beyond the limit of size: reasons for all, tables without a row, and no content is read."""
+    monkeypatch.setattr(src, "MAX_FILE_BYTES", 20)
+    inbox, sink = tmp_path / "in", str(tmp_path / "out")
+    inbox.mkdir()
+    for n in range(3):
+        (inbox / f"{n}.pdf").write_text("%PDF-1.7\n1. Scope\n" + "text\n" * 9)
+    st.publish_stream(spark, str(inbox), sink).awaitTermination()
+    assert [st.published(spark, sink, n).count() for n in st.PUBLISHED] == [0, 0, 0]
+    assert [r["reject_reason"] for r in spark.read.parquet(f"{sink}/rejected").collect()] == ["size"] * 3
+    raw = src.fitting_content(spark.read.format("binaryFile").load(str(inbox)))
+    assert raw.where("content is not null").count() == 0 and raw.count() == 3
+
+
 def test_damaged_files_fail_alone(spark):
     schema = "contract_id long, name string, content binary"
     rows = [(1, "a.pdf", b"%PDF-1.7\nTitle\n1. Scope\nText below."), (2, "b.pdf", b"%PDF-1.7\n\xff\xfe\xff"), (3, "c.pdf", b"%PDF-1.7\n \n"), (4, "d.pdf", b"%PDF")]
