@@ -633,17 +633,20 @@ FILE_BYTES = 16 << 20
 
 def contract_files(t, inbox, size=FILE_BYTES):
     """Files per contract, of the lines of its documents: of ten contracts one without the head of an accepted file, one without text."""
-    lines = t.numbered_sections.select((F.col("doc_id") % 40).alias("contract"), "doc_id", F.posexplode(F.split("content", "\n")).alias("pos", "line"))
-    lines = lines.where((F.trim("line") != "") & (F.col("contract") % 10 != 9)).withColumn("bytes", F.octet_length("line") + 1)
-    # every file begins with a head; the last one may have nothing else
-    last = F.floor((F.sum("bytes") - 1) / size)
-    heads = t.numbered_sections.select((F.col("doc_id") % 40).alias("contract")).distinct().where("contract % 10 <> 8")
-    heads = heads.join(lines.groupBy("contract").agg(last.alias("last")), "contract", "left").select("contract", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("last", F.lit(0).cast("long")))).alias("part"))
-    heads = heads.select("contract", F.lit(-1).cast("long").alias("doc_id"), F.lit(0).alias("pos"), F.lit("%PDF-1.7").alias("line"), F.lit(0).alias("bytes"), "part")
-    before = F.sum("bytes").over(W.partitionBy("contract").orderBy("doc_id", "pos").rowsBetween(W.unboundedPreceding, -1))
-    rows = lines.withColumn("part", F.lit(None).cast("long")).unionByName(heads)
-    placed = rows.withColumn("part", F.format_string("%05d", F.coalesce("part", F.floor(F.coalesce(before, F.lit(0)) / size))))
-    ordered = placed.sortWithinPartitions("contract", "part", "doc_id", "pos").select("contract", "part", "line")
+    sections = t.unstored("numbered_sections")
+    lines = sections.select((F.col("doc_id") % 40).alias("contract"), "doc_id", F.posexplode(F.split("content", "\n")).alias("pos", "line"))
+    lines = lines.where((F.trim("line") != "") & (F.col("contract") % 10 != 9))
+    heads = sections.select((F.col("doc_id") % 40).alias("contract")).distinct().where("contract % 10 <> 8")
+    rows = lines.unionByName(heads.select("contract", F.lit(-1).cast("long").alias("doc_id"), F.lit(0).alias("pos"), F.lit("%PDF-1.7").alias("line")))
+    along = W.partitionBy("contract").orderBy("doc_id", "pos")
+    before = F.sum(F.octet_length("line") + 1).over(along.rowsBetween(W.unboundedPreceding, -1))
+    placed = rows.withColumn("part", F.floor(F.coalesce(before, F.lit(0)) / size))
+    # every further file begins with a head of its own
+    opens = (F.col("part") > F.lag("part").over(along)) & (F.col("contract") % 10 != 8)
+    placed = placed.withColumn("opens", opens)
+    head = F.when(F.col("opens"), F.array(F.lit("%PDF-1.7"), F.col("line"))).otherwise(F.array("line"))
+    each = placed.select("contract", F.format_string("%05d", "part").alias("part"), "doc_id", "pos", F.posexplode(head).alias("k", "line"))
+    ordered = each.sortWithinPartitions("contract", "part", "doc_id", "pos", "k").select("contract", "part", "line")
     options = dict(extension="pdf", sep="\u0001", quote="\u0002", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     with no_shuffle_kept(t.spark):
         ordered.write.partitionBy("contract", "part").options(**options).csv(inbox)
